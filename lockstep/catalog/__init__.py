@@ -22,4 +22,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from lockstep.catalog import sessions, snapshots  # noqa: F401
+    from lockstep.catalog import coverage, ingest, sessions, snapshots  # noqa: F401

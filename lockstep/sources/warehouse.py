@@ -148,7 +148,7 @@ class Warehouse:
                   .otherwise(" Inc"))
         return self.table("customer").select(
             k.alias("company_id"), F.lpad(k.cast("string"), 10, "0").alias("cik"),
-            F.concat("c_name", suffix).alias("name"),
+            F.concat(F.coalesce("c_name", F.lit("Unnamed")), suffix).alias("name"),
             F.when(k % 5 != 0, F.concat(F.lit("c"), k.cast("string"))).alias("ticker"),
             F.when(k % 2 == 0, "NYSE").alias("exchange"))
 

@@ -109,7 +109,7 @@ CTES["att"] = """
 """
 CTES["issuer"] = """
  SELECT c_custkey AS company_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik,
-  c_name || CASE c_custkey % 11 WHEN 3 THEN ' Acquisition Corp' WHEN 7 THEN ' Growth Fund' ELSE ' Inc' END AS name,
+  coalesce(c_name, 'Unnamed') || CASE c_custkey % 11 WHEN 3 THEN ' Acquisition Corp' WHEN 7 THEN ' Growth Fund' ELSE ' Inc' END AS name,
   CASE WHEN c_custkey % 5 <> 0 THEN 'c' || c_custkey END AS ticker, CASE WHEN c_custkey % 2 = 0 THEN 'NYSE' END AS exchange FROM customer
 """
 CTES["filing"] = """
