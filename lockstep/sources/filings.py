@@ -27,7 +27,7 @@ def parse_index(lines: DataFrame, forms=REGISTRATION_FORMS, start=None, end=None
     Banner, header and dash lines fail the five-field and numeric-CIK tests, so the
     scan needs no line order and splits freely across tasks.
     """
-    parts = F.transform(F.split(F.trim("value"), r"\|"), F.trim)
+    parts = F.transform(F.split(F.trim("value"), r"\|"), lambda x: F.trim(x))
     rows = lines.select(parts.alias("p")).where(
         (F.size("p") == 5) & F.get("p", 0).rlike(r"^\d+$") & F.get("p", 2).isin(*forms))
     out = rows.select(

@@ -109,7 +109,7 @@ CTES["att"] = """
 """
 CTES["issuer"] = """
  SELECT c_custkey AS company_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik,
-  coalesce(c_name, 'Unnamed') || CASE c_custkey % 11 WHEN 3 THEN ' Acquisition Corp' WHEN 7 THEN ' Growth Fund' ELSE ' Inc' END AS name,
+  c_name || CASE c_custkey % 11 WHEN 3 THEN ' Acquisition Corp' WHEN 7 THEN ' Growth Fund' ELSE ' Inc' END AS name,
   CASE WHEN c_custkey % 5 <> 0 THEN 'c' || c_custkey END AS ticker, CASE WHEN c_custkey % 2 = 0 THEN 'NYSE' END AS exchange FROM customer
 """
 CTES["filing"] = """
@@ -266,7 +266,52 @@ CTES["snap2"] = f"""
 """
 CTES["snap2"] = CTES["snap2"].replace("* EXCLUDE (close, hi, lo), ", "* EXCLUDE (hi, lo, _c), ")
 
-MATERIALIZED = {"cal", "prices", "numbered", "lock", "ipo", "ev", "aligned", "feat", "outbar", "obs2", "sbar", "win2",
+# ---------------------------------------------------------------- backtest dataset
+CTES["ds"] = """
+ SELECT s.*, c.name AS company_name, c.ticker, i.primary_lockup_id, i.primary_lockup_expiration_date AS lockup_expiration_date, i.shares_outstanding_post_ipo,
+  o.* EXCLUDE (ipo_id, lockup_id, security_id, event_date, event_date_source, event_trade_date), s.lockup_id = i.primary_lockup_id AND i.primary_lockup_expiration_date IS NOT NULL AS is_primary_event
+ FROM snap1 s JOIN ipo i ON i.ipo_id = s.ipo_id JOIN comp c ON c.company_id = i.company_id LEFT JOIN outc o ON o.lockup_id = s.lockup_id AND o.security_id = s.security_id
+ WHERE classification_status = 'classified' AND candidate_type = 'operating_company_ipo' AND offering_status = 'priced'
+"""
+CTES["pairs"] = """
+ SELECT coalesce(a.lockup_id, b.lockup_id) AS lockup_id, coalesce(a.security_id, b.security_id) AS security_id, coalesce(a.observation_offset, b.observation_offset) AS observation_offset,
+  a.lockup_id IS NOT NULL AS in1, b.lockup_id IS NOT NULL AS in2, a.observation_date = b.observation_date AS same_obs, a.event_trade_date = b.event_trade_date AS same_evt,
+  b.snapshot_status AS st, b.unavailable_reason AS rs, b.expected_history_sessions AS eh, b.missing_history_sessions AS mh, a, b
+ FROM snap1 a FULL JOIN snap2 b ON a.lockup_id = b.lockup_id AND a.security_id = b.security_id AND a.observation_offset = b.observation_offset
+"""
+_AUDITED = ("close", "return_5d", "return_10d", "return_20d", "return_40d", "realized_vol_5d", "realized_vol_20d",
+            "realized_vol_40d", "avg_volume_5d", "avg_volume_20d", "avg_volume_40d", "avg_dollar_volume_5d",
+            "avg_dollar_volume_20d", "volume_ratio_5d_to_20d", "post_ipo_high_to_date", "post_ipo_low_to_date",
+            "drawdown_from_post_ipo_high", "position_in_post_ipo_range", "ipo_gain_retention")
+CTES["featpairs"] = """
+ SELECT *, CASE WHEN x IS NULL AND y IS NULL THEN 'both_null' WHEN x IS NULL THEN 'v1_null_v2_value'
+  WHEN y IS NULL THEN CASE WHEN ranged AND st = 'complete' THEN 'v1_value_v2_null' ELSE 'v1_value_v2_null_incomplete_history' END
+  WHEN abs(x - y) <= 1e-9 + 1e-7 * abs(x) THEN 'match'
+  WHEN same_obs AND same_evt AND (NOT ranged OR st = 'complete') THEN 'numeric_mismatch_complete_history' ELSE 'numeric_mismatch_other' END AS state FROM (
+ """ + " UNION ALL ".join(
+    f"SELECT lockup_id, security_id, observation_offset, same_obs, same_evt, st, '{c}' AS feature, a.{c}::DOUBLE AS x, b.{c}::DOUBLE AS y, {str(i >= 14).upper()} AS ranged FROM pairs WHERE in1 AND in2"
+    for i, c in enumerate(_AUDITED)) + ")"
+CTES["classed"] = """
+ SELECT p.* EXCLUDE (a, b), CASE WHEN NOT in1 THEN 'no_v1_snapshot' WHEN NOT in2 THEN 'no_v2_snapshot' WHEN NOT same_obs THEN 'observation_session_mismatch' WHEN NOT same_evt THEN 'event_session_mismatch'
+  WHEN rs = 'observation_not_reached' THEN 'v2_observation_not_reached' WHEN rs = 'missing_observation_bar' THEN 'v2_missing_observation_bar'
+  WHEN broken THEN 'numeric_feature_mismatch_complete_history' WHEN differs THEN 'sparse_history_feature_mismatch' WHEN st = 'partial' THEN 'v2_partial_missing_feature_history' ELSE 'exact_match' END AS classification, differs
+ FROM pairs p LEFT JOIN (SELECT lockup_id, security_id, observation_offset, bool_or(state = 'numeric_mismatch_complete_history') AS broken, bool_or(state NOT IN ('match', 'both_null')) AS differs
+  FROM featpairs GROUP BY 1, 2, 3) f ON f.lockup_id = p.lockup_id AND f.security_id = p.security_id AND f.observation_offset = p.observation_offset
+"""
+CTES["sess"] = """
+ SELECT s.lockup_id, s.security_id, s.observation_offset, s.event_trade_date, s.observation_date, s.return_20d, s.realized_vol_20d, e.session AS cevt, o.session AS cobs, c.next_ix + s.observation_offset AS obs_ix,
+  (SELECT count(*) FROM sbar b WHERE b.security_id = s.security_id AND b.ix BETWEEN c.next_ix + s.observation_offset AND c.next_ix) AS have,
+  abs(s.observation_offset) + 1 AS expected, coalesce(ob.bn = eb.bn + s.observation_offset, FALSE) AS reproduced, xb.trade_date IS NULL AS event_missing
+ FROM snap1 s JOIN cal c ON c.day = s.event_date JOIN ses e ON e.ix = c.next_ix JOIN ses o ON o.ix = c.next_ix + s.observation_offset
+ LEFT JOIN numbered ob ON ob.security_id = s.security_id AND ob.trade_date = s.observation_date LEFT JOIN numbered eb ON eb.security_id = s.security_id AND eb.trade_date = s.event_trade_date
+ LEFT JOIN prices xb ON xb.security_id = s.security_id AND xb.trade_date = e.session
+"""
+CTES["sessp"] = """
+ SELECT *, CASE WHEN event_trade_date = cevt AND observation_date = cobs THEN 'exact_match' WHEN event_trade_date <> cevt AND observation_date <> cobs THEN 'event_and_observation_mismatch'
+  WHEN event_trade_date <> cevt THEN 'event_session_mismatch' WHEN have < expected AND reproduced THEN 'observation_session_mismatch_sparse_history' ELSE 'observation_session_mismatch_unexplained' END AS mismatch_type FROM sess
+"""
+
+MATERIALIZED = {"ds", "pairs", "featpairs", "classed", "sess", "cal", "prices", "numbered", "lock", "ipo", "ev", "aligned", "feat", "outbar", "obs2", "sbar", "win2",
                 "since2", "snap1", "snap2", "outc"}
 
 
