@@ -7,15 +7,13 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from lockstep.catalog import register
-from lockstep.catalog.sessions import events_of
-from lockstep.catalog.snapshots import by_session, stored_bar
 from lockstep.constants import FROZEN
 from lockstep.functions.numeric import rounded
 from lockstep.operators import dataset as ds
-from lockstep.operators import outcomes as oc
 from lockstep.operators import parity as pa
-from lockstep.operators import snapshots as sn
 from lockstep.operators import statistics as st
+from lockstep.plans import daily
+from lockstep.plans.stored import stored
 
 # The stored tables end in 2001, so the cutoff moves with them; thresholds stay.
 HYPOTHESIS = replace(FROZEN, cutoff=dt.date(2000, 6, 30))
@@ -23,9 +21,7 @@ F1, F2, Y, OFFSET = "return_20d", "realized_vol_20d", "post_20d_return", -5
 
 
 # ------------------------------------------------------------------ parity
-def session_audit(w):
-    snaps = stored_bar(w).join(w.ipos().select("ipo_id", "company_id"), "ipo_id")
-    return pa.session_parity(snaps, w.lockups(), w.companies(), w.bars())
+session_audit = daily.session_audit
 
 
 @register("n1_session_parity", """
@@ -83,12 +79,10 @@ def parity_by_offset(w):
  SELECT mismatch_type AS m, (SELECT count(*) FROM sbar b WHERE b.security_id = p.security_id AND b.ix BETWEEN obs_ix - 20 AND obs_ix) = 21 AS full21
  FROM sessp p JOIN outc o ON o.lockup_id = p.lockup_id AND o.security_id = p.security_id WHERE observation_offset = -5 AND return_20d IS NOT NULL AND realized_vol_20d IS NOT NULL AND post_20d_return IS NOT NULL)""")
 def discovery_impact(w):
-    outcomes = oc.event_outcomes(events_of(w), w.bars())
-    return pa.discovery_impact(session_audit(w), outcomes, w.daily_prices(), HYPOTHESIS)
+    return pa.discovery_impact(session_audit(w), daily.outcomes(w), daily.daily_prices(w), HYPOTHESIS)
 
 
-def pairs_of(w):
-    return pa.lineage_pairs(stored_bar(w), by_session(w))
+pairs_of = daily.lineage_pairs
 
 
 @register("n8_numeric_match", "SELECT feature, count(*) AS matched FROM featpairs WHERE (x IS NULL AND y IS NULL) OR abs(x - y) <= 1e-9 + 1e-7 * abs(x) GROUP BY 1")
@@ -165,23 +159,23 @@ def discovery_counts(w):
 def cohort_limit(w):
     from lockstep.operators.events import event_level_limit
     keep = ("lockup_id", "event_date", "observation_offset")
-    rows = stored_bar(w).select(*keep).unionByName(by_session(w).select(*keep))
+    rows = daily.snapshots_v1(w).select(*keep).unionByName(daily.snapshots_v2(w).select(*keep))
     return event_level_limit(rows, 30, order=[]).groupBy("lockup_id").agg(F.count(F.lit(1)).alias("snapshots"))
 
 
 # ------------------------------------------------------------------ dataset
-def _dataset(w, **kwargs):
-    events, bars = events_of(w), w.bars()
-    return ds.backtest_dataset(sn.stored_bar_snapshots(events, bars), oc.event_outcomes(events, bars),
-                               w.ipos(), w.companies(), **kwargs)
-
-
 def all_events(w):
-    return _dataset(w, primary_lockup_only=False)
+    return daily.dataset(w, primary_lockup_only=False)
 
 
 def primary_events(w):
-    return _dataset(w)
+    return daily.dataset(w)
+
+
+def assembled(w):
+    """The assembly itself, over stored snapshots and outcomes."""
+    return ds.backtest_dataset(daily.snapshots_v1(w), daily.outcomes(w), w.ipos(), w.companies(),
+                               primary_lockup_only=False)
 
 
 _NUM = ("close", "return_20d", "realized_vol_20d", "avg_volume_20d", "post_20d_return", "bearish_mfe_20d", "event_volume_ratio")
@@ -191,13 +185,13 @@ _NUM = ("close", "return_20d", "realized_vol_20d", "avg_volume_20d", "post_20d_r
  SELECT ipo_id, lockup_id, security_id, company_name, ticker, observation_offset, event_status, event_trade_date, {', '.join(f'round({c}, 6) AS {c}' for c in _NUM)},
   shares_outstanding_post_ipo, lockup_expiration_date, outcome_version FROM ds""")
 def dataset(w):
-    return rounded(all_events(w).select("ipo_id", "lockup_id", "security_id", "company_name", "ticker", "observation_offset", "event_status",
+    return rounded(assembled(w).select("ipo_id", "lockup_id", "security_id", "company_name", "ticker", "observation_offset", "event_status",
                                         "event_trade_date", *_NUM, "shares_outstanding_post_ipo", "lockup_expiration_date", "outcome_version"))
 
 
 @register("o2_first_row", "SELECT lockup_id, observation_offset, min(security_id) AS security_id FROM ds GROUP BY 1, 2")
 def first_row(w):
-    return all_events(w).select("lockup_id", "observation_offset", "security_id")
+    return assembled(w).select("lockup_id", "observation_offset", "security_id")
 
 
 @register("o3_column_families", "SELECT count(*) AS rows, 77 AS columns FROM ds WHERE is_primary_event")
@@ -208,14 +202,14 @@ def families(w):
 
 @register("o4_event_identity", "SELECT lockup_id, observation_offset, event_date, event_trade_date, event_date_source, data_cutoff_date FROM ds")
 def identity(w):
-    return all_events(w).select("lockup_id", "observation_offset", "event_date", "event_trade_date", "event_date_source", "data_cutoff_date")
+    return assembled(w).select("lockup_id", "observation_offset", "event_date", "event_trade_date", "event_date_source", "data_cutoff_date")
 
 
 @register("o5_availability", """
  SELECT lockup_id, observation_offset, ipo_price IS NOT NULL AS has_ipo_price, available_history_sessions >= 21 AS has_20d_history, available_history_sessions >= 41 AS has_40d_history,
   post_5d_return IS NOT NULL AS has_post_5d, post_10d_return IS NOT NULL AS has_post_10d, post_20d_return IS NOT NULL AS has_post_20d, post_40d_return IS NOT NULL AS has_post_40d FROM ds""")
 def availability(w):
-    return all_events(w).select("lockup_id", "observation_offset", *ds.AVAILABILITY)
+    return assembled(w).select("lockup_id", "observation_offset", *ds.AVAILABILITY)
 
 
 @register("a9_backtest_csv_rows", "SELECT count(*) AS rows, count(DISTINCT lockup_id) AS events FROM ds WHERE is_primary_event")
@@ -236,7 +230,7 @@ def parity_csv(w):
  SELECT '{"status":"' || event_status || '","events":' || n || ',"first":"' || d || '"}' AS value FROM (SELECT event_status, count(*) AS n, min(event_date) AS d FROM outc GROUP BY 1)""")
 def json_rows(w):
     from lockstep.sources.tables import json_report
-    rows = oc.event_outcomes(events_of(w), w.bars()).groupBy(F.col("event_status").alias("status")).agg(
+    rows = daily.outcomes(w).groupBy(F.col("event_status").alias("status")).agg(
         F.count(F.lit(1)).alias("events"), F.min("event_date").alias("first"))
     return json_report(rows)
 
@@ -358,7 +352,8 @@ def loo_cell(w):
 
 def _runs(w):
     rows = _primary_cases(w)
-    return st.leave_one_out(rows, F1, F2, Y), st.ols(rows, F1, F2, Y)
+    runs = stored(w.spark, w.path, "leave_one_out", lambda: st.leave_one_out(rows, F1, F2, Y))
+    return runs, st.ols(rows, F1, F2, Y)
 
 
 _RUN = {"feature1_coefficient": "b1", "feature2_coefficient": "b2", "standardized_beta_feature1": "b1*sqrt(s11/syy)",

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 import os
+import signal
 import sys
 import time
 
@@ -13,6 +14,13 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+LIMIT = int(os.environ.get("QUERY_LIMIT", "60"))
+
+
+def out_of_time(*_):
+    raise TimeoutError(f"more than {LIMIT} s")
+
+
 def connect(path):
     con = duckdb.connect()
     for t in TABLES:
@@ -64,6 +72,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from lockstep.session import local_session
 
+    signal.signal(signal.SIGALRM, out_of_time)
     path = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
     spark, con = local_session(8), connect(path)
@@ -72,10 +81,13 @@ if __name__ == "__main__":
     for name, query in queries.items():
         if wanted and not any(name.startswith(w) for w in wanted):
             continue
+        print("..", name, file=sys.stderr, flush=True)
+        signal.alarm(LIMIT)
         try:
             message, ok = compare(spark, con, name, query, oracle.get(name), path)
         except Exception as exc:  # report and go on with the next query
             message, ok = f"{name}: ERROR {str(exc)[:1500]}", False
+        signal.alarm(0)
         print(message, flush=True)
         if not ok:
             failed.append(name)
