@@ -22,4 +22,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from lockstep.catalog import coverage, ingest, research, sessions, snapshots  # noqa: F401
+    from lockstep.catalog import (coverage, ingest, research, sessions, signals, snapshots,  # noqa: F401
+                                  text)

@@ -175,3 +175,106 @@ class Warehouse:
             F.when(k % 3 == 0, "priced").otherwise("unknown").alias("offering_status"),
             F.lit(None).cast("string").alias("classification_reason"),
             F.lit(None).cast("long").alias("final_prospectus_filing_id"))
+
+    # -- signals, runs, options and prospectus text --------------------------
+    def signals(self, hypothesis) -> DataFrame:
+        """Signals stored by earlier runs, one in five agreements, in all four modes."""
+        from lockstep.operators.prospective import signal_columns
+        k = F.col("lockup_id")
+        base = self.lockups().withColumn("event_date", F.coalesce(
+            "stated_expiration_date", "calculated_expiration_date")).where((k % 5 == 0) & F.col("event_date").isNotNull())
+        mode = pick(("strict_prospective", "prospective", "shadow_prospective", "lifecycle_tracking"), F.floor(k / 5) % 4)
+        mature = (k % 10 == 0) & (F.floor(k / 5) % 4 != 3)
+        group = pick(("low_low", "low_high", "high_low", "high_high"), F.floor(k / 20) % 4)
+        rows = base.select(
+            k, "ipo_id", F.col("ipo_id").alias("security_id"), "event_date",
+            F.col("event_date").alias("event_trade_date"), F.date_sub("event_date", 7).alias("observation_date"),
+            ((k % 100) / 1000.0).alias("feature1_value"), ((k % 200) / 100.0).alias("feature2_value"),
+            group.alias("interaction_group"), (group == "high_high").alias("is_high_high"),
+            F.when(F.floor(k / 5) % 4 == 3, "unavailable").when(mature, "matured").otherwise("awaiting_event")
+            .alias("signal_status"),
+            F.when(F.floor(k / 5) % 4 == 3, "observation_before_prospective_start").alias("unavailable_reason"),
+            F.when(mature, F.lit(hypothesis.outcome)).alias("realized_outcome_name"),
+            F.when(mature, ((k % 41) - 20) / 100.0).alias("realized_outcome_value"),
+            F.when(mature, (k % 13) / 100.0).alias("bearish_mfe_20d"),
+            F.when(mature, (k % 17) / 100.0).alias("bearish_mae_20d"),
+            F.when(mature, F.date_add("event_date", 28)).alias("outcome_observation_date"),
+            F.lit(None).cast("timestamp").alias("outcome_attached_at"),
+            F.lit(None).cast("string").alias("feature1_side"), F.lit(None).cast("string").alias("feature2_side"),
+            F.col("event_date").cast("timestamp").alias("created_at"), mode.alias("evaluation_mode"))
+        return rows.withColumns({**signal_columns(F.col("evaluation_mode"), hypothesis), "signal_id": k})
+
+    def runs(self) -> DataFrame:
+        """One run per user and day of the event stream."""
+        e = self.table("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+        return e.groupBy(F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("run_id"),
+                         F.concat(F.lit("daily-"), (F.col("user_id") % 10).cast("string")).alias("run_name")).agg(
+            F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"),
+            F.when(F.bool_or(F.col("event_type") == "error"), "failed").otherwise("succeeded").alias("status"))
+
+    def stages(self) -> DataFrame:
+        ts = F.col("ts").cast("timestamp")
+        return self.table("events").select(
+            F.concat_ws("-", F.col("user_id").cast("string"), F.to_date(ts).cast("string")).alias("run_id"),
+            F.col("event_id").alias("stage_id"),
+            F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "running")
+            .otherwise("succeeded").alias("status"))
+
+    def contracts(self) -> DataFrame:
+        """Three listed puts per part, on the securities the part maps to."""
+        k = F.col("p_partkey")
+        grid = self.table("part").select(k, "p_retailprice", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n"))
+        security = F.when(k % 2 == 0, 1 + k % 3).otherwise(100 + k % 25)
+        expires = F.date_add(F.lit("1995-02-01").cast("date"), (k * 7 % 2400 + F.col("n") * 30).cast("int"))
+        return grid.select(
+            F.concat(F.lit("T"), security.cast("string")).alias("underlying_ticker"),
+            F.when(k % 17 != 0, F.concat(F.lit("P"), k.cast("string"), F.lit("-"), F.col("n").cast("string")))
+            .alias("contract_symbol"),
+            F.when(k % 19 == 0, F.lit("unknown")).otherwise(expires.cast("string")).alias("expiration_date"),
+            (15 + k % 10).alias("strike_price"))
+
+    def quotes(self) -> DataFrame:
+        """Line items as option quotes at nanosecond timestamps."""
+        k = F.col("l_partkey")
+        nanos = (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).cast("long")
+        return self.table("lineitem").select(
+            F.concat(F.lit("P"), k.cast("string"), F.lit("-"), (F.col("l_linenumber") % 3).cast("string")).alias("contract_symbol"),
+            F.when(F.col("l_linenumber") != 2, nanos).alias("sip_timestamp"),
+            F.when(F.col("l_linenumber") == 2, nanos).alias("participant_timestamp"),
+            F.lit(None).cast("long").alias("timestamp"),
+            F.when(F.col("l_returnflag") != "R", F.col("l_discount")).alias("bid_price"),
+            F.when(F.col("l_linestatus") == "O", F.col("l_tax")).alias("ask_price"),
+            F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("bid_size"))
+
+    def lockup_documents(self) -> DataFrame:
+        """Prospectus texts whose answers are order columns."""
+        k = F.col("o_orderkey")
+        holder = pick(("substantially all holders of our common stock", "our principal stockholders",
+                       "certain selling stockholders", "our directors and executive officers"), k % 4)
+        days = pick(("90", "120", "180"), k % 3)
+        text = F.concat(
+            F.lit("PROSPECTUS SUMMARY\nThe trial lasts 180 days.\n\nUNDERWRITING\n\nBoilerplate comes first. In this offering "),
+            holder, F.lit(" have agreed with the underwriters that they will not sell any\nshares for "), days,
+            F.lit(" days after the date of this prospectus. An aggregate of "), (1000 + k).cast("string"),
+            F.lit(" shares are subject to the lock-up agreement. "),
+            F.when(k % 2 == 0, "The representatives may waive these restrictions.").otherwise("Nothing else is agreed."),
+            F.lit("\n\nThe company has agreed not to issue or sell common stock for 90 days.\n\nSHARES ELIGIBLE FOR FUTURE SALE\n\n"
+                  "Certain selling stockholders may not sell their shares until the restrictions terminate on "),
+            F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(".\n\nDESCRIPTION OF CAPITAL STOCK\n\n"), F.col("o_orderpriority"))
+        return self.table("orders").select(
+            k.alias("filing_id"), (k % 700).alias("ipo_id"), F.to_date("o_orderdate").alias("filed_at"), text.alias("text"))
+
+    def offering_documents(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        price = F.concat((10 + k % 40).cast("string"), F.lit(".50"))
+        primary, secondary = F.format_number(1000000 + k, 0), F.format_number(500000 + k % 1000, 0)
+        offered = (F.when(k % 4 == 0, F.concat(F.lit("We are offering "), primary, F.lit(" shares of common stock. The selling stockholders are offering "), secondary, F.lit(" shares.")))
+                   .when(k % 4 == 1, F.concat(F.lit("We are offering "), primary, F.lit(" shares.")))
+                   .when(k % 4 == 2, F.concat(F.lit("All of the "), secondary, F.lit(" shares of common stock are being sold by the selling stockholders.")))
+                   .otherwise(F.concat(F.lit("This is an offering of "), primary, F.lit(" shares."))))
+        text = F.concat(
+            F.lit("PROSPECTUS\n"), offered,
+            F.when(k % 3 == 0, F.concat(F.lit("\nInitial public offering price\n$ "), price, F.lit("\n$ 99,000,000.00\n")))
+            .otherwise(F.concat(F.lit("\nThe initial public offering price per share is $"), price, F.lit(".\n"))),
+            F.lit("Common stock to be outstanding after this offering: "), F.format_number(9000000 + k, 0), F.lit(" shares\n"))
+        return self.table("orders").select(k.alias("filing_id"), (k % 700).alias("ipo_id"), text.alias("text"))
