@@ -363,6 +363,13 @@ def evidence(w):
     return rows.where(inside).groupBy("company_id").agg(F.count(F.lit(1)).alias("filings"))
 
 
+for _name, _column in (("k3_final_prospectus", "final_prospectus_filing_id"), ("k4_offering_status", "offering_status"),
+                       ("k6_type_decision", "candidate_type")):
+    @register(_name, f"SELECT ipo_id, {_column} FROM {_CLASSIFIED}")
+    def decision(w, column=_column):
+        return cl.classify(w.candidates(), w.issuers(), w.filings()).select("ipo_id", column)
+
+
 @register("k5_periodic_reason", f"""
  SELECT ipo_id, CASE WHEN anchor IS NULL THEN 'Needs review: no S-1/F-1 registration anchor is available.' WHEN periodic <> '' THEN
   'Needs review: periodic filing history (' || periodic || ') predates registration, suggesting an already-public issuer.' END AS reason

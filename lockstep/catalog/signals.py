@@ -241,7 +241,7 @@ def labels(w):
 
 
 _ROLES = """(SELECT ipo_id, min(k) FILTER (m < 2) AS strict_id, min(k) FILTER (m = 2) AS shadow_id, min(k) FILTER (m = 3) AS lifecycle_id FROM (
- SELECT ipo_id, m, m * 1000000000 + signal_id AS k FROM (SELECT *, CASE evaluation_mode WHEN 'strict_prospective' THEN 0 WHEN 'prospective' THEN 1 WHEN 'shadow_prospective' THEN 2 ELSE 3 END AS m FROM sig)) GROUP BY 1)"""
+ SELECT ipo_id, m, m::BIGINT * 1000000000 + signal_id AS k FROM (SELECT *, CASE evaluation_mode WHEN 'strict_prospective' THEN 0 WHEN 'prospective' THEN 1 WHEN 'shadow_prospective' THEN 2 ELSE 3 END AS m FROM sig)) GROUP BY 1)"""
 
 
 @register("r3_signal_roles", f"SELECT ipo_id, strict_id % 1000000000 AS strict_id, shadow_id % 1000000000 AS shadow_id, lifecycle_id % 1000000000 AS lifecycle_id FROM {_ROLES}")
@@ -266,9 +266,6 @@ def _cohort(w):
 
 _COHORT = """(SELECT lock.lockup_id, lock.ipo_id, company_id, ticker, lock.event_date FROM lock JOIN ipo USING (ipo_id) JOIN comp USING (company_id) WHERE lock.lockup_id = primary_lockup_id AND primary_lockup_expiration_date IS NOT NULL
  AND classification_status = 'classified' AND candidate_type = 'operating_company_ipo' AND offering_status = 'priced')"""
-_EARLY = f"CASE WHEN true THEN DATE '1995-03-31' END"
-
-
 def _early(w):
     from dataclasses import replace
     return replace(HYPOTHESIS, cutoff=dt.date(1995, 3, 31))
@@ -314,6 +311,17 @@ def historical(w):
     return rounded(one.join(medians(rows, ["observation_offset"], {"return_20d": "median_feature"}), "observation_offset").drop("observation_offset"))
 
 
+@register("r8_t5_payload", f"""
+ SELECT t.lockup_id, CASE WHEN listed.n = 21 THEN 'complete' ELSE 'incomplete' END AS window_state, listed.n AS present FROM {_TRACKED} t JOIN prim USING (company_id),
+ LATERAL (SELECT count(*) AS n FROM sbar b JOIN cal c ON c.day = t.event_date WHERE b.security_id = prim.security_id AND b.ix BETWEEN c.next_ix - 25 AND c.next_ix - 5) listed
+ WHERE NOT (sid IS NULL AND vobs IS NOT NULL AND vobs <= DATE '1995-03-31')""")
+def t5_payload(w):
+    rows = pj.upcoming_lockups(_cohort(w), w.signals(HYPOTHESIS), daily.snapshots_v1(w), ev.primary_security(w.securities()),
+                               audit(w), today=dt.date(1995, 4, 28), hypothesis=_early(w))
+    state = F.when(F.col("t5_readiness") == "complete", "complete").otherwise("incomplete")
+    return rows.select("lockup_id", state.alias("window_state"), F.col("t5_present_count").alias("present"))
+
+
 def _facts(w):
     from lockstep.operators.offering_text import offering_facts
     return offering_facts(w.offering_documents())

@@ -78,7 +78,7 @@ def confidence(w):
 
 
 @register("j11_agreements", """
- SELECT filing_id, holder_group, duration_days, CASE WHEN n = 2 THEN 'SHARES ELIGIBLE FOR FUTURE SALE, line 13' ELSE 'UNDERWRITING, line 4' END AS source_locator FROM agree""")
+ SELECT filing_id, holder_group, duration_days, CASE WHEN n = 2 THEN 'SHARES ELIGIBLE FOR FUTURE SALE, line 11' ELSE 'UNDERWRITING, line 4' END AS source_locator FROM agree""")
 def agreement_rows(w):
     return found(w).select("filing_id", "holder_group", "duration_days", "source_locator")
 

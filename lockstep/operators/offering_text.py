@@ -132,21 +132,23 @@ def offering_facts(documents: DataFrame) -> DataFrame:
         "_none1": none1, "_none2": none2,
         "_distinct": F.array_distinct(F.transform("_totals", lambda t: _number(F.regexp_extract(t, TOTAL, 1))))})
     v1, v2, totals = F.col("_v1"), F.col("_v2"), F.col("_totals")
-    prices = [F.transform(_matches(cover, "(?i)" + p), lambda m, p=p: _fact(
-        "ipo_price", F.regexp_extract(m, "(?i)" + p, 1).try_cast("decimal(24,4)"), "USD/share", F.lit(0.99), m,
-        F.lit(COVER))) for p in PRICE]
-    table = F.transform(_matches(cover, PRICE_TABLE), lambda m: _fact(
-        "ipo_price", F.regexp_extract(m, PRICE_TABLE, 1).try_cast("decimal(24,4)"), "USD/share", F.lit(0.99), m,
-        F.lit("Prospectus cover pricing table")))
+
+    def priced(pattern, locator):
+        return F.transform(_matches(cover, pattern), lambda m: _fact(
+            "ipo_price", F.regexp_extract(m, pattern, 1).try_cast("decimal(24,4)"), "USD/share", F.lit(0.99), m,
+            F.lit(locator)))
+
+    prices = [priced("(?i)" + p, COVER) for p in PRICE]
+    table = priced(PRICE_TABLE, "Prospectus cover pricing table")
 
     def one(test, fact):
         return F.when(test, F.array(fact)).otherwise(F.array().cast(f"array<struct<{_ddl()}>>"))
 
     primary_fact = _fact("primary_shares", v1, "shares", F.when(pure | F.col("_none1"), 0.99).otherwise(0.98),
                          F.when(pure, F.col("_pure.match")).otherwise(F.col("_primary.match")),
-                         F.when(~pure & F.col("_none1"), SUMMARY).otherwise(COVER))
+                         F.when(~pure & F.col("_none1"), F.lit(SUMMARY)).otherwise(F.lit(COVER)))
     secondary_fact = _fact("secondary_shares", v2, "shares", F.when(F.col("_none2"), 0.99).otherwise(0.98),
-                           F.col("_secondary.match"), F.when(F.col("_none2"), SUMMARY).otherwise(COVER))
+                           F.col("_secondary.match"), F.when(F.col("_none2"), F.lit(SUMMARY)).otherwise(F.lit(COVER)))
     single = F.size("_distinct") == 1
     stated = F.transform(F.when(single, F.slice(totals, 1, 1)).otherwise(totals), lambda t: _fact(
         "shares_offered", _number(F.regexp_extract(t, TOTAL, 1)), "shares", F.when(single, 0.96).otherwise(0.80), t,

@@ -65,10 +65,12 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     spread = F.stddev_pop("_rx") * F.stddev_pop("_ry")
     rho = F.when(F.count(F.lit(1)) >= 3, F.try_divide(F.covar_pop("_rx", "_ry"), spread))
     out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rho.alias("spearman_rho"))
-    r = F.least(F.greatest(F.col("spearman_rho"), F.lit(-1.0)), F.lit(1.0))
+    # least and greatest skip nulls, so an undefined correlation stays null explicitly.
+    r = F.when(F.col("spearman_rho").isNotNull(),
+               F.least(F.greatest(F.col("spearman_rho"), F.lit(-1.0)), F.lit(1.0)))
     z = F.abs(r) * F.sqrt((F.col("n") - 2) / F.greatest(F.lit(1e-15), 1 - r * r))
     # Rank sums are exact multiples of one half, so |rho| = 1 shows up within 1e-12.
-    return out.withColumn("p_value", F.when(F.abs(r) >= 1 - 1e-12, F.when(r.isNotNull(), F.lit(0.0)))
+    return out.withColumn("p_value", F.when(F.abs(r) >= 1 - 1e-12, F.lit(0.0))
                           .otherwise(erfc(z / F.lit(math.sqrt(2)))))
 
 
