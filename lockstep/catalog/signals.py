@@ -312,9 +312,9 @@ def historical(w):
 
 
 @register("r8_t5_payload", f"""
- SELECT t.lockup_id, CASE WHEN listed.n = 21 THEN 'complete' ELSE 'incomplete' END AS window_state, listed.n AS present FROM {_TRACKED} t JOIN prim USING (company_id),
- LATERAL (SELECT count(*) AS n FROM sbar b JOIN cal c ON c.day = t.event_date WHERE b.security_id = prim.security_id AND b.ix BETWEEN c.next_ix - 25 AND c.next_ix - 5) listed
- WHERE NOT (sid IS NULL AND vobs IS NOT NULL AND vobs <= DATE '1995-03-31')""")
+ SELECT lockup_id, CASE WHEN n = 21 THEN 'complete' ELSE 'incomplete' END AS window_state, n AS present FROM (
+ SELECT t.lockup_id, CASE WHEN p.security_id IS NOT NULL THEN (SELECT count(*) FROM sbar b JOIN cal c ON b.ix BETWEEN c.next_ix - 25 AND c.next_ix - 5 WHERE c.day = t.event_date AND b.security_id = p.security_id) END AS n
+ FROM {_TRACKED} t LEFT JOIN (SELECT company_id, max(security_id) AS security_id FROM sec WHERE is_primary GROUP BY 1) p USING (company_id) WHERE NOT (sid IS NULL AND vobs IS NOT NULL AND vobs <= DATE '1995-03-31'))""")
 def t5_payload(w):
     rows = pj.upcoming_lockups(_cohort(w), w.signals(HYPOTHESIS), daily.snapshots_v1(w), ev.primary_security(w.securities()),
                                audit(w), today=dt.date(1995, 4, 28), hypothesis=_early(w))

@@ -228,17 +228,18 @@ def backfill_plan(ranges: DataFrame, prices: DataFrame, attempts: DataFrame, sec
     """Dry-run status and range counts of each repair range."""
     days = planned_days(ranges, prices, attempts, provider, as_of_date,
                         retry_known_no_data=retry_known_no_data)
-    state = days.groupBy(*RANGE).agg(
+    # Every session of a range is a row, so a run starts where its neighbour does not
+    # belong to it; all three run counts take one window over the same partitioning.
+    ordered = Window.partitionBy(*RANGE).orderBy("ix")
+    wanted = F.col("fetchable") & ~F.col("known")
+    runs = {"planned_ranges": F.col("fetchable"), "request_ranges": wanted, "skipped_ranges": F.col("known")}
+    marked = days.where("is_session").withColumns(
+        {f"_{name}": test & ~F.lag(test, 1, False).over(ordered) for name, test in runs.items()})
+    state = marked.groupBy(*RANGE).agg(
         F.count_if("missing").alias("missing_sessions"), F.count_if("fetchable").alias("fetchable_sessions"),
-        F.count_if("known").alias("known_no_data_sessions"))
-
-    def runs(condition, name):
-        return islands(days.where(condition), RANGE).groupBy(*RANGE).agg(F.count(F.lit(1)).alias(name))
-
+        F.count_if("known").alias("known_no_data_sessions"),
+        *[F.count_if(f"_{name}").alias(name) for name in runs])
     out = ranges.select(*RANGE).distinct().join(state, RANGE, "left")
-    for condition, name in (("fetchable", "planned_ranges"), ("fetchable and not known", "request_ranges"),
-                            ("known", "skipped_ranges")):
-        out = out.join(runs(condition, name), RANGE, "left")
     numbers = [c for c in out.columns if c not in RANGE]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
     symbols = securities.select("security_id", F.coalesce("provider_symbol", "ticker").alias("_symbol"))

@@ -49,21 +49,34 @@ def select_sample(pool: DataFrame, limit: int, *, tickers: tuple[str, ...] = ())
 
 
 def select_contracts(sample: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Earliest live put per name: by expiration, then strike as text, then symbol."""
-    listed = contracts.withColumn("_expires", F.try_to_date("expiration_date", "yyyy-MM-dd"))
-    joined = sample.select("lockup_id", "ticker", "t5_date").withColumnRenamed("ticker", "underlying_ticker") \
-        .join(listed, "underlying_ticker")
-    valid = (F.col("_expires") >= F.col("t5_date")) & (F.coalesce("contract_symbol", F.lit("")) != "")
-    order = F.struct("_expires", F.coalesce(F.col("strike_price").cast("string"), F.lit("")).alias("k"), "contract_symbol")
-    found = joined.groupBy("lockup_id").agg(
-        F.count_if(valid).alias("put_contracts_found"), F.count(F.lit(1)).alias("_listed"),
-        F.min(F.when(valid, order)).alias("_best"))
+    """Earliest live put per name: by expiration, then strike as text, then symbol.
+
+    A name needs the first expiration on or after its T-5 date and the number of live
+    contracts.  Both come from one backward pass over the distinct expirations and
+    distinct T-5 dates of an underlying, so names and contracts are never paired.
+    """
+    expires = F.try_to_date("expiration_date", "yyyy-MM-dd")
+    live = contracts.withColumn("_d", expires).where(
+        F.col("_d").isNotNull() & (F.coalesce("contract_symbol", F.lit("")) != ""))
+    strike = F.coalesce(F.col("strike_price").cast("string"), F.lit(""))
+    live = live.groupBy("underlying_ticker", "_d").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct(strike.alias("k"), F.col("contract_symbol"))).alias("_b"))
+    live = live.select("underlying_ticker", "_d", F.lit(0).alias("_kind"), "_n",
+                       F.struct("_d", "_b.k", "_b.contract_symbol").alias("_b"))
+    probes = sample.select(F.col("ticker").alias("underlying_ticker"), F.col("t5_date").alias("_d")).distinct() \
+        .withColumn("_kind", F.lit(1))
+    backwards = Window.partitionBy("underlying_ticker").orderBy(F.desc("_d"), "_kind")
+    seen = live.unionByName(probes, allowMissingColumns=True).withColumns({
+        "put_contracts_found": F.sum("_n").over(backwards), "_best": F.min("_b").over(backwards)})
+    found = seen.where("_kind = 1").select(F.col("underlying_ticker").alias("ticker"), F.col("_d").alias("t5_date"),
+                                           "put_contracts_found", "_best")
+    listed = contracts.groupBy(F.col("underlying_ticker").alias("ticker")).agg(F.count(F.lit(1)).alias("_listed"))
     status = (F.when(F.col("put_contracts_found") > 0, "historical_contracts_found")
               .when(F.col("_listed") > 0, "malformed_contract_metadata").otherwise("no_contracts"))
-    out = sample.join(found, "lockup_id", "left").withColumns({
+    out = sample.join(found, ["ticker", "t5_date"], "left").join(listed, "ticker", "left").withColumns({
         "put_contracts_found": F.coalesce("put_contracts_found", F.lit(0)),
         "contract_discovery_status": status, "contract_symbol": F.col("_best.contract_symbol"),
-        "contract_expiration": F.col("_best._expires")}).drop("_listed", "_best")
+        "contract_expiration": F.col("_best._d")}).drop("_listed", "_best")
     out = with_session_at(out, F.col("event_ix") + 20, "_plus_20")
     return out.withColumn("expired_before_plus20", F.col("contract_expiration") < F.col("_plus_20")).drop("_plus_20")
 
