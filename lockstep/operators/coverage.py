@@ -166,7 +166,8 @@ def latest_attempts(attempts: DataFrame, days: DataFrame) -> DataFrame:
     first, last = F.col("_s_next_ix"), F.col("_e_prev_ix")
     best = F.struct("attempted_at", "attempt_id", "status")
     blocks = (ranged.where(first <= last)
-              .select("security_id", best.alias("_a"), F.explode(_cover_nodes(first, last)).alias("n"))
+              .select("security_id", best.alias("_a"), F.explode_outer(_cover_nodes(first, last)).alias("n"))
+            .where("n is not null")
               .groupBy("security_id", "n.level", "n.block").agg(F.max("_a").alias("_a")))
     lookups = days.select("security_id", "ix", F.explode(F.array(*[
         F.struct(F.lit(level).alias("level"), F.shiftright("ix", level).alias("block"))

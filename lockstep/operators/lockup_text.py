@@ -72,8 +72,9 @@ def sections(documents: DataFrame) -> DataFrame:
                         F.substring(body, 1, SECTION_CHARS).alias("text"), (start + 1).alias("start_line"))
 
     keep = [c for c in documents.columns if c != "text"]
-    return (documents.withColumn("_lines", lines).withColumn("_heads", heads).where(F.size("_heads") > 0)
-            .select(*keep, F.explode(F.transform("_heads", region)).alias("s"))
+    # Outer generators: an inferred "array is not empty" filter would repeat the regexes.
+    return (documents.withColumn("_lines", lines).withColumn("_heads", heads)
+            .select(*keep, F.explode_outer(F.transform("_heads", region)).alias("s")).where("s is not null")
             .select(*keep, "s.*").where(F.col("text").rlike(CONCEPT)))
 
 
@@ -81,7 +82,8 @@ def sentence_windows(found: DataFrame) -> DataFrame:
     """Each sentence of a section with itself and the next two as its evidence window."""
     keep = [c for c in found.columns if c != "text"]
     split = found.withColumn("_all", F.split(_flat(F.col("text")), r"(?<=[.!?])\s+"))
-    return split.select(*keep, "_all", F.posexplode("_all").alias("position", "sentence")).withColumn(
+    return split.select(*keep, "_all", F.posexplode_outer("_all").alias("position", "sentence")) \
+        .where("sentence is not null").withColumn(
         "window", F.array_join(F.slice("_all", F.col("position") + 1, 3), " ")).drop("_all")
 
 

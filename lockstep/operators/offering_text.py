@@ -165,7 +165,8 @@ def offering_facts(documents: DataFrame) -> DataFrame:
                  F.col("_post.match"), F.lit(SUMMARY))
     facts = F.concat(*prices, table, one(v1.isNotNull(), primary_fact), one(v2.isNotNull(), secondary_fact), stated,
                      one(both, summed), one(~both & alone, direct), one(F.col("_post").isNotNull(), post))
-    return df.select(*keep, F.explode(facts).alias("f")).select(*keep, "f.*").where("value is not null")
+    # Outer generator: an inferred filter on the array would run every pattern twice.
+    return df.select(*keep, F.explode_outer(facts).alias("f")).where("f.value is not null").select(*keep, "f.*")
 
 
 def _ddl() -> str:

@@ -84,12 +84,15 @@ def parse_submissions(payloads: DataFrame) -> DataFrame:
 
 
 def submission_filings(parsed: DataFrame) -> DataFrame:
-    return parsed.select("cik", F.explode("filings").alias("f")).select("cik", "f.*")
+    # The outer form keeps the optimizer from copying the array expression, and with it
+    # the JSON parse, into an inferred filter below the generator.
+    return parsed.select("cik", F.explode_outer("filings").alias("f")).where("f is not null").select("cik", "f.*")
 
 
 def parse_daily_bars(payloads: DataFrame) -> DataFrame:
     """``(security_id, payload)`` daily-aggregate JSON to exact decimal bars."""
-    items = payloads.select("security_id", F.explode(F.from_json("payload", BAR_SCHEMA)["results"]).alias("r"))
+    items = payloads.select("security_id", F.explode_outer(F.from_json("payload", BAR_SCHEMA)["results"]).alias("r")) \
+        .where("r is not null")
     return items.select(
         "security_id", F.to_date(F.timestamp_millis("r.t")).alias("trade_date"),
         F.col("r.o").alias("open"), F.col("r.h").alias("high"), F.col("r.l").alias("low"),

@@ -1 +1 @@
-
+"""Incremental arrival of the daily inputs."""
