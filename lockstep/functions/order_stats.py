@@ -70,13 +70,26 @@ def middle_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         .otherwise((F.col("below") + F.col("middle")) / 2))
 
 
-def medians(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
-    """One row per key with the exact median of each column (``{source: output}``)."""
+def _middle_long(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """``middle_values`` of several columns in one pass, keyed by output name."""
     pairs = F.array(*[F.struct(F.lit(out).alias("_metric"),
                                F.col(src).cast("double").alias("_x"))
                       for src, out in columns.items()])
     long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._metric", "_p._x")
-    middle = middle_values(long, [*keys, "_metric"], "_x")
+    return middle_values(long, [*keys, "_metric"], "_x")
+
+
+def middle_columns(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per key with ``{column}_n``, ``_below``, ``_middle``, ``_above`` and ``_median``."""
+    middle = _middle_long(df, keys, {c: c for c in columns})
+    return middle.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_metric") == c, F.col(part))).alias(f"{c}_{part}")
+        for c in columns for part in ("n", "below", "middle", "above", "median")])
+
+
+def medians(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """One row per key with the exact median of each column (``{source: output}``)."""
+    middle = _middle_long(df, keys, columns)
     return middle.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_metric") == out, F.col("median"))).alias(out)
         for out in columns.values()])

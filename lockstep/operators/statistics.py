@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lockstep.constants import FROZEN, GROUPS, Hypothesis
 from lockstep.functions.numeric import erfc, side, sign_name
-from lockstep.functions.order_stats import average_ranks, loo_median, medians, middle_values
+from lockstep.functions.order_stats import average_ranks, loo_median, medians, middle_columns, middle_values
 from lockstep.operators.dataset import FEATURES, OUTCOMES
 
 OFFSET = "observation_offset"
@@ -210,10 +210,7 @@ def leave_one_out_cell(rows: DataFrame, feature1: str, feature2: str, outcome: s
     x1, x2, y = F.col(feature1), F.col(feature2), F.col(outcome)
     base = rows.select(OFFSET, "lockup_id", x1.alias("x1"), x2.alias("x2"), y.alias("y"),
                        F.col(mfe).alias("mfe"), F.col(mae).alias("mae"))
-    for name in ("x1", "x2"):
-        stats = middle_values(base.select(OFFSET, name), [OFFSET], name)  # one row per offset
-        base = base.join(F.broadcast(stats.select(OFFSET, *[
-            F.col(c).alias(f"{name}_{c}") for c in ("n", "below", "middle", "above")])), OFFSET)
+    base = base.join(F.broadcast(middle_columns(base, [OFFSET], ["x1", "x2"])), OFFSET)  # one row per offset
 
     def threshold(name):
         parts = [F.col(f"{name}_{c}") for c in ("n", "below", "middle", "above")]
@@ -234,11 +231,8 @@ def leave_one_out_cell(rows: DataFrame, feature1: str, feature2: str, outcome: s
     cells = members.groupBy(*key).agg(
         F.count(F.lit(1)).alias("cn"), F.sum("y").alias("cy"), F.count_if(F.col("y") < 0).alias("chit"),
         *[F.count_if(F.col("y") <= cut).alias(f"c_{label}") for label, cut in CUTOFFS])
-    for name in ("y", "mfe", "mae"):
-        stats = middle_values(members.select(*key, name), key, name)
-        cells = cells.join(stats.select(*key, *[F.col(c).alias(f"{name}_{c}") for c in
-                                                ("n", "below", "middle", "above", "median")]), key, "left")
-    cells = F.broadcast(cells)  # at most nine rows per offset
+    # At most nine rows per offset.
+    cells = F.broadcast(cells.join(middle_columns(members, key, ["y", "mfe", "mae"]), key, "left"))
     runs = base.drop(*[c for c in base.columns if c.startswith(("x1_", "x2_", "_p"))]).join(cells, key, "left")
     inside = (F.col("x1") > F.col("t1")) & (F.col("x2") > F.col("t2"))
     own = F.when(inside, 1).otherwise(0)

@@ -33,6 +33,14 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Give costly text work every core when the input has fewer splits than that.
+
+        Inputs with enough splits, as on a cluster, are left alone.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     # -- market data ---------------------------------------------------------
     def daily_prices(self) -> DataFrame:
         """Daily OHLCV of three security tiers (dense, medium, sparse)."""
@@ -261,7 +269,7 @@ class Warehouse:
             F.lit("\n\nThe company has agreed not to issue or sell common stock for 90 days.\n\nSHARES ELIGIBLE FOR FUTURE SALE\n\n"
                   "Certain selling stockholders may not sell their shares until the restrictions terminate on "),
             F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(".\n\nDESCRIPTION OF CAPITAL STOCK\n\n"), F.col("o_orderpriority"))
-        return self.table("orders").select(
+        return self.spread(self.table("orders")).select(
             k.alias("filing_id"), (k % 700).alias("ipo_id"), F.to_date("o_orderdate").alias("filed_at"), text.alias("text"))
 
     def offering_documents(self) -> DataFrame:
@@ -277,4 +285,4 @@ class Warehouse:
             F.when(k % 3 == 0, F.concat(F.lit("\nInitial public offering price\n$ "), price, F.lit("\n$ 99,000,000.00\n")))
             .otherwise(F.concat(F.lit("\nThe initial public offering price per share is $"), price, F.lit(".\n"))),
             F.lit("Common stock to be outstanding after this offering: "), F.format_number(9000000 + k, 0), F.lit(" shares\n"))
-        return self.table("orders").select(k.alias("filing_id"), (k % 700).alias("ipo_id"), text.alias("text"))
+        return self.spread(self.table("orders")).select(k.alias("filing_id"), (k % 700).alias("ipo_id"), text.alias("text"))
