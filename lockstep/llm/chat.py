@@ -41,21 +41,27 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit(CLOSE), text, F.lit(END))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once: inside a lambda a plain expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse(rendered: Column) -> Column:
     """Turns of a rendered conversation (array of role and text), null where the grammar does not accept it."""
-    marks = F.regexp_extract_all(rendered, F.lit(f"({CONTROL})"), F.lit(1))
-    pieces = F.split(rendered, CONTROL)
-    turns = (F.size(marks) / 3).cast("int")
-    fits = ((F.array_join(marks, "") == F.repeat(F.lit(OPEN + CLOSE + END), turns)) & (F.size(marks) == turns * 3))
-
-    def turn(k):
+    def turn(pieces, k):
         # Between the end of one turn and the opening of the next there is nothing.
-        return F.struct(unescape(F.get(pieces, k * 3 + 1)).alias("role"),
-                        unescape(F.get(pieces, k * 3 + 2)).alias("text"))
+        return F.struct(unescape(F.get(pieces, k * 3 + 1)).alias("role"), unescape(F.get(pieces, k * 3 + 2)).alias("text"))
+
+    def read(marks, pieces):
+        turns = (F.size(marks) / 3).cast("int")
+        fits = (F.size(marks) == turns * 3) & (F.array_join(marks, "") == F.repeat(F.lit(OPEN + CLOSE + END), turns))
+        none = F.array().cast("array<struct<role:string,text:string>>")
+        return F.when(fits & (turns == 0), none).when(
+            fits, F.transform(F.sequence(F.lit(0), turns - 1), lambda k: turn(pieces, k)))
 
-    read = F.when(turns == 0, F.array().cast("array<struct<role:string,text:string>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(turns, F.lit(1)) - 1), turn))
-    return F.when(fits, read)
+    both = F.struct(F.regexp_extract_all(rendered, F.lit(f"({CONTROL})"), F.lit(1)).alias("marks"),
+                    F.split(rendered, CONTROL).alias("pieces"))
+    return _let(both, lambda x: read(x["marks"], x["pieces"]))
 
 
 def format_conversations(turns: DataFrame, conversation: str = "conv_id", order: str = "turn",
@@ -69,7 +75,7 @@ def format_conversations(turns: DataFrame, conversation: str = "conv_id", order:
     """
     given = turns.select(F.col(conversation).alias("c"), F.col(order).alias("o"),
                          F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    alone = F.coalesce(parse(render(F.col("role"), F.col("text"))) == F.array(F.struct("role", "text")), F.lit(False))
+    alone = F.coalesce(_let(render(F.col("role"), F.col("text")), parse) == F.array(F.struct("role", "text")), F.lit(False))
     given = given.withColumn("conflict", ~alone)
     own = lambda name, guard: F.when(guard, escape(F.col(name))).otherwise(F.col(name))
     # First attempt: as it stands.  Second: turns in conflict escaped.  Third: all turns escaped.
@@ -96,7 +102,7 @@ def format_conversations(turns: DataFrame, conversation: str = "conv_id", order:
         return F.transform(spoken, lambda x: F.struct(x[f"s{k}"].alias("start"), (x[f"s{k}"] + F.length(x[f"t{k}"])).alias("end")))
 
     def same(k):
-        return F.coalesce(parse(formatted(k)) == F.col("source"), F.lit(False))
+        return F.coalesce(_let(formatted(k), parse) == F.col("source"), F.lit(False))
 
     failed = F.raise_error(F.concat(F.lit("conversation not recovered: "), F.coalesce(F.col("c").cast("string"), F.lit("null"))))
     level = F.when(same(0), 0).when(same(1), 1).when(same(2), 2).otherwise(failed.cast("int"))
