@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import bpe, chat, pii
+from lockstep.llm import bpe, chat, exact_dedup, pii
 from lockstep.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, emit_ids=False)
+
+
+@register("op4_exact_dedup", r"""
+with normal as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents),
+grouped as (select body, max(doc_id) as keep_id, count(*) as group_size, sha256(body) as text_sha256 from normal group by body)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256
+from normal join grouped using (body)""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
