@@ -104,7 +104,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return (df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
                 .select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct())
 
+    def signature(df):
+        # A 128-bit sum over the edges: equal for equal edge sets, whatever their order.
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")),
+                      F.sum(F.xxhash64("hi", "lo", F.lit(1)).cast("decimal(38,0)"))).first()
+
     current = stored(low_high(edges))
+    before = signature(current)
     while True:
         # Large star: neighbours above u hang on the smallest of u and its neighbours.
         both = current.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(
@@ -117,10 +123,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hung = large.join(below, F.col("hi") == F.col("w"))
         small = (hung.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
                  .union(hung.select(F.col("m").alias("lo"), "hi")).where("lo <> hi").distinct())
-        following = stored(small)
-        changed = following.exceptAll(current).limit(1).count() + current.exceptAll(following).limit(1).count()
-        current = following
-        if not changed:
+        current = stored(small)
+        now = signature(current)
+        if now == before:
             break
+        before = now
     roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
