@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import bpe, chat, exact_dedup, jaccard, pii
+from lockstep.llm import bpe, chat, exact_dedup, jaccard, pii, substring
 from lockstep.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_ngram_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
+
+
+@register("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), window=13, emit_text=False)
+    return found.drop("spans")
