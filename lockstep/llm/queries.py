@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import bpe, chat, exact_dedup, jaccard, pii, substring
+from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, pii, quality, substring
 from lockstep.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), window=13, emit_text=False)
     return found.drop("spans")
+
+
+@register("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs)).select("doc_id", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), "kept")
+
+
+@register("op5_decontaminate")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
