@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, pii, quality, substring
+from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, licenses, pii, quality, substring, url_filter
 from lockstep.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,65 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_decontaminate")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+def _sentence_values() -> str:
+    return ", ".join(f"('{i}', '{s}')" for i, s in licenses.SENTENCES)
+
+
+def _rule_values() -> str:
+    # Over ' a b c ': the identifiers in order, anything between.
+    return ", ".join(f"('{name}', ' {' (.* )?'.join(order)} ', '{' '.join(against)}')" for name, order, against in licenses.RULES)
+
+
+@register("op2_license_scan", rf"""
+with known(sentence_id, sentence) as (values {_sentence_values()}),
+rules(license, pattern, against) as (values {_rule_values()}),
+cut as (select doc_id, string_split_regex(text, '[.!?:;]+(?:\s+|$)|\n') as parts from documents where text is not null),
+sentences as (select doc_id, unnest(parts) as raw, unnest(range(len(parts))) as pos from cut),
+found as (
+  select doc_id, ' ' || string_agg(sentence_id, ' ' order by pos) || ' ' as ids, count(*) as n_sentences
+  from sentences join known on trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) = sentence group by doc_id),
+fired as (
+  select distinct doc_id, license from found join rules
+    on regexp_matches(ids, pattern) and (against = '' or not contains(ids, ' ' || against || ' ')))
+select doc_id, trim(any_value(ids)) as sentence_ids, any_value(n_sentences) as n_sentences,
+  coalesce(string_agg(license, ',' order by license), '') as licenses
+from found left join fired using (doc_id) group by doc_id""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"),
+                        F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("licenses", ",").alias("licenses"))
+
+
+_HOST = r"nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.$', '')), '')"
+
+
+@register("op9_url_filter", rf"""
+with hosts as (select page_id, url, {_HOST} as host, date '2024-01-01' + (page_id * 37 % 730)::int as day from pages),
+parts as (select *, string_split(host, '.') as labels from hosts),
+domains as (select distinct array_to_string(labels[k:], '.') as domain from (select distinct labels from parts where host is not null), range(1, 8) t(k) where k <= len(labels) - 1),
+events as (
+  select domain, n, date '2024-01-01' + ('0x' || substr(md5(domain || n), 1, 6))::int % 760 as day,
+    ['block', 'off', 'allow', 'block', 'off'][1 + ('0x' || substr(md5(domain || n), 7, 4))::int % 5] as action
+  from domains, range(4) s(n) where ('0x' || substr(md5(domain), 1, 4))::int % 3 = 0),
+daily as (select domain, day, arg_min(action, case action when 'block' then 0 when 'allow' then 1 else 2 end) as action from events group by 1, 2),
+intervals as (select domain, action, day as from_day, coalesce(lead(day) over (partition by domain order by day), date '2149-06-07') as to_day from daily),
+hits as (
+  select page_id, i.domain, i.action from (select page_id, day, unnest([array_to_string(labels[k:], '.') for k in range(1, len(labels) + 1)]) as domain from parts) c
+  join intervals i on c.domain = i.domain and c.day >= i.from_day and c.day < i.to_day and i.action <> 'off'),
+best as (select page_id, arg_max(domain, length(domain)) as matched_domain, arg_max(action, length(domain)) as matched_action from hits group by page_id)
+select page_id, host, matched_domain, matched_action, coalesce(matched_action, 'allow') <> 'block' as allowed
+from hosts left join best using (page_id)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables hold no lists and no fetch times: both are derived from the pages' own hosts and ids."""
+    start = F.lit("2024-01-01").cast("date")
+    pages = read(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetched_at", F.date_add(start, (F.col("page_id") * 37 % 730).cast("int")).cast("timestamp"))
+    number = lambda text, at, n: F.conv(F.substring(F.md5(text), at, n), 16, 10).cast("int")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    domains = hosts.select(F.explode(url_filter.domains_of(F.col("host"))).alias("domain")).where("instr(domain, '.') > 0").distinct()
+    events = domains.where(number(F.col("domain"), 1, 4) % 3 == 0).select("domain", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n"))
+    key = F.concat("domain", F.col("n").cast("string"))
+    actions = F.array(*map(F.lit, ("block", "off", "allow", "block", "off")))
+    entries = events.select("domain", F.date_add(start, number(key, 1, 6) % 760).alias("listed_on"), F.get(actions, number(key, 7, 4) % 5).alias("action"))
+    return url_filter.filter_urls(pages, entries).select("page_id", "host", "matched_domain", "matched_action", "allowed")
