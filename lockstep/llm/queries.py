@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, licenses, pii, quality, substring, url_filter
 from lockstep.llm.common import read
 
@@ -160,3 +161,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions = F.array(*map(F.lit, ("block", "off", "allow", "block", "off")))
     entries = events.select("domain", F.date_add(start, number(key, 1, 6) % 760).alias("listed_on"), F.get(actions, number(key, 7, 4) % 5).alias("action"))
     return url_filter.filter_urls(pages, entries).select("page_id", "host", "matched_domain", "matched_action", "allowed")
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
