@@ -16,6 +16,7 @@ import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ LEAST_SPELLED = 4
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -67,10 +68,18 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ips(text: str) -> Iterator[tuple[int, int]]:
-    for match in _IP.finditer(text):
-        values = [part.lstrip("0") for part in match.group().split(".")]
-        if all(len(v) <= 3 and int(v or 0) <= 255 for v in values):
-            yield match.span()
+    """Of a chain of dotted numbers, every four in turn."""
+    for chain in _DOTTED.finditer(text):
+        if chain.end() - chain.start() < 7:
+            continue
+        parts, start = chain.group().split("."), chain.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k:k + 4]
+            end = start + sum(map(len, four)) + 3
+            values = [part.lstrip("0") for part in four]
+            if all(len(v) <= 3 and int(v or 0) <= 255 for v in values):
+                yield start, end
+            start = end + 1
 
 
 def luhn(digits: str) -> bool:
@@ -118,7 +127,7 @@ def _translation() -> dict[int, str]:
 
 
 _TABLE = _translation()
-_MAPPED = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_TABLE)))) + INVISIBLE + "]")
+_MAPPED = frozenset(map(chr, _TABLE)) | frozenset(INVISIBLE)
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 _OR = "|".join
 _ATS, _DOTS = _OR(AT_WORDS), _OR(DOT_WORDS)
@@ -131,7 +140,8 @@ _DIGIT_DOT = re.compile(rf"(?<=[0-9])\s++(?:{_DOTS})\s++(?=[0-9])", re.I)
 _SPELLED_RUN = re.compile(
     rf"(?<!\w)(?:plus\s++)?(?:{_DIGITS}|[0-9]++)(?:(?:\s++(?:{_DOTS})\s++|[ .()-]{{1,3}})(?:{_DIGITS}|[0-9]++)(?!\w))+", re.I)
 _SPELLED_PART = re.compile(rf"(plus\s++)|({_DIGITS})(?!\w)|\s++({_DOTS})\s++|([ .()-]{{1,3}})|([0-9]++)", re.I)
-_SPELLED_HINT = re.compile(rf"(?:{_DIGITS})[ .()-]{{1,3}}(?:{_DIGITS})(?!\w)", re.I)
+_BRACKET_HINT = re.compile(rf"[\[({{<]\s*+(?:{_ATS}|@|{_DOTS}|\.)\s*+[\])}}>]", re.I)
+_DIGIT_SET, _DOT_SET = frozenset(DIGIT_WORDS), frozenset(DOT_WORDS)
 
 
 class Tape:
@@ -193,14 +203,27 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _spelled(low: str) -> bool:
+    """Whether enough digit words occur, two of them next to each other or around a spoken dot."""
+    words = low.replace("-", " ").replace(".", " ").replace("(", " ").replace(")", " ").split()
+    if _DIGIT_SET.isdisjoint(set(words)):
+        return False
+    if sum(map(_DIGIT_SET.__contains__, words)) < LEAST_SPELLED:
+        return False
+    digits = [w in _DIGIT_SET or w.isdecimal() for w in words if w not in _DOT_SET]
+    return any(map(and_, digits, digits[1:]))
+
+
 def disguised(text: str) -> bool:
     """Whether some transducer may change the text; a cheap look that never misses one."""
-    if not text.isascii() and _MAPPED.search(text):
+    if not text.isascii() and not _MAPPED.isdisjoint(set(text)):
         return True
     low = text.lower()
     if any(word in low for word in DOT_WORDS) and (_SPOKEN_ADDRESS.search(text) or _DIGIT_DOT.search(text)):
         return True
-    return bool(_BRACKETED.search(text)) or bool(_SPELLED_HINT.search(text))
+    if any(bracket in text for bracket in "[({<") and _BRACKET_HINT.search(text):
+        return True
+    return _spelled(low)
 
 
 def normalise(text: str) -> Tape:
