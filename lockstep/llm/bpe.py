@@ -23,7 +23,8 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from lockstep.llm.common import keyed_text, named_id
 
 #: Words and pairs whose result a worker remembers before it forgets all of them; longer words are not remembered.
 REMEMBERED_WORDS = 800_000
@@ -196,14 +197,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
-    kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, n_tokens long" + ", ids array<int>" * emit_ids + ", ids_sha256 string, decoded_sha256 string"
+    schema = "id string, n_tokens long" + ", ids array<int>" * emit_ids + ", ids_sha256 string, decoded_sha256 string"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(spec.value)
         for batch in batches:
             ids_of, n, of_ids, of_text = [], [], [], []
-            for text in batch["__text"]:
+            for text in batch["text"]:
                 ids = encoder.encode(text)
                 packed = np.array(ids, dtype="<u4")
                 n.append(len(ids))
@@ -211,8 +211,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
                 of_text.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
                 if emit_ids:
                     ids_of.append(packed.astype(np.int32))
-            out = {id_column: batch["__id"], "n_tokens": n} | ({"ids": ids_of} if emit_ids else {})
+            out = {"id": batch["id"], "n_tokens": n} | ({"ids": ids_of} if emit_ids else {})
             yield pd.DataFrame(out | {"ids_sha256": of_ids, "decoded_sha256": of_text})
 
-    given = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
-    return given.mapInPandas(encode, schema)
+    return named_id(keyed_text(docs, id_column, text_column).mapInPandas(encode, schema), docs, id_column)

@@ -44,6 +44,17 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_text(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, text) for Python: ids as strings, for a number column with nulls would turn into floating point there."""
+    return docs.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"))
+
+
+def named_id(df: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
+    """Give the string column id its name and type back."""
+    kind = docs.schema[id_column].dataType
+    return df.select(F.col("id").cast(kind).alias(id_column), *(F.col(c) for c in df.columns if c != "id"))
+
+
 def fold_ascii(column):
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER)

@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import WordHashes, components, hash_words, mixed, split_words, stored, window_hashes
+from lockstep.llm.common import (WordHashes, components, hash_words, keyed_text, mixed, named_id, split_words, stored,
+                                 window_hashes)
 
 #: Upper ends of the size bands grow by this factor.
 BAND_GROWTH = 1.5
@@ -100,9 +101,7 @@ def range_keys(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
-def _read_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    kind = docs.schema["id"].dataType.simpleString()
-
+def _read_sets(docs: DataFrame, size: int) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
@@ -112,7 +111,8 @@ def _read_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                                 "node": np.array([x for x, _ in names], dtype=np.int64),
                                 "check": np.array([x for _, x in names], dtype=np.int64)})
 
-    return docs.mapInPandas(read, f"id {kind}, n long, node long, check long")
+    told = keyed_text(docs, "id", "text").mapInPandas(read, "id string, n long, node long, check long")
+    return named_id(told, docs, "id")
 
 
 def _read_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _read_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes)})
 
-    return docs.mapInPandas(read, "key long, node long")
+    return docs.select("text").mapInPandas(read, "key long, node long")
 
 
 def _candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -291,7 +291,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     no rows; other columns are ignored.
     """
     given = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    sets = stored(_read_sets(given, size, percent))
+    sets = stored(_read_sets(given, size))
     filled = sets.where("n > 0")
     nodes = filled.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"))
     groups = _candidate_groups(given, size, percent)

@@ -20,7 +20,8 @@ from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from lockstep.llm.common import keyed_text, named_id
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -263,16 +264,15 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     further columns are ignored.
     """
     span = "array<struct<kind:string,start:int,end:int>>"
-    kind = docs.schema[id_column].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("kind", "start", "end")
         for batch in batches:
-            plain = [plain_spans(text) for text in batch["__text"]]
-            spans = [all_spans(text, own) for text, own in zip(batch["__text"], plain, strict=True)]
-            yield pd.DataFrame({id_column: batch["__id"],
+            plain = [plain_spans(text) for text in batch["text"]]
+            spans = [all_spans(text, own) for text, own in zip(batch["text"], plain, strict=True)]
+            yield pd.DataFrame({"id": batch["id"],
                                 "plain": [[dict(zip(names, x, strict=True)) for x in row] for row in plain],
                                 "spans": [[dict(zip(names, x, strict=True)) for x in row] for row in spans]})
 
-    given = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
-    return given.mapInPandas(scan, f"`{id_column}` {kind}, plain {span}, spans {span}")
+    found = keyed_text(docs, id_column, text_column).mapInPandas(scan, f"id string, plain {span}, spans {span}")
+    return named_id(found, docs, id_column)

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lockstep.llm.common import keyed_text, named_id
+
 GOOD, NOTHING, BAD = 1, 0, -1
 #: Rows the scorer is trained on at most.
 TRAINING_ROWS = 20_000
@@ -165,7 +167,7 @@ class QualityModel:
 
 
 def _given(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    return keyed_text(docs, id_column, text_column).na.fill("", "text")
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", training_rows: int = TRAINING_ROWS) -> QualityModel:
@@ -211,7 +213,6 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
     The model has a fixed size and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_column].dataType.simpleString()
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shapes, own = Shapes(), shared.value
@@ -222,9 +223,10 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
                 posterior.append(own.posterior.get(tuple(votes), own.prior))
                 margin = own.weights[BUCKETS] + sum(own.weights[b] * v for b, v in features.items())
                 scores.append(float(1 / (1 + np.exp(-np.clip(margin, -50, 50)))) if features else 0.0)
-            yield pd.DataFrame({id_column: batch["id"], "posterior": posterior, "score": scores, "kept": [s >= threshold for s in scores]})
+            yield pd.DataFrame({"id": batch["id"], "posterior": posterior, "score": scores, "kept": [s >= threshold for s in scores]})
 
-    return _given(docs, id_column, text_column).mapInPandas(rate, f"`{id_column}` {kind}, posterior double, score double, kept boolean")
+    rated = _given(docs, id_column, text_column).mapInPandas(rate, "id string, posterior double, score double, kept boolean")
+    return named_id(rated, docs, id_column)
 
 
 def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:

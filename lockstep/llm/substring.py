@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import WordHashes, hash_words, split_words, stored, window_hashes
+from lockstep.llm.common import WordHashes, hash_words, named_id, split_words, stored, window_hashes
 
 #: Words of a minimiser at most.
 ANCHOR = 5
@@ -335,7 +335,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id"
     given = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     whole = given.where("id is not null")
     spans = removed_spans(whole, window).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    kind = docs.schema[id_column].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -349,12 +348,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id"
                 for s, e in reversed(merged):
                     del words[s:e]
                 kept.append(b" ".join(words))
-            out = {id_column: batch["id"], "n_words": n, "n_removed": gone, "spans": taken}
+            out = {"id": batch["id"], "n_words": n, "n_removed": gone, "spans": taken}
             if emit_text:
                 out["kept_text"] = [x.decode("utf-8", "surrogatepass") for x in kept]
             yield pd.DataFrame(out | {"kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]})
 
-    joined = whole.join(spans, "id", "left").select("id", "text", "spans").union(
-        given.where("id is null").select("id", "text", F.lit(None).alias("spans")))
-    told = f"`{id_column}` {kind}, n_words long, n_removed long, spans array<struct<start:int,end:int>>"
-    return joined.mapInPandas(cut, told + ", kept_text string" * emit_text + ", kept_sha256 string")
+    joined = whole.join(spans, "id", "left").select(F.col("id").cast("string").alias("id"), "text", "spans").union(
+        given.where("id is null").select(F.lit(None).cast("string"), "text", F.lit(None)))
+    told = "id string, n_words long, n_removed long, spans array<struct<start:int,end:int>>"
+    return named_id(joined.mapInPandas(cut, told + ", kept_text string" * emit_text + ", kept_sha256 string"), docs, id_column)

@@ -89,8 +89,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
         "host", "__day", "domain", "x.*")
     held = looked.join(interval_blocks(validity_intervals(entries)), ["domain", "level", "block"])
     verdict = held.groupBy("host", "__day").agg(
-        F.max(F.struct(F.length("domain").alias("n"), (F.col("action") == BLOCK).alias("blocks"), "domain", "action")).alias("best"))
+        F.max(F.struct(F.length("domain").alias("n"), (F.col("action") == BLOCK).alias("blocks"), "domain", "action")).alias("__best"))
     out = given.join(verdict, ["host", "__day"], "left")
-    return out.select(*(c for c in given.columns if c != "__day"), F.col("best.domain").alias("matched_domain"),
-                      F.col("best.action").alias("matched_action"),
-                      (F.coalesce(F.col("best.action"), F.lit(ALLOW)) != BLOCK).alias("allowed"))
+    return out.select(*(c for c in given.columns if c != "__day"), F.col("__best.domain").alias("matched_domain"),
+                      F.col("__best.action").alias("matched_action"),
+                      (F.coalesce(F.col("__best.action"), F.lit(ALLOW)) != BLOCK).alias("allowed"))
