@@ -24,6 +24,8 @@ from lockstep.llm.common import fold_ascii, shared_folder, stored
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores: files take the space they use, not what is set aside for them.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
