@@ -5,7 +5,8 @@ inside a sentence) become typed placeholders.  Windows of templates are hashed o
 by hash; the joined windows are compared template by template, and then their slots: along one alignment
 of a document with an item, equal values of the item have to stand for equal values of the document.
 So a question with other numbers or names is caught and a chance match of unlike fillings is not.
-Windows with few literal words say little as templates and are matched by their words.
+Windows also count with their plain words, so a copy in other case is a copy, and templates with few
+literal words, which say little, are not used.
 
 Documents emit only windows whose hash is in a bitmap of the benchmark's hashes.  The bitmap has a fixed
 size, so its broadcast is bounded for a benchmark of any size; what it lets through too much falls out
@@ -43,7 +44,7 @@ _NUMBER = re.compile(rb"[+-]?[$]?[0-9][0-9.,/:]*%?\Z")
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 SIGNS = ("", "<number>", "<unit>", "<name>")
 _SIGN_HASHES = np.array([0, *(xxhash.xxh3_64_intdigest(s.encode()) for s in SIGNS[1:])], dtype=np.uint64)
-_RAW = np.uint64(xxhash.xxh3_64_intdigest(b"window matched by its words"))
+_TEMPLATE = np.uint64(xxhash.xxh3_64_intdigest(b"a window's template"))
 
 
 class Lexicon(dict):
@@ -85,14 +86,24 @@ def templates(words: list[bytes], lexicon: Lexicon) -> tuple[np.ndarray, np.ndar
     return kind, np.where(kind == LITERAL, bare, _SIGN_HASHES[kind]), bare
 
 
-def windows(words: list[bytes], lexicon: Lexicon, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window (fewer words than a window make none), and the kinds of the words."""
+def windows(words: list[bytes], lexicon: Lexicon, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash) of windows and the kinds of the words; fewer words than a window make none.
+
+    Every window counts with its words, and with its template if that has placeholders and at least
+    half its words are literal.
+    """
     kind, canonical, bare = templates(words, lexicon)
     if len(words) < size:
-        return np.zeros(0, dtype=np.uint64), kind
-    literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-    enough = 2 * (literal[size:] - literal[:-size]) >= size
-    return np.where(enough, window_hashes(canonical, size), window_hashes(bare, size) ^ _RAW), kind
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), kind
+    own = window_hashes(bare, size)
+    starts = np.arange(len(own))
+    if (kind != LITERAL).any():
+        literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+        literal = literal[size:] - literal[:-size]
+        told = np.nonzero((literal < size) & (2 * literal >= size))[0]
+        own = np.concatenate((own, window_hashes(canonical, size)[told] ^ _TEMPLATE))
+        starts = np.concatenate((starts, told))
+    return starts, own.view(np.int64), kind
 
 
 _ROWS = "hash long, size int, at int, kinds array<int>, words array<string>"
@@ -115,8 +126,8 @@ def _benchmark_windows(items: DataFrame, id_column: str, text_column: str, size:
                 if not words:
                     continue
                 own = min(size, len(words))
-                hashes, kind = windows(words, lexicon, own)
-                out += [(item, int(h), own, at, *_row(words, kind, at, own)) for at, h in enumerate(hashes.view(np.int64))]
+                starts, hashes, kind = windows(words, lexicon, own)
+                out += [(item, int(h), own, int(at), *_row(words, kind, at, own)) for at, h in zip(starts, hashes, strict=True)]
             if out:
                 yield pd.DataFrame(out, columns=["item", "hash", "size", "at", "kinds", "words"])
 
@@ -157,10 +168,11 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
             for doc, text in zip(batch["id"], batch["text"], strict=True):
                 words = split_words(text)
                 for size in sizes:
-                    hashes, kind = windows(words, lexicon, size)
-                    slot = (hashes.view(np.int64) % BITS).astype(np.int64)
-                    for at in np.nonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)[0].tolist():
-                        out.append((doc, int(hashes[at:at + 1].view(np.int64)[0]), size, at, *_row(words, kind, at, size)))
+                    starts, hashes, kind = windows(words, lexicon, size)
+                    slot = hashes % BITS
+                    for k in np.nonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)[0].tolist():
+                        at = int(starts[k])
+                        out.append((doc, int(hashes[k]), size, at, *_row(words, kind, at, size)))
             if out:
                 yield pd.DataFrame(out, columns=["doc", "hash", "size", "at", "kinds", "words"])
 
@@ -170,10 +182,9 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
     same = F.col("d.kinds") == F.col("b.kinds")
     slots = F.filter(F.arrays_zip(F.col("b.kinds").alias("kind"), F.col("b.words").alias("theirs"), F.col("d.words").alias("ours")), lambda x: x["kind"] != LITERAL)
     literals = lambda side: F.filter(F.arrays_zip(F.col(f"{side}.kinds").alias("kind"), F.col(f"{side}.words").alias("word")), lambda x: x["kind"] == LITERAL)
-    few = F.size(F.filter("b.kinds", lambda k: k == LITERAL)) * 2 < F.col("b.size")
     copy = F.col("d.words") == F.col("b.words")
     joined = d.join(b, (F.col("d.hash") == F.col("b.hash")) & (F.col("d.size") == F.col("b.size"))).where(
-        copy | (~few & same & (literals("d") == literals("b"))))
+        copy | (same & (literals("d") == literals("b"))))
     aligned = joined.select("doc", "item", (F.col("d.at") - F.col("b.at")).alias("shift"), F.col("b.at").alias("at"), copy.alias("copy"), slots.alias("slots"))
     # One alignment has at most as many slots as the item has words.
     told = aligned.groupBy("doc", "item", "shift").agg(
