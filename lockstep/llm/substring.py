@@ -31,7 +31,7 @@ ANCHOR = 5
 #: Minimisers routed to one part of a shard, about.
 PART = 100_000
 #: One document in so many looks for minimisers that are shared by many; they need no further proof of being shared.
-SAMPLE, HOT = 64, 16
+SAMPLE, HOT, HOT_KEYS, SALTS = 64, 16, 20_000, 32
 
 
 class Automaton:
@@ -157,25 +157,24 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _routes(docs: DataFrame, window: int) -> DataFrame:
-    """Rows (id, key, shard, parts): minimisers that several documents have.
+    """Rows (id, routes): for each document its minimisers that others have too, with shard and parts.
 
-    A minimiser that a sample finds in many documents is shared for certain.  Those are routed by a
-    keyed minimum, which combines before the shuffle, instead of a look at their neighbours in order.
+    A minimiser names its shard after its first document.  One that holds a large share of a sample is
+    shared for certain; it names the shard after its first sampled document and is dealt by a salt.  There
+    are at most HOT_KEYS such minimisers, so they are broadcast.
     """
     rows = _anchor_rows(docs, window)
     seen = _anchor_rows(docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), window)
-    counts = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
-    # At most as many as a fixed share of the sample allows, whatever its size.
-    total = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).count()
-    hot = stored(counts.where(F.col("n") > F.lit(total) * 0.002).select(F.col("key").alias("hot")))
-    marked = rows.join(hot, F.col("key") == F.col("hot"), "left")
-    order = Window.partitionBy("key").orderBy("id")
-    cold = (marked.where("hot is null").withColumn("shard", F.first("id").over(order))
-            .withColumn("more", F.lead("id").over(order).isNotNull())
-            .where((F.col("id") != F.col("shard")) | F.col("more")).select("id", "key", "shard"))
-    common = marked.where("hot is not null").select("id", "key")
-    first = common.groupBy("key").agg(F.min("id").alias("shard"))
-    shared = stored(cold.union(common.join(first, "key").select("id", "key", "shard")))
+    counts = stored(seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("named")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where((F.col("n") >= HOT) & (F.col("n") > total / HOT_KEYS)).select(F.col("key").alias("hot"), "named")
+    marked = rows.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left").withColumn(
+        "salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS))))
+    order = Window.partitionBy("key", "salt").orderBy("id")
+    routed = (marked.withColumn("first", F.first("id").over(order)).withColumn("next", F.lead("id").over(order))
+              .withColumn("shard", F.coalesce("named", "first"))
+              .where((F.col("id") != F.col("shard")) | F.col("next").isNotNull() | F.col("hot").isNotNull()))
+    shared = stored(routed.select("id", "key", "shard"))
     load = shared.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     return shared.join(load, "shard").groupBy("id").agg(F.collect_list(F.struct("key", "shard", "parts")).alias("routes"))
 
