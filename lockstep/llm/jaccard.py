@@ -233,7 +233,8 @@ def links_of_tile(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, i
 
 def _verified(docs: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes, a spanning forest of each tile."""
-    texts = docs.join(dealt, "id").select("node", "tiles", "text")
+    # The number of members grows with the documents: the same join at every size.
+    texts = docs.join(dealt.hint("merge"), "id").select("node", "tiles", "text")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
