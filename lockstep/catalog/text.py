@@ -98,6 +98,21 @@ def _offerings(w):
         "primary_lockup_expiration_date": F.lit(None).cast("date")})
 
 
+@register("j12_evidence_identity", """
+ SELECT filing_id, count(*) AS agreements, count(*) AS identities, TRUE AS repeat_is_same, FALSE AS other_excerpt_is_same FROM agree GROUP BY 1""")
+def identity(w):
+    """One key a row, the same when parsed again, another when the excerpt differs in its last character."""
+    rows = found(w).withColumn("key", lt.evidence_key())
+    other = found(w).withColumn("source_excerpt", F.concat("source_excerpt", F.lit("."))).select(
+        "filing_id", lt.evidence_key().alias("key"), F.lit(True).alias("_other"))
+    again = found(w).select("filing_id", lt.evidence_key().alias("key"), F.lit(True).alias("_again"))
+    out = rows.join(again, ["filing_id", "key"], "left").join(other, ["filing_id", "key"], "left")
+    return out.groupBy("filing_id").agg(
+        F.count(F.lit(1)).alias("agreements"), F.count_distinct("key").alias("identities"),
+        F.bool_and(F.coalesce("_again", F.lit(False))).alias("repeat_is_same"),
+        F.bool_or(F.coalesce("_other", F.lit(False))).alias("other_excerpt_is_same"))
+
+
 @register("j13_agreement_store", """
  SELECT count(*) AS created, count(shares) AS with_percentage, round(sum((1000 + filing_id) / 2000000.0 * 100) FILTER (shares IS NOT NULL), 4) AS percentage_sum FROM agree WHERE n <> 1""")
 def store(w):

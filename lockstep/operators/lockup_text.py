@@ -14,36 +14,38 @@ from lockstep.functions.numeric import all_of
 PARSER_NAME = "deterministic_lockup_parser"
 PARSER_VERSION = "1.1"
 VERY_HIGH, HIGH, PLAUSIBLE = 0.97, 0.92, 0.82
-SECTION_LINES, SECTION_CHARS = 350, 30000
-HEADING = (r"(?i)^(?:underwriting|shares eligible for (?:future )?sale|lock[ -]?up (?:agreements?|arrangements?)|"
+#: Line ends, form feeds and separators included.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+"
+HEADING = (r"(?iU)^(?:underwriting|shares eligible for (?:future )?sale|lock[ -]?up (?:agreements?|arrangements?)|"
            r"restrictions? on sale)\s*$")
-CONCEPT = (r"(?i)lock[ -]?up|agree(?:d)?(?:.{0,100})?(?:not to|will not)|(?:may|will) not (?:offer|sell)|"
+CONCEPT = (r"(?iU)lock[ -]?up|agree(?:d)?(?:.{0,100})?(?:not to|will not)|(?:may|will) not (?:offer|sell)|"
            r"restricted from")
-EARLY = r"(?i)waiv(?:e|er)|early release|release .*shares|blackout|staggered release|partial release"
-ANCHOR = r"(?i)(?:after|following) (?:the )?date of (?:this|the) prospectus"
+EARLY = r"(?iU)waiv(?:e|er)|early release|release .*shares|blackout|staggered release|partial release"
+ANCHOR = r"(?iU)(?:after|following) (?:the )?date of (?:this|the) prospectus"
 FIRM = (r"(?=[^.]{0,180}\b(?:Securities|Capital Markets|Company)\b)"
         r"[^.]{0,180}\b(?:Inc\.?|LLC|L\.?P\.?|Ltd\.?)")
-NAMED_CONSENT = (r"(?i)(?:without (?:first obtaining|the prior) (?:the )?written consent of|"
+NAMED_CONSENT = (r"(?iU)(?:without (?:first obtaining|the prior) (?:the )?written consent of|"
                  r"may be waived by|written consent of)" + FIRM)
-LINKED_WAIVER = (r"(?i)(?:this|these|the|such) (?:sale |transfer )?(?:restriction|lock[ -]?up)s? "
+LINKED_WAIVER = (r"(?iU)(?:this|these|the|such) (?:sale |transfer )?(?:restriction|lock[ -]?up)s? "
                  r"may be waived by" + FIRM)
-DAYS = r"(?i)\b(90|120|180)\s*(?:calendar\s+)?days\b"
-WRITTEN_DAYS = r"(?i)\b(one hundred (?:and )?eighty) days\b"
-SIX_MONTHS, APPROXIMATE = r"(?i)\bsix months\b", r"(?i)approximately|about"
-STATED = (r"(?i)(?:terminate|expire|expiration)(?:s|d)?(?:\s+on|\s+is)?\s+"
+DAYS = r"(?iU)\b(90|120|180)\s*(?:calendar\s+)?days\b"
+WRITTEN_DAYS = r"(?iU)\b(one hundred (?:and )?eighty) days\b"
+SIX_MONTHS, APPROXIMATE = r"(?iU)\bsix months\b", r"(?iU)approximately|about"
+STATED = (r"(?iU)(?:terminate|expire|expiration)(?:s|d)?(?:\s+on|\s+is)?\s+"
           r"(January|February|March|April|May|June|July|August|September|October|November|December)"
           r"\s+(\d{1,2}),\s+(20\d{2})")
-COMPANY = r"(?i)(?:we|the company) (?:have |has )?agree(?:d)? not to (?:issue|sell)"
-COMPANY_NAME = r"(?i)(?:we|the company)"
+COMPANY = r"(?iU)(?:we|the company) (?:have |has )?agree(?:d)? not to (?:issue|sell)"
+COMPANY_NAME = r"(?iU)(?:we|the company)"
 HOLDERS = (
-    ("selling_stockholders", r"(?i)\b(?:our )?selling stockholders?\b"),
+    ("selling_stockholders", r"(?iU)\b(?:our )?selling stockholders?\b"),
     ("existing_stockholders",
-     r"(?i)\b(?:substantially all |certain |our )?(?:holders|stockholders) of (?:our )?(?:common )?stock\b"),
-    ("pre_ipo_investors", r"(?i)\b(?:pre-IPO investors?|principal stockholders?)\b"),
-    ("directors_officers", r"(?i)\b(?:our )?directors?(?:,? (?:and )?(?:executive )?officers?)?\b"),
-    ("employees", r"(?i)\b(?:our )?employees?\b"),
-    ("sponsor", r"(?i)\b(?:our |the )?sponsor\b"))
-SHARES = (r"(?i)(?:an aggregate of )?([\d,]+) shares (?:are |is |will be )?(?:subject to|covered by) "
+     r"(?iU)\b(?:substantially all |certain |our )?(?:holders|stockholders) of (?:our )?(?:common )?stock\b"),
+    ("pre_ipo_investors", r"(?iU)\b(?:pre-IPO investors?|principal stockholders?)\b"),
+    ("directors_officers", r"(?iU)\b(?:our )?directors?(?:,? (?:and )?(?:executive )?officers?)?\b"),
+    ("employees", r"(?iU)\b(?:our )?employees?\b"),
+    ("sponsor", r"(?iU)\b(?:our |the )?sponsor\b"))
+SHARES = (r"(?iU)(?:an aggregate of )?([\d,]+) shares (?:are |is |will be )?(?:subject to|covered by) "
           r"(?:the )?lock[ -]?up")
 TIERS = ("existing_stockholders", "pre_ipo_investors", "selling_stockholders", "directors_officers")
 PRIMARY_CONFIDENCE = 0.90
@@ -55,21 +57,27 @@ def _group(text: Column, pattern: str, index: int = 0) -> Column:
 
 
 def _flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def _bare(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
 
 
 def sections(documents: DataFrame) -> DataFrame:
-    """``doc_id, filed_at, heading, text, start_line`` of every section with the concept."""
-    lines = F.split("text", r"\r\n|\r|\n")
-    heads = F.filter(F.transform("_lines", lambda x, i: F.when(F.trim(x).rlike(HEADING), i)),
+    """``doc_id, filed_at, heading, text, start_line`` of every section with the concept.
+
+    A section runs to the next heading or the end of the document.
+    """
+    lines = F.split("text", LINE_END)
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(_bare(x).rlike(HEADING), i)),
                      lambda i: i.isNotNull())
 
     def region(start: Column, n: Column) -> Column:
-        following = F.get("_heads", n + 1)
-        stop = F.coalesce(following, F.least(F.size("_lines"), start + SECTION_LINES))
+        stop = F.coalesce(F.get("_heads", n + 1), F.size("_lines"))
         body = F.array_join(F.slice("_lines", start + 2, F.greatest(stop - start - 1, F.lit(0))), "\n")
-        return F.struct(F.trim(F.get("_lines", start)).alias("heading"),
-                        F.substring(body, 1, SECTION_CHARS).alias("text"), (start + 1).alias("start_line"))
+        return F.struct(_bare(F.get("_lines", start)).alias("heading"), body.alias("text"),
+                        (start + 1).alias("start_line"))
 
     keep = [c for c in documents.columns if c != "text"]
     # Outer generators: an inferred "array is not empty" filter would repeat the regexes.
@@ -81,7 +89,7 @@ def sections(documents: DataFrame) -> DataFrame:
 def sentence_windows(found: DataFrame) -> DataFrame:
     """Each sentence of a section with itself and the next two as its evidence window."""
     keep = [c for c in found.columns if c != "text"]
-    split = found.withColumn("_all", F.split(_flat(F.col("text")), r"(?<=[.!?])\s+"))
+    split = found.withColumn("_all", F.split(_flat(F.col("text")), SENTENCE_END))
     return split.select(*keep, "_all", F.posexplode_outer("_all").alias("position", "sentence")) \
         .where("sentence is not null").withColumn(
         "window", F.array_join(F.slice("_all", F.col("position") + 1, 3), " ")).drop("_all")
@@ -107,7 +115,7 @@ def holder_group(text: Column) -> Column:
 
 
 def holder_phrase(text: Column, group: Column) -> Column:
-    """Wording around the holder: from the last full stop to the verb, at most 300 characters."""
+    """Wording around the holder: from the last full stop to the verb, or the sentence's end without one."""
     at, found = F.lit(0), F.lit("")
     for name, pattern in reversed(HOLDERS):
         at = F.when(group == name, F.regexp_instr(text, F.lit(pattern))).otherwise(at)
@@ -116,18 +124,16 @@ def holder_phrase(text: Column, group: Column) -> Column:
     after = F.substr(text, at + F.length(found))
     verb = F.locate(", have", after)
     agreed = F.locate(" agreed", after)
-    stop = F.when(verb > 0, verb - 1).when(agreed > 0, agreed - 1).otherwise(80)
+    stop = F.when(verb > 0, verb - 1).when(agreed > 0, agreed - 1).otherwise(F.length(after))
     phrase = F.concat(before, found, F.substr(after, F.lit(1), stop))
-    cut = F.substring(F.regexp_replace(phrase, r"^[ ,;\n]+|[ ,;\n]+$", ""), 1, 300)
-    return F.when(group == "company", F.regexp_extract(text, COMPANY_NAME, 0)).when(group != "unknown", cut)
+    bare = F.regexp_replace(phrase, r"^[ ,;\n]+|[ ,;\n]+$", "")
+    return F.when(group == "company", F.regexp_extract(text, COMPANY_NAME, 0)).when(group != "unknown", bare)
 
 
 def early_release_terms(text: Column) -> Column:
-    """100 characters before to 220 after the first early-release wording."""
-    at = F.regexp_instr(text, F.lit(EARLY))
-    size = F.length(F.regexp_extract(text, EARLY, 0))
-    start = F.greatest(at - 100, F.lit(1))
-    return F.when(at > 0, _flat(F.substr(text, start, at + size + 220 - start)))
+    """The sentences with early-release wording."""
+    told = F.filter(F.split(text, SENTENCE_END), lambda x: x.rlike(EARLY))
+    return F.when(text.rlike(EARLY), _flat(F.array_join(told, " ")))
 
 
 def agreements(documents: DataFrame) -> DataFrame:
@@ -147,7 +153,7 @@ def agreements(documents: DataFrame) -> DataFrame:
         "holder_group_text": holder_phrase(sentence, group),
         "lockup_type": F.when(group == "company", "company_lockup")
             .when(F.contains(F.lower(window), F.lit("market standoff")), "market_standoff")
-            .when(window.rlike(r"(?i)underwriter|representative") | bank, "underwriter_lockup").otherwise("unknown"),
+            .when(window.rlike(r"(?iU)underwriter|representative") | bank, "underwriter_lockup").otherwise("unknown"),
         "calculated_expiration_date": F.when(window.rlike(ANCHOR), F.date_add("filed_at", F.col("duration_days"))),
         "shares_locked": F.regexp_replace(_group(window, SHARES, 1), ",", "").try_cast("decimal(18,2)"),
         "early_release_terms": early_release_terms(window)})
@@ -156,7 +162,7 @@ def agreements(documents: DataFrame) -> DataFrame:
         "early_release_exists": F.col("early_release_terms").isNotNull(),
         "confidence": F.when(F.col("stated_expiration_date").isNotNull() & named, VERY_HIGH)
             .when((F.col("lockup_type") == "underwriter_lockup") & named, HIGH).otherwise(PLAUSIBLE),
-        "source_excerpt": F.substring(window, 1, 1200),
+        "source_excerpt": window,
         "source_locator": F.concat("heading", F.lit(", line "), F.col("start_line").cast("string")),
     }).drop("heading", "start_line", "position", "sentence", "window")
 

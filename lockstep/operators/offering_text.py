@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 PARSER_NAME = "final_prospectus_offering"
 PARSER_VERSION = "4"
 PROMOTION_CONFIDENCE = 0.90
-COVER_CHARS = 20000
+#: A line of its own that ends the cover.
+COVER_END = (r"(?imU)^\s*(?:table\s+of\s+contents|prospectus\s+summary|summary|risk\s+factors|the\s+offering|use\s+of\s+proceeds|"
+             r"dividend\s+policy|capitalization)\s*$")
 FIELDS = ("ipo_price", "shares_offered", "primary_shares", "secondary_shares", "shares_outstanding_post_ipo")
 PRICE = (
     r"initial\s+public\s+offering\s+price\s+per\s+share\s+(?:will\s+be|is)\s*\$\s*(\d+(?:\.\d+)?)",
@@ -19,7 +21,7 @@ PRICE = (
     r"(?:initial\s+public\s+)?offering\s+price\s+is\s*\$\s*(\d+(?:\.\d+)?)\s+per\s+share",
     r"public\s+offering\s+price\s*:\s*\$\s*(\d+(?:\.\d+)?)\s+per\s+share",
     r"price\s+to\s+public\s*:\s*\$\s*(\d+(?:\.\d+)?)\s+per\s+share")
-PRICE_TABLE = (r"(?im)^\s*(?:initial\s+)?public\s+offering\s+price\s*$"
+PRICE_TABLE = (r"(?imU)^\s*(?:initial\s+)?public\s+offering\s+price\s*$"
                r"\s*^\s*\$\s*(\d{1,4}(?:\.\d{1,4})?)\s*$")
 PRIMARY = (
     r"(?:common stock|shares of common stock)\s+offered\s+by\s+(?:us|the company)\s*[:\-]?\s*(None\.?|[\d,]+\s+shares)",
@@ -37,8 +39,8 @@ SECONDARY = (
 SUMMARY_PRIMARY = (r"common\s+stock\s+offered\s+by\s+us\s*[:\-]?\s*(None\.?|[\d,]+\s+shares)",)
 SUMMARY_SECONDARY = (r"common\s+stock\s+offered\s+by\s+the\s+selling\s+stockholders\s*[:\-]?\s*"
                      r"(None\.?|[\d,]+\s+shares)",)
-DIRECT_OFFER = r"(?i)^(?:we|the company)\s+(?:are|is)\s+offering"
-TOTAL = r"(?i)(?:a total of|offering consists of|offering of)\s+([\d,]+)\s+shares"
+DIRECT_OFFER = r"(?iU)^(?:we|the company)\s+(?:are|is)\s+offering"
+TOTAL = r"(?iU)(?:a total of|offering consists of|offering of)\s+([\d,]+)\s+shares"
 SUMMARY_LABEL = (
     r"(?:common\s+stock\s+offered\s+by\s+(?:us|the\s+selling\s+stockholders)|"
     r"common\s+stock\s+outstanding\s+immediately\s+after\s+giving\s+effect\s+to\s+this\s+offering|"
@@ -71,7 +73,7 @@ def earliest(text: Column, patterns) -> Column:
     """Earliest match of several patterns as (position, pattern, match, captured); ties by pattern order."""
     found = []
     for index, pattern in enumerate(patterns):
-        p = "(?im)" + pattern
+        p = "(?imU)" + pattern
         found.append(F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.lit(index).alias("pattern"),
                               F.regexp_extract(text, p, 0).alias("match"),
                               F.regexp_extract(text, p, 1).alias("captured")))
@@ -89,7 +91,7 @@ def _number(text: Column) -> Column:
 
 def _fact(field: str, value: Column, unit: str, confidence: Column, excerpt: Column, locator: Column, *,
           derived: bool = False, derivation: str | None = None) -> Column:
-    excerpt = F.substring(F.trim(F.regexp_replace(excerpt, r"\s+", " ")), 1, 500)
+    excerpt = F.trim(F.regexp_replace(excerpt, r"(?U)\s+", " "))
     return F.struct(F.lit(field).alias("field_name"), value.cast("decimal(24,4)").alias("value"),
                     F.lit(unit).alias("unit"), confidence.cast("double").alias("confidence"),
                     excerpt.alias("source_excerpt"), locator.alias("source_locator"),
@@ -100,15 +102,30 @@ COVER = "Prospectus cover"
 SUMMARY = "Offering summary"
 
 
+def cover_of(text: Column) -> Column:
+    """The text before the first heading that ends a cover; all of it where nothing comes before one."""
+    before = F.get(F.split(text, COVER_END, 2), 0)
+    return F.when(F.trim(before) == "", text).otherwise(before)
+
+
 def offering_facts(documents: DataFrame) -> DataFrame:
     """Long fact rows per document; optional share counts are ignored.
 
-    Everything happens inside the document row.  A label's context runs up to 600
-    characters or to the next label.
+    Everything happens inside the document row.  A label's context runs to the next
+    label, blank line or heading.
     """
+    return _found_facts(documents).where("value is not null")
+
+
+def rejected_facts(documents: DataFrame) -> DataFrame:
+    """Facts whose number does not fit the stored type: kept for review, never stored."""
+    return _found_facts(documents).where("value is null and field_name is not null")
+
+
+def _found_facts(documents: DataFrame) -> DataFrame:
     keep = [c for c in documents.columns if c != "text"]
-    context = f"(?is){SUMMARY_LABEL}(?:(?!{SUMMARY_LABEL}).){{0,600}}"
-    df = documents.withColumns({"_cover": F.substring("text", 1, COVER_CHARS),
+    context = rf"(?is){SUMMARY_LABEL}.*?(?={SUMMARY_LABEL}|\n[ \t]*\r?\n|\n[ \t]*(?:risk factors|use of proceeds|dividend policy)[ \t]*\r?\n|\z)"
+    df = documents.withColumns({"_cover": cover_of(F.col("text")),
                                 "_contexts": _matches(F.col("text"), context)})
     cover = F.col("_cover")
     df = df.withColumns({
@@ -138,7 +155,7 @@ def offering_facts(documents: DataFrame) -> DataFrame:
             "ipo_price", F.regexp_extract(m, pattern, 1).try_cast("decimal(24,4)"), "USD/share", F.lit(0.99), m,
             F.lit(locator)))
 
-    prices = [priced("(?i)" + p, COVER) for p in PRICE]
+    prices = [priced("(?iU)" + p, COVER) for p in PRICE]
     table = priced(PRICE_TABLE, "Prospectus cover pricing table")
 
     def one(test, fact):
@@ -166,7 +183,7 @@ def offering_facts(documents: DataFrame) -> DataFrame:
     facts = F.concat(*prices, table, one(v1.isNotNull(), primary_fact), one(v2.isNotNull(), secondary_fact), stated,
                      one(both, summed), one(~both & alone, direct), one(F.col("_post").isNotNull(), post))
     # Outer generator: an inferred filter on the array would run every pattern twice.
-    return df.select(*keep, F.explode_outer(facts).alias("f")).where("f.value is not null").select(*keep, "f.*")
+    return df.select(*keep, F.explode_outer(facts).alias("f")).select(*keep, "f.*")
 
 
 def _ddl() -> str:

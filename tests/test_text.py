@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from lockstep.operators import lockup_text as lt
 from lockstep.operators import offering_text as ot
@@ -156,3 +157,44 @@ def test_html_normalisation(spark):
             "<noscript>x</noscript>\n\n<b> C </b></html>")
     row = normalise_documents(spark.createDataFrame([(1, html)], "page_id int, html string")).first()
     assert row["text"] == "A & B\nC\n" and row["byte_size"] == len(html)
+
+
+FILLER = "Nothing of note is said in this line.\n"
+
+
+def test_far_facts_in_long_sections_are_found(spark):
+    far = "UNDERWRITING\n\n" + FILLER * 1200 + ("Our directors have agreed not to sell shares for 180 days after the date of this prospectus. "
+                                              "The underwriters may waive these restrictions " + "at any time and " * 40 + "for anyone.\n")
+    rows = lt.agreements(docs(spark, far, "\x0cLOCK-UP AGREEMENTS\x0c" + "Our sponsor will not sell shares for 90 days.")).collect()
+    assert {(r["doc_id"], r["holder_group"], r["duration_days"]) for r in rows} == {(0, "directors_officers", 180), (1, "sponsor", 90)}
+    told = next(r for r in rows if r["doc_id"] == 0)
+    assert told["early_release_terms"].endswith("for anyone.") and told["source_excerpt"].endswith("for anyone.")
+
+
+def test_windows_that_differ_late_keep_their_identity(spark):
+    texts = ["LOCK-UP AGREEMENTS\nOur sponsor will not sell shares for 90 days. " + "and so on " * 200 + end for end in ("first.", "second.")]
+    rows = lt.agreements(docs(spark, *texts)).withColumns({"ipo_id": F.lit(1), "filing_id": F.lit(1)})
+    assert rows.select(lt.evidence_key()).distinct().count() == 2
+
+
+def test_cover_ends_at_a_heading_and_not_at_a_length(spark):
+    price = "The initial public offering price per share is $12.50.\n"
+    late = docs(spark, "PROSPECTUS\n" + FILLER * 900 + price, "PROSPECTUS\n" + FILLER + "RISK FACTORS\n" + price,
+                "TABLE OF CONTENTS\n" + price)
+    rows = ot.offering_facts(late).where("field_name = 'ipo_price'").collect()
+    assert sorted((r["doc_id"], float(r["value"])) for r in rows) == [(0, 12.5), (2, 12.5)]
+    summary = "Common stock to be outstanding after this offering" + ":" + " " * 700 + "9,000,000 shares\n\nOther."
+    assert ot.offering_facts(docs(spark, summary)).where("field_name = 'shares_outstanding_post_ipo'").first()["value"] == 9_000_000
+
+
+def test_numbers_that_do_not_fit_are_kept_as_rejected(spark):
+    total = docs(spark, "PROSPECTUS\nThis is an offering of " + "9" * 30 + " shares.\n")
+    assert [r["field_name"] for r in ot.rejected_facts(total).collect()] == ["shares_offered"]
+    assert ot.offering_facts(total).where("field_name = 'shares_offered'").count() == 0
+
+
+def test_character_references(spark):
+    html = ("<p>&#8220;A&#8221; &#x2014; &#151; &amp;lt; &reg;&euro; &amp &copy2024 &unknown; &#0; &#xD800; &#1114112; &#99999999999999;</p>"
+            "<script>x</style>y</script>a\x0cb")
+    text = normalise_documents(spark.createDataFrame([(html,)], "html string")).first()["text"]
+    assert text == "“A” — — &lt; ®€ & ©2024 &unknown; � � � �\na\nb\n"
