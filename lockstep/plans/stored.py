@@ -1,44 +1,58 @@
 """Derived tables that later jobs read instead of recomputing.
 
 Snapshots, outcomes, the backtest dataset and signals are stored rows in this data
-model, so downstream jobs start from a written table.  The table lives in the shared
-folder the cluster names in ``spark.checkpoint.dir``; it survives lost executors and
-cuts the lineage of everything built on it.
+model, so downstream jobs start from a written table.  It lies in the shared folder the
+session names in ``spark.checkpoint.dir``, under a digest of the source's file listing:
+a later job over the same files reads it, a source that was rewritten gets a new one.
+Tables of old listings can be deleted whenever no job runs.
 """
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lockstep.session import checkpoint_root
 
-_written: dict[tuple[str, str, str], str] = {}
-_local_root: dict[str, str] = {}
+#: Part of every table's place: raise it when stored columns change their meaning.
+LAYOUT = 2
+_own_folder: dict[str, str] = {}
 
 
-def shared_root(spark: SparkSession) -> str | None:
-    """The configured shared folder; a scratch folder only for local sessions without one."""
+def shared_root(spark: SparkSession) -> str:
+    """The configured shared folder; one of its own for a local session that names none."""
     root = checkpoint_root(spark)
-    if root is None and spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        root = _local_root.setdefault(app, tempfile.mkdtemp(prefix="lockstep-"))
-    return root
+    if root is not None:
+        return root
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = tempfile.mkdtemp(prefix="lockstep-")
+    return _own_folder[app]
+
+
+def listing_digest(spark: SparkSession, source: str) -> str:
+    """Digest of names, sizes and times of the source's files; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select(
+        "path", "length", "modificationTime")
+    row = files.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(
+        " ", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string"))))), 256)).first()
+    return row[0]
 
 
 def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table ``name`` derived from ``source``, writing it on first use in a session.
+    """Read the table ``name`` derived from the files below ``source``, writing it first if it is missing.
 
-    Without any shared folder the plan is returned as it is.
+    Files appear in the table's folder only when the job that writes them commits, so
+    a folder without readable files is one that was never finished.
     """
-    root = shared_root(spark)
-    if root is None:
-        return build()
-    key = (spark.sparkContext.applicationId, source, name)
-    if key not in _written:
-        path = f"{root}/lockstep/{key[0]}/{uuid.uuid4().hex}/{name}"
-        build().write.mode("errorifexists").parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+    path = f"{shared_root(spark)}/lockstep-tables/v{LAYOUT}/{listing_digest(spark, source)}/{name}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

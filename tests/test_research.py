@@ -206,3 +206,19 @@ def test_sinks(spark, tmp_path):
 def test_frozen_hypothesis_is_untouched():
     assert (FROZEN.feature1_threshold, FROZEN.feature2_threshold, FROZEN.cutoff) == (0.0332778702, 0.8446461455, D(2026, 8, 23))
     assert replace(FROZEN, cutoff=D(2000, 1, 1)).hypothesis_id == FROZEN.hypothesis_id
+
+
+def test_derived_tables_follow_their_source(spark, tmp_path):
+    from lockstep.plans.stored import stored
+    source, made = str(tmp_path / "in"), []
+
+    def value(n):
+        made.append(n)
+        return spark.createDataFrame([(n,)], "n int")
+
+    value(1).write.parquet(source)
+    assert stored(spark, source, "t", lambda: value(10)).first()["n"] == 10
+    assert stored(spark, source, "t", lambda: value(11)).first()["n"] == 10
+    value(2).write.mode("overwrite").parquet(source)
+    assert stored(spark, source, "t", lambda: value(12)).first()["n"] == 12
+    assert made == [1, 10, 2, 12]
