@@ -24,3 +24,22 @@ def test_files_merge_once_and_rerun_changes_nothing(spark, tmp_path):
     second = run()
     assert second == first + [(1, dt.date(2024, 1, 4), 3.0)]
     assert run() == second
+
+
+def test_another_checkpoint_over_the_same_table_loses_nothing(spark, tmp_path):
+    incoming, root = tmp_path / "in", str(tmp_path / "tables")
+
+    def run(checkpoint):
+        ingest_bar_files(spark, str(incoming), root, str(tmp_path / checkpoint), provider="p").awaitTermination(60)
+        return sorted((r["security_id"], r["trade_date"], float(r["close"])) for r in stored_bars(spark, root).collect())
+
+    respond(incoming, "a.json", 1, ((2024, 1, 2), 1.5), ((2024, 3, 4), 2.5))
+    first = run("one")
+    respond(incoming, "b.json", 2, ((2024, 3, 5), 7.0), ((2024, 3, 5), 6.0))
+    both = run("two")
+    assert both == first + [(2, dt.date(2024, 3, 5), 7.0)]
+    months = {p.name: sorted(x.name for x in p.iterdir() if x.is_dir()) for p in (tmp_path / "tables/daily_prices/data").iterdir()}
+    respond(incoming, "c.json", 3, ((2024, 1, 9), 1.0))
+    assert run("two") == both + [(3, dt.date(2024, 1, 9), 1.0)]
+    newest = {p.name for p in (tmp_path / "tables/daily_prices/data").iterdir()} - set(months)
+    assert [sorted(x.name for x in (tmp_path / "tables/daily_prices/data" / v).iterdir() if x.is_dir()) for v in newest] == [["month=2024-01"]]
