@@ -130,14 +130,25 @@ def stale(w):
 
 
 @register("f19_snapshot_upsert", """
- SELECT (SELECT count(*) FROM snap1 WHERE observation_offset <> -20) AS created, (SELECT count(*) FROM snap1 WHERE observation_offset = -20) AS updated,
-  (SELECT count(*) FROM snap1) + (SELECT count(*) FROM ev) - (SELECT count(*) FROM snap1 WHERE observation_offset = -20) AS rows_after""")
+ SELECT coalesce(s.lockup_id, e.lockup_id) AS lockup_id, coalesce(s.observation_offset, -20) AS observation_offset,
+  CASE WHEN s.lockup_id IS NULL THEN -1.0 ELSE s.return_20d END AS return_20d, CASE WHEN e.lockup_id IS NOT NULL THEN 'kept' END AS note,
+  s.lockup_id IS NOT NULL AND e.lockup_id IS NULL AS created
+ FROM snap1 s FULL JOIN ev e ON s.lockup_id = e.lockup_id AND s.security_id = e.security_id AND s.observation_offset = -20""")
 def upsert(w):
+    """Stored rows of one offset with a column the fresh rows lack, updated by all offsets."""
     fresh = stored_bar(w).select(*sn.SNAPSHOT_KEY, "return_20d")
     old = events_of(w).select("lockup_id", "security_id", F.lit(-20).alias("observation_offset"),
-                              F.lit("1").alias("snapshot_version"), F.lit(0.0).alias("return_20d"))
-    merged = sn.merge_by_key(old, fresh, sn.SNAPSHOT_KEY).agg(F.count(F.lit(1)).alias("rows_after"))
-    return oc.side_by_side([sn.merge_counts(old, fresh, sn.SNAPSHOT_KEY), merged])
+                              F.lit("1").alias("snapshot_version"), F.lit(-1.0).alias("return_20d"), F.lit("kept").alias("note"))
+    return sn.merge_by_key(old, fresh, sn.SNAPSHOT_KEY).select(
+        "lockup_id", "observation_offset", F.col("return_20d").cast("double").alias("return_20d"), "note", F.col("note").isNull().alias("created"))
+
+
+@register("f19_upsert_counts", """
+ SELECT count(*) FILTER (observation_offset <> -20) AS created, count(*) FILTER (observation_offset = -20) AS updated FROM snap1""")
+def upsert_counts(w):
+    fresh = stored_bar(w).select(*sn.SNAPSHOT_KEY)
+    old = events_of(w).select("lockup_id", "security_id", F.lit(-20).alias("observation_offset"), F.lit("1").alias("snapshot_version"))
+    return sn.merge_counts(old, fresh, sn.SNAPSHOT_KEY)
 
 
 @register("f20_analysis_report", """

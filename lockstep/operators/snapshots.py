@@ -197,15 +197,20 @@ def session_snapshots(events: DataFrame, bars: DataFrame, *, as_of_date=None,
 
 
 def merge_by_key(stored: DataFrame, fresh: DataFrame, key) -> DataFrame:
-    """Upsert by rewrite: fresh rows replace stored rows with the same key.
+    """Upsert by rewrite, in the stored table's columns.
 
-    Columns unknown to the stored table are dropped; untouched rows are kept.  Key
-    columns listed as ``created``/``updated`` feed the counters of the report.
+    A fresh row replaces the values it supplies, nulls included; columns it was not
+    given keep the stored value, and are null in new rows.  Columns unknown to the
+    stored table are dropped.  Of fresh rows with one key the greatest counts, column
+    by column in stored order.  Untouched rows stay.
     """
     key = list(key)
-    kept = stored.join(fresh.select(*key), key, "left_anti")
-    known = [c for c in fresh.columns if c in stored.columns]
-    return kept.unionByName(fresh.select(*known), allowMissingColumns=True)
+    given = [c for c in stored.columns if c in fresh.columns and c not in key]
+    latest = fresh.groupBy(*key).agg(F.max(F.struct(F.lit(True).alias("_given"), *given)).alias("_new"))
+    merged = stored.join(latest, key, "full_outer")
+    return merged.select(*[
+        F.when(F.col("_new._given"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c)
+        for c in stored.columns])
 
 
 def merge_counts(stored: DataFrame, fresh: DataFrame, key) -> DataFrame:

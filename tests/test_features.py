@@ -132,3 +132,11 @@ def test_market_summary_golden(spark):
     assert float(row["return_from_ipo_price"]) == 0.1
     assert float(row["drawdown_from_post_ipo_high"]) == round(-4 / 15, 10)
     assert ms.summary_report(ipos, secs, prices, "other").first()["no_stored_bars"] == 1
+
+
+def test_merge_by_key_keeps_what_it_was_not_given(spark):
+    from lockstep.operators.snapshots import merge_by_key
+    old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, note string, x double")
+    new = spark.createDataFrame([(2, 5.0, "q"), (2, 4.0, "q"), (3, None, "q")], "k int, x double, other string")
+    rows = sorted(merge_by_key(old, new, ["k"]).collect(), key=lambda r: r["k"])
+    assert [tuple(r) for r in rows] == [(1, "a", 1.0), (2, "b", 5.0), (3, None, None)]
