@@ -1,6 +1,8 @@
 """Parity, dataset and statistics queries."""
 from __future__ import annotations
 
+import dataclasses
+
 import datetime as dt
 from dataclasses import replace
 
@@ -126,7 +128,7 @@ def completeness(w):
 
 
 @register("n12_mismatch_examples", """
- SELECT lockup_id, security_id, observation_offset, classification FROM classed WHERE classification <> 'exact_match' ORDER BY 1, 2, 3 LIMIT 25""")
+ SELECT lockup_id, security_id, observation_offset, classification FROM classed WHERE classification <> 'exact_match'""")
 def examples(w):
     return pa.mismatch_examples(pairs_of(w)).select("lockup_id", "security_id", "observation_offset", "classification")
 
@@ -218,12 +220,14 @@ def csv_rows(w):
 
 
 @register("a10_parity_csv_rows", """
- SELECT lockup_id, observation_offset, CASE WHEN expected = have THEN '[]' END AS missing FROM sessp WHERE expected = have""")
+ SELECT lockup_id, observation_offset, expected - have AS missing_sessions, CASE WHEN expected = have THEN 2 ELSE (expected - have) * 13 + 1 END::BIGINT AS json_chars, expected = have AS empty FROM sessp""")
 def parity_csv(w):
+    """Every row's array as JSON text: brackets, and eleven or twelve characters and a comma for each date."""
     from lockstep.sources.tables import flat_report
-    rows = session_audit(w).where("missing_expected_session_count = 0").select(
-        "lockup_id", "observation_offset", F.col("missing_expected_sessions").alias("missing"))
-    return flat_report(rows)
+    rows = session_audit(w).select("lockup_id", "observation_offset", F.col("missing_expected_session_count").cast("long").alias("missing_sessions"),
+                                   F.col("missing_expected_sessions").alias("missing"))
+    text = F.col("missing")
+    return flat_report(rows).select("lockup_id", "observation_offset", "missing_sessions", F.length(text).cast("long").alias("json_chars"), (text == "[]").alias("empty"))
 
 
 @register("a11_json_report", """
@@ -257,7 +261,15 @@ def rho(w):
     return rounded(st.spearman(all_events(w), ["observation_offset"], F1, Y).drop("p_value"))
 
 
-@register("p3_spearman_p_value")
+# Complementary error function: series below 2, continued fraction above.
+_ERFC = """CASE WHEN u < 2 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 31), lambda k: power(-1, k) * power(u, 2 * k + 1) / (factorial(k::INTEGER)::DOUBLE * (2 * k + 1))))
+ ELSE exp(-u * u) / (u * sqrt(pi())) / list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, 60), lambda k: (60 - k)::DOUBLE)), lambda f, k: 1 + k / (2 * u * u) / f) END"""
+
+
+@register("p3_spearman_p_value", f"""
+ SELECT observation_offset, n, round(spearman_rho, 6) AS spearman_rho, round(CASE WHEN abs(spearman_rho) >= 1 - 1e-12 THEN 0 ELSE {_ERFC} END, 6) AS p_value FROM (
+ SELECT *, abs(spearman_rho) * sqrt((n - 2) / greatest(1e-15, 1 - spearman_rho * spearman_rho)) / sqrt(2) AS u FROM (
+ SELECT observation_offset, count(*) AS n, corr(rx, ry) AS spearman_rho FROM {_RANKED} GROUP BY 1))""")
 def p_value(w):
     return rounded(st.spearman(all_events(w), ["observation_offset"], F1, Y))
 
@@ -399,11 +411,17 @@ def top(w):
     return rounded(st.top_influence(st.influence(rows, F1, F2, Y)).select("lockup_id", "cooks_distance"))
 
 
-@register("p15_frozen_lookup", f"SELECT '{HYPOTHESIS.hypothesis_id}' AS hypothesis_id, count(*) AS events FROM {_CASES}")
+@register("p15_frozen_lookup", f"""
+ SELECT CASE n WHEN 0 THEN '{HYPOTHESIS.hypothesis_id}' END AS hypothesis_id, n AS analysis, count(*) AS events FROM {_CASES}, (SELECT unnest([0, 1]) AS n) GROUP BY ALL""")
 def lookup(w):
-    registry = F.broadcast(st.frozen_hypothesis(w.spark, (HYPOTHESIS,)).select("hypothesis_id", "observation_offset"))
-    rows = st.complete_cases(all_events(w), F1, F2, Y, OFFSET).join(registry, "observation_offset")
-    return rows.groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("events"))
+    """Two analyses of the same offset: the registered one, and one with its features the other way round."""
+    other = dataclasses.replace(HYPOTHESIS, hypothesis_id="other outcome", outcome="bearish_mfe_20d")
+    rows = st.complete_cases(all_events(w), F1, F2, Y, OFFSET)
+    analyses = F.array(*(F.struct(F.lit(n).alias("analysis"), F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.lit(Y).alias("outcome"))
+                         for n, (a, b) in enumerate(((F1, F2), (F2, F1)))))
+    named = st.with_hypothesis(rows.select("lockup_id", "observation_offset", F.explode(analyses).alias("a")).select("lockup_id", "observation_offset", "a.*"),
+                               (HYPOTHESIS, other))
+    return named.groupBy("hypothesis_id", "analysis").agg(F.count(F.lit(1)).alias("events"))
 
 
 @register("p16_persistence", """

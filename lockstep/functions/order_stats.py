@@ -5,21 +5,24 @@ reducer, and a rank window puts a whole group in one task.  Groups here are as
 coarse as one observation offset, so both are replaced by a two-step count:
 values fall into monotone buckets, bucket totals (a bounded number of rows) give
 each bucket's starting rank, and only values of one bucket are ordered together.
+Bucket bounds are quantiles a mergeable sketch estimates, so values that lie close
+together are parted as well as others; an estimate shifts bounds, never a result.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS_PER_DECADE = 1000
-_SHIFT = 400_000  # keeps the magnitude part positive over the whole double range
+#: Buckets of a key; a task orders about this part of a key's distinct values.
+BUCKETS = 256
 
 
-def value_bucket(value: Column) -> Column:
-    """A bucket number that never decreases as the value grows."""
-    size = F.abs(value)
-    magnitude = F.floor(F.log10(size) * F.lit(_BUCKETS_PER_DECADE)).cast("int") + F.lit(_SHIFT)
-    return F.when(value == 0, F.lit(0)).when(value > 0, magnitude).otherwise(-magnitude)
+def _bucketed(values: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Append ``_bucket``, a number that never decreases as the value grows within a key."""
+    shares = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
+    bounds = values.groupBy(*keys).agg(F.percentile_approx(column, shares, 20 * BUCKETS).alias("_bounds"))
+    below = F.size(F.filter("_bounds", lambda bound: bound < F.col(column)))
+    return values.join(bounds, keys).withColumn("_bucket", below).drop("_bounds")
 
 
 def _bucket_totals(values: DataFrame, keys: list[str], weight: Column) -> DataFrame:
@@ -40,9 +43,8 @@ def middle_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     values at ranks ``k``, ``k+1`` and ``k+2`` (null outside 1..n).  They are all a
     leave-one-out median needs.
     """
-    values = (df.where(F.col(value).isNotNull())
-              .select(*keys, F.col(value).cast("double").alias("_v"))
-              .withColumn("_bucket", value_bucket(F.col("_v"))))
+    values = _bucketed(df.where(F.col(value).isNotNull())
+                       .select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v")
     k = F.floor(F.col("n") / 2)
     wanted = (
         _bucket_totals(values, keys, F.lit(1))
@@ -106,8 +108,7 @@ def loo_median(n: Column, below: Column, middle: Column, above: Column, removed:
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, output: str) -> DataFrame:
     """Append the 1-based rank within the key, ties sharing their mean rank."""
-    counted = (df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-               .withColumn("_bucket", value_bucket(F.col(value))))
+    counted = _bucketed(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), keys, value)
     totals = _bucket_totals(counted, keys, F.col("_c")).select(*keys, "_bucket", "_before")
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(value)
     ranks = (counted.join(totals, [*keys, "_bucket"])

@@ -357,6 +357,13 @@ def signal_persistence(dataset: DataFrame, feature: str, offsets=(-20, -10, -5,
         .when((last < 0) & (earlier_high > 0), "positive_then_reversed").otherwise("mixed").alias("category"))
 
 
+def with_hypothesis(rows: DataFrame, hypotheses: tuple[Hypothesis, ...] = (FROZEN,)) -> DataFrame:
+    """Append ``hypothesis_id`` of the registered analysis with the same features, outcome and offset; null without one."""
+    key = ["feature1", "feature2", "outcome", "observation_offset"]
+    registry = frozen_hypothesis(rows.sparkSession, hypotheses).select(*key, "hypothesis_id")
+    return rows.join(F.broadcast(registry), key, "left")  # a handful of registered rows
+
+
 def frozen_hypothesis(spark, hypotheses: tuple[Hypothesis, ...] = (FROZEN,)) -> DataFrame:
     """The registry as rows, for lookups and metadata."""
     return spark.createDataFrame(

@@ -122,3 +122,14 @@ def test_persistence(spark):
     got = {r["lockup_id"]: r["category"] for r in st.signal_persistence(df, "return_20d").collect()}
     assert got == {1: "persistent_negative", 2: "persistent_positive", 3: "negative_then_reversed",
                    4: "positive_then_reversed", 5: "mixed"}
+
+
+def test_close_values_do_not_share_one_bucket(spark):
+    from pyspark.sql import functions as F
+
+    from lockstep.functions.order_stats import BUCKETS, _bucketed, middle_values
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).alias("k"), (1.0 + F.col("id") / (n * 1000.0)).alias("v"))
+    sizes = _bucketed(df, ["k"], "v").groupBy("_bucket").count().collect()
+    assert len(sizes) > BUCKETS * 0.9 and max(r["count"] for r in sizes) < 4 * n / BUCKETS
+    assert middle_values(df, ["k"], "v").first()["middle"] == 1.0 + (n // 2) / (n * 1000.0)
