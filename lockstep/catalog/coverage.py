@@ -172,6 +172,24 @@ def delivery(w):
     return attempts.select("security_id", "range_start", "range_end", "bars_returned", "bars_created", "status")
 
 
+@register("l10_final_status", f"""
+ SELECT security_id, DATE '1995-01-03' AS start_date, DATE '1998-12-31' AS end_date, m AS missing_before, CASE WHEN m = got THEN 'complete'
+  WHEN empty > 0 AND created = 0 THEN 'provider_no_data' WHEN created > 0 THEN 'partially_backfilled' ELSE 'missing_sessions' END AS status FROM (
+ SELECT d.security_id, count(*) FILTER (NOT stored) AS m, count(*) FILTER (NOT stored AND dayofmonth(r.range_start) % 3 <> 0 AND dayofmonth(d.day) % 4 <> 0) AS got
+  FROM {_YEAR_DAYS} d LEFT JOIN {_REQUESTS} r ON r.security_id = d.security_id AND d.day BETWEEN r.range_start AND r.range_end GROUP BY 1)
+ LEFT JOIN (SELECT security_id, sum(CASE WHEN dayofmonth(range_start) % 3 <> 0 THEN answered ELSE 0 END) AS created,
+  count(*) FILTER (dayofmonth(range_start) % 3 = 0 OR n = 0) AS empty FROM (
+  SELECT *, (SELECT count(*) FROM cal WHERE day BETWEEN range_start AND range_end AND dayofmonth(day) % 4 <> 0) AS n FROM {_REQUESTS}) GROUP BY 1) USING (security_id)""")
+def final_status(w):
+    days, bars = _delivery(w)
+    accepted, attempts = cv.apply_delivery(days, bars, w.daily_prices(), PROVIDER)
+    after = w.daily_prices().select("security_id", "trade_date", "provider").unionByName(
+        accepted.select("security_id", "trade_date", F.lit(PROVIDER).alias("provider")))
+    before = days.groupBy(*cv.RANGE).agg(F.count_if("missing").alias("missing_before"))
+    done = cv.delivery_status(days, cv.coverage(year_ranges(w), after, AS_OF), attempts)
+    return done.join(before, cv.RANGE, "left").select(*cv.RANGE, "missing_before", "status")
+
+
 @register("l11_coverage_summary", f"""
  SELECT (SELECT count(*) FROM {_ROWS}) AS lockups_selected, (SELECT count(*) FROM {_ROWS} WHERE event_date IS NULL) AS lockups_skipped_no_event_date,
   count(*) AS securities_seen, count(*) FILTER (m = 0) AS securities_complete, count(*) FILTER (f > 0) AS securities_with_gaps,

@@ -92,18 +92,23 @@ def bar_json(w):
                        F.round(F.col("low").cast("double"), 2).alias("low"), "volume")
 
 
-_ENTITY_SQL = "b2"
-for _name, _char in documents.ENTITIES:
-    _ENTITY_SQL = "replace({}, '{}', {})".format(
-        _ENTITY_SQL, _name, f"chr({ord(_char)})")
+# The references the pages have by name, and all numeric ones.
+_NAMES_SQL = {"amp": "&", "copy": "©", "middot": "·", "quot": '"', "lt": "<", "gt": ">", "nbsp": chr(160), "reg": "®", "euro": "€", "ndash": "–", "mdash": "—"}
+_REFERENCE_SQL = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:middot|copy|nbsp|quot|amp|reg|lt|gt))"
+_DECODED_SQL = ("CASE WHEN regexp_matches(r, '^&#[0-9]') THEN chr(regexp_extract(r, '[0-9]+')::INT) "
+                "WHEN regexp_matches(r, '^&#[xX]') THEN chr(('0x' || regexp_extract(r, '[xX]([0-9a-fA-F]+)', 1))::INT) "
+                + " ".join(f"WHEN rtrim(r, ';') = '&{name}' THEN chr({ord(shown)})" for name, shown in _NAMES_SQL.items()) + " ELSE r END")
 
 
 @register("a7_html_text", rf"""
  SELECT page_id, sha256(html) AS sha256, octet_length(encode(html)) AS byte_size, sha256(text) AS text_sha256, length(text) AS text_chars FROM (
- SELECT page_id, html, array_to_string(list_filter(list_transform(regexp_split_to_array({_ENTITY_SQL}, '\r\n|\r|\n'),
+ SELECT page_id, html, array_to_string(list_filter(list_transform(regexp_split_to_array(b3, '\r\n|\r|\n|' || chr(11) || '|' || chr(12) || '|' || chr(133) || '|' || chr(8232) || '|' || chr(8233)),
    lambda x: trim(regexp_replace(x, '[ \t' || chr(160) || ']+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) || chr(10) AS text FROM (
- SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)\s*>', chr(10), 'g'),
-  '(?s)<!--.*?-->', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g') AS b2 FROM pages))""")
+ SELECT page_id, html, array_to_string(list_transform(range(1, len(parts) + 1), lambda n: parts[n] || CASE WHEN n <= len(refs) THEN shown[n] ELSE '' END), '') AS b3 FROM (
+ SELECT *, list_transform(refs, lambda r: {_DECODED_SQL}) AS shown FROM (
+ SELECT page_id, html, string_split_regex(b2, '{_REFERENCE_SQL}') AS parts, regexp_extract_all(b2, '{_REFERENCE_SQL}') AS refs FROM (
+ SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', chr(10), 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', chr(10), 'g'),
+  '(?is)<noscript\b[^>]*>.*?</noscript\s*>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g') AS b2 FROM pages)))))""")
 def html_text(w):
     df = documents.normalise_documents(w.table("pages"))
     return df.select("page_id", "sha256", F.col("byte_size").cast("long").alias("byte_size"),
@@ -250,14 +255,9 @@ for _mode in (False, True):
 
 
 @register("b10_ingest_order", """
- SELECT ipo_id, row_number() OVER (ORDER BY offering_status = 'priced' DESC, first_filing_date DESC, ipo_id) AS position FROM ipo
- ORDER BY position LIMIT 50""")
+ SELECT ipo_id, row_number() OVER (ORDER BY offering_status = 'priced' DESC NULLS FIRST, first_filing_date DESC NULLS FIRST, ipo_id) AS position FROM ipo""")
 def order(w):
-    ordered = ing.ingest_order(w.ipos()).limit(50)
-    from pyspark.sql import Window
-    whole = Window.partitionBy(F.lit(1)).orderBy((F.col("offering_status") == "priced").desc(),
-                                                 F.col("first_filing_date").desc_nulls_first(), "ipo_id")
-    return ordered.select("ipo_id", F.row_number().over(whole).alias("position"))
+    return ing.ingest_positions(w.ipos()).select("ipo_id", "position")
 
 
 @register("b11_ingest_report", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lockstep.catalog import register
 from lockstep.operators import calendar_ops as cal
 from lockstep.operators import events as ev
+from lockstep.sources.calendar import split_by_horizon
 from lockstep.sources.warehouse import Warehouse
 
 
@@ -146,3 +147,17 @@ def history(w):
 @register("e5_primary_security", "SELECT company_id, security_id FROM prim")
 def primary(w):
     return ev.primary_security(w.securities())
+
+
+@register("d8_horizon_guard", """
+ SELECT o_orderkey, shifted IS NULL OR shifted BETWEEN (SELECT min(day) FROM cal) AND (SELECT max(day) FROM cal) AS accepted,
+  CASE WHEN shifted NOT BETWEEN (SELECT min(day) FROM cal) AND (SELECT max(day) FROM cal) THEN 'date ' || shifted::VARCHAR END AS reason_start FROM (
+ SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) + ((o_orderkey % 7 - 3) * 6000)::INT END AS shifted FROM orders)""")
+def horizon_guard(w):
+    """Order dates moved by years to either side, a fifth of them missing: what passes, and why the rest does not."""
+    days = order_days(w).select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.date_add(
+        "day", ((F.col("o_orderkey") % 7 - 3) * 6000).cast("int"))).alias("shifted"))
+    good, rejected = split_by_horizon(days, "shifted")
+    told = F.regexp_extract("reason", r"^(date \S+)", 1)
+    return good.select("o_orderkey", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason_start")).union(
+        rejected.select("o_orderkey", F.lit(False), told))

@@ -328,21 +328,40 @@ def _facts(w):
 
 
 @register("r9_candidate_list", """
- SELECT company_id + 10 AS ipo_id, name, (SELECT count(*) FROM filing f WHERE f.company_id = i.company_id) AS filing_count FROM cand JOIN issuer i USING (company_id) ORDER BY first_filing_date DESC NULLS LAST, name, ipo_id LIMIT 200""")
+ SELECT company_id + 10 AS ipo_id, name, (SELECT count(*) FROM filing f WHERE f.company_id = i.company_id) AS filing_count FROM cand JOIN issuer i USING (company_id)""")
 def candidate_list(w):
     from lockstep.operators.market_summary import market_summary
     documents = w.filings().where(F.col("filing_id") % 2 == 0).select(
         "filing_id", F.lit("success").alias("fetch_status"), F.sha2("accession_number", 256).alias("sha256"))
     summaries = market_summary(w.ipos(), w.securities(), daily.daily_prices(w), "primary").dropDuplicates(["ipo_id"])
     ipos = w.candidates().withColumn("primary_lockup_id", F.lit(None).cast("long"))
-    rows = pj.candidate_list(ipos, w.issuers(), w.filings(), documents, _facts(w).select("ipo_id"), summaries, daily.outcomes(w), limit=200)
+    rows = pj.candidate_list(ipos, w.issuers(), w.filings(), documents, _facts(w).select("ipo_id"), summaries, daily.outcomes(w))
     return rows.select("ipo_id", "name", "filing_count")
 
 
+def _detail(w, section):
+    return pj.candidate_detail(50, w.candidates(), w.issuers(), w.filings(), _facts(w), w.lockups())[section]
+
+
 @register("r10_candidate_detail", "SELECT accession_number, form_type, filed_at FROM filing WHERE company_id = 40")
 def detail(w):
-    sections = pj.candidate_detail(50, w.candidates(), w.issuers(), w.filings(), _facts(w), w.lockups())
-    return sections["filings"].select("accession_number", "form_type", "filed_at")
+    return _detail(w, "filings").select("accession_number", "form_type", "filed_at")
+
+
+@register("r10_candidate_head", "SELECT company_id + 10 AS ipo_id, name FROM cand JOIN issuer i USING (company_id) WHERE company_id = 40")
+def detail_head(w):
+    return _detail(w, "ipo").select("ipo_id", "name")
+
+
+@register("r10_candidate_facts", """
+ SELECT o_orderkey AS filing_id, (9000000 + o_orderkey)::DOUBLE AS value FROM orders WHERE o_orderkey % 700 = 50""")
+def detail_facts(w):
+    return _detail(w, "facts").where("field_name = 'shares_outstanding_post_ipo'").select("filing_id", F.col("value").cast("double").alias("value"))
+
+
+@register("r10_candidate_lockups", "SELECT lockup_id, holder_group FROM lock WHERE ipo_id = 50")
+def detail_lockups(w):
+    return _detail(w, "lockups").select("lockup_id", "holder_group")
 
 
 @register("r11_snapshot_trajectory", """

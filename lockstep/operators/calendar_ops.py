@@ -8,12 +8,16 @@ from lockstep.constants import CALENDAR_ID, CALENDAR_PROVIDER, CALENDAR_VERSION
 from lockstep.sources.calendar import calendar_days, in_horizon, sessions
 
 
-def with_session_index(df: DataFrame, day: str, prefix: str) -> DataFrame:
-    """Append ``{prefix}ix``, ``{prefix}next_ix`` and ``{prefix}prev_ix`` of a date column."""
+def with_session_index(df: DataFrame, day: str, prefix: str, strict: bool = False) -> DataFrame:
+    """Append ``{prefix}ix``, ``{prefix}next_ix`` and ``{prefix}prev_ix`` of a date column.
+
+    A date outside the horizon has none, like a missing one (``split_by_horizon`` names
+    the reason); with ``strict`` it stops the job.
+    """
     dim = F.broadcast(calendar_days(df.sparkSession).select(
         F.col("day").alias("_cal_day"), F.col("ix").alias(f"{prefix}ix"),
         F.col("next_ix").alias(f"{prefix}next_ix"), F.col("prev_ix").alias(f"{prefix}prev_ix")))
-    return df.join(dim, in_horizon(F.col(day)) == F.col("_cal_day"), "left").drop("_cal_day")
+    return df.join(dim, (in_horizon(F.col(day)) if strict else F.col(day)) == F.col("_cal_day"), "left").drop("_cal_day")
 
 
 def with_session_at(df: DataFrame, index: Column, output: str) -> DataFrame:

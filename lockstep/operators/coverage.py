@@ -289,11 +289,14 @@ def apply_delivery(days: DataFrame, delivered: DataFrame, prices: DataFrame, pro
     return accepted.drop("_stored", "_wanted"), attempts
 
 
-def delivery_status(ranges: DataFrame, covered_after: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Final status of each range after its delivery was applied."""
-    per_range = (ranges.select(*RANGE).distinct().join(attempts, "security_id", "left")
-                 .where(F.col("range_start").isNull() | F.col("range_start").between(F.col("start_date"), F.col("end_date")))
-                 .groupBy(*RANGE).agg(
+def delivery_status(days: DataFrame, covered_after: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Final status of each range after its delivery was applied.
+
+    ``days`` are the days the requests were made from: a request belongs to the range
+    whose gap it is, so attempts come to their ranges by equal keys.
+    """
+    requests = islands(days.where("fetchable and not known"), RANGE).select(*RANGE, "range_start", "range_end").distinct()
+    per_range = (requests.join(attempts, REQUEST, "left").groupBy(*RANGE).agg(
         F.count_if(F.col("status") == "error").alias("provider_errors"),
         F.count_if(F.col("status") == "no_data").alias("provider_no_data"),
         F.coalesce(F.sum("bars_created"), F.lit(0)).alias("bars_created"),

@@ -169,6 +169,23 @@ def ingest_report(plan: DataFrame, fetched: DataFrame, stored: DataFrame, *, ref
             F.count_if("_failed").alias("provider_errors"), F.count_if("_failed").alias("errors"))])
 
 
+def ingest_positions(offerings: DataFrame, ids_per_part: int = 65_536) -> DataFrame:
+    """``position`` of every offering in ingest order, without ordering them all in one task.
+
+    Parts are the offerings of one status, date and id range; their sizes give each
+    part's first position, and only the offerings of a part are ordered.
+    """
+    part = ["_priced", "_date", "_range"]
+    rows = offerings.withColumns({
+        "_priced": F.when(F.col("offering_status").isNull(), 0).when(F.col("offering_status") == "priced", 1).otherwise(2),
+        "_date": F.coalesce(-F.unix_date("first_filing_date"), F.lit(-(1 << 30))),
+        "_range": F.floor(F.col("ipo_id") / ids_per_part)})
+    through = F.sum("count").over(Window.orderBy(*part))
+    starts = rows.groupBy(*part).count().withColumn("_before", through - F.col("count")).drop("count")
+    own = F.row_number().over(Window.partitionBy(*part).orderBy("ipo_id"))
+    return rows.join(starts, part).withColumn("position", F.col("_before") + own).drop(*part, "_before")
+
+
 def ingest_order(offerings: DataFrame) -> DataFrame:
     """Priced offerings first, then the newest registration; unknown dates lead."""
     return offerings.orderBy((F.col("offering_status") == "priced").desc_nulls_first(),

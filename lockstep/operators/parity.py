@@ -235,8 +235,10 @@ def completeness_by_offset(pairs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("snapshots"))
 
 
-def mismatch_examples(pairs: DataFrame, limit: int = 25) -> DataFrame:
-    return pairs.where(F.col("classification") != "exact_match").orderBy(*PAIR_KEY).limit(limit)
+def mismatch_examples(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pairs that differ, in key order; the first ``limit`` of them if one is given."""
+    found = pairs.where(F.col("classification") != "exact_match").orderBy(*PAIR_KEY)
+    return found if limit is None else found.limit(limit)
 
 
 def discovery_features(pairs: DataFrame, dataset: DataFrame, hypothesis: Hypothesis = FROZEN) -> DataFrame:

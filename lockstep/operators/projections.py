@@ -164,14 +164,15 @@ def research_summary(cohort: DataFrame, signals: DataFrame, snapshots: DataFrame
 
 
 def candidate_list(ipos: DataFrame, companies: DataFrame, filings: DataFrame, documents: DataFrame, facts: DataFrame,
-                   summaries: DataFrame, outcomes: DataFrame, *, text: str | None = None, limit: int = 100) -> DataFrame:
-    """Newest candidates with counts and lookups; the limit cuts before anything is attached."""
-    if not 1 <= limit <= 500:
-        raise ValueError("limit must lie between 1 and 500")
+                   summaries: DataFrame, outcomes: DataFrame, *, text: str | None = None, limit: int | None = None) -> DataFrame:
+    """Newest candidates with counts and lookups; a limit, if given, cuts before anything is attached."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
     rows = ipos.join(companies.select("company_id", "cik", "name", "ticker", "exchange"), "company_id")
     if text:
         rows = rows.where(matches_text(text))
-    page = rows.orderBy(F.col("first_filing_date").desc_nulls_last(), "name", "ipo_id").limit(limit)
+    page = rows if limit is None else rows.orderBy(
+        F.col("first_filing_date").desc_nulls_last(), "name", "ipo_id").limit(limit)
     filed = filings.groupBy("company_id").agg(F.count(F.lit(1)).alias("filing_count"))
     final = filings.select(F.col("filing_id").alias("final_prospectus_filing_id"),
                            F.col("filed_at").alias("final_prospectus_filed_at"),

@@ -76,7 +76,9 @@ def calendar_days(spark: SparkSession, closures: DataFrame | None = None) -> Dat
     is_open = ~F.dayofweek("day").isin(SATURDAY, SUNDAY) & ~_holiday(F.col("day"))
     days = days.select("day", is_open.alias("is_session"), F.lit(CALENDAR_ID).alias("calendar_id"))
     if closures is not None:
-        extra = F.broadcast(closures.select("day", F.lit(True).alias("_closed")).distinct())
+        # At most one row for each day of the horizon.
+        inside = F.col("day").between(F.lit(CALENDAR_START), F.lit(CALENDAR_END))
+        extra = F.broadcast(closures.where(inside).select("day", F.lit(True).alias("_closed")).distinct())
         days = (days.join(extra, "day", "left")
                 .withColumn("is_session", F.col("is_session") & F.col("_closed").isNull())
                 .drop("_closed"))
@@ -98,9 +100,24 @@ def sessions(spark: SparkSession, closures: DataFrame | None = None) -> DataFram
             .select("ix", F.col("day").alias("session")))
 
 
+def horizon_reason(day: Column) -> Column:
+    """Why a date cannot be aligned, null where it can; no date at all is no fault."""
+    outside = ~day.between(F.lit(CALENDAR_START), F.lit(CALENDAR_END))
+    return F.when(outside, F.concat(F.lit("date "), day.cast("string"),
+                                    F.lit(f" is outside {CALENDAR_ID} range {CALENDAR_START} to {CALENDAR_END}")))
+
+
+def split_by_horizon(df: DataFrame, *days: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose dates all lie inside the horizon, and the rejected ones with ``reason``.
+
+    One bad row costs itself, not the job.
+    """
+    reason = F.coalesce(*[horizon_reason(F.col(d)) for d in days])
+    told = df.withColumn("reason", reason)
+    return told.where("reason is null").drop("reason"), told.where("reason is not null")
+
+
 def in_horizon(day: Column) -> Column:
     """The day itself, or an error naming the bounds when it lies outside them."""
-    message = F.concat(F.lit("date "), day.cast("string"),
-                       F.lit(f" is outside {CALENDAR_ID} range {CALENDAR_START} to {CALENDAR_END}"))
-    return F.when(day.isNull() | day.between(F.lit(CALENDAR_START), F.lit(CALENDAR_END)), day) \
-        .otherwise(F.raise_error(message))
+    reason = horizon_reason(day)
+    return F.when(reason.isNull(), day).otherwise(F.raise_error(reason))

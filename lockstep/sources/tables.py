@@ -50,7 +50,7 @@ def json_report(df: DataFrame) -> DataFrame:
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    json_report(df).write.mode("append").text(path)
+    json_report(df).write.mode("errorifexists").text(path)
 
 
 def latest_prices(prices: DataFrame, security_id: int, limit: int) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lockstep.operators import calendar_ops as cal
-from lockstep.sources.calendar import calendar_days, sessions
+from lockstep.sources.calendar import calendar_days, sessions, split_by_horizon
 
 D = dt.date
 
@@ -39,7 +39,15 @@ def test_t5_resolution(spark):
 @pytest.mark.parametrize("bad", [D(1989, 12, 31), D(2036, 1, 1)])
 def test_horizon_guard_names_bounds(spark, bad):
     with pytest.raises(Exception, match="1990-01-01"):
-        cal.session_on_or_after(days(spark, [bad]), "day", "s").collect()
+        cal.with_session_index(spark.createDataFrame([(bad,)], "day date"), "day", "", strict=True).collect()
+
+
+def test_a_bad_date_costs_itself_only(spark):
+    df = spark.createDataFrame([(1, D(2024, 1, 2)), (2, D(1989, 12, 31)), (3, None), (4, D(2036, 1, 1))], "id int, day date")
+    good, rejected = split_by_horizon(df, "day")
+    assert sorted(r["id"] for r in cal.session_on_or_after(good, "day", "session").collect()) == [1, 3]
+    assert {r["id"]: r["reason"][:15] for r in rejected.collect()} == {2: "date 1989-12-31", 4: "date 2036-01-01"}
+    assert {r["id"]: r["session"] for r in cal.session_on_or_after(df, "day", "session").collect()} == {1: D(2024, 1, 2), 2: None, 3: None, 4: None}
 
 
 def test_offset_from_non_session_is_an_error(spark):

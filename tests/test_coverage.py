@@ -123,5 +123,5 @@ def test_delivery_completes_a_gap(spark):
     assert {r["range_start"]: (r["status"], r["bars_created"]) for r in made.collect()} == {
         D(2025, 1, 6): ("success", 1), D(2025, 1, 8): ("partial", 1)}
     after = stored.unionByName(accepted.select("security_id", "trade_date", F.lit("p").alias("provider")))
-    done = cv.delivery_status(ranges, cv.coverage(ranges, after, D(2025, 2, 1)), made).first()
+    done = cv.delivery_status(days, cv.coverage(ranges, after, D(2025, 2, 1)), made).first()
     assert done["status"] == "partially_backfilled"
