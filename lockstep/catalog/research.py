@@ -314,10 +314,13 @@ _CASES = f"(SELECT *, {F1} AS x1, {F2} AS x2, {Y} AS y FROM ds WHERE observation
 _PRIMARY = _CASES.replace("WHERE observation_offset", "WHERE is_primary_event AND observation_offset")
 
 
-@register("p9_interaction_cells", f"""
+CELLS_SQL = f"""
  SELECT g AS cell, count(DISTINCT lockup_id) AS n_events, count(lockup_id) AS n_observations, round(median(x1), 6) AS feature1_median, round(median(x2), 6) AS feature2_median, {_STATS}, {_MF}
  FROM (SELECT unnest(['low_low','low_high','high_low','high_high']) AS g) LEFT JOIN (
-  SELECT *, CASE WHEN x1 <= m1 THEN 'low' ELSE 'high' END || '_' || CASE WHEN x2 <= m2 THEN 'low' ELSE 'high' END AS c FROM {_CASES}, (SELECT median(x1) AS m1, median(x2) AS m2 FROM {_CASES})) ON c = g GROUP BY 1""")
+  SELECT *, CASE WHEN x1 <= m1 THEN 'low' ELSE 'high' END || '_' || CASE WHEN x2 <= m2 THEN 'low' ELSE 'high' END AS c FROM {_CASES}, (SELECT median(x1) AS m1, median(x2) AS m2 FROM {_CASES})) ON c = g GROUP BY 1"""
+
+
+@register("p9_interaction_cells", CELLS_SQL)
 def cells(w):
     return rounded(st.interaction_cells(all_events(w), F1, F2, Y, OFFSET))
 
@@ -326,10 +329,13 @@ _FIT = """(SELECT *, my - b1*m1 - b2*m2 AS b0 FROM (SELECT *, (s1y*s22 - s2y*s12
  SELECT {key} count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS s11, var_pop(x2) AS s22, var_pop(y) AS syy, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM {rows} {group}))))"""
 
 
-@register("p10_ols", f"""
+OLS_SQL = f"""
  SELECT -5 AS observation_offset, n, 'ok' AS status, round(b0, 6) AS intercept, round(b1, 6) AS feature1_coefficient, round(b2, 6) AS feature2_coefficient, CASE WHEN b1 > 0 THEN 'positive' ELSE 'negative' END AS feature1_coefficient_sign,
   CASE WHEN b2 > 0 THEN 'positive' ELSE 'negative' END AS feature2_coefficient_sign, round((b1*s1y + b2*s2y)/syy, 6) AS r_squared, round(b1*sqrt(s11/syy), 6) AS standardized_beta_feature1,
-  round(b2*sqrt(s22/syy), 6) AS standardized_beta_feature2 FROM {_FIT.format(key='', rows=_CASES, group='')}""")
+  round(b2*sqrt(s22/syy), 6) AS standardized_beta_feature2 FROM {_FIT.format(key='', rows=_CASES, group='')}"""
+
+
+@register("p10_ols", OLS_SQL)
 def ols(w):
     rows = st.complete_cases(all_events(w), F1, F2, Y, OFFSET)
     return rounded(st.ols(rows, F1, F2, Y).select("observation_offset", *st.FIT_COLUMNS))
@@ -350,6 +356,23 @@ def loo_fits(w):
     return rounded(st.leave_one_out_fits(_primary_cases(w), F1, F2, Y))
 
 
+_WITHOUT = f"""(SELECT k, n, t1/n AS m1, t2/n AS m2, ty/n AS my, t11/n - t1*t1/n/n AS s11, t22/n - t2*t2/n/n AS s22, tyy/n - ty*ty/n/n AS syy, t12/n - t1*t2/n/n AS s12, t1y/n - t1*ty/n/n AS s1y, t2y/n - t2*ty/n/n AS s2y FROM (
+ SELECT lockup_id AS k, cnt - 1 AS n, a1 - c1 AS t1, a2 - c2 AS t2, ay - cy AS ty, a11 - c1*c1 AS t11, a22 - c2*c2 AS t22, ayy - cy*cy AS tyy, a12 - c1*c2 AS t12, a1y - c1*cy AS t1y, a2y - c2*cy AS t2y FROM (
+ SELECT c.*, x1 - g1 AS c1, x2 - g2 AS c2, y - gy AS cy, cnt, a1, a2, ay, a11, a22, ayy, a12, a1y, a2y, g1, g2, gy FROM {_CASES} c, (
+  SELECT count(*) AS cnt, sum(x1-g1) AS a1, sum(x2-g2) AS a2, sum(y-gy) AS ay, sum((x1-g1)*(x1-g1)) AS a11, sum((x2-g2)*(x2-g2)) AS a22, sum((y-gy)*(y-gy)) AS ayy, sum((x1-g1)*(x2-g2)) AS a12, sum((x1-g1)*(y-gy)) AS a1y,
+   sum((x2-g2)*(y-gy)) AS a2y, any_value(g1) AS g1, any_value(g2) AS g2, any_value(gy) AS gy FROM {_CASES}, (SELECT avg(x1) AS g1, avg(x2) AS g2, avg(y) AS gy FROM {_CASES})))))"""
+
+
+@register("p11_leave_one_out_all", f"""
+ SELECT k AS excluded_lockup_id, n, round(b1, 6) AS feature1_coefficient, round(b2, 6) AS feature2_coefficient, round((b1*s1y + b2*s2y)/syy, 6) AS r_squared FROM (
+ SELECT *, (s1y*s22 - s2y*s12)/(s11*s22 - s12*s12) AS b1, (s2y*s11 - s1y*s12)/(s11*s22 - s12*s12) AS b2 FROM {_WITHOUT})""")
+def loo_fits_all(w):
+    """All events, not only the primary ones; the SQL takes each event out of the centred sums."""
+    rows = st.complete_cases(all_events(w), F1, F2, Y, OFFSET)
+    return rounded(st.leave_one_out_fits(rows, F1, F2, Y).select(
+        "excluded_lockup_id", "n", "feature1_coefficient", "feature2_coefficient", "r_squared"))
+
+
 _LOOCELL = f"""(SELECT a.k, count(y) AS n, count(*) FILTER (y < 0) / nullif(count(y), 0) AS hit, avg(y) AS mean, median(y) AS med, count(*) FILTER (y <= -.05) / nullif(count(y), 0) AS r5,
   count(*) FILTER (y <= -.10) / nullif(count(y), 0) AS r10, count(*) FILTER (y <= -.20) / nullif(count(y), 0) AS r20, median(bearish_mfe_20d) AS mfe, median(bearish_mae_20d) AS mae
  FROM (SELECT k, median(x1) AS m1, median(x2) AS m2 FROM {_LOO} GROUP BY 1) a LEFT JOIN {_LOO} b ON b.k = a.k AND x1 > m1 AND x2 > m2 GROUP BY 1)"""
@@ -378,17 +401,23 @@ _RANGES = " UNION ALL ".join(
     + [f"SELECT '{f}', {e}::DOUBLE, NULL FROM {_LOOCELL} WHERE n > 0" for f, e in _CELL.items()])
 
 
-@register("p13_run_ranges", f"""
+RANGES_SQL = f"""
  SELECT -5 AS observation_offset, field, round(max(ref), 6) AS full_sample_value, round(min(v), 6) AS min, round(max(v), 6) AS max, round(median(v), 6) AS median, round(avg(v), 6) AS mean,
-  CASE WHEN field IN ('feature1_coefficient','feature2_coefficient') THEN count(*) FILTER (sign(v) <> sign(ref)) END AS sign_flip_count FROM ({_RANGES}) GROUP BY field""")
+  CASE WHEN field IN ('feature1_coefficient','feature2_coefficient') THEN count(*) FILTER (sign(v) <> sign(ref)) END AS sign_flip_count FROM ({_RANGES}) GROUP BY field"""
+
+
+@register("p13_run_ranges", RANGES_SQL)
 def ranges(w):
     return rounded(st.run_ranges(*_runs(w)))
 
 
-@register("p13_robustness_flags", f"""
+FLAGS_SQL = f"""
  SELECT -5 AS observation_offset, count(*) AS total_runs, count(*) AS successful_runs, 0::BIGINT AS failed_runs, count(*) FILTER (c.n = 0) AS empty_high_high_runs, count(*) FILTER (sign(f.b1) <> sign(g.b1)) = 0 AS feature1_sign_stable,
   count(*) FILTER (sign(f.b2) <> sign(g.b2)) = 0 AS feature2_sign_stable, bool_and(coalesce(med < 0, FALSE)) AS high_high_median_outcome_always_negative, round(min(hit), 6) AS high_high_bearish_hit_rate_min
- FROM {_LOOFIT} f JOIN {_LOOCELL} c ON c.k = f.k, {_FULL} g""")
+ FROM {_LOOFIT} f JOIN {_LOOCELL} c ON c.k = f.k, {_FULL} g"""
+
+
+@register("p13_robustness_flags", FLAGS_SQL)
 def flags(w):
     return rounded(st.robustness_flags(*_runs(w)))
 

@@ -5,7 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from lockstep.catalog import register
+from lockstep.catalog import register, research
 from lockstep.catalog.coverage import audit
 from lockstep.catalog.research import HYPOTHESIS
 from lockstep.constants import SHADOW, STRICT
@@ -14,6 +14,7 @@ from lockstep.operators import events as ev
 from lockstep.operators import options as op
 from lockstep.operators import projections as pj
 from lockstep.operators import prospective as pr
+from lockstep.operators import statistics as st
 from lockstep.plans import daily
 from lockstep.verification import CTES, MATERIALIZED
 
@@ -149,7 +150,7 @@ def outcome_date(w):
 
 
 @register("q15_dry_run_report", """
- SELECT count(DISTINCT ipo_id) AS ipos_seen, count(*) AS lockups_seen, count(*) FILTER (action NOT IN ('no_event_date','lifecycle_unavailable','not_eligible')) AS eligible_events,
+ SELECT count(DISTINCT ipo_id) AS ipos_seen, count(*) AS lockups_seen, 0::BIGINT AS errors, count(*) FILTER (action NOT IN ('no_event_date','lifecycle_unavailable','not_eligible')) AS eligible_events,
   count(*) FILTER (action = 'pending_observation') AS pending_observation, count(*) FILTER (action = 'waiting_for_market_data') AS waiting_for_market_data, 0::BIGINT AS signals_created,
   count(*) FILTER (action = 'create') AS signals_would_create, count(*) FILTER (action = 'existing') AS signals_existing, count(*) FILTER (action = 'existing' AND nxt = 'awaiting_event') AS awaiting_event,
   count(*) FILTER (action = 'existing' AND nxt = 'awaiting_outcome') AS awaiting_outcome, 0::BIGINT AS outcomes_attached, count(*) FILTER (action = 'existing' AND nxt = 'matured') AS outcomes_would_attach,
@@ -311,6 +312,36 @@ def historical(w):
     return rounded(one.join(medians(rows, ["observation_offset"], {"return_20d": "median_feature"}), "observation_offset").drop("observation_offset"))
 
 
+def _reference(w, part):
+    return pj.historical_reference(daily.dataset(w), HYPOTHESIS)[part]
+
+
+def _of_reference(sql):
+    """The same statistics over the primary events known at the cutoff."""
+    return sql.replace("FROM ds WHERE is_primary_event AND", "FROM ds WHERE").replace(
+        "FROM ds WHERE", f"FROM ds WHERE is_primary_event AND observation_date <= {_CUT} AND")
+
+
+@register("r7_reference_ols", _of_reference(research.OLS_SQL))
+def reference_ols(w):
+    return rounded(_reference(w, "ols").select("observation_offset", *st.FIT_COLUMNS))
+
+
+@register("r7_reference_groups", _of_reference(research.CELLS_SQL))
+def reference_groups(w):
+    return rounded(_reference(w, "groups"))
+
+
+@register("r7_reference_flags", _of_reference(research.FLAGS_SQL))
+def reference_flags(w):
+    return rounded(_reference(w, "flags"))
+
+
+@register("r7_reference_ranges", _of_reference(research.RANGES_SQL))
+def reference_ranges(w):
+    return rounded(_reference(w, "ranges"))
+
+
 @register("r8_t5_payload", f"""
  SELECT lockup_id, CASE WHEN n = 21 THEN 'complete' ELSE 'incomplete' END AS window_state, n AS present FROM (
  SELECT t.lockup_id, CASE WHEN p.security_id IS NOT NULL THEN (SELECT count(*) FROM sbar b JOIN cal c ON b.ix BETWEEN c.next_ix - 25 AND c.next_ix - 5 WHERE c.day = t.event_date AND b.security_id = p.security_id) END AS n

@@ -163,6 +163,21 @@ def research_summary(cohort: DataFrame, signals: DataFrame, snapshots: DataFrame
     return side_by_side([counts, prices.agg(F.max("trade_date").alias("latest_market_date"))])
 
 
+def historical_reference(dataset: DataFrame, hypothesis: Hypothesis = FROZEN) -> dict[str, DataFrame]:
+    """What the discovery sample says about a hypothesis, as one row set for each part.
+
+    ``ols`` with the sample size, the four ``groups``, sign-stability ``flags`` and
+    coefficient ``ranges`` of the leave-one-out runs.
+    """
+    from lockstep.operators import statistics as st
+    known = dataset.where(F.col("observation_date") <= F.lit(hypothesis.cutoff))
+    names = hypothesis.feature1, hypothesis.feature2, hypothesis.outcome
+    cases = st.complete_cases(known, *names, hypothesis.observation_offset)
+    full, runs = st.ols(cases, *names), st.leave_one_out(cases, *names)
+    return {"ols": full, "groups": st.interaction_cells(known, *names, hypothesis.observation_offset),
+            "flags": st.robustness_flags(runs, full), "ranges": st.run_ranges(runs, full)}
+
+
 def candidate_list(ipos: DataFrame, companies: DataFrame, filings: DataFrame, documents: DataFrame, facts: DataFrame,
                    summaries: DataFrame, outcomes: DataFrame, *, text: str | None = None, limit: int | None = None) -> DataFrame:
     """Newest candidates with counts and lookups; a limit, if given, cuts before anything is attached."""

@@ -189,21 +189,28 @@ def advance_signals(signals: DataFrame, decisions: DataFrame, hypothesis: Hypoth
     }).drop("next_status", "outcome_value", "outcome_mfe", "outcome_mae", "outcome_date")
 
 
-def prospective_report(decisions: DataFrame, dry_run: bool = False) -> DataFrame:
-    """Run counters from the decisions alone, so a dry run needs no writes."""
+def prospective_report(decisions: DataFrame, dry_run: bool = False, rejected: DataFrame | None = None) -> DataFrame:
+    """Run counters from the decisions alone, so a dry run needs no writes.
+
+    ``rejected`` are the agreements set aside before (``split_by_horizon``): they count
+    as seen and as errors.
+    """
     def of(name):
         return F.count_if(F.col("action") == name)
 
     action, nxt = F.col("action"), F.col("next_status")
     # A dry run stops before a new signal's status is looked at.
     followed = (action == "existing") if dry_run else action.isin("existing", "create")
-    eligible = ~action.isin("no_event_date", "lifecycle_unavailable", "not_eligible")
+    eligible = ~action.isin("no_event_date", "lifecycle_unavailable", "not_eligible")  # null for a rejected row
     zero = F.lit(0).cast("long")
     attach = F.count_if(followed & (nxt == "matured"))
     already = F.count_if(nxt == "already_matured")
     lifecycle_known = F.count_if((action == "lifecycle_unavailable") & F.coalesce("has_lifecycle", F.lit(False)))
-    return decisions.agg(
+    failed = decisions.limit(0).select("ipo_id") if rejected is None else rejected.select("ipo_id")
+    told = decisions.withColumn("_error", F.lit(False)).unionByName(failed.withColumn("_error", F.lit(True)), allowMissingColumns=True)
+    return told.agg(
         F.count_distinct("ipo_id").alias("ipos_seen"), F.count(F.lit(1)).alias("lockups_seen"),
+        F.count_if("_error").alias("errors"),
         F.count_if(eligible).alias("eligible_events"), of("pending_observation").alias("pending_observation"),
         of("waiting_for_market_data").alias("waiting_for_market_data"),
         (zero if dry_run else of("create")).alias("signals_created"),
