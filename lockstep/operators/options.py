@@ -32,20 +32,18 @@ def select_sample(pool: DataFrame, limit: int, *, tickers: tuple[str, ...] = ())
     if tickers:
         named = pool.where(F.upper("ticker").isin(*[t.upper() for t in tickers]))
         return named.orderBy(F.desc("is_signal_name"), *key).limit(limit)
-    lead = pool.where("is_signal_name").orderBy(*key).limit(1)
-    # One row at most.
-    rest = pool.join(F.broadcast(lead.select("lockup_id")), "lockup_id", "left_anti")
-    # Both ends hold at most ``limit`` rows, so one small window numbers them.
-    one = F.lit(1)
-    old = rest.orderBy(*key).limit(limit).withColumn(
-        "_turn", 2 * F.row_number().over(Window.partitionBy(one).orderBy(*key)) - 1)
-    new = rest.orderBy(*[F.desc(c) for c in key]).limit(limit).withColumn(
-        "_turn", 2 * F.row_number().over(Window.partitionBy(one).orderBy(*[F.desc(c) for c in key])))
-    turns = lead.withColumn("_turn", F.lit(0)).unionByName(old).unionByName(new)
-    # A short pool lists some names from both ends; the earlier turn counts.
-    first = turns.groupBy("lockup_id").agg(F.min("_turn").alias("_turn"))
-    chosen = turns.join(first, ["lockup_id", "_turn"], "left_semi")
-    return chosen.orderBy("_turn").limit(limit).drop("_turn")
+    # One more than can be chosen from either end, for the lead may be among them.
+    last = [F.desc(c) for c in key]
+    few = (pool.where("is_signal_name").orderBy(*key).limit(1)
+           .unionByName(pool.orderBy(*key).limit(limit + 1)).unionByName(pool.orderBy(*last).limit(limit + 1))
+           .dropDuplicates(["lockup_id"]))
+    # At most 2 * limit + 3 rows from here on, so one small window numbers them.
+    lead = F.col("is_signal_name") & (F.row_number().over(Window.partitionBy("is_signal_name").orderBy(*key)) == 1)
+    few = few.withColumn("_lead", lead)
+    turn = F.least(2 * F.row_number().over(Window.partitionBy("_lead").orderBy(*key)) - 1,
+                   2 * F.row_number().over(Window.partitionBy("_lead").orderBy(*last)))
+    chosen = few.withColumn("_turn", F.when(F.col("_lead"), 0).otherwise(turn))
+    return chosen.orderBy("_turn").limit(limit).drop("_turn", "_lead")
 
 
 def select_contracts(sample: DataFrame, contracts: DataFrame) -> DataFrame:
