@@ -44,19 +44,26 @@ MARKS = "#$%&*|{}<>=\\~^_"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
+_REPEATED = re.compile(r"(.)\1+")
 
 
 class Shapes(dict):
-    """Word -> (shape, function word?); Bad!! is Aa!, 3.5 is 9.9: runs of a kind of character count once."""
+    """Word -> (shape, function word?, ends a sentence?, shouted?); Bad!! is Aa!, 3.5 is 9.9: runs of a kind of character count once."""
 
-    def __missing__(self, word: str) -> tuple[str, bool]:
+    @staticmethod
+    def _kind(letters: str) -> str:
+        return "A" if len(letters) > 1 and letters.isupper() else "Aa" if letters[0].isupper() else "a"
+
+    def __missing__(self, word: str) -> tuple[str, bool, bool, bool]:
         if len(self) > 400_000:
             self.clear()
-        low = word.lower().strip(".,;:!?")
-        kind = lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "Aa" if m.group()[0].isupper() else "a"
-        shape = _DIGITS.sub("9", _LETTERS.sub(kind, word))
-        shape = re.sub(r"(.)\1+", r"\1", shape)[:24]
-        value = self[word] = (shape, low in FUNCTION_WORDS)
+        body = word.rstrip(".,;:!?")
+        if body.isalpha():
+            low, shape = body.lower(), self._kind(body) + _REPEATED.sub(r"\1", word[len(body):])
+        else:
+            low = word.lower().strip(".,;:!?")
+            shape = _REPEATED.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub(lambda m: self._kind(m.group()), word)))[:24]
+        value = self[word] = (shape, low in FUNCTION_WORDS, word[-1] in ".!?", word.isupper())
         return value
 
 
@@ -72,27 +79,30 @@ def read_text(text: str, shapes: Shapes) -> tuple[list[int], dict[int, float]]:
     n = len(words)
     if not n:
         return [NOTHING] * len(LABELLERS), {}
-    known = list(map(shapes.__getitem__, words))
-    counts = Counter(s for s, _ in known)
+    kinds = Counter(map(shapes.__getitem__, words))
+    counts: Counter[str] = Counter()
+    for (shape, *_), c in kinds.items():
+        counts[shape] += c
+    share = lambda k: sum(c for kind, c in kinds.items() if kind[k]) / n
     repeats = sum(map(eq, words[1:], words)) / n
     facts = {
         "marks": sum(map(text.count, MARKS)) / len(text),
-        "shouted": sum(map(str.isupper, words)) / n,
+        "shouted": share(3),
         "repeats": repeats,
         "distinct": len(set(words)) / n,
-        "function": sum(f for _, f in known) / n,
+        "function": share(1),
         "length": (len(text) - n) / n,
-        "ends": sum(w[-1] in ".!?" for w in words) / n,
+        "ends": share(2),
         "words": n,
     }
     votes = [label(facts) for label in LABELLERS.values()]
     features: dict[int, float] = {}
-    for name, share in [*((f"shape {s}", c / n) for s, c in counts.items()), ("repeated word", repeats),
+    for name, part in [*((f"shape {s}", c / n) for s, c in counts.items()), ("repeated word", repeats),
                         ("function word", facts["function"]), (f"distinct {int(facts['distinct'] * 10)}", 1.0),
                         # The mean of a few words says little.
                         (f"length {min(int(facts['length']), 20) if n >= 20 else 'unknown'}", 1.0)]:
         bucket = xxhash.xxh3_64_intdigest(name.encode()) % BUCKETS
-        features[bucket] = features.get(bucket, 0.0) + share
+        features[bucket] = features.get(bucket, 0.0) + part
     return votes, features
 
 
