@@ -159,7 +159,7 @@ def latest_attempts(attempts: DataFrame, days: DataFrame) -> DataFrame:
 
     A range join would pair every attempt with every day it covers.  Instead each
     range becomes a few aligned blocks, attempts combine per block before the shuffle,
-    and a day looks up the blocks that contain it, one per level.
+    and a day looks up the blocks that contain it, one for each level that occurs.
     """
     ranged = with_session_index(with_session_index(attempts, "requested_start_date", "_s_"),
                                 "requested_end_date", "_e_")
@@ -169,9 +169,11 @@ def latest_attempts(attempts: DataFrame, days: DataFrame) -> DataFrame:
               .select("security_id", best.alias("_a"), F.explode_outer(_cover_nodes(first, last)).alias("n"))
             .where("n is not null")
               .groupBy("security_id", "n.level", "n.block").agg(F.max("_a").alias("_a")))
-    lookups = days.select("security_id", "ix", F.explode(F.array(*[
-        F.struct(F.lit(level).alias("level"), F.shiftright("ix", level).alias("block"))
-        for level in range(_LEVELS)])).alias("n")).select("security_id", "ix", "n.level", "n.block")
+    # Only levels a security's attempts have, and only securities with attempts: a few rows a day.
+    levels = blocks.groupBy("security_id").agg(F.collect_set("level").alias("levels"))
+    lookups = (days.select("security_id", "ix").join(levels, "security_id")
+               .select("security_id", "ix", F.explode("levels").alias("level"))
+               .withColumn("block", F.expr("shiftright(ix, level)")))
     return (lookups.join(blocks, ["security_id", "level", "block"])
             .groupBy("security_id", "ix").agg(F.max("_a").alias("_a"))
             .select("security_id", "ix", F.col("_a.status").alias("latest_status")))

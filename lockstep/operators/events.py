@@ -143,6 +143,9 @@ def stored_bar_offset(aligned: DataFrame, bars: DataFrame, offsets) -> DataFrame
 
 
 def history_as_of(bars: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Bars on or before a per-security cutoff date: the look-ahead guard."""
-    return (bars.join(cutoffs.select("security_id", "cutoff_date"), "security_id")
-            .where(F.col("trade_date") <= F.col("cutoff_date")))
+    """Bars on or before a per-security cutoff date: the look-ahead guard.
+
+    Of several cutoffs of a security the latest counts, so a bar never appears twice.
+    """
+    latest = cutoffs.groupBy("security_id").agg(F.max("cutoff_date").alias("cutoff_date"))
+    return bars.join(latest, "security_id").where(F.col("trade_date") <= F.col("cutoff_date"))
