@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lockstep.catalog import register
 from lockstep.operators import lockup_text as lt
 from lockstep.operators import offering_text as ot
+from lockstep.sources.warehouse import pick
 from lockstep.verification import CTES
 
 # Three agreements per generated prospectus: holders, issuer, stated date.
@@ -240,3 +241,46 @@ def offering_report(w):
     final = w.offering_documents().join(cohort.select(F.col("final_prospectus_filing_id").alias("filing_id")), "filing_id", "left_semi")
     stored = ot.store_facts(_no_facts(ot.offering_facts(final)), ot.offering_facts(final))
     return ot.offering_job_report(cohort, final, stored, ot.promote_facts(cohort, stored))
+
+
+# ------------------------------------------------------- evidence inside the given documents
+def _planted(w):
+    """The given texts, whole, with a section at their end: a fifth of them names two terms for one kind of holder."""
+    k = F.col("doc_id")
+    said = lambda days: F.concat(
+        F.lit("Our principal stockholders have agreed with the underwriters that they will not sell any shares for "), days,
+        F.lit(" days after the date of this prospectus. Nothing else is agreed. "))
+    first, second = pick(("90", "120", "180"), k % 3), pick(("120", "180", "90"), k % 3)
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nUNDERWRITING\n\n"), said(first), F.when(k % 5 == 0, said(second)).otherwise(""))
+    return w.table("documents").select(k.alias("filing_id"), k.alias("ipo_id"), F.lit("2001-01-01").cast("date").alias("filed_at"), text.alias("text"))
+
+
+@register("j11_planted_agreements", """
+ SELECT doc_id AS filing_id, unnest(CASE WHEN doc_id % 5 = 0 THEN [[90,120,180][doc_id % 3 + 1], [120,180,90][doc_id % 3 + 1]] ELSE [[90,120,180][doc_id % 3 + 1]] END) AS duration_days,
+  'pre_ipo_investors' AS holder_group, 'underwriter_lockup' AS lockup_type, 'UNDERWRITING' AS heading FROM documents""")
+def planted_agreements(w):
+    return lt.agreements(_planted(w)).select("filing_id", "duration_days", "holder_group", "lockup_type",
+                                             F.regexp_extract("source_locator", "^[A-Z]+", 0).alias("heading"))
+
+
+@register("j14_planted_selection", """
+ SELECT doc_id AS ipo_id, doc_id % 5 <> 0 AS selected, doc_id % 5 = 0 AS ambiguous,
+  CASE WHEN doc_id % 5 <> 0 THEN DATE '2001-01-01' + [90,120,180][doc_id % 3 + 1]::INT END AS primary_lockup_expiration_date FROM documents""")
+def planted_selection(w):
+    rows = lt.agreements(_planted(w)).withColumn("lockup_id", F.col("filing_id") * 1000 + F.col("duration_days"))
+    ipos = w.table("documents").select(F.col("doc_id").alias("ipo_id"), F.lit(None).cast("long").alias("primary_lockup_id"),
+                                       F.lit(None).cast("date").alias("primary_lockup_expiration_date"))
+    return lt.select_primary(ipos, rows).select("ipo_id", "selected", "ambiguous", "primary_lockup_expiration_date")
+
+
+@register("j16_planted_prices", """
+ SELECT doc_id AS filing_id, 10.5 + doc_id % 40 AS value, 'Prospectus cover' AS source_locator FROM documents
+ UNION ALL SELECT page_id + 1000000000, 10.5 + page_id % 40, 'Prospectus cover' FROM pages""")
+def planted_prices(w):
+    """Every given text and every page's text with a price after it."""
+    from lockstep.sources.documents import normalise_documents
+    pages = normalise_documents(w.table("pages")).select((F.col("page_id") + 1000000000).alias("filing_id"), F.col("page_id").alias("k"), "text")
+    texts = w.table("documents").select(F.col("doc_id").alias("filing_id"), F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text")).union(pages)
+    told = F.concat("text", F.lit("\nThe initial public offering price per share is $"), (10 + F.col("k") % 40).cast("string"), F.lit(".50.\n"))
+    facts = ot.offering_facts(texts.select("filing_id", told.alias("text")))
+    return facts.where("field_name = 'ipo_price'").select("filing_id", F.col("value").cast("double").alias("value"), "source_locator")
