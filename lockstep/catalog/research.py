@@ -55,9 +55,11 @@ def sparse(w):
     return session_audit(w).select("lockup_id", "observation_offset", "sparse_data_related")
 
 
-@register("n5_audit_order", "SELECT lockup_id, observation_offset FROM sessp")
+@register("n5_audit_order", """
+ SELECT lockup_id, observation_offset, row_number() OVER (ORDER BY coalesce(ticker, ''), lockup_id, observation_offset) AS position
+ FROM sessp JOIN lock USING (lockup_id) JOIN ipo USING (ipo_id) JOIN comp USING (company_id)""")
 def ordered(w):
-    return pa.audit_order(session_audit(w)).select("lockup_id", "observation_offset")
+    return pa.audit_positions(session_audit(w)).select("lockup_id", "observation_offset", "position")
 
 
 @register("n6_parity_summary", f"""

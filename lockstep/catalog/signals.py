@@ -162,9 +162,14 @@ def dry_run(w):
 
 
 @register("q16_legacy_modes", """
- SELECT evaluation_mode, count(*) AS n FROM (SELECT CASE WHEN evaluation_mode = 'prospective' THEN 'strict_prospective' ELSE evaluation_mode END AS evaluation_mode FROM sig) GROUP BY 1""")
+ SELECT evaluation_mode, count(*) AS n FROM (
+  SELECT CASE WHEN evaluation_mode = 'prospective' AND lockup_id % 3 <> 0 THEN 'strict_prospective' ELSE evaluation_mode END AS evaluation_mode FROM sig
+  UNION ALL SELECT 'strict_prospective' FROM sig WHERE evaluation_mode = 'prospective' AND lockup_id % 3 = 0) GROUP BY 1""")
 def legacy(w):
-    return pr.normalise_legacy_modes(w.signals(HYPOTHESIS)).groupBy("evaluation_mode").agg(F.count(F.lit(1)).alias("n"))
+    """A third of the legacy rows have a strict row beside them and keep their name."""
+    signals = w.signals(HYPOTHESIS)
+    beside = signals.where((F.col("evaluation_mode") == "prospective") & (F.col("lockup_id") % 3 == 0)).withColumn("evaluation_mode", F.lit(STRICT))
+    return pr.normalise_legacy_modes(signals.unionByName(beside)).groupBy("evaluation_mode").agg(F.count(F.lit(1)).alias("n"))
 
 
 _EVAL = "(SELECT * FROM sig WHERE evaluation_mode IN ('strict_prospective','prospective') AND signal_status <> 'unavailable')"

@@ -1,7 +1,7 @@
 """Audits that compare stored sessions with the calendar, and the two snapshot lineages."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockstep.constants import (FROZEN, PARITY_ATOL, PARITY_RTOL, SESSION_VERSION, STORED_BAR_VERSION,
@@ -95,6 +95,16 @@ def audit_order(audit: DataFrame) -> DataFrame:
     return audit.orderBy(F.coalesce("ticker", F.lit("")), "lockup_id", "observation_offset", "snapshot_version")
 
 
+def audit_positions(audit: DataFrame, ids_per_part: int = 65_536) -> DataFrame:
+    """``position`` of every row in audit order; only rows of one ticker and id range are ordered together."""
+    part = ["_ticker", "_range"]
+    rows = audit.withColumns({"_ticker": F.coalesce("ticker", F.lit("")), "_range": F.floor(F.col("lockup_id") / ids_per_part)})
+    starts = rows.groupBy(*part).count().withColumn(
+        "_before", F.sum("count").over(Window.orderBy(*part)) - F.col("count")).drop("count")
+    own = F.row_number().over(Window.partitionBy(*part).orderBy("lockup_id", "observation_offset", "snapshot_version"))
+    return rows.join(starts, part).withColumn("position", F.col("_before") + own).drop(*part, "_before")
+
+
 def session_parity_summary(audit: DataFrame) -> DataFrame:
     def of(kind):
         return F.count_if(F.col("mismatch_type") == kind)
