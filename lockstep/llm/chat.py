@@ -16,7 +16,7 @@ over the turns of a conversation, so the loss mask needs no second pass over its
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,7 +117,6 @@ def format_conversations(turns: DataFrame, conversation: str = "conv_id", order:
 
 def masked_text(formatted: DataFrame) -> DataFrame:
     """Adds loss_chars and loss_sha256: the text under the mask, cut out of the formatted string and unescaped."""
-    import re
     undo = re.compile(ESCAPED)
 
     @F.pandas_udf("struct<loss_chars:long,loss_sha256:string>")

@@ -1,6 +1,7 @@
 """Helpers the operators share: word splitting, hashing, tables in the shared folder, components."""
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 
@@ -9,9 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FOLD = (chr(c) for c in range(ord("A"), ord("Z") + 1))
-UPPER = "".join(_FOLD)
-LOWER = UPPER.lower()
+UPPER = string.ascii_uppercase
+LOWER = string.ascii_lowercase
 
 #: Odd multipliers of the polynomial over word hashes (fixed values).
 ROLL = np.uint64(0x9E3779B97F4A7C15)

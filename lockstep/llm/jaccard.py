@@ -6,12 +6,12 @@ cut into k + 1 + spare ranges, so linked sets agree on at least 1 + spare whole
 range is a hash of all it has there.  Empty ranges say nothing and are keyed only by sets with more than
 ``spare`` of them, which is the one case in which no common range need be filled.
 
-Keys are not pairs.  Per key every set is tied to the first one (a star, linear in the bucket), and the
-components of those stars hold every link.  Members of a component are dealt to tiles of size-banded
-blocks of bounded weight.  In a tile hashed bitmap signatures bound the overlap from above: sets differ
-by at least as much as the xor of their parity bitmaps has bits.  What the bound leaves is intersected
-exactly on sorted arrays, unless the two are connected already, and a tile returns a spanning forest of
-its links, so rows out never exceed rows in.
+Sets with a common key are a group; groups with the same members are one.  A group is dealt to tiles of
+size-banded blocks of bounded weight, in which hashed bitmap signatures bound the overlap from above: sets
+differ by at least as much as the xor of their parity bitmaps has bits.  A tile returns a spanning forest
+of the pairs the bound leaves, so rows out never exceed rows in, and the components of these forests hold
+every link.  They are dealt to tiles again, now with their sorted arrays: what the bitmaps leave is
+intersected exactly, unless the two are connected already.
 
 Equal sets are one node, so copies cost nothing after the first pass.  Keys shared by many are salted.
 """
@@ -21,6 +21,7 @@ import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ from lockstep.llm.common import (WordHashes, components, hash_words, keyed_text,
 
 #: Upper ends of the size bands grow by this factor.
 BAND_GROWTH = 1.5
-#: Shingles a block of a tile holds, about; larger sets are blocks of their own.
-BLOCK_SHINGLES = 400_000
+#: Shingles, and bitmaps, a block of a tile holds, about; larger sets are blocks of their own.
+BLOCK_SHINGLES, BLOCK_BITMAPS = 400_000, 2_000
 #: One set in so many looks for keys that are shared by many; a key with this share of them is salted.
 SAMPLE, HOT_SHARE, SALTS = 64, 0.001, 32
 MOST_BITS = 1 << 16
@@ -77,6 +78,20 @@ def identity(elements: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def bitmap(elements: np.ndarray, percent: int) -> np.ndarray:
+    """Parity bitmap of a set, with room for the difference two linked sets of its size may have."""
+    bits = min(MOST_BITS, 1 << max(8, (8 * (len(elements) * (100 - percent) // percent) + 63).bit_length()))
+    odd = np.bincount((mixed(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap the same set has with fewer bits: halves added up modulo two."""
+    while len(bits) > words:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
 def range_keys(elements: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set in each tile it belongs to."""
     n, starts = len(elements), band_starts()
@@ -101,7 +116,7 @@ def range_keys(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
-def _read_sets(docs: DataFrame, size: int) -> DataFrame:
+def _read_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
@@ -109,9 +124,10 @@ def _read_sets(docs: DataFrame, size: int) -> DataFrame:
             names = [identity(s) for s in sets]
             yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets],
                                 "node": np.array([x for x, _ in names], dtype=np.int64),
-                                "check": np.array([x for _, x in names], dtype=np.int64)})
+                                "check": np.array([x for _, x in names], dtype=np.int64),
+                                "bits": [bitmap(s, percent).tobytes() for s in sets]})
 
-    told = keyed_text(docs, "id", "text").mapInPandas(read, "id string, n long, node long, check long")
+    told = keyed_text(docs, "id", "text").mapInPandas(read, "id string, n long, node long, check long, bits binary")
     return named_id(told, docs, "id")
 
 
@@ -138,11 +154,11 @@ def _read_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows (node, component): every link lies inside a component.
+    """Rows (component, node): groups of sets with a common key, one for keys with the same members.
 
-    Keys that hold a large share of a sample are split by a salt: first stars within each part, then
-    a star over the parts' first nodes.  The sample only decides what is split, never what is compared.
-    There are at most 1 / HOT_SHARE such keys, so they are broadcast.
+    Keys that hold a large share of a sample are dealt by a salt and are groups of their own.  The sample
+    only decides how a key is dealt, never what is compared.  There are at most 1 / HOT_SHARE such
+    keys, so they are broadcast.
     """
     keys = _read_keys(docs, size, percent)
     sample = _read_keys(docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), size, percent)
@@ -151,17 +167,15 @@ def _candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     hot = counts.where(F.col("count") > HOT_SHARE * total).select(F.col("key").alias("hot"))
     salted = keys.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left").withColumn(
         "salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)))
-    star = Window.partitionBy("key", "salt").orderBy("node")
-    starred = salted.withColumn("first", F.first("node").over(star))
-    ties = stored(starred.where((F.col("node") != F.col("first")) | F.col("hot").isNotNull()).select("key", "hot", "node", "first").distinct())
-    firsts = ties.where("hot is not null").select("key", "first").distinct()
-    top = firsts.groupBy("key").agg(F.min("first").alias("top"))
-    edges = ties.select(F.col("node").alias("a"), F.col("first").alias("b")).union(
-        firsts.join(top, "key").select(F.col("first").alias("a"), F.col("top").alias("b")))
-    return components(edges)
+    bucket = Window.partitionBy("key", "salt")
+    # Two groups whose digests agree by chance are compared together, which loses nothing.
+    alike = F.xxhash64(F.bit_xor(F.xxhash64("node")).over(bucket), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30))).over(bucket))
+    marked = salted.withColumn("alike", alike).withColumn("others", F.min("node").over(bucket) != F.max("node").over(bucket))
+    return stored(marked.where(F.col("others") | F.col("hot").isNotNull()).select(
+        F.when(F.col("hot").isNotNull(), F.xxhash64("key", F.lit("hot"))).otherwise(F.col("alike")).alias("component"), "node").distinct())
 
 
-def _dealt(members: DataFrame, percent: int) -> DataFrame:
+def _dealt(members: DataFrame, percent: int, weight, block: int) -> DataFrame:
     """Adds tiles: an array of the tiles (strings) each member is compared in.
 
     A light component is one tile.  A heavy one is cut into size bands, in which a set can link only to
@@ -170,9 +184,9 @@ def _dealt(members: DataFrame, percent: int) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     banded = members.withColumn("band", band)
-    blocks = (banded.groupBy("component", "band").agg(F.sum("n").alias("weight"))
+    blocks = (banded.groupBy("component", "band").agg(F.sum(weight).alias("weight"))
               .groupBy("component").agg(F.sum("weight").alias("total"), F.map_from_entries(F.collect_list(F.struct(
-                  "band", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")))).alias("blocks")))
+                  "band", F.ceil(F.col("weight") / block).cast("int")))).alias("blocks")))
     joined = banded.join(blocks, "component")
     count = lambda shift: F.coalesce(F.try_element_at("blocks", F.col("band") + shift), F.lit(0))
     own = F.pmod(F.xxhash64("node"), count(0).cast("long")).cast("int")
@@ -184,53 +198,102 @@ def _dealt(members: DataFrame, percent: int) -> DataFrame:
     within = each(count(0), lambda j: name(b, F.least(i, j), b, F.greatest(i, j)))
     above = each(count(1), lambda j: name(b, i, b + 1, j))
     below = each(count(-1), lambda j: name(b - 1, j, b, i))
-    return joined.withColumn("tiles", F.when(F.col("total") <= 2 * BLOCK_SHINGLES, F.array(F.col("component").cast("string")))
-                             .otherwise(F.concat(within, above, below))).select("id", "node", "tiles")
+    return joined.withColumn("tiles", F.when(F.col("total") <= 2 * block, F.array(F.col("component").cast("string")))
+                             .otherwise(F.concat(within, above, below))).select(*members.columns, "tiles")
 
 
-def links_of_tile(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among sets (positions), bitmaps first, then exact intersections."""
-    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    sizes = np.array([len(sets[k]) for k in order], dtype=np.int64)
-    root = list(range(len(order)))
+class _Forest:
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
-    def find(x):
+    def find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    if len(order) > 8:
-        worst = int(sizes[-1]) * (100 - percent) // percent
-        bits = min(MOST_BITS, 1 << max(8, (8 * worst + 63).bit_length()))
-        maps = np.stack([np.packbits(np.bincount((mixed(sets[k]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-                                     .astype(np.uint8) & 1).view(np.uint64) for k in order])
-    for x in range(len(order)):
-        # Larger partners only: 100 * |x| >= percent * |y| is necessary.
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[x] = y
+        return x != y
+
+
+def plausible(sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, larger partners of x the bitmaps leave), sets given by ascending size.
+
+    overlap <= (|x| + |y| - bits of the xor) / 2, and 100 * overlap >= percent * (|x| + |y| - overlap) is asked for.
+    """
+    if len(sizes) == 2:
+        words = min(map(len, maps))
+        a, b = (int.from_bytes(folded(m, words).tobytes(), "little") for m in maps)
+        both, apart = int(sizes[0] + sizes[1]), (a ^ b).bit_count()
+        if 100 * sizes[0] >= percent * sizes[1] and (100 + percent) * (both - apart) >= 2 * percent * both:
+            yield 0, np.array([1])
+        return
+    words = min(map(len, maps))
+    table = np.stack([folded(m, words) for m in maps])
+    for x in range(len(sizes)):
         end = int(np.searchsorted(sizes, sizes[x] * 100 // percent, side="right"))
-        if end <= x + 1:
-            continue
-        if len(order) > 8:
-            apart = np.bitwise_count(maps[x + 1:end] ^ maps[x]).sum(axis=1, dtype=np.int64)
-            # overlap <= (|x| + |y| - apart) / 2, and 100 i >= percent (|x| + |y| - i) is asked for
+        if end > x + 1:
+            apart = np.bitwise_count(table[x + 1:end] ^ table[x]).sum(axis=1, dtype=np.int64)
             both = sizes[x + 1:end] + sizes[x]
-            others = np.nonzero((100 + percent) * (both - apart) >= 2 * percent * both)[0] + x + 1
-        else:
-            others = range(x + 1, end)
+            yield x, np.nonzero((100 + percent) * (both - apart) >= 2 * percent * both)[0] + x + 1
+
+
+def links_of_tile(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links among sets (positions), bitmaps first, then exact intersections."""
+    if len(sets) < 2:
+        return
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    forest = _Forest(len(order))
+    sizes = np.array([len(sets[k]) for k in order], dtype=np.int64)
+    for x, others in plausible(sizes, [bitmap(sets[k], percent) for k in order], percent):
         a = sets[order[x]]
-        for y in others:
-            y = int(y)
-            if (rx := find(x)) == (ry := find(y)):
+        for y in others.tolist():
+            if forest.find(x) == forest.find(y):
                 continue
             b = sets[order[y]]
             at = np.searchsorted(b, a)
             at[at == len(b)] = 0
             common = int((b[at] == a).sum())
             if 100 * common >= percent * (len(a) + len(b) - common):
-                root[rx] = ry
+                forest.join(x, y)
                 yield order[x], order[y]
 
 
+def _by_tile(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows of each tile of a partition sorted by tile."""
+    rows = (row for batch in batches for row in zip(batch["tile"], *(batch[c] for c in columns), strict=True))
+    for _, group in groupby(rows, key=lambda row: row[0]):
+        yield [row[1:] for row in group]
+
+
+def _edges(found: Iterator[tuple[int, int]], most: int = 10_000) -> Iterator[pd.DataFrame]:
+    while out := list(islice(found, most)):
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def _narrowed(members: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, component): components of the pairs of a group that the bitmaps leave."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found():
+            for rows in _by_tile(batches, ["n", "node", "bits"]):
+                rows.sort(key=lambda row: row[:2])
+                forest = _Forest(len(rows))
+                if len(rows) < 2:
+                    continue
+                sizes = np.array([row[0] for row in rows], dtype=np.int64)
+                for x, others in plausible(sizes, [np.frombuffer(row[2], dtype=np.uint64) for row in rows], percent):
+                    for y in others.tolist():
+                        if forest.join(x, y):
+                            yield int(rows[x][1]), int(rows[y][1])
+        yield from _edges(found())
+
+    dealt = _dealt(members, percent, F.lit(1), BLOCK_BITMAPS).select(F.explode("tiles").alias("tile"), "n", "node", "bits")
+    return components(dealt.repartition("tile").sortWithinPartitions("tile").mapInPandas(compare, "a long, b long"))
+
+
 def _verified(docs: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes, a spanning forest of each tile."""
     # The number of members grows with the documents: the same join at every size.
@@ -255,26 +318,14 @@ def _verified(docs: DataFrame, dealt: DataFrame, size: int, percent: int) -> Dat
         if frames:
             yield pd.concat(frames)
 
-    def compare(nodes, elements):
-        sets = dict(zip(nodes, elements, strict=True))
-        names = sorted(sets)
-        arrays = [np.frombuffer(sets[k], dtype=np.uint64) for k in names]
-        return [(names[x], names[y]) for x, y in links_of_tile(arrays, percent)]
-
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile, nodes, elements = None, [], []
-        for batch in batches:
-            out = []
-            for t, node, e in zip(batch["tile"], batch["node"], batch["elements"], strict=True):
-                if t != tile:
-                    out += compare(nodes, elements)
-                    tile, nodes, elements = t, [], []
-                nodes.append(int(node))
-                elements.append(e)
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-        if out := compare(nodes, elements):
-            yield pd.DataFrame(out, columns=["a", "b"])
+        def found():
+            for rows in _by_tile(batches, ["node", "elements"]):
+                sets = dict(rows)  # a row that repeats an id and a text is there twice
+                names = sorted(sets)
+                for x, y in links_of_tile([np.frombuffer(sets[k], dtype=np.uint64) for k in names], percent):
+                    yield int(names[x]), int(names[y])
+        yield from _edges(found())
 
     filled = texts.mapInPandas(lambda x: gathered(read(x)), "tile string, node long, elements binary")
     return filled.repartition("tile").sortWithinPartitions("tile").mapInPandas(tiles, "a long, b long")
@@ -292,14 +343,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     no rows; other columns are ignored.
     """
     given = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    sets = stored(_read_sets(given, size))
+    sets = stored(_read_sets(given, size, percent))
     filled = sets.where("n > 0")
-    nodes = filled.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"))
-    groups = _candidate_groups(given, size, percent)
+    nodes = filled.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bits").alias("bits"),
+                                       F.min("check").alias("c1"), F.max("check").alias("c2")).where("id is not null")
     twice = F.raise_error(F.lit("two sets share a 64-bit digest"))
-    members = groups.join(nodes, "node").where("id is not null").withColumn(
-        "n", F.when(F.col("c1") == F.col("c2"), F.col("n")).otherwise(twice.cast("long")))
-    dealt = stored(_dealt(members.select("node", "component", "id", "n"), percent))
+    nodes = nodes.withColumn("n", F.when(F.col("c1") == F.col("c2"), F.col("n")).otherwise(twice.cast("long")))
+    groups = _candidate_groups(given, size, percent)
+    close = _narrowed(groups.join(nodes, "node").select("component", "node", "n", "bits"), percent)
+    members = close.join(nodes, "node").select("id", "node", "component", "n")
+    dealt = stored(_dealt(members, percent, F.col("n"), BLOCK_SHINGLES).select("id", "node", "tiles"))
     linked = components(_verified(given, dealt, size, percent))
     labelled = filled.select("id", "n", "node").join(linked, "node", "left").select(
         "id", "n", F.coalesce("component", "node").alias("c"))

@@ -39,6 +39,7 @@ def test_against_every_pair(docs_of, size, percent):
 
 def test_blocks_and_salted_keys(docs_of, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 600)
+    monkeypatch.setattr(jaccard, "BLOCK_BITMAPS", 12)
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
     monkeypatch.setattr(jaccard, "HOT_SHARE", 0.0001)
     rows = families(7, 2, 70, 120)
