@@ -1,12 +1,15 @@
 """Licence recognition by sentences and rules.
 
-Texts are cut into sentences, normalised sentences are looked up among known licence sentences, and the
-sequence of identifiers a document has, in order, is matched against rules: a rule fires when its
-identifiers occur in that order, others between them allowed, and none of the identifiers that rule it
-out occurs anywhere.
+Texts are cut where a sentence may begin or end, known licence sentences are looked for from one such cut
+to another, and the sequence of identifiers a document has, in order, is matched against rules: a rule
+fires when its identifiers occur in that order, others between them allowed, and none of the identifiers
+that rule it out occurs anywhere.
 
-The known sentences are a fixed list, so they travel as a broadcast table; only matched sentences are
-shuffled, keyed by the document they are in.
+A line break, ":" and ";" may end a sentence or stand inside one, so notices on a line of their own are
+found as well as sentences wrapped over lines, in comments too.  A blank line, ".", "!" and "?" always end one.
+
+The known sentences are a fixed list, so they travel as a pattern and a broadcast table; only matched
+sentences are shuffled, keyed by the document they are in.
 """
 from __future__ import annotations
 
@@ -69,24 +72,45 @@ RULES = (
     ("Unlicense", ("unlicense",), ()),
     ("Reserved", ("reserved",), ()),
 )
-#: A sentence ends at a line break followed by a blank line or another line that starts anew, or at a mark followed by a blank.
-BOUNDARY = r"[.!?:;]+(?:\s+|$)|\n"
+#: Rewriting of a text in lower case with "|" before it, in order: what is left are words, each followed by a blank,
+#: by a line feed where a sentence may end or go on, or by "|" where it ends.
+CUTS = (
+    (r"(?<=[\n|])[^a-z0-9\n]*+(?:dnl|rem)\b", ""),  # comment leaders that are words; all others are no letters or digits
+    (r"\n[^a-z0-9|]*\n[^a-z0-9|]*", "|"),  # lines without a word
+    (r"\n[^a-z0-9|]+", "\n"),
+    (r"(?<=[\n|])(\W{0,3}[a-z0-9]{1,3}\))", "$1\n"),  # 1) and (a) start a list item; 1. is a mark
+    (r"\bv\.\s+", "v "),
+    (r"(?<![.!?:;])[:;]*+[.!?][.!?:;]*+(?:\s+|$)", "|"),
+    (r"(?<![.!?:;])[:;]++(?:\s+|$)", "\n"),
+    (r"[^a-z0-9\n|]+", " "),
+    (r" ?([\n|]) ?", "$1"),
+)
 # -----------------------------------------------------------------------------------------------------
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case A-Z, every run of other characters than letters and digits one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """The words of a text in lower case A-Z and digits, with the places where sentences end, as CUTS says."""
+    out = F.concat(F.lit("|"), F.translate(F.lower(text), "|", "_"))
+    for pattern, new in CUTS:
+        out = F.regexp_replace(out, pattern, new)
+    return F.concat(out, F.lit("|"))
 
 
 def known_sentences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SENTENCES), "sentence_id string, sentence string")
 
 
+def _pattern() -> str:
+    """Known sentences from one end to another; of those that begin at one place the longest."""
+    longest = sorted((s for _, s in SENTENCES), key=len, reverse=True)
+    return "[|\n](" + "|".join(s.replace(" ", r"[ \n]++") for s in longest) + r")(?=[|\n])"
+
+
 def matched_sentences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, at, sentence_id): the known sentences of each text, ``at`` counting its sentences from 0."""
-    cut = docs.select(F.col(id_column), F.posexplode(F.split(F.col(text_column), BOUNDARY)).alias("at", "raw"))
-    clean = cut.select(id_column, "at", normalised(F.col("raw")).alias("sentence"))
+    """Rows (id, at, sentence_id): the known sentences of each text, ``at`` counting them from 0."""
+    runs = F.regexp_extract_all(marked(F.col(text_column)), F.lit(_pattern()), F.lit(1))
+    cut = docs.select(F.col(id_column), F.posexplode(runs).alias("at", "raw"))
+    clean = cut.select(id_column, "at", F.regexp_replace("raw", r"\n+", " ").alias("sentence"))
     return clean.join(F.broadcast(known_sentences(docs.sparkSession)), "sentence").select(id_column, "at", "sentence_id")
 
 
