@@ -141,8 +141,17 @@ _DIGIT_DOT = re.compile(rf"(?<=[0-9])\s++(?:{_DOTS})\s++(?=[0-9])", re.I)
 _SPELLED_RUN = re.compile(
     rf"(?<!\w)(?:plus\s++)?(?:{_DIGITS}|[0-9]++)(?:(?:\s++(?:{_DOTS})\s++|[ .()-]{{1,3}})(?:{_DIGITS}|[0-9]++)(?!\w))+", re.I)
 _SPELLED_PART = re.compile(rf"(plus\s++)|({_DIGITS})(?!\w)|\s++({_DOTS})\s++|([ .()-]{{1,3}})|([0-9]++)", re.I)
+#: The part of _SPOKEN_ADDRESS from a spoken "at" on; what stands before it is optional.
+_SPOKEN_AT = re.compile(rf"\s(?:{_ATS})\s++[a-z0-9-]++(?:\s++(?:{_DOTS})\s|\.[a-z0-9-])", re.I)
 _BRACKET_HINT = re.compile(rf"[\[({{<]\s*+(?:{_ATS}|@|{_DOTS}|\.)\s*+[\])}}>]", re.I)
-_DIGIT_SET, _DOT_SET = frozenset(DIGIT_WORDS), frozenset(DOT_WORDS)
+_AT_SET, _DIGIT_SET, _DOT_SET = frozenset(AT_WORDS), frozenset(DIGIT_WORDS), frozenset(DOT_WORDS)
+#: Letters re.I takes for "s" and "i" and lower() does not.
+_FOLDED = {ord("ſ"): "s", ord("ı"): "i", ord("İ"): "i"}
+
+
+def _low(text: str) -> str:
+    """Lower case as re.I sees it."""
+    return (text if text.isascii() else text.translate(_FOLDED)).lower()
 
 
 class Tape:
@@ -196,7 +205,7 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
             if part.group(1):
                 edits.append((*part.span(), "+"))
             elif part.group(2):
-                edits.append((*part.span(), DIGIT_WORDS[part.group(2).lower()]))
+                edits.append((*part.span(), DIGIT_WORDS[_low(part.group(2))]))
             elif part.group(3):
                 edits.append((*part.span(), "."))
             elif part.group(4) == " " and parts[k - 1].group(2) and k + 1 < len(parts) and parts[k + 1].group(2):
@@ -215,12 +224,22 @@ def _spelled(low: str) -> bool:
     return any(map(and_, digits, digits[1:]))
 
 
+def _spoken_at(low: str) -> bool:
+    """Whether a spoken "at" stands before a word with a "." inside or a spoken dot behind it."""
+    words = low.split()
+    if _AT_SET.isdisjoint(words):
+        return False
+    return any("." in b[1:-1] or c in _DOT_SET for a, b, c in zip(words, words[1:], [*words[2:], ""]) if a in _AT_SET)
+
+
 def disguised(text: str) -> bool:
     """Whether some transducer may change the text; a cheap look that never misses one."""
     if not text.isascii() and not _MAPPED.isdisjoint(set(text)):
         return True
-    low = text.lower()
-    if any(word in low for word in DOT_WORDS) and (_SPOKEN_ADDRESS.search(text) or _DIGIT_DOT.search(text)):
+    low = _low(text)
+    if _spoken_at(low) and _SPOKEN_AT.search(text):
+        return True
+    if any(word in low for word in DOT_WORDS) and ("@" in text and _SPOKEN_ADDRESS.search(text) or _DIGIT_DOT.search(text)):
         return True
     if any(bracket in text for bracket in "[({<") and _BRACKET_HINT.search(text):
         return True

@@ -74,3 +74,26 @@ def test_odd_rows(docs_of):
     assert pii.find_pii(docs_of([])).collect() == []
     for text in ("a" * 300_000, "1" * 300_000, "@" * 100_000, "one " * 50_000, " " * 200_000, "1.2." * 50_000):
         pii.all_spans(text)
+
+
+def ungated(text):
+    """all_spans with every text rewritten, whatever disguised() says of it."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "disguised", lambda _: True)
+        return pii.all_spans(text)
+
+
+def test_spoken_at_with_plain_dots():
+    for text, part in (("write to john at example.com", "john at example.com"), ("john arroba example.com.mx now", "john arroba example.com.mx"),
+                       ("a john\nÄT example.de", "john\nÄT example.de"), ("to john@example punkt com", "john@example punkt com")):
+        at = text.index(part)
+        assert pii.all_spans(text) == [("email", at, at + len(part))], text
+    assert pii.all_spans("he stayed at home.  Then at 5.30 he left") == ungated("he stayed at home.  Then at 5.30 he left")
+
+
+def test_the_look_misses_no_spoken_address():
+    rng = random.Random(6)
+    bits = ["john", "doe", "x9", "@", " at ", "\tAT ", " arroba ", "\nät ", " dot ", " poİnt ", ".", ". ", "example", ".com", " ", "\n", "-", ",", "9", " punKt ", "é"]
+    for _ in range(60_000):
+        text = "".join(rng.choices(bits, k=rng.randint(2, 10)))
+        assert pii.all_spans(text) == ungated(text), text
