@@ -16,7 +16,6 @@ import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
-from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -145,6 +144,9 @@ _SPELLED_PART = re.compile(rf"(plus\s++)|({_DIGITS})(?!\w)|\s++({_DOTS})\s++|([
 _SPOKEN_AT = re.compile(rf"\s(?:{_ATS})\s++[a-z0-9-]++(?:\s++(?:{_DOTS})\s|\.[a-z0-9-])", re.I)
 _BRACKET_HINT = re.compile(rf"[\[({{<]\s*+(?:{_ATS}|@|{_DOTS}|\.)\s*+[\])}}>]", re.I)
 _AT_SET, _DIGIT_SET, _DOT_SET = frozenset(AT_WORDS), frozenset(DIGIT_WORDS), frozenset(DOT_WORDS)
+_WORD = re.compile(r"\w+")
+#: Everything but the word characters of ASCII becomes a blank.
+_ASCII_WORDS = bytes(c if _WORD.match(chr(c)) and c < 128 else 32 for c in range(256))
 #: Letters re.I takes for "s" and "i" and lower() does not.
 _FOLDED = {ord("ſ"): "s", ord("ı"): "i", ord("İ"): "i"}
 
@@ -214,14 +216,21 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled(low: str) -> bool:
-    """Whether enough digit words occur, two of them next to each other or around a spoken dot."""
-    words = low.replace("-", " ").replace(".", " ").replace("(", " ").replace(")", " ").split()
-    if _DIGIT_SET.isdisjoint(set(words)):
+    """Whether enough digit words stand among digits and spoken dots, with any marks between them."""
+    words = low.encode().translate(_ASCII_WORDS).decode().split() if low.isascii() else _WORD.findall(low)
+    if _DIGIT_SET.isdisjoint(words):
         return False
     if sum(map(_DIGIT_SET.__contains__, words)) < LEAST_SPELLED:
         return False
-    digits = [w in _DIGIT_SET or w.isdecimal() for w in words if w not in _DOT_SET]
-    return any(map(and_, digits, digits[1:]))
+    count = 0
+    for word in words:
+        if word in _DIGIT_SET:
+            count += 1
+            if count == LEAST_SPELLED:
+                return True
+        elif word not in _DOT_SET and not word.isdecimal():
+            count = 0
+    return False
 
 
 def _spoken_at(low: str) -> bool:

@@ -97,3 +97,22 @@ def test_the_look_misses_no_spoken_address():
     for _ in range(60_000):
         text = "".join(rng.choices(bits, k=rng.randint(2, 10)))
         assert pii.all_spans(text) == ungated(text), text
+
+
+def test_spelled_digits_beside_marks():
+    for text, kind, part in (("+1 555 867 five three zero nine, thanks", "phone", "+1 555 867 five three zero nine"),
+                             ("it is 'one dot two dot three dot four', yes", "ip", "one dot two dot three dot four"),
+                             ("tel:plus four nine 1234567 five six/x", "phone", "plus four nine 1234567 five six"),
+                             ("é \"one dot two dot three dot ſix\"", "ip", "one dot two dot three dot ſix")):
+        at = text.index(part)
+        assert (kind, at, at + len(part)) in pii.all_spans(text), text
+    assert not pii.disguised("one, or two; then three words and four")
+
+
+def test_the_look_misses_no_spelled_digits():
+    rng = random.Random(7)
+    bits = ["one", "two", "Three", "FÜNF", "ſix", "fıve", "NİNE", "un", "plus", "+", "12", "7", "٣", "dot", "point", "at", "x", "é", "_", "@", "com"]
+    marks = [" ", " ", " ", "  ", ".", ",", ":", "/", "'", '"', "-", "(", ") ", "", ";", "\n", "[", "]"]
+    for _ in range(60_000):
+        text = "".join(rng.choice(bits[:9] if rng.random() < 0.7 else bits) + rng.choice(marks) for _ in range(rng.randint(4, 12)))
+        assert pii.all_spans(text) == ungated(text), text
