@@ -1,7 +1,10 @@
 """Benchmark decontamination by templates.
 
-Words are stripped of punctuation and lower-cased; numbers, units after a number and names (capitalised
-inside a sentence) become typed placeholders.  Windows of templates are hashed on both sides and joined
+Words are stripped of punctuation and lower-cased; numbers, units after a number and names become typed
+placeholders.  A number with a unit glued to it counts as two words.  What is a name, or a glued number, is
+read in two ways, and windows of both count: strictly (capitalised inside a sentence; glued ones literal) and
+openly (any capitalised word that is no function word, at a sentence start as well; glued ones placeholders).
+Windows of templates are hashed on both sides and joined
 by hash; the joined windows are compared template by template, and then their slots: along one alignment
 of a document with an item, equal values of the item have to stand for equal values of the document.
 So a question with other numbers or names is caught and a chance match of unlike fillings is not.
@@ -37,8 +40,19 @@ ml cl l litre litres liter liters gallon gallons s sec secs second seconds min m
 day days week weeks month months year years dollar dollars euro euros cent cents usd eur gbp percent degrees celsius
 fahrenheit kelvin hz khz mhz ghz w kw mw v kv a j kj kwh n pa kpa bar kmh mph
 """.split())
+#: Words that are no names when they are capitalised; words that also are names are left out.
+FUNCTION_WORDS = frozenset("""
+a the this that these those each every some any all both no if when while where what which who whose whom why how then there
+here he she it we you they i his her its our your their is are was were be been do does did has have had for from to of on at
+in by with after before during since because and or but so as than not only suppose assume consider calculate compute find
+der die das ein eine wenn wann wie was wer wo warum und oder aber er sie wir ihr ist sind hat haben
+le la les une quand comment pourquoi qui que quel quelle combien et ou mais il elle nous vous ils elles est sont
+el los las cuando como donde quien cual cuanto cuantos y pero nosotros ellos ellas es son
+""".split())
 PUNCTUATION = b"\"'`.,;:!?()[]{}<>"
 # ----------------------------------------------------------------------------------------------------
+_GLUED = re.compile(rb"([+-]?[$]?[0-9][0-9.,/:]*)([A-Za-z]+)\Z")
+_ORDINAL = re.compile(rb"[0-9][0-9,]*(?:st|nd|rd|th)\Z", re.I)
 _NUMBER = re.compile(rb"[+-]?[$]?[0-9][0-9.,/:]*%?\Z")
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -56,7 +70,8 @@ class Lexicon(dict):
     def clear(self):
         super().clear()
         self.hash = np.zeros(1 << 12, dtype=np.uint64)
-        self.flags = np.zeros(1 << 12, dtype=np.uint8)  # 1 number, 2 unit word, 4 capitalised, 8 ends a sentence
+        # 1 number, 2 unit word, 4 capitalised, 8 ends a sentence, 16 function word, 32 ordinal
+        self.flags = np.zeros(1 << 12, dtype=np.uint8)
 
     def __missing__(self, word: bytes) -> int:
         row = len(self)
@@ -68,45 +83,85 @@ class Lexicon(dict):
         low = text.lower()
         self.hash[row] = xxhash.xxh3_64_intdigest(low.encode())
         self.flags[row] = (bool(_NUMBER.match(bare)) + 2 * (low in UNITS) + 4 * text[:1].isupper()
-                           + 8 * (word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?", b":")))
+                           + 8 * (word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?", b":")) + 16 * (low in FUNCTION_WORDS)
+                           + 32 * bool(_ORDINAL.match(bare)))
         self[word] = row
         return row
 
 
-def templates(words: list[bytes], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its kind, the hash of its template, the hash of the bare word."""
+def split_glued(text: str | None) -> tuple[list[bytes], np.ndarray]:
+    """Words of a text, a number and a unit glued to it as two, and which words come from such a split."""
+    words, out, glued = split_words(text), [], []
+    for word in words:
+        if word.isalpha() or not (found := _glued(word)):
+            out.append(word)
+        else:
+            glued.append(len(out))
+            out += found
+    marks = np.zeros(len(out), dtype=bool)
+    marks[glued] = True
+    marks[1:] |= marks[:-1].copy()
+    return out, marks
+
+
+def _glued(word: bytes) -> tuple[bytes, bytes] | None:
+    """The number with what stands before it and the unit with what stands behind it."""
+    bare = word.strip(PUNCTUATION)
+    found = _GLUED.match(bare) if bare[-1:].isalpha() else None
+    if not found or found.group(2).lower().decode() not in UNITS:
+        return None
+    at = word.index(bare) + found.end(1)
+    return word[:at], word[at:]
+
+
+def templates(words: list[bytes], glued: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: its kind read strictly, its kind read openly, the hash of the bare word."""
     if len(lexicon) > 400_000:
         lexicon.clear()
     rows = np.fromiter(map(lexicon.__getitem__, words), dtype=np.int64, count=len(words))
     bare, flags = lexicon.hash[rows], lexicon.flags[rows]
     number = (flags & 1) > 0
-    kind = np.where(number, NUMBER, LITERAL)
-    kind[1:][((flags[1:] & 2) > 0) & number[:-1]] = UNIT
-    kind[1:][((flags[1:] & 4) > 0) & ((flags[:-1] & 8) == 0) & (kind[1:] == LITERAL)] = NAME
-    return kind, np.where(kind == LITERAL, bare, _SIGN_HASHES[kind]), bare
+    kind = np.where(number & ~glued, NUMBER, LITERAL)
+    kind[1:][((flags[1:] & 2) > 0) & number[:-1] & ~glued[1:]] = UNIT
+    open_kind = np.where(number | ((flags & 32) > 0), NUMBER, LITERAL)
+    open_kind[1:][((flags[1:] & 2) > 0) & number[:-1]] = UNIT
+    kind[1:][((flags[1:] & 4) > 0) & ((flags[:-1] & 8) == 0) & (kind[1:] == LITERAL) & ~glued[1:]] = NAME
+    open_kind[((flags & 4) > 0) & ((flags & 16) == 0) & (open_kind == LITERAL)] = NAME
+    return kind, open_kind, bare
 
 
-def windows(words: list[bytes], lexicon: Lexicon, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash) of windows and the kinds of the words; fewer words than a window make none.
+#: Readings a window belongs to, as bits.
+STRICT, OPEN = 1, 2
 
-    Every window counts with its words, and with its template if that has placeholders and at least
-    half its words are literal.
-    """
-    kind, canonical, bare = templates(words, lexicon)
-    if len(words) < size:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), kind
-    own = window_hashes(bare, size)
-    starts = np.arange(len(own))
-    if (kind != LITERAL).any():
-        literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-        literal = literal[size:] - literal[:-size]
-        told = np.nonzero((literal < size) & (2 * literal >= size))[0]
-        own = np.concatenate((own, window_hashes(canonical, size)[told] ^ _TEMPLATE))
-        starts = np.concatenate((starts, told))
-    return starts, own.view(np.int64), kind
 
+def windows(words: list[bytes], glued: np.ndarray, lexicon: Lexicon, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(start, hash, readings) of windows and the kinds of the words by reading; fewer words than a window make none.
 
-_ROWS = "hash long, size int, at int, kinds array<int>, words array<string>"
+    Every window counts with its words, and with its templates, one or two, if they have placeholders and at
+    least half their words are literal.
+    """
+    kind, open_kind, bare = templates(words, glued, lexicon)
+    kinds = [kind, kind, open_kind, kind]
+    if len(words) < size:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), kinds
+    own = [window_hashes(bare, size)]
+    starts = [np.arange(len(own[0]))]
+    readings = [np.full(len(own[0]), STRICT | OPEN)]
+    sums = lambda marks: (total := np.concatenate(([0], np.cumsum(marks))))[size:] - total[:-size]
+    differ = sums(kind != open_kind) > 0
+    for reading, its in ((STRICT, kind), (OPEN, open_kind)):
+        literal = sums(its == LITERAL)
+        told = (literal < size) & (2 * literal >= size)
+        told = np.nonzero(told & differ if reading == OPEN else told)[0]
+        if len(told):
+            canonical = np.where(its == LITERAL, bare, _SIGN_HASHES[its])
+            own.append(window_hashes(canonical, size)[told] ^ _TEMPLATE)
+            starts.append(told)
+            readings.append(np.where(differ[told], reading, STRICT | OPEN))
+    return np.concatenate(starts), np.concatenate(own).view(np.int64), np.concatenate(readings), kinds
+
+
+_ROWS = "hash long, size int, at int, reading int, kinds array<int>, words array<string>"
 
 
 def _row(own: list[bytes], kind: np.ndarray, at: int, size: int) -> tuple[list[int], list[str]]:
@@ -122,14 +177,14 @@ def _benchmark_windows(items: DataFrame, id_column: str, text_column: str, size:
         for batch in batches:
             out = []
             for item, text in zip(batch["id"], batch["text"], strict=True):
-                words = split_words(text)
+                words, glued = split_glued(text)
                 if not words:
                     continue
                 own = min(size, len(words))
-                starts, hashes, kind = windows(words, lexicon, own)
-                out += [(item, int(h), own, int(at), *_row(words, kind, at, own)) for at, h in zip(starts, hashes, strict=True)]
+                starts, hashes, readings, kinds = windows(words, glued, lexicon, own)
+                out += [(item, int(h), own, int(at), int(r), *_row(words, kinds[r], at, own)) for at, h, r in zip(starts, hashes, readings, strict=True)]
             if out:
-                yield pd.DataFrame(out, columns=["item", "hash", "size", "at", "kinds", "words"])
+                yield pd.DataFrame(out, columns=["item", "hash", "size", "at", "reading", "kinds", "words"])
 
     given = items.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     return given.mapInPandas(cut, f"item {kind_of}, {_ROWS}")
@@ -166,15 +221,15 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
         for batch in batches:
             out = []
             for doc, text in zip(batch["id"], batch["text"], strict=True):
-                words = split_words(text)
+                words, glued = split_glued(text)
                 for size in sizes:
-                    starts, hashes, kind = windows(words, lexicon, size)
+                    starts, hashes, readings, kinds = windows(words, glued, lexicon, size)
                     slot = hashes % BITS
                     for k in np.nonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)[0].tolist():
-                        at = int(starts[k])
-                        out.append((doc, int(hashes[k]), size, at, *_row(words, kind, at, size)))
+                        at, reading = int(starts[k]), int(readings[k])
+                        out.append((doc, int(hashes[k]), size, at, reading, *_row(words, kinds[reading], at, size)))
             if out:
-                yield pd.DataFrame(out, columns=["doc", "hash", "size", "at", "kinds", "words"])
+                yield pd.DataFrame(out, columns=["doc", "hash", "size", "at", "reading", "kinds", "words"])
 
     given = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = given.mapInPandas(probe, f"doc {kind_of}, {_ROWS}")
@@ -185,13 +240,16 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
     copy = F.col("d.words") == F.col("b.words")
     joined = d.join(b, (F.col("d.hash") == F.col("b.hash")) & (F.col("d.size") == F.col("b.size"))).where(
         copy | (same & (literals("d") == literals("b"))))
-    aligned = joined.select("doc", "item", (F.col("d.at") - F.col("b.at")).alias("shift"), F.col("b.at").alias("at"), copy.alias("copy"), slots.alias("slots"))
-    # One alignment has at most as many slots as the item has words.
-    told = aligned.groupBy("doc", "item", "shift").agg(
-        F.count_distinct("at").alias("n"), F.max("copy").alias("copy"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
-    fits = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["theirs"]))))
-    kept = told.where(F.col("copy") | fits)
+    aligned = joined.select("doc", "item", (F.col("d.at") - F.col("b.at")).alias("shift"), F.col("b.at").alias("at"),
+                            F.col("d.reading").bitwiseAND(F.col("b.reading")).alias("reading"), copy.alias("copy"), slots.alias("slots"))
+    # The slots have to fit within one reading or across both.  One alignment has at most as many slots as twice the item's words.
+    ways = {"strict": F.col("reading").bitwiseAND(STRICT) > 0, "open": F.col("reading").bitwiseAND(OPEN) > 0, "any": F.lit(True)}
+    told = aligned.groupBy("doc", "item", "shift").agg(F.max("copy").alias("copy"), *(column for way, of in ways.items() for column in (
+        F.count_distinct(F.when(of, F.col("at"))).alias(f"n_{way}"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(of, F.col("slots"))))).alias(f"pairs_{way}"))))
+    fits = lambda way: F.size(f"pairs_{way}") == F.size(F.array_distinct(F.transform(f"pairs_{way}", lambda x: F.struct(x["kind"], x["theirs"]))))
+    n = F.greatest(*(F.when(F.col("copy") | fits(way) if way == "any" else fits(way), F.col(f"n_{way}")).otherwise(0) for way in ways))
+    kept = told.withColumn("n", n).where("n > 0")
     return kept.groupBy(F.col("doc").alias(id_column), F.col("item").alias(item_column)).agg(
         F.sum("n").alias("n_windows"), F.when(F.max("copy"), "copy").otherwise("reparameterised").alias("kind"))
 

@@ -49,3 +49,23 @@ def test_every_planted_item_is_found(spark):
             runs.setdefault(tuple(w[k:k + 13]), set()).add(r["item_id"])
     want = {(d, i) for d, w in texts for k in range(len(w) - 12) for i in runs.get(tuple(w[k:k + 13]), ())}
     assert want and want <= set(pairs(docs, items))
+
+
+def test_names_that_start_sentences(docs_of, spark):
+    item = "Tom has 5 apples. Tom buys 7 more at the store. Tom gives 3 apples to his sister. How many apples does Tom have now?"
+    short = "Tom walks from home to the old mill and back twice a day."
+    other = lambda text, name: text.replace("Tom", name)
+    docs = docs_of([(1, other(item, "Anna")), (2, f"{FILL} {other(item, 'Anna').replace('5', '9')} {FILL}"), (3, f"{FILL}. {other(short, 'Will')}"), (4, item),
+                    # One name of the item cannot be three.
+                    (5, "Anna has 5 pears. Bert buys 7 more in a shop. Carl gives 3 away."), (6, "Anna has 5 pears. Anna buys 8 more in a shop. Anna gives 3 away.")])
+    assert pairs(docs, items_of(spark, [(1, item), (2, short), (3, "Tom has 5 pears. Tom buys 7 more in a shop. Tom gives 3 away.")])) == {
+        (1, 1): "reparameterised", (2, 1): "reparameterised", (3, 2): "reparameterised", (4, 1): "copy", (6, 3): "reparameterised"}
+
+
+def test_glued_units_and_ordinals(docs_of, spark):
+    item = "a farmer carries 12kg of pears over 5km on the 3rd day and sells the pears for $7 at noon."
+    new = item.replace("12kg", "31kg").replace("5km", "8km").replace("3rd", "2nd")
+    docs = docs_of([(1, new), (2, new.replace("31kg", "31 kg").replace("8km", "8 km")), (3, item),
+                    (4, " ".join(f"{k}kg" for k in range(40)))])
+    assert pairs(docs, items_of(spark, [(1, item), (2, " ".join(f"{k}kg" for k in range(100, 140)))])) == {
+        (1, 1): "reparameterised", (2, 1): "reparameterised", (3, 1): "copy"}
