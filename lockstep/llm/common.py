@@ -60,6 +60,11 @@ def fold_ascii(column):
     return F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER)
 
 
+def let(value, use):
+    """use(value) with value computed once: inside a lambda a plain expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets all words once it holds too many."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, licenses, pii, quality, substring, url_filter
+from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, licenses, line_dedup, pii, quality, substring, url_filter
 from lockstep.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, entries).select("page_id", "host", "matched_domain", "matched_action", "allowed")
 
 
+@register("op11_line_dedup", r"""
+with lines as (
+  select doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)),
+keyed as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+common as (
+  select key, max(doc_id) as holder from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+told as (select k.*, c.key is not null and k.doc_id <> c.holder as gone from keyed k left join common c on k.key = c.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from told group by doc_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=40, least_docs=5, emit_text=False)
+    return found.drop("keep_bitmap")
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
