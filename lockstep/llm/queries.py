@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, licenses, line_dedup, pii, quality, substring, url_filter
-from lockstep.llm.common import read
+from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, licenses, line_dedup, pii, prefix_trie, quality, substring, url_filter
+from lockstep.llm.common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -180,6 +180,34 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("keep_bitmap")
 
 
+@register("op13_prefix_trie", r"""
+with told as (
+  select conv_id, list({'said': length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''), 'size': length(coalesce(text, ''))}
+                       order by turn nulls first, role, text) as turns
+  from conversations where conv_id is not null group by conv_id),
+heads as (
+  select *, (xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)),
+                             lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))),
+                 4294967295) % 6)::int as h from told),
+rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.turns[:c.h], []), c.turns[c.h + 1:]) as turns
+  from heads c left join told b on b.conv_id = c.conv_id - c.conv_id % 100),
+members as (select conv_id, len(turns) as n, unnest(range(len(turns) + 1)) as depth, turns from rebuilt),
+nodes as (
+  select turns[:depth] as path, depth, min(conv_id) as conv_id, count(*) as n_convs, coalesce(any_value(turns[depth].size), 0) as size,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = depth), '')) as ends_sha256
+  from members group by 1, 2),
+children as (select path[:depth - 1] as path, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by 1, 2),
+counted as (select n.*, coalesce(c.n_children, 0) as n_children from nodes n left join children c on n.path = c.path and n.depth = c.depth),
+shares as (select path, unnest(range(depth + 1)) as depth, (n_children = 0)::int as leaf, (n_convs - 1) * size as saved from counted),
+subtrees as (select path[:depth] as path, depth, sum(leaf)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from shares group by 1, 2)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+from counted n join subtrees s on n.path = s.path and n.depth = s.depth left join nodes p on p.path = n.path[:n.depth - 1] and p.depth = n.depth - 1""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stored(prefix_trie.turn_paths(read(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(own))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
