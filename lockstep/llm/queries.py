@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, licenses, line_dedup, pii, prefix_trie, quality, substring, url_filter
+from lockstep.llm import bpe, chat, decontaminate, exact_dedup, jaccard, licenses, line_dedup, pii, prefix_trie, quality, substring, token_align, url_filter
 from lockstep.llm.common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -180,6 +182,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("keep_bitmap")
 
 
+@register("op12_token_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.token_alignment(read(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, PIECE_BPE, emit_groups=False)
+
+
 @register("op13_prefix_trie", r"""
 with told as (
   select conv_id, list({'said': length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''), 'size': length(coalesce(text, ''))}
