@@ -10,8 +10,9 @@ such keys; their documents are counted by an aggregate that combines before its
 finds, one row a key, is broadcast to their lines.  The sample only decides which of both ways a key
 goes; both give the same rows.
 
-What leaves the operator are positions, packed per document as runs of dropped lines, never text.  The
-texts move once, to meet their bitmaps, and only where the caller wants them cut.  Column expressions only.
+What leaves the streams are positions, packed per document as runs of dropped lines, never text.  To cut the
+texts, a broadcast sieve of at most MOST_BITS bits names the documents that can have lost something; only
+their texts move, to meet their bitmaps.  All others are finished where they are.  Column expressions only.
 """
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ from lockstep.llm.common import fold_ascii, let, stored
 BLANKS = " \t\n\x0b\x0c\r"
 #: One line in so many is looked at for hot keys; a key is hot from so many sampled lines on, and from the share 1 / HOT_KEYS.
 SAMPLE, HOT, HOT_KEYS = 16, 8, 20_000
+#: Bits of the sieve: so many a document that loses lines, within these bounds (2 to 16 MB).
+BITS, LEAST_BITS, MOST_BITS = 16, 1 << 24, 1 << 27
 
 
 def key_of(line: Column) -> Column:
@@ -119,6 +122,21 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id
     return lost.select(*names, pack(F.col("positions")).alias("keep_bitmap"), F.size("positions").cast("long").alias("n_dropped"))
 
 
+def _sieved(named: DataFrame, lost: DataFrame) -> DataFrame:
+    """named with ``suspected``: true for every row of lost, and for few others unless those are too many for the bits."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, BITS * lost.count()):
+        bits *= 2
+    at = F.pmod(F.col("t1"), F.lit(bits))
+    # Buckets of 2^15 bits: MOST_BITS / 2^15 rows of 4 KB at most.
+    sieve = F.broadcast(lost.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("sieve")))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("sieve", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    held = F.getbit(byte, (place % 8).cast("int")) == 1
+    return named.join(sieve, F.bitmap_bucket_number(at) == F.col("bucket"), "left").select(
+        "id", "t1", "t2", "text", F.coalesce(held, F.lit(False)).alias("suspected"))
+
+
 def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id_column: str = "doc_id", text_column: str = "text",
                emit_text: bool = True) -> DataFrame:
     """One row per row of docs: id, n_lines, n_dropped, keep_bitmap, kept_text, kept_sha256.
@@ -130,15 +148,18 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id_c
     so they lose every line whose key enough documents have.  Null and empty texts are one empty line.  An
     empty table gives no rows; other columns are ignored.  Documents that lose nothing have an empty bitmap.
     """
-    lost = keep_bitmaps(docs, least_chars, least_docs, id_column, text_column)
+    lost = stored(keep_bitmaps(docs, least_chars, least_docs, id_column, text_column))
+    named = _sieved(_named(docs, id_column, text_column), lost)
+    n_lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines")
+
+    def told(rows, dropped, bitmap, kept):
+        return rows.select(F.col("id").alias(id_column), n_lines, dropped.alias("n_dropped"), bitmap.alias("keep_bitmap"),
+                           *([kept.alias("kept_text")] if emit_text else []), F.sha2(kept, 256).alias("kept_sha256"))
+
+    clean = told(named.where("not suspected"), F.lit(0).cast("long"), F.lit(b""), F.col("text"))
     lost = lost.select(F.col("id").alias("lost_id"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "keep_bitmap", "n_dropped")
-    named = _named(docs, id_column, text_column)
     same = F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2"))
-    met = named.join(lost, same, "left")
+    met = named.where("suspected").join(lost, same, "left")
     kept = F.when(F.col("keep_bitmap").isNull(), F.col("text")).otherwise(
         F.array_join(kept_lines(lines_of(F.col("text")), F.col("keep_bitmap")), "\n"))
-    n_lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
-    return met.select(
-        F.col("id").alias(id_column), n_lines.alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
-        F.coalesce("keep_bitmap", F.lit(b"")).alias("keep_bitmap"), *([kept.alias("kept_text")] if emit_text else []),
-        F.sha2(kept, 256).alias("kept_sha256"))
+    return clean.union(told(met, F.coalesce("n_dropped", F.lit(0).cast("long")), F.coalesce("keep_bitmap", F.lit(b"")), kept))
