@@ -18,8 +18,11 @@ in one equi-join; nothing is sent to the driver.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,8 +37,8 @@ from lockstep.llm.common import keyed_text, named_id, stored
 PIECE = 1 << 16
 #: Code points aligned at once and in a block, about; link pairs held at once.
 BATCH, BLOCK, PAIRS = 1 << 20, 8 << 20, 4 << 20
-#: Distinct chunks of text whose tokens are remembered.
-REMEMBERED = 200_000
+#: Distinct chunks of text whose tokens are remembered: so many new ones, and as many from before.
+REMEMBERED = 250_000
 #: Room for ids of B in a pair's number.
 WIDE = 1 << 20
 
@@ -52,6 +55,7 @@ class Tokenizers:
     """
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -71,19 +75,43 @@ class Tokenizers:
         self.b_sizes = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
         # A lone blank: B adds its space to no empty text.
         self.b_blank = self.b.encode("a ")[len(self.b.encode("a")):]
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.kind_a, self.kind_b = (np.min_scalar_type(len(x) - 1) for x in (self.a_bytes, self.b_bytes))
+        # Packed ids of A and of B by chunk, those of the generation before, and chunks whose bytes do not come back.
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.before: tuple[dict, dict] = {}, {}
+        self.odd: set[str] = set()
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
+        known_a, known_b, kind_a, kind_b = self.known_a, self.known_b, self.kind_a.char, self.kind_b.char
         for start in range(0, len(chunks), 10_000):
             part = chunks[start:start + 10_000]
-            ids_a = self.a.encode_batch_fast([" " + x for x in part], add_special_tokens=False)
-            for chunk, x, ids_b in zip(part, ids_a, self.b.encode(part, num_threads=1), strict=True):
-                ids_b = ids_b if chunk else self.b_blank
-                want = (" " + chunk).encode("utf-8", "surrogatepass")
-                same = b"".join(map(self.a_bytes.__getitem__, x.ids)) == want == b"".join(map(self.b_bytes.__getitem__, ids_b))
-                self.known[chunk] = np.array(x.ids, dtype=np.int32).tobytes(), np.array(ids_b, dtype=np.int32).tobytes(), same
+            found = self.a.encode_batch_fast([" " + x for x in part], add_special_tokens=False)
+            all_a = [x.ids for x in found]
+            all_b = [ids if chunk else self.b_blank for chunk, ids in zip(part, self.b.encode(part, num_threads=1), strict=True)]
+            for chunk, ids_a, ids_b in zip(part, all_a, all_b, strict=True):
+                known_a[chunk], known_b[chunk] = array(kind_a, ids_a).tobytes(), array(kind_b, ids_b).tobytes()
+            # All chunks at once first; where that fails, one by one.
+            said = b"".join([b" " + x.encode("utf-8", "surrogatepass") for x in part])
+            sizes = [len(x.encode("utf-8", "surrogatepass")) + 1 for x in part]
+            if not (self._same(all_a, self.a_bytes, sizes, said) and self._same(all_b, self.b_bytes, sizes, said)):
+                self.odd.update(x for x, ids_a, ids_b in zip(part, all_a, all_b, strict=True) if not self.comes_back(x, ids_a, ids_b))
+
+    @staticmethod
+    def _same(ids: list[list[int]], table: list[bytes], sizes: list[int], said: bytes) -> bool:
+        sized = [len(x) for x in table]
+        return [sum([sized[i] for i in x]) for x in ids] == sizes and b"".join(map(table.__getitem__, chain.from_iterable(ids))) == said
+
+    def _know(self, chunks: set[str]) -> None:
+        """Have the tokens of all these chunks at hand."""
+        new = chunks - self.known_a.keys()
+        if len(self.known_a) + len(new) > REMEMBERED:
+            self.before, self.known_a, self.known_b, new = (self.known_a, self.known_b), {}, {}, chunks
+            self.odd &= self.before[0].keys()
+        old_a, old_b = self.before
+        for chunk in new & old_a.keys():
+            self.known_a[chunk], self.known_b[chunk] = old_a[chunk], old_b[chunk]
+        self._learn(list(new - old_a.keys()))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids of A, ids of B) for each text; both empty where the text is empty or its bytes do not come back."""
@@ -92,24 +120,20 @@ class Tokenizers:
             spaced = " " + text
             chunks = [x[1:] for x in _CUT.split(spaced)] if _DOUBLE.search(spaced) else text.split(" ")
             cut.append(chunks if text else [])
-        missing = list({x for chunks in cut for x in chunks if x not in self.known})
-        self._learn(missing)
-        if any(x not in self.known for chunks in cut for x in chunks):  # all were forgotten for the new ones
-            self._learn(list({x for chunks in cut for x in chunks if x not in self.known}))
+        self._know(set().union(*cut))
         out = []
-        none = np.zeros(0, dtype=np.int32)
         for text, chunks in zip(texts, cut, strict=True):
-            found = [self.known[x] for x in chunks]
-            a = np.frombuffer(b"".join([x[0] for x in found]), dtype=np.int32)
-            b = np.frombuffer(b"".join([x[1] for x in found]), dtype=np.int32)
-            if not all([x[2] for x in found]) and not self.comes_back(text, a, b):
-                a = b = none
+            a = np.frombuffer(b"".join(map(self.known_a.__getitem__, chunks)), dtype=self.kind_a)
+            b = np.frombuffer(b"".join(map(self.known_b.__getitem__, chunks)), dtype=self.kind_b)
+            if self.odd and not self.odd.isdisjoint(chunks) and not self.comes_back(text, a, b):
+                a, b = a[:0], b[:0]
             out.append((a, b))
         return out
 
-    def comes_back(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
+    def comes_back(self, text: str, ids_a, ids_b) -> bool:
         want = (" " + text).encode("utf-8", "surrogatepass")
-        return b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        return b"".join([a_bytes[i] for i in ids_a]) == want == b"".join([b_bytes[i] for i in ids_b])
 
 
 def _byte_letters() -> dict[str, int]:
@@ -241,7 +265,7 @@ class Aligner:
         self.tokenizers = tokenizers
         # Digits of an id with what follows it: A's ',' or '|', then B's ',' or ';'.
         a, b = range(len(tokenizers.a_bytes)), range(len(tokenizers.b_bytes))
-        self.words = [*(f"{i}," for i in a), *(f"{i}|" for i in a), *(f"{i}," for i in b), *(f"{i};" for i in b)]
+        self.words = np.array([f"{i}{mark}".encode() for ids, marks in ((a, ",|"), (b, ",;")) for mark in marks for i in ids])
 
     def align(self, texts: list[str]):
         """Per text (n_a, n_b, n_groups, n_links, groups), and (owner, pair, links) of all texts' distinct pairs."""
@@ -262,10 +286,11 @@ class Aligner:
         n_links = links_before[groups_before[1:]] - links_before[groups_before[:-1]]
         told = self._told(ids_a, ids_b, in_a, in_b)
         tokens_before = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
-        groups = ["".join(told[s:e])[:-1] for s, e in zip(tokens_before, tokens_before[1:])]
+        # Words stand in cells of one width, filled up with zero bytes.
+        groups = [told[s:e].tobytes().replace(b"\0", b"")[:-1] for s, e in zip(tokens_before, tokens_before[1:])]
         return (n_a, n_b, n_groups, n_links, groups), link_pairs(ids_a, ids_b, in_a, in_b, owner)
 
-    def _told(self, ids_a: np.ndarray, ids_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> list[str]:
+    def _told(self, ids_a: np.ndarray, ids_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
         """Digits of all tokens in the order of groups, A's before B's."""
         size_a, size_b = len(self.tokenizers.a_bytes), len(self.tokenizers.b_bytes)
         words_a, words_b = ids_a.astype(np.int64), ids_b + np.int64(2 * size_a)
@@ -275,7 +300,13 @@ class Aligner:
         order = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
         order[np.arange(len(ids_a)) + np.repeat(before_a, in_a)] = words_a
         order[np.arange(len(ids_b)) + np.repeat(before_b, in_b)] = words_b
-        return list(map(self.words.__getitem__, order.tolist()))
+        return self.words[order]
+
+
+@lru_cache(maxsize=2)
+def aligner_of(a_path: str, b_path: str) -> Aligner:
+    """One aligner a worker process: its tables and what it remembers serve all tasks that run there."""
+    return Aligner(Tokenizers(a_path, b_path))
 
 
 ALIGNED = ("block long, id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string,"
@@ -287,7 +318,7 @@ def _align(docs: DataFrame, a_path: str, b_path: str, emit_groups: bool) -> Data
     names = [x.split()[0] for x in ALIGNED.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(Tokenizers(a_path, b_path))
+        aligner = aligner_of(a_path, b_path)
         block = TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
         rows: list[list] = []
@@ -298,8 +329,8 @@ def _align(docs: DataFrame, a_path: str, b_path: str, emit_groups: bool) -> Data
             (n_a, n_b, n_groups, n_links, groups), (owner, pair, links) = aligner.align(texts)
             bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
             for k, row in enumerate(ids):
-                digest = hashlib.sha256(groups[k].encode()).hexdigest() if n_a[k] else ""
-                rows.append([row, int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_links[k]), digest, groups[k] if emit_groups else None])
+                digest = hashlib.sha256(groups[k]).hexdigest() if n_a[k] else ""
+                rows.append([row, int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_links[k]), digest, groups[k].decode() if emit_groups else None])
                 # Copies: slices would keep the whole batch.
                 found.append((pair[bounds[k]:bounds[k + 1]].copy(), links[bounds[k]:bounds[k + 1]].copy()))
 
