@@ -10,9 +10,13 @@ A shard streams its documents in the order of their ids past its automaton, read
 longest match ending at every word, removes stretches of matched windows, and then adds to the automaton
 what the document has that is new.  An automaton so grows with distinct content, not with copies.
 
-A shard with much text is split: documents are dealt by a salt, each part finds its new content, the new
-content of all parts makes one reference automaton, and that is copied to every part, where the
-documents are streamed past it.  No task gathers a hot group's documents.
+A shard with much text is split: documents are dealt by a salt, and each part finds what is new to it.
+Windows that only one part has are then settled.  Those that several parts have, at most once a part, are
+dealt by their hash to reference automata of their own, and streamed past them in the order of ids.  What
+a document has around a shared passage but with no other part in common never leaves its part, so no
+task gathers a hot group's documents or their texts.
+
+A row is named by its id and a hash of its text, so rows that repeat an id have stretches of their own.
 """
 from __future__ import annotations
 
@@ -33,6 +37,8 @@ ANCHOR = 5
 PART = 100_000
 #: One document in so many looks for minimisers that are shared by many; they need no further proof of being shared.
 SAMPLE, HOT, HOT_KEYS, SALTS = 64, 16, 20_000, 32
+#: Reference automata of a shard in several parts.
+BUCKETS = 4_096
 
 
 class Automaton:
@@ -140,55 +146,52 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    kind = docs.schema["id"].dataType.simpleString()
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            keys, ids, counts = [], [], []
+            keys, counts = [], []
             for text in batch["text"]:
                 own = np.unique(anchors(hash_words(split_words(text), hashes), window)[0])
                 keys.append(own)
                 counts.append(len(own))
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64),
-                                    "id": np.repeat(batch["id"].to_numpy(), counts)})
+                                    **{c: np.repeat(batch[c].to_numpy(), counts) for c in ("id", "t")}})
 
-    return docs.mapInPandas(read, f"key long, id {kind}")
+    return docs.mapInPandas(read, "key long, id long, t long")
 
 
 def _routes(docs: DataFrame, window: int) -> DataFrame:
-    """Rows (id, routes): for each document its minimisers that others have too, with shard and parts.
+    """Rows (id, t, routes): for each document its minimisers that others have too, with shard and parts.
 
     A minimiser names its shard after its first document.  One that holds a large share of a sample is
     shared for certain; it names the shard after its first sampled document and is dealt by a salt.  There
     are at most HOT_KEYS such minimisers, so they are broadcast.
     """
     rows = _anchor_rows(docs, window)
-    seen = _anchor_rows(docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), window)
+    seen = _anchor_rows(docs.where(F.pmod(F.xxhash64("id", "t"), F.lit(SAMPLE)) == 0), window)
     counts = stored(seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("named")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where((F.col("n") >= HOT) & (F.col("n") > total / HOT_KEYS)).select(F.col("key").alias("hot"), "named")
     marked = rows.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left").withColumn(
-        "salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS))))
-    order = Window.partitionBy("key", "salt").orderBy("id")
+        "salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "t"), F.lit(SALTS))))
+    order = Window.partitionBy("key", "salt").orderBy("id", "t")
     routed = (marked.withColumn("first", F.first("id").over(order)).withColumn("next", F.lead("id").over(order))
               .withColumn("shard", F.coalesce("named", "first"))
               .where((F.col("id") != F.col("shard")) | F.col("next").isNotNull() | F.col("hot").isNotNull()))
-    shared = stored(routed.select("id", "key", "shard"))
+    shared = stored(routed.select("id", "t", "key", "shard"))
     load = shared.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    return shared.join(load, "shard").groupBy("id").agg(F.collect_list(F.struct("key", "shard", "parts")).alias("routes"))
+    return shared.join(load, "shard").groupBy("id", "t").agg(
+        F.collect_set(F.struct("key", "shard", "parts")).alias("routes"))
 
 
 def _stretches(docs: DataFrame, routes: DataFrame, window: int) -> DataFrame:
-    """Rows (shard, parts, id, start, words): the text around the shared minimisers of a document, by shard."""
-    kind = docs.schema["id"].dataType.simpleString()
-
+    """Rows (shard, parts, id, t, start, words): the text around the shared minimisers of a document, by shard."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             out = []
-            for row, text, own in zip(batch["id"], batch["text"], batch["routes"], strict=True):
+            for row, t, text, own in zip(batch["id"], batch["t"], batch["text"], batch["routes"], strict=True):
                 words = hash_words(split_words(text), hashes)
                 keys = anchors(words, window)[0].view(np.int64)
                 wanted = np.array([x["key"] for x in own], dtype=np.int64)
@@ -199,6 +202,8 @@ def _stretches(docs: DataFrame, routes: DataFrame, window: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
                 routed = wanted[at] == keys
                 starts = np.nonzero(routed)[0]
+                if not len(starts):
+                    continue
                 to = shards[at[starts]]
                 by = np.argsort(to, kind="stable")
                 starts, to = starts[by], to[by]
@@ -209,43 +214,44 @@ def _stretches(docs: DataFrame, routes: DataFrame, window: int) -> DataFrame:
                 last = np.append(first[1:], len(starts)) - 1
                 for a, b in zip(first.tolist(), last.tolist(), strict=True):
                     s, e = int(starts[a]), int(starts[b]) + window
-                    out.append((int(to[a]), parts[int(to[a])], row, s, words[s:e].tobytes()))
+                    out.append((int(to[a]), parts[int(to[a])], row, t, s, words[s:e].tobytes()))
             if out:
-                yield pd.DataFrame(out, columns=["shard", "parts", "id", "start", "words"])
+                yield pd.DataFrame(out, columns=["shard", "parts", "id", "t", "start", "words"])
+
+    return docs.join(routes, ["id", "t"]).select("id", "t", "text", "routes").mapInPandas(
+        cut, "shard long, parts int, id long, t long, start int, words binary")
 
-    return docs.join(routes, "id").select("id", "text", "routes").mapInPandas(
-        cut, f"shard long, parts int, id {kind}, start int, words binary")
 
+def _stream(rows, window: int):
+    """Stream (id, t, start, words) in the order of ids past a growing automaton.
 
-def _stream(rows, window: int, reference: Automaton | None = None):
-    """Stream (id, start, words) in the order of ids; yields (id, start, end, new words or None) with either a removed span or new content."""
-    grown = Automaton() if reference is None else reference
+    Yields (id, t, start, end, words): a removed span without words, or new content with its words.
+    """
+    grown = Automaton()
     waiting, current = [], None
-    for row, start, packed in rows:
+    for row, t, start, packed in rows:
         words = np.frombuffer(packed, dtype=np.uint64).tolist()
         if row != current:  # rows that repeat an id are no references for each other
             for text in waiting:
                 grown.add(text, current)
             waiting, current = [], row
-        ends = grown.matched(words, window, None if reference is None else row)
+        ends = grown.matched(words, window)
         for s, e in spans_of(ends, window):
-            yield row, start + s, start + e, None
-        if reference is None:
-            old = set(ends)
-            fresh = spans_of([k for k in range(window, len(words) + 1) if k not in old], window)
-            for s, e in fresh:
-                waiting.append(words[s:e])
-                yield row, start + s, start + e, packed[8 * s:8 * e]
+            yield row, t, start + s, start + e, None
+        old = set(ends)
+        for s, e in spans_of([k for k in range(window, len(words) + 1) if k not in old], window):
+            waiting.append(words[s:e])
+            yield row, t, start + s, start + e, packed[8 * s:8 * e]
 
 
 def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]):
-    """(key, rows) of a partition sorted by key; rows are tuples (id, start, words) and are read as they come."""
+    """(key, rows) of a partition sorted by key; rows are tuples (id, t, start, words) and are read as they come."""
     def rows():
         for batch in batches:
-            yield from zip(*(batch[k] for k in keys), batch["id"], batch["start"], batch["words"], strict=True)
+            yield from zip(*(batch[k] for k in keys), batch["id"], batch["t"], batch["start"], batch["words"], strict=True)
 
     for key, group in groupby(rows(), key=lambda x: x[:len(keys)]):
-        yield key, ((row, start, words) for *_, row, start, words in group)
+        yield key, (x[len(keys):] for x in group)
 
 
 def _collected(rows, columns, most=20_000):
@@ -259,57 +265,67 @@ def _collected(rows, columns, most=20_000):
         yield pd.DataFrame(out, columns=columns)
 
 
+SPAN = "id long, t long, start int, end int"
+
+
 def removed_spans(docs: DataFrame, window: int) -> DataFrame:
-    """Rows (id, start, end) in words: stretches of windows that a document with a smaller id has too."""
-    stretches = _stretches(docs, _routes(docs.select("id", "text"), window), window)
-    kind = docs.schema["id"].dataType.simpleString()
-    told = f"shard long, parts int, id {kind}, start int, end int, words binary"
-    dealt = stretches.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    """Rows (id, t, start, end) in words: stretches of windows that a document with a smaller id has too.
+
+    docs has rows (id, t, text); t tells the texts of an id apart.
+    """
+    stretches = _stretches(docs, _routes(docs, window), window)
+    dealt = stretches.withColumn("salt", F.pmod(F.xxhash64("id", "t"), F.col("parts").cast("long")).cast("int"))
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
-            for (shard, parts, _), group in _grouped(batches, ["shard", "parts", "salt"]):
-                for row, start, end, words in _stream(group, window):
+            for (shard, parts, salt), group in _grouped(batches, ["shard", "parts", "salt"]):
+                for row, t, start, end, words in _stream(group, window):
                     if words is None or parts > 1:
-                        yield shard, parts, row, start, end, words
-        yield from _collected(rows(), ["shard", "parts", "id", "start", "end", "words"])
+                        yield shard, salt, row, t, start, end, words
+        yield from _collected(rows(), ["shard", "salt", "id", "t", "start", "end", "words"])
 
-    parted = dealt.repartition("shard", "salt")
-    first = stored(parted.sortWithinPartitions("shard", "parts", "salt", "id", "start").mapInPandas(local, told))
-    done = first.where("words is null").select("id", "start", "end")
+    parted = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "parts", "salt", "id", "t", "start")
+    first = stored(parted.mapInPandas(local, f"shard long, salt int, {SPAN}, words binary"))
+    done = first.where("words is null").select("id", "t", "start", "end")
+    # What a part found new is all that may still be matched in another part.
+    return done.union(_between_parts(first.where("words is not null").select("shard", "salt", "id", "t", "start", "words"), window))
 
-    # Shards in several parts: one reference of the parts' new content, copied to every part.
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _between_parts(fresh: DataFrame, window: int) -> DataFrame:
+    """Spans among the new content of parts of one shard."""
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            runs = [window_hashes(np.frombuffer(x, dtype=np.uint64), window) for x in batch["words"]]
+            counts = [len(x) for x in runs]
+            if sum(counts):
+                names = ["shard", "salt", "id", "t", "start"]
+                yield pd.DataFrame({c: np.repeat(batch[c].to_numpy(), counts) for c in names} | {
+                    "at": np.concatenate([np.arange(n) for n in counts]), "hash": np.concatenate(runs).view(np.int64)})
+
+    windows = stored(fresh.mapInPandas(hashed, "shard long, salt int, id long, t long, start int, at int, hash long"))
+    common = windows.groupBy("shard", "hash").agg(F.min("salt").alias("low"), F.max("salt").alias("high")).where("low < high")
+    row = ["shard", "id", "t", "start"]
+    held = windows.join(common.select("shard", "hash"), ["shard", "hash"], "left_semi").groupBy(*row).agg(F.collect_set("at").alias("at"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
-            for (shard, parts), group in _grouped(batches, ["shard", "parts"]):
-                for row, start, _, words in _stream(group, window):
-                    if words is not None:
-                        yield shard, parts, row, start, 0, words
-        yield from _collected(rows(), ["shard", "parts", "id", "start", "end", "words"])
-
-    fresh = first.where("words is not null").select("shard", "parts", "id", "start", "words")
-    reference = stored(fresh.repartition("shard").sortWithinPartitions("shard", "parts", "id", "start").mapInPandas(merge, told))
-    copied = reference.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "id", "start", "words", F.lit(0).alias("side"))
-    # What a part found new is all that may still be matched elsewhere.
-    asked = fresh.select("shard", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int").alias("salt"), "id", "start", "words", F.lit(1).alias("side"))
+            for batch in batches:
+                for shard, i, t, start, words, at in zip(*(batch[c] for c in row), batch["words"], batch["at"], strict=True):
+                    hashes = window_hashes(np.frombuffer(words, dtype=np.uint64), window) % np.uint64(BUCKETS)
+                    for k in at:
+                        yield shard, int(hashes[k]), i, t, start + k, words[8 * k:8 * (k + window)]
+        yield from _collected(rows(), ["shard", "bucket", "id", "t", "start", "words"])
 
     def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
-            now, automaton = None, None
-            for (shard, salt, side), group in _grouped(batches, ["shard", "salt", "side"]):
-                if (shard, salt) != now:
-                    now, automaton = (shard, salt), Automaton()
-                if side == 0:
-                    for row, _, words in group:
-                        automaton.add(np.frombuffer(words, dtype=np.uint64).tolist(), row)
-                else:
-                    for row, start, end, _ in _stream(group, window, automaton):
-                        yield row, start, end
-        yield from _collected(rows(), ["id", "start", "end"])
+            for _, group in _grouped(batches, ["shard", "bucket"]):
+                for row, t, start, end, words in _stream(group, window):
+                    if words is None:
+                        yield row, t, start, end
+        yield from _collected(rows(), ["id", "t", "start", "end"])
 
-    rest = copied.union(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side", "id", "start").mapInPandas(
-        against, f"id {kind}, start int, end int")
-    return done.union(rest)
+    asked = fresh.drop("salt").join(held, row).mapInPandas(cut, "shard long, bucket int, id long, t long, start int, words binary")
+    return asked.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "id", "t", "start").mapInPandas(against, SPAN)
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -329,11 +345,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id"
     Words are ``[^\\x20\\x09-\\x0D]+``.  A word goes when some ``window`` consecutive words around it also
     occur in a document with a smaller id, judged on the input.  Null texts have no words.  Rows without an
     id, or with a text shorter than the window, keep all; rows that repeat an id do not match each other,
-    and each loses what smaller ids have.  An empty table gives no rows; other columns are ignored.
+    and each loses what smaller ids have.  Ids are integers.  An empty table gives no rows; other columns are
+    ignored.
     """
     given = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    whole = given.where("id is not null")
-    spans = removed_spans(whole, window).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    whole = given.where("id is not null").withColumn("t", F.xxhash64("text"))
+    spans = removed_spans(whole, window).groupBy("id", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -352,7 +369,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id"
                 out["kept_text"] = [x.decode("utf-8", "surrogatepass") for x in kept]
             yield pd.DataFrame(out | {"kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]})
 
-    joined = whole.join(spans, "id", "left").select(F.col("id").cast("string").alias("id"), "text", "spans").union(
+    joined = whole.join(spans, ["id", "t"], "left").select(F.col("id").cast("string").alias("id"), "text", "spans").union(
         given.where("id is null").select(F.lit(None).cast("string"), "text", F.lit(None)))
     told = "id string, n_words long, n_removed long, spans array<struct<start:int,end:int>>"
     return named_id(joined.mapInPandas(cut, told + ", kept_text string" * emit_text + ", kept_sha256 string"), docs, id_column)

@@ -34,6 +34,28 @@ def test_against_the_definition(docs_of, monkeypatch, part):
     assert got(substring.substring_dedup(docs_of(rows), 13)) == brute.substring(rows, 13)
 
 
+@pytest.mark.parametrize("part", [100_000, 15])
+def test_rows_that_repeat_an_id(docs_of, monkeypatch, part):
+    monkeypatch.setattr(substring, "PART", part)
+    rng = random.Random(part)
+    rows = [(rng.randint(0, 25), t) for _, t in passages(part + 1, 110)]
+    rows += rows[:5]
+    assert got(substring.substring_dedup(docs_of(rows), 13)) == brute.substring(rows, 13)
+    w, v = (" ".join(f"{x}{k}" for k in range(13)) for x in "wv")
+    other, tail = (" ".join(f"{x}{k}" for k in range(20)) for x in "op")
+    for rows in ([(1, w), (2, w + " tail"), (2, other)], [(1, w), (2, w + " tail"), (3, v), (2, tail[:30] + " " + v)]):
+        assert got(substring.substring_dedup(docs_of(rows), 13)) == brute.substring(rows, 13)
+
+
+def test_hot_header(docs_of, monkeypatch):
+    monkeypatch.setattr(substring, "PART", 40)
+    rng = random.Random(6)
+    header = " ".join(f"h{k}" for k in range(15))
+    own = [" ".join(f"t{rng.random()}" for _ in range(12)) for _ in range(70)]
+    rows = [(k, header + " " + (own[k] if k % 3 else rng.choice(own))) for k in range(70)]
+    assert got(substring.substring_dedup(docs_of(rows), 13)) == brute.substring(rows, 13)
+
+
 def test_hot_minimisers(docs_of, monkeypatch):
     monkeypatch.setattr(substring, "SAMPLE", 1)
     rows = passages(3, 90)
