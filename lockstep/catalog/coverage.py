@@ -83,8 +83,7 @@ def feature_window(w):
  SELECT {KEYS}, min(day) AS range_start, max(day) AS range_end, count(*) AS sessions FROM (
   SELECT *, ix - row_number() OVER (PARTITION BY {KEYS} ORDER BY ix) AS g FROM {_DAYS} WHERE NOT stored AND past) GROUP BY {KEYS}, g""")
 def gap_islands(w):
-    days = cv.coverage_days(ranges(w), w.daily_prices(), AS_OF)
-    return cv.islands(days.where("fetchable"), cv.RANGE)
+    return cv.run_rows(cv.planned(ranges(w), w.daily_prices(), w.attempts(), PROVIDER, AS_OF, retry_known_no_data=True), "planned")
 
 
 @register("l6_known_no_data", f"SELECT DISTINCT security_id, ix FROM {_DAYS} WHERE NOT stored AND past AND silent")
@@ -144,13 +143,13 @@ def year_ranges(w):
 
 def _delivery(w):
     """Responses to the planned requests: two of three requested days, odd ones one day late."""
-    days = cv.planned_days(year_ranges(w), w.daily_prices(), w.attempts(), PROVIDER, AS_OF)
-    asked = cv.request_ranges(days)
+    plan = cv.planned(year_ranges(w), w.daily_prices(), w.attempts(), PROVIDER, AS_OF)
+    asked = cv.request_ranges(plan)
     answer = asked.where(F.dayofmonth("range_start") % 3 != 0).withColumn(
         "trade_date", F.explode(F.sequence("range_start", "range_end")))
     late = answer.where(F.dayofmonth("trade_date") % 4 != 0)
     bars = late.select("security_id", "range_start", "range_end", "trade_date", F.lit(1.0).alias("close"))
-    return days, bars
+    return plan, bars
 
 
 _YEAR_DAYS = f"""(SELECT s.security_id, d.session AS day, d.ix, p.trade_date IS NOT NULL AS stored,
@@ -167,8 +166,8 @@ _REQUESTS = f"""(SELECT security_id, min(day) AS range_start, max(day) AS range_
   CASE WHEN dayofmonth(range_start) % 3 = 0 OR n = 0 THEN 'no_data' WHEN answered = sessions THEN 'success' ELSE 'partial' END AS status FROM (
  SELECT *, (SELECT count(*) FROM cal WHERE day BETWEEN range_start AND range_end AND dayofmonth(day) % 4 <> 0) AS n FROM {_REQUESTS})""")
 def delivery(w):
-    days, bars = _delivery(w)
-    _, attempts = cv.apply_delivery(days, bars, w.daily_prices(), PROVIDER)
+    plan, bars = _delivery(w)
+    _, attempts = cv.apply_delivery(plan, bars, w.daily_prices(), PROVIDER)
     return attempts.select("security_id", "range_start", "range_end", "bars_returned", "bars_created", "status")
 
 
@@ -181,12 +180,12 @@ def delivery(w):
   count(*) FILTER (dayofmonth(range_start) % 3 = 0 OR n = 0) AS empty FROM (
   SELECT *, (SELECT count(*) FROM cal WHERE day BETWEEN range_start AND range_end AND dayofmonth(day) % 4 <> 0) AS n FROM {_REQUESTS}) GROUP BY 1) USING (security_id)""")
 def final_status(w):
-    days, bars = _delivery(w)
-    accepted, attempts = cv.apply_delivery(days, bars, w.daily_prices(), PROVIDER)
+    plan, bars = _delivery(w)
+    accepted, attempts = cv.apply_delivery(plan, bars, w.daily_prices(), PROVIDER)
     after = w.daily_prices().select("security_id", "trade_date", "provider").unionByName(
         accepted.select("security_id", "trade_date", F.lit(PROVIDER).alias("provider")))
-    before = days.groupBy(*cv.RANGE).agg(F.count_if("missing").alias("missing_before"))
-    done = cv.delivery_status(days, cv.coverage(year_ranges(w), after, AS_OF), attempts)
+    before = plan.select(*cv.RANGE, F.size("missing").cast("long").alias("missing_before"))
+    done = cv.delivery_status(plan, cv.coverage(year_ranges(w), after, AS_OF), attempts)
     return done.join(before, cv.RANGE, "left").select(*cv.RANGE, "missing_before", "status")
 
 
@@ -198,10 +197,7 @@ def final_status(w):
  FROM (SELECT security_id, a.session AS start_date, b.session AS end_date FROM {_ROWS} JOIN cal ON day = event_date JOIN ses a ON a.ix = next_ix - 80 JOIN ses b ON b.ix = next_ix)
  JOIN (SELECT {KEYS}, count(*) AS e, count(*) FILTER (NOT stored) AS m, count(*) FILTER (NOT stored AND past) AS f FROM {_DAYS} GROUP BY ALL) USING ({KEYS})""")
 def summary(w):
-    selected = rows(w)
-    tasks, skipped = cv.derived_tasks(selected)
-    covered = cv.coverage(tasks, w.daily_prices(), AS_OF)
-    return cv.coverage_summary(tasks.select("lockup_id", *cv.RANGE), covered, selected, skipped)
+    return cv.coverage_summary(rows(w), w.daily_prices(), AS_OF)
 
 
 _CLASSED = f"""(SELECT w.security_id, obs_ix, s.ix, s.session, CASE WHEN p.trade_date IS NOT NULL THEN 'present' WHEN s.session > {AS_OF_SQL} THEN 'future'

@@ -92,6 +92,36 @@ def bar_json(w):
                        F.round(F.col("low").cast("double"), 2).alias("low"), "volume")
 
 
+@register("a5_rejected_filings", """
+ SELECT lpad(CAST(company_id AS VARCHAR), 10, '0') AS cik, CASE WHEN filing_id % 12 IN (2, 5) THEN NULL WHEN pos = 1 THEN 'bad' ELSE '9' || substr(accession_number, 2) END AS accession_number,
+  CASE WHEN filing_id % 12 IN (2, 5) THEN NULL WHEN pos = 1 THEN '10-K' ELSE '8-K' END AS form_type,
+  CASE WHEN filing_id % 12 = 2 THEN 'not a JSON object' WHEN filing_id % 12 = 5 THEN 'required arrays are missing' WHEN pos = 1 THEN 'accession number' ELSE 'filing date' END AS reason
+ FROM filing, (VALUES (1), (2)) t(pos) WHERE CASE WHEN filing_id % 12 IN (2, 5) THEN pos = 1 ELSE filing_id % 10 <> 9 AND (pos = 1 OR filing_id % 4 = 0) END
+ UNION ALL SELECT lpad(CAST(company_id AS VARCHAR), 10, '0'), NULL, NULL, 'required arrays are missing' FROM filing WHERE filing_id % 12 NOT IN (2, 5) AND filing_id % 10 = 9""")
+def rejected_filings(w):
+    """Every sixth document is broken: half of them cut off, half without their arrays."""
+    k = F.col("submission_id")
+    broken = submissions(w).withColumn("payload", F.when(k % 12 == 2, F.substring("payload", 1, 25))
+                                       .when(k % 12 == 5, F.lit('{"name": "X", "filings": {"recent": {"form": []}}}')).otherwise(F.col("payload")))
+    return filings.rejected_submissions(filings.parse_submissions(broken))
+
+
+@register("a6_rejected_bars", """
+ SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 2 THEN 'not a JSON object' WHEN 3 THEN 'bar without time' WHEN 4 THEN 'bar without price' END AS reason,
+  CASE WHEN l_linenumber NOT IN (2, 3, 4) THEN CAST(l_quantity AS BIGINT) END AS volume FROM lineitem WHERE l_linenumber <> 5""")
+def rejected_bars(w):
+    """Line items as payloads, some cut off, some without time, price or results: good bars and reasons side by side."""
+    n = F.col("l_linenumber")
+    item = F.struct(F.when(n != 3, F.unix_millis(F.col("l_shipdate").cast("timestamp"))).alias("t"),
+                    F.when(n == 4, F.lit("n/a")).otherwise(F.col("l_extendedprice").cast("string")).alias("o"),
+                    F.col("l_extendedprice").alias("h"), F.col("l_tax").alias("l"), F.col("l_discount").alias("c"), F.col("l_quantity").alias("v"))
+    whole = F.to_json(F.struct(F.when(n != 5, F.array(item)).alias("results"), F.lit("OK").alias("status")))
+    payload = F.when(n == 2, F.substring(whole, 1, 30)).otherwise(whole)
+    key = F.struct("l_orderkey", "l_linenumber")
+    rows = filings.read_daily_bars(w.table("lineitem").select(key.alias("security_id"), payload.alias("payload")))
+    return rows.select("security_id.*", "reason", F.when(F.col("reason").isNull(), F.col("volume")).alias("volume"))
+
+
 # The references the pages have by name, and all numeric ones.
 _NAMES_SQL = {"amp": "&", "copy": "©", "middot": "·", "quot": '"', "lt": "<", "gt": ">", "nbsp": chr(160), "reg": "®", "euro": "€", "ndash": "–", "mdash": "—"}
 _REFERENCE_SQL = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:middot|copy|nbsp|quot|amp|reg|lt|gt))"

@@ -29,7 +29,7 @@ CTES["sig"] = """
   (lockup_id % 100) / 1000.0::DOUBLE AS feature1_value, (lockup_id % 200) / 100.0::DOUBLE AS feature2_value, ['low_low','low_high','high_low','high_high'][lockup_id // 20 % 4 + 1] AS interaction_group,
   CASE WHEN m = 3 THEN 'unavailable' WHEN lockup_id % 10 = 0 THEN 'matured' ELSE 'awaiting_event' END AS signal_status, CASE WHEN lockup_id % 10 = 0 AND m <> 3 THEN (lockup_id % 41 - 20) / 100.0 END::DOUBLE AS y,
   CASE WHEN lockup_id % 10 = 0 AND m <> 3 THEN (lockup_id % 13) / 100.0 END::DOUBLE AS mfe, CASE WHEN lockup_id % 10 = 0 AND m <> 3 THEN (lockup_id % 17) / 100.0 END::DOUBLE AS mae
- FROM (SELECT *, lockup_id // 5 % 4 AS m FROM lock WHERE lockup_id % 5 = 0 AND event_date IS NOT NULL)
+ FROM (SELECT *, lockup_id // 5 % 4 AS m FROM lock WHERE event_date IS NOT NULL)
 """
 _CAND = """(SELECT lock.lockup_id, lock.ipo_id, company_id, ticker, lock.event_date FROM lock JOIN ipo USING (ipo_id) JOIN comp USING (company_id)
  WHERE classification_status = 'classified' AND candidate_type = 'operating_company_ipo' AND offering_status = 'priced')"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lockstep.functions.day_bits import SPAN, day_at, day_number, day_words, has, runs, session_words
 from lockstep.operators.calendar_ops import with_session_at, with_session_index
 from lockstep.operators.events import with_event_date
-from lockstep.sources.calendar import calendar_days, sessions
 
 RANGE = ["security_id", "start_date", "end_date"]
 # Session ordinals stay below 2**14 over the whole horizon.
@@ -29,8 +29,12 @@ def explicit_tasks(rows: DataFrame, start_date, end_date) -> DataFrame:
 
 
 def plan_lockup_coverage(rows: DataFrame) -> DataFrame:
-    """Event session, its -60 snapshot session and the 20 sessions before that."""
-    df = with_session_index(rows.where("event_date is not null"), "event_date", "_c_")
+    """Event session, its -60 snapshot session and the 20 sessions before that, of dated agreements."""
+    return _planned_rows(rows.where("event_date is not null"))
+
+
+def _planned_rows(rows: DataFrame) -> DataFrame:
+    df = with_session_index(rows, "event_date", "_c_")
     df = df.withColumn("event_ix", F.col("_c_next_ix")).drop("_c_ix", "_c_next_ix", "_c_prev_ix")
     df = with_session_at(df, F.col("event_ix"), "event_session")
     df = with_session_at(df, F.col("event_ix") - 60, "earliest_snapshot_session")
@@ -45,101 +49,104 @@ def derived_tasks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plan_lockup_coverage(rows), skipped
 
 
-def coverage_days(ranges: DataFrame, prices: DataFrame, as_of_date) -> DataFrame:
-    """Every session, and every stored non-session day, of each distinct range.
+def presence(prices: DataFrame) -> DataFrame:
+    """Stored days of each security, as words of a bitmap: one row a security."""
+    return day_words(prices, ["security_id"], {"stored": F.col("trade_date")})
 
-    Ranges are reduced to distinct ones and expanded by day, so stored bars attach by
-    an equi-join and no range condition remains.
+
+def range_days(ranges: DataFrame, prices: DataFrame, as_of_date) -> DataFrame:
+    """One row per distinct range with arrays of day numbers: sessions, missing, fetchable and extra.
+
+    Ranges meet the one row of their security and test bits; no range is expanded by
+    day.  ``extra`` are stored days without a session.  Days outside the horizon are in
+    no range.
     """
-    grid = ranges.select(*RANGE).distinct().where("start_date <= end_date").withColumn(
-        "day", F.explode(F.sequence("start_date", "end_date")))
-    days = F.broadcast(calendar_days(ranges.sparkSession).select("day", "ix"))
-    bars = prices.select("security_id", F.col("trade_date").alias("day")).distinct() \
-        .withColumn("_stored", F.lit(True))
-    out = (grid.join(days, "day").join(bars, ["security_id", "day"], "left")
-           .withColumn("stored", F.coalesce("_stored", F.lit(False))).drop("_stored"))
-    missing = F.col("ix").isNotNull() & ~F.col("stored")
-    return out.where(F.col("ix").isNotNull() | F.col("stored")).withColumns({
-        "is_session": F.col("ix").isNotNull(), "missing": missing,
-        "fetchable": missing & (F.col("day") <= F.lit(as_of_date))})
+    opened = session_words(ranges.sparkSession)
+    first, last = F.greatest(day_number(F.col("start_date")), F.lit(0)), F.least(day_number(F.col("end_date")), F.lit(SPAN - 1))
+    # Named days before the join: sides that share a column only by name stay apart.
+    stored = presence(prices).select(F.col("security_id").alias("_security"), "stored")
+    rows = (ranges.select(*RANGE).distinct().join(stored, F.col("security_id") == F.col("_security"), "left").drop("_security")
+            .withColumn("days", F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+    rows = rows.withColumns({
+        "sessions": F.filter("days", lambda d: has(opened, d)),
+        "extra": F.filter("days", lambda d: has(F.col("stored"), d) & ~has(opened, d))}).drop("days")
+    rows = rows.withColumn("missing", F.filter("sessions", lambda d: ~has(F.col("stored"), d)))
+    return rows.withColumn("fetchable", F.filter("missing", lambda d: d <= day_number(F.lit(as_of_date))))
 
 
-def _dates(condition: Column) -> Column:
-    # Bounded by the days of one range, itself bounded by the calendar horizon.
-    return F.sort_array(F.collect_list(F.when(condition, F.col("day"))))
+def coverage_days(ranges: DataFrame, prices: DataFrame, as_of_date) -> DataFrame:
+    """The missing sessions of each distinct range as rows, with ``ix`` and whether they are fetchable."""
+    rows = range_days(ranges, prices, as_of_date).select(*RANGE, F.explode("missing").alias("_day"))
+    rows = rows.select(*RANGE, day_at(F.col("_day")).alias("day"))
+    days = with_session_index(rows, "day", "").drop("next_ix", "prev_ix")
+    return days.withColumn("fetchable", F.col("day") <= F.lit(as_of_date))
 
 
 def coverage(ranges: DataFrame, prices: DataFrame, as_of_date, *, provider: str | None = None) -> DataFrame:
     """One row per range with session lists, counts and the coverage ratio."""
     if provider is not None:
         prices = prices.where(F.col("provider") == provider)
-    days = coverage_days(ranges, prices, as_of_date)
-    session, missing, fetchable = F.col("is_session"), F.col("missing"), F.col("fetchable")
-    found = days.groupBy(*RANGE).agg(
-        F.min(F.when(session, F.col("day"))).alias("canonical_start_session"),
-        F.max(F.when(session, F.col("day"))).alias("canonical_end_session"),
-        F.count_if(session).alias("expected_session_count"),
-        F.count_if(session & F.col("stored")).alias("stored_expected_session_count"),
-        F.count_if(missing).alias("missing_session_count"),
-        _dates(session).alias("expected_sessions"), _dates(missing).alias("missing_sessions"),
-        _dates(fetchable).alias("fetchable_missing_sessions"),
-        _dates(missing & ~fetchable).alias("future_missing_sessions"),
-        _dates(~session).alias("non_session_stored_dates"))
-    out = ranges.select(*RANGE).distinct().join(found, RANGE, "left")
-    counts = ("expected_session_count", "stored_expected_session_count", "missing_session_count")
-    empty = F.array().cast("array<date>")
-    lists = [c for c, kind in found.dtypes if kind.startswith("array")]
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}) \
-        .withColumns({c: F.coalesce(c, empty) for c in lists})
+    rows = range_days(ranges, prices, as_of_date)
+    dates = lambda name: F.transform(name, day_at)
+    expected, missing = F.size("sessions").cast("long"), F.size("missing").cast("long")
+    out = rows.select(
+        *RANGE, day_at(F.get("sessions", F.lit(0))).alias("canonical_start_session"),
+        day_at(F.get("sessions", F.size("sessions") - 1)).alias("canonical_end_session"),
+        expected.alias("expected_session_count"), (expected - missing).alias("stored_expected_session_count"),
+        missing.alias("missing_session_count"), dates("sessions").alias("expected_sessions"), dates("missing").alias("missing_sessions"),
+        dates("fetchable").alias("fetchable_missing_sessions"),
+        dates(F.slice("missing", F.size("fetchable") + 1, F.size("missing"))).alias("future_missing_sessions"),
+        dates("extra").alias("non_session_stored_dates"))
     return out.withColumns({
         "coverage_complete": F.col("missing_session_count") == 0,
         "coverage_ratio": F.coalesce(F.try_divide("stored_expected_session_count", "expected_session_count"),
                                      F.lit(1.0))})
 
 
-def coverage_summary(tasks: DataFrame, covered: DataFrame, selected: DataFrame, skipped: DataFrame) -> DataFrame:
-    """Totals over tasks; a range shared by several tasks counts once per task."""
-    from lockstep.operators.outcomes import side_by_side
-    gaps, future = F.size("fetchable_missing_sessions"), F.size("future_missing_sessions")
-    totals = tasks.join(covered, RANGE).agg(
-        F.count(F.lit(1)).alias("securities_seen"), F.count_if("coverage_complete").alias("securities_complete"),
-        F.count_if(gaps > 0).alias("securities_with_gaps"),
-        F.count_if((future > 0) & (gaps == 0)).alias("securities_future_sessions_only"),
-        F.sum("expected_session_count").alias("expected_sessions"),
-        F.sum("stored_expected_session_count").alias("stored_expected_sessions"),
-        F.sum("missing_session_count").alias("missing_sessions_total"),
-        F.sum(gaps).alias("fetchable_missing_sessions"), F.sum(future).alias("future_missing_sessions"))
-    rows = side_by_side([selected.agg(F.count(F.lit(1)).alias("lockups_selected")),
-                         skipped.agg(F.count(F.lit(1)).alias("lockups_skipped_no_event_date")), totals])
-    return rows.withColumn("lockups_plannable",
-                           F.col("lockups_selected") - F.col("lockups_skipped_no_event_date"))
+def coverage_summary(selected: DataFrame, prices: DataFrame, as_of_date) -> DataFrame:
+    """Totals over the tasks of selected rows, in one pass; a range shared by several tasks counts once per task."""
+    rows = _planned_rows(selected)
+    days = range_days(rows.where("start_date is not null"), prices, as_of_date)
+    size = lambda name: F.size(name).cast("long")
+    days = days.select(*RANGE, size("sessions").alias("_expected"), size("missing").alias("_missing"), size("fetchable").alias("_gaps"))
+    future = F.col("_missing") - F.col("_gaps")
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0).cast("long"))
+    return rows.join(days, RANGE, "left").agg(
+        F.count(F.lit(1)).alias("lockups_selected"),
+        F.count_if(F.col("event_date").isNull()).alias("lockups_skipped_no_event_date"),
+        F.count("_expected").alias("securities_seen"), F.count_if(F.col("_missing") == 0).alias("securities_complete"),
+        F.count_if(F.col("_gaps") > 0).alias("securities_with_gaps"),
+        F.count_if((future > 0) & (F.col("_gaps") == 0)).alias("securities_future_sessions_only"),
+        total("_expected").alias("expected_sessions"), total(F.col("_expected") - F.col("_missing")).alias("stored_expected_sessions"),
+        total("_missing").alias("missing_sessions_total"), total("_gaps").alias("fetchable_missing_sessions"),
+        total(future).alias("future_missing_sessions"), F.count("event_date").alias("lockups_plannable"))
 
 
 def feature_window_coverage(windows: DataFrame, prices: DataFrame) -> DataFrame:
     """Presence in the 21 sessions ending at each ``(security_id, obs_ix)``."""
-    return window_days(windows, prices).groupBy("security_id", "obs_ix").agg(
-        F.count(F.lit(1)).alias("required_count"), F.count_if("present").alias("present_count"),
-        F.sort_array(F.collect_list(F.when(~F.col("present"), F.col("session")))).alias("missing_sessions")) \
-        .withColumn("complete", F.col("present_count") == F.col("required_count"))
+    rows = window_sessions(windows, prices)
+    required, missing = F.size("sessions").cast("long"), F.size("missing").cast("long")
+    return rows.select("security_id", "obs_ix", required.alias("required_count"), (required - missing).alias("present_count"),
+                       F.transform("missing", day_at).alias("missing_sessions"),
+                       ((missing == 0) & (required > 0)).alias("complete"))
 
 
-def window_days(windows: DataFrame, prices: DataFrame) -> DataFrame:
-    """The 21 sessions of each distinct window and whether any provider stored a bar."""
-    grid = windows.select("security_id", "obs_ix").distinct().withColumn(
-        "ix", F.explode(F.sequence(F.col("obs_ix") - 20, F.col("obs_ix"))))
-    grid = with_session_at(grid, F.col("ix"), "session")
-    bars = prices.select("security_id", F.col("trade_date").alias("session")).distinct() \
-        .withColumn("_stored", F.lit(True))
-    return grid.join(bars, ["security_id", "session"], "left").withColumn(
-        "present", F.col("_stored").isNotNull()).drop("_stored")
+def window_sessions(windows: DataFrame, prices: DataFrame) -> DataFrame:
+    """``with_window_sessions`` of each distinct window."""
+    return with_window_sessions(windows.select("security_id", "obs_ix").distinct(), prices)
 
 
-def islands(days: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of adjacent sessions as request ranges; closures between them do not split."""
-    run = F.col("ix") - F.row_number().over(Window.partitionBy(*keys).orderBy("ix"))
-    return (days.withColumn("_run", run).groupBy(*keys, "_run")
-            .agg(F.min("day").alias("range_start"), F.max("day").alias("range_end"),
-                 F.count(F.lit(1)).alias("sessions")).drop("_run"))
+def with_window_sessions(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """Append the 21 sessions ending at ``obs_ix``, and those without a bar of any provider, as arrays of day numbers."""
+    opened = session_words(rows.sparkSession)
+    rows = with_session_at(rows, F.col("obs_ix"), "_end")
+    # A window that starts before the horizon has the sessions the horizon has; one that ends after it has none there.
+    rows = with_session_at(rows, F.greatest(F.col("obs_ix") - 20, F.lit(1)), "_start")
+    stored = presence(prices).select(F.col("security_id").alias("_security"), "stored")
+    rows = rows.join(stored, F.col("security_id") == F.col("_security"), "left").drop("_security")
+    days = F.sequence(day_number(F.col("_start")), day_number(F.col("_end")))
+    rows = rows.withColumn("sessions", F.filter(F.coalesce(days, F.array().cast("array<int>")), lambda d: has(opened, d)))
+    return rows.withColumn("missing", F.filter("sessions", lambda d: ~has(F.col("stored"), d))).drop("_start", "_end", "stored")
 
 
 def _cover_nodes(first: Column, last: Column) -> Column:
@@ -210,41 +217,59 @@ def resolve_tickers(requests: DataFrame, securities: DataFrame) -> DataFrame:
         "security_id": F.when(F.col("_n") == 1, F.col("security_id"))}).drop("_t", "_n")
 
 
-def planned_days(ranges: DataFrame, prices: DataFrame, attempts: DataFrame, provider: str, as_of_date, *,
-                 retry_known_no_data: bool = False) -> DataFrame:
-    """Coverage days of each range with ``known`` marking fetchable days already answered empty."""
-    days = coverage_days(ranges, prices, as_of_date)
+def silent_words(attempts: DataFrame, provider: str) -> DataFrame:
+    """Days inside any no-data range of the provider, as words: one row a security.
+
+    A security's ranges first become disjoint ones, which together have a bit a day at most.
+    """
+    start, end = F.col("requested_start_date"), F.col("requested_end_date")
+    asked = attempts.where((F.col("provider") == provider) & (F.col("status") == "no_data") & (start <= end)).groupBy(
+        "security_id", F.greatest(day_number(start), F.lit(0)).alias("_first")).agg(F.max(F.least(day_number(end), F.lit(SPAN - 1))).alias("_last"))
+    # One row a security and first day: bounded by the horizon.
+    order = Window.partitionBy("security_id").orderBy("_first")
+    before = F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = asked.withColumn("_from", F.greatest("_first", F.coalesce(before + 1, F.lit(0)))).where("_from <= _last")
+    days = parted.select("security_id", F.explode(F.sequence("_from", "_last")).alias("_day"))
+    return day_words(days, ["security_id"], {"silent": day_at(F.col("_day"))})
+
+
+def planned(ranges: DataFrame, prices: DataFrame, attempts: DataFrame, provider: str, as_of_date, *,
+            retry_known_no_data: bool = False) -> DataFrame:
+    """``range_days`` with the days already answered empty (``silent`` words) and the requests as runs of days."""
+    rows = range_days(ranges, prices, as_of_date)
     if retry_known_no_data:
-        return days.withColumn("known", F.lit(False))
-    wanted = days.where("fetchable")
-    known = known_no_data(attempts, provider, wanted).withColumn("_known", F.lit(True))
-    return days.join(known, ["security_id", "ix"], "left").withColumn(
-        "known", F.coalesce("_known", F.lit(False)) & F.col("fetchable")).drop("_known")
+        rows = rows.withColumn("silent", F.lit(None).cast("array<bigint>"))
+    else:
+        known = silent_words(attempts, provider).select(F.col("security_id").alias("_security"), "silent")
+        rows = rows.join(known, F.col("security_id") == F.col("_security"), "left").drop("_security")
+    last = day_number(F.lit(as_of_date))
+    fetchable = lambda d: ~has(F.col("stored"), d) & (d <= last)
+    return rows.withColumns({
+        "planned": runs(F.col("sessions"), fetchable),
+        "requests": runs(F.col("sessions"), lambda d: fetchable(d) & ~has(F.col("silent"), d)),
+        "skipped": runs(F.col("sessions"), lambda d: fetchable(d) & has(F.col("silent"), d))})
 
 
-def request_ranges(days: DataFrame) -> DataFrame:
-    return islands(days.where("fetchable and not known"), RANGE)
+def run_rows(rows: DataFrame, name: str) -> DataFrame:
+    """The runs of a ``planned`` column as request ranges; closures between sessions do not split."""
+    return rows.select(*RANGE, F.explode(name).alias("_run")).select(
+        *RANGE, day_at(F.col("_run.first")).alias("range_start"), day_at(F.col("_run.last")).alias("range_end"),
+        F.col("_run.size").alias("sessions"))
+
+
+def request_ranges(plan: DataFrame) -> DataFrame:
+    return run_rows(plan, "requests")
 
 
 def backfill_plan(ranges: DataFrame, prices: DataFrame, attempts: DataFrame, securities: DataFrame,
                   provider: str, as_of_date, *, retry_known_no_data: bool = False) -> DataFrame:
     """Dry-run status and range counts of each repair range."""
-    days = planned_days(ranges, prices, attempts, provider, as_of_date,
-                        retry_known_no_data=retry_known_no_data)
-    # Every session of a range is a row, so a run starts where its neighbour does not
-    # belong to it; all three run counts take one window over the same partitioning.
-    ordered = Window.partitionBy(*RANGE).orderBy("ix")
-    wanted = F.col("fetchable") & ~F.col("known")
-    runs = {"planned_ranges": F.col("fetchable"), "request_ranges": wanted, "skipped_ranges": F.col("known")}
-    marked = days.where("is_session").withColumns(
-        {f"_{name}": test & ~F.lag(test, 1, False).over(ordered) for name, test in runs.items()})
-    state = marked.groupBy(*RANGE).agg(
-        F.count_if("missing").alias("missing_sessions"), F.count_if("fetchable").alias("fetchable_sessions"),
-        F.count_if("known").alias("known_no_data_sessions"),
-        *[F.count_if(f"_{name}").alias(name) for name in runs])
-    out = ranges.select(*RANGE).distinct().join(state, RANGE, "left")
-    numbers = [c for c in out.columns if c not in RANGE]
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
+    rows = planned(ranges, prices, attempts, provider, as_of_date, retry_known_no_data=retry_known_no_data)
+    count = lambda name: F.size(name).cast("long")
+    out = rows.select(
+        *RANGE, count("missing").alias("missing_sessions"), count("fetchable").alias("fetchable_sessions"),
+        F.coalesce(F.aggregate("skipped", F.lit(0).cast("long"), lambda n, r: n + r["size"]), F.lit(0)).alias("known_no_data_sessions"),
+        count("planned").alias("planned_ranges"), count("requests").alias("request_ranges"), count("skipped").alias("skipped_ranges"))
     symbols = securities.select("security_id", F.coalesce("provider_symbol", "ticker").alias("_symbol"))
     status = (F.when((F.col("planned_ranges") == 0) & (F.col("missing_sessions") == 0), "complete")
               .when(F.col("planned_ranges") == 0, "future_sessions_only")
@@ -257,22 +282,22 @@ def backfill_plan(ranges: DataFrame, prices: DataFrame, attempts: DataFrame, sec
 REQUEST = ["security_id", "range_start", "range_end"]
 
 
-def apply_delivery(days: DataFrame, delivered: DataFrame, prices: DataFrame, provider: str,
+def apply_delivery(plan: DataFrame, delivered: DataFrame, prices: DataFrame, provider: str,
                    failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted bars, and one attempt row per request, from delivered provider bars.
 
-    ``delivered`` carries the request key (``security_id, range_start, range_end``)
+    ``plan`` are the rows of ``planned``.  ``delivered`` carries the request key (``security_id, range_start, range_end``)
     and bar columns.  Only fetchable sessions are accepted.
     """
-    requests = islands(days.where("fetchable and not known"), RANGE)
-    fetchable = days.where("fetchable").select("security_id", F.col("day").alias("trade_date")).distinct()
-    wanted = days.where("fetchable and not known").select("security_id", F.col("day").alias("trade_date")) \
-        .distinct().withColumn("_wanted", F.lit(True))
+    requests = request_ranges(plan)
+    # Days to be delivered, once a security: what is asked for has to be told day by day.
+    asked = plan.select("security_id", F.explode("fetchable").alias("_day"), "silent").select(
+        "security_id", day_at(F.col("_day")).alias("trade_date"), (~has(F.col("silent"), F.col("_day"))).alias("_wanted"))
+    asked = asked.groupBy("security_id", "trade_date").agg(F.max("_wanted").alias("_wanted"))
     known = prices.where(F.col("provider") == provider).select(
         "security_id", "trade_date", F.lit(True).alias("_stored"))
-    accepted = (delivered.join(fetchable, ["security_id", "trade_date"], "left_semi")
-                .join(known, ["security_id", "trade_date"], "left")
-                .join(wanted, ["security_id", "trade_date"], "left"))
+    accepted = (delivered.join(asked, ["security_id", "trade_date"])
+                .join(known, ["security_id", "trade_date"], "left"))
     inside = F.col("trade_date").between(F.col("range_start"), F.col("range_end"))
     taken = accepted.groupBy(*REQUEST).agg(
         F.count_if(F.col("_stored").isNull()).alias("bars_created"), F.count_if("_stored").alias("bars_updated"),
@@ -291,13 +316,13 @@ def apply_delivery(days: DataFrame, delivered: DataFrame, prices: DataFrame, pro
     return accepted.drop("_stored", "_wanted"), attempts
 
 
-def delivery_status(days: DataFrame, covered_after: DataFrame, attempts: DataFrame) -> DataFrame:
+def delivery_status(plan: DataFrame, covered_after: DataFrame, attempts: DataFrame) -> DataFrame:
     """Final status of each range after its delivery was applied.
 
-    ``days`` are the days the requests were made from: a request belongs to the range
+    ``plan`` are the rows the requests were made from: a request belongs to the range
     whose gap it is, so attempts come to their ranges by equal keys.
     """
-    requests = islands(days.where("fetchable and not known"), RANGE).select(*RANGE, "range_start", "range_end").distinct()
+    requests = request_ranges(plan).select(*RANGE, "range_start", "range_end").distinct()
     per_range = (requests.join(attempts, REQUEST, "left").groupBy(*RANGE).agg(
         F.count_if(F.col("status") == "error").alias("provider_errors"),
         F.count_if(F.col("status") == "no_data").alias("provider_no_data"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lockstep.functions.total_order import with_position
 from lockstep.operators.calendar_ops import with_session_at, with_session_index
 
 
@@ -143,47 +144,45 @@ def merge_bars(stored: DataFrame, fetched: DataFrame, *, refresh: bool = False)
 def ingest_report(plan: DataFrame, fetched: DataFrame, stored: DataFrame, *, refresh: bool = False,
                   failed: DataFrame | None = None, created: DataFrame | None = None,
                   missing: DataFrame | None = None) -> DataFrame:
-    """Counters of one market-history run over planned requests and their responses."""
-    from lockstep.operators.outcomes import side_by_side
-    key = ["security_id", "trade_date", "provider"]
-    due = plan.where("not skipped_current")
-    answered = fetched.select("security_id").distinct().withColumn("_answered", F.lit(True))
-    errors = (failed.select("security_id").distinct() if failed is not None
-              else due.select("security_id").where("false")).withColumn("_failed", F.lit(True))
-    requests = due.join(answered, "security_id", "left").join(errors, "security_id", "left")
-    known = fetched.select(*key).join(stored.select(*key, F.lit(True).alias("_known")), key, "left")
-    zero = plan.agg(F.lit(0).cast("long").alias("_z"))
-
-    def count(rows, name):
-        return rows.agg(F.count(F.lit(1)).alias(name)) if rows is not None \
-            else zero.select(F.col("_z").alias(name))
-
-    return side_by_side([
-        plan.agg(F.count(F.lit(1)).alias("securities_seen"), F.count_if(F.col("skipped_current")).alias("skipped_current")),
-        count(created, "securities_created"), count(missing, "symbols_missing"),
-        known.agg(F.count(F.lit(1)).alias("bars_fetched"),
-                  F.count_if(F.col("_known").isNull()).alias("bars_created"),
-                  (F.count_if("_known") if refresh else F.lit(0).cast("long")).alias("bars_updated")),
-        requests.agg(
-            F.count_if(F.col("_answered").isNull() & F.col("_failed").isNull()).alias("provider_no_data"),
-            F.count_if("_failed").alias("provider_errors"), F.count_if("_failed").alias("errors"))])
+    """Counters of one market-history run over planned requests and their responses.
 
-
-def ingest_positions(offerings: DataFrame, ids_per_part: int = 65_536) -> DataFrame:
-    """``position`` of every offering in ingest order, without ordering them all in one task.
-
-    Parts are the offerings of one status, date and id range; their sizes give each
-    part's first position, and only the offerings of a part are ordered.
+    Requests, bars and failures are rows of one tagged table that is added up by security
+    and then over all, so every source is read once.
     """
-    part = ["_priced", "_date", "_range"]
-    rows = offerings.withColumns({
-        "_priced": F.when(F.col("offering_status").isNull(), 0).when(F.col("offering_status") == "priced", 1).otherwise(2),
-        "_date": F.coalesce(-F.unix_date("first_filing_date"), F.lit(-(1 << 30))),
-        "_range": F.floor(F.col("ipo_id") / ids_per_part)})
-    through = F.sum("count").over(Window.orderBy(*part))
-    starts = rows.groupBy(*part).count().withColumn("_before", through - F.col("count")).drop("count")
-    own = F.row_number().over(Window.partitionBy(*part).orderBy("ipo_id"))
-    return rows.join(starts, part).withColumn("position", F.col("_before") + own).drop(*part, "_before")
+    from lockstep.operators.outcomes import side_by_side
+    key = ["security_id", "trade_date", "provider"]
+    due = (~F.col("skipped_current")).cast("long")
+    bars = fetched.select(*key).join(stored.select(*key, F.lit(True).alias("_known")), key, "left")
+    tagged = plan.select("security_id", F.lit(1).cast("long").alias("asked"), due.alias("due")).unionByName(
+        bars.select("security_id", F.lit(1).cast("long").alias("bars"), F.when(F.col("_known"), 1).cast("long").alias("known")),
+        allowMissingColumns=True)
+    failures = failed.select("security_id") if failed is not None else plan.limit(0).select("security_id")
+    tagged = tagged.unionByName(failures.withColumn("failed", F.lit(1).cast("long")), allowMissingColumns=True)
+    names = ["asked", "due", "bars", "known", "failed"]
+    by_security = tagged.groupBy("security_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    errors = total(F.when(F.col("failed") > 0, F.col("due")))
+    totals = by_security.agg(
+        total("asked").alias("securities_seen"), total(F.col("asked") - F.col("due")).alias("skipped_current"),
+        total("bars").alias("bars_fetched"), total(F.col("bars") - F.col("known")).alias("bars_created"),
+        (total("known") if refresh else zero).alias("bars_updated"),
+        total(F.when((F.col("bars") == 0) & (F.col("failed") == 0), F.col("due"))).alias("provider_no_data"),
+        errors.alias("provider_errors"), errors.alias("errors"))
+    counted = [rows.agg(F.count(F.lit(1)).alias(name)) for rows, name in (
+        (created, "securities_created"), (missing, "symbols_missing")) if rows is not None]
+    out = side_by_side([totals, *counted])
+    for name in ("securities_created", "symbols_missing"):
+        out = out if name in out.columns else out.withColumn(name, zero)
+    return out.select("securities_seen", "skipped_current", "securities_created", "symbols_missing", "bars_fetched", "bars_created",
+                      "bars_updated", "provider_no_data", "provider_errors", "errors")
+
+
+def ingest_positions(offerings: DataFrame) -> DataFrame:
+    """``position`` of every offering in ingest order, without ordering them all in one task."""
+    priced = F.when(F.col("offering_status").isNull(), 0).when(F.col("offering_status") == "priced", 1).otherwise(2)
+    newest = F.coalesce(-F.unix_date("first_filing_date"), F.lit(-(1 << 30)))
+    return with_position(offerings, [priced, newest, F.col("ipo_id")])
 
 
 def ingest_order(offerings: DataFrame) -> DataFrame:

@@ -47,29 +47,29 @@ def analysis_report(cohort: DataFrame, securities: DataFrame, bars: DataFrame,
                  F.count_if(F.col("event_date").isNull()).alias("errors"),
                  F.count_if(F.col("event_date").isNotNull() & F.col("_priced").isNull())
                  .alias("no_market_history")))
-    status = outcomes.agg(
-        F.count_if(F.col("event_trade_date").isNotNull()).alias("events_aligned"),
-        F.count_if(F.col("event_status") == "upcoming").alias("upcoming"),
-        F.count_if(F.col("event_status") == "complete").alias("complete"),
-        F.count_if(~F.col("event_status").isin("upcoming", "complete")).alias("incomplete"))
-
-    def counts(fresh, stored, key, name):
+    def known(fresh, stored, key):
+        # Rows of the table that is there already; a first run has none.
         if stored is None:
-            return fresh.agg(F.count(F.lit(1)).alias(f"{name}_created"),
-                             F.lit(0).cast("long").alias(f"{name}_updated"))
-        from lockstep.operators.snapshots import merge_counts
-        return merge_counts(stored, fresh, key).withColumnsRenamed(
-            {"created": f"{name}_created", "updated": f"{name}_updated"})
+            return fresh.withColumn("_known", F.lit(None).cast("boolean"))
+        return fresh.join(stored.select(*key, F.lit(True).alias("_known")).distinct(), list(key), "left")
+
+    def merged(name):
+        return [F.count_if(F.col("_known").isNull()).alias(f"{name}_created"), F.count_if("_known").alias(f"{name}_updated")]
 
     from lockstep.operators.snapshots import SNAPSHOT_KEY
-    parts = [seen, status, counts(snapshots, stored_snapshots, SNAPSHOT_KEY, "snapshots"),
-             counts(outcomes, stored_outcomes, OUTCOME_KEY, "outcomes")]
-    return side_by_side(parts)
+    told = known(outcomes, stored_outcomes, OUTCOME_KEY).agg(
+        F.count_if(F.col("event_trade_date").isNotNull()).alias("events_aligned"),
+        F.count_if(F.col("event_status") == "upcoming").alias("upcoming"),
+        F.count_if(F.col("event_status") == "complete").alias("complete"),
+        F.count_if(~F.col("event_status").isin("upcoming", "complete")).alias("incomplete"), *merged("outcomes"))
+    rows = side_by_side([seen, told, known(snapshots, stored_snapshots, SNAPSHOT_KEY).agg(*merged("snapshots"))])
+    order = ["snapshots_created", "snapshots_updated", "outcomes_created", "outcomes_updated"]
+    return rows.select(*[c for c in rows.columns if c not in order], *order)
 
 
 def side_by_side(parts: list[DataFrame]) -> DataFrame:
-    """Put one-row aggregates next to each other on a constant key."""
-    out = parts[0].withColumn("_one", F.lit(1))
+    """One-row aggregates as one row: each part is planned once, and only their single rows meet."""
+    out = parts[0]
     for part in parts[1:]:
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one", "full_outer")
-    return out.drop("_one")
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])

@@ -1,14 +1,16 @@
 """Audits that compare stored sessions with the calendar, and the two snapshot lineages."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.constants import (FROZEN, PARITY_ATOL, PARITY_RTOL, SESSION_VERSION, STORED_BAR_VERSION,
                                 Hypothesis)
+from lockstep.functions.day_bits import day_at, day_number, has, session_words
 from lockstep.functions.numeric import side, within_tolerance
+from lockstep.functions.total_order import with_position
 from lockstep.operators.calendar_ops import provenance, with_session_at, with_session_index
-from lockstep.operators.coverage import feature_window_coverage
+from lockstep.operators.coverage import presence, with_window_sessions
 from lockstep.operators.events import numbered_bars, with_event_date
 
 # Features stored by both lineages, and pair classes in report order.
@@ -33,8 +35,8 @@ def session_parity(snapshots: DataFrame, lockups: DataFrame, companies: DataFram
         "ipo_id", "lockup_id", "security_id", "company_id", "snapshot_version", "observation_offset",
         F.col("event_trade_date").alias("stored_event_trade_date"),
         F.col("observation_date").alias("stored_observation_date"), "return_20d", "realized_vol_20d")
-    dates = with_event_date(lockups).select("lockup_id", "event_date", "event_date_source")
-    df = stored.join(dates, "lockup_id").join(
+    dated = with_event_date(lockups).select("lockup_id", "event_date", "event_date_source")
+    df = stored.join(dated, "lockup_id").join(
         companies.select("company_id", "ticker", F.col("name").alias("company_name")), "company_id")
     df = with_session_index(df, "event_date", "_c_").withColumns({
         "event_ix": F.col("_c_next_ix"), "obs_ix": F.col("_c_next_ix") + F.col("observation_offset")}) \
@@ -42,17 +44,20 @@ def session_parity(snapshots: DataFrame, lockups: DataFrame, companies: DataFram
     df = with_session_at(df, F.col("event_ix"), "canonical_event_trade_date")
     df = with_session_at(df, F.col("obs_ix"), "canonical_observation_date")
 
-    # Sessions between observation and event, once per distinct window.
-    walk = df.where("obs_ix is not null").select("security_id", "event_ix", "obs_ix").distinct() \
-        .withColumn("ix", F.explode(F.sequence("obs_ix", "event_ix")))
-    walk = with_session_at(walk, F.col("ix"), "session")
-    have = bars.select("security_id", F.col("trade_date").alias("session"), F.lit(True).alias("_stored"))
-    walk = walk.join(have, ["security_id", "session"], "left")
-    present = F.col("_stored").isNotNull()
-    windows = walk.groupBy("security_id", "event_ix", "obs_ix").agg(
-        F.sort_array(F.collect_list("session")).alias("expected_sessions"),
-        F.sort_array(F.collect_list(F.when(present, F.col("session")))).alias("stored_sessions_in_expected_window"),
-        F.sort_array(F.collect_list(F.when(~present, F.col("session")))).alias("missing_expected_sessions"))
+    # Sessions between observation and event: bit tests in the row of each distinct window.
+    opened = session_words(bars.sparkSession)
+    stored_days = presence(bars).select(F.col("security_id").alias("_security"), "stored")
+    walk = df.where("canonical_observation_date is not null and canonical_event_trade_date is not null").select(
+        "security_id", "event_ix", "obs_ix", "canonical_observation_date", "canonical_event_trade_date").distinct()
+    walk = walk.join(stored_days, F.col("security_id") == F.col("_security"), "left")
+    ends = [day_number(F.col("canonical_observation_date")), day_number(F.col("canonical_event_trade_date"))]
+    days = F.sequence(F.least(*ends), F.greatest(*ends))
+    walk = walk.withColumn("_days", F.filter(days, lambda d: has(opened, d)))
+    dates = lambda keep: F.transform(F.filter("_days", keep), day_at)
+    windows = walk.select(
+        "security_id", "event_ix", "obs_ix", dates(lambda d: F.lit(True)).alias("expected_sessions"),
+        dates(lambda d: has(F.col("stored"), d)).alias("stored_sessions_in_expected_window"),
+        dates(lambda d: ~has(F.col("stored"), d)).alias("missing_expected_sessions"))
     df = df.join(windows, ["security_id", "event_ix", "obs_ix"], "left")
 
     ordinals = numbered_bars(bars).select("security_id", "trade_date", "bn")
@@ -95,14 +100,10 @@ def audit_order(audit: DataFrame) -> DataFrame:
     return audit.orderBy(F.coalesce("ticker", F.lit("")), "lockup_id", "observation_offset", "snapshot_version")
 
 
-def audit_positions(audit: DataFrame, ids_per_part: int = 65_536) -> DataFrame:
-    """``position`` of every row in audit order; only rows of one ticker and id range are ordered together."""
-    part = ["_ticker", "_range"]
-    rows = audit.withColumns({"_ticker": F.coalesce("ticker", F.lit("")), "_range": F.floor(F.col("lockup_id") / ids_per_part)})
-    starts = rows.groupBy(*part).count().withColumn(
-        "_before", F.sum("count").over(Window.orderBy(*part)) - F.col("count")).drop("count")
-    own = F.row_number().over(Window.partitionBy(*part).orderBy("lockup_id", "observation_offset", "snapshot_version"))
-    return rows.join(starts, part).withColumn("position", F.col("_before") + own).drop(*part, "_before")
+def audit_positions(audit: DataFrame) -> DataFrame:
+    """``position`` of every row in audit order."""
+    return with_position(audit, [F.coalesce("ticker", F.lit("")), F.col("lockup_id"), F.col("observation_offset"),
+                                 F.col("snapshot_version"), F.coalesce("security_id", F.lit(-1))])
 
 
 def session_parity_summary(audit: DataFrame) -> DataFrame:
@@ -140,10 +141,7 @@ def discovery_impact(audit: DataFrame, outcomes: DataFrame, prices: DataFrame,
                      hypothesis: Hypothesis = FROZEN) -> DataFrame:
     """How many discovery events sit on a wrong session, and how many could be recomputed."""
     events = discovery_events(audit, outcomes, hypothesis)
-    affected = events.where(F.col("mismatch_type") != "exact_match")
-    complete = feature_window_coverage(affected.where("obs_ix is not null"), prices) \
-        .where("complete").select("security_id", "obs_ix", F.lit(True).alias("_complete"))
-    rows = events.join(complete, ["security_id", "obs_ix"], "left")
+    rows = with_window_sessions(events, prices).withColumn("_complete", (F.size("sessions") > 0) & (F.size("missing") == 0))
     wrong = F.col("mismatch_type") != "exact_match"
     out = rows.agg(F.count(F.lit(1)).alias("events"), F.count_if(wrong).alias("with_mismatch"),
                    F.count_if(wrong & F.col("_complete")).alias("recomputable"))

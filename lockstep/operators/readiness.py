@@ -4,38 +4,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lockstep.functions.day_bits import day_at, day_number, day_words, has
 from lockstep.operators.calendar_ops import provenance, with_session_at, with_session_index
-from lockstep.operators.coverage import latest_attempts, selected_rows, window_days
+from lockstep.operators.coverage import latest_attempts, selected_rows, window_sessions
 from lockstep.operators.events import CLEAN, cohort_predicate, selected_primary
 
 CATEGORIES = ("present", "future", "known_no_data", "provider_error", "attempted", "unattempted")
 
 
-def classified_days(windows: DataFrame, prices: DataFrame, attempts: DataFrame, provider: str, as_of_date) -> DataFrame:
-    """Category of each session of each distinct window.
+#: What the latest attempt at a missing day makes of it; no attempt at all is the last category.
+ANSWERS = {"known_no_data": ("no_data",), "provider_error": ("error",), "attempted": ("success", "partial")}
+
+
+def _answered_words(missing: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Missing days by the latest attempt at them, as words: one row a security and one set a category."""
+    days = with_session_index(missing.select("security_id", day_at(F.col("_day")).alias("session")), "session", "")
+    latest = with_session_at(latest_attempts(attempts, days), F.col("ix"), "session")
+    return day_words(latest, ["security_id"], {
+        f"_{name}": F.when(F.col("latest_status").isin(*statuses), F.col("session")) for name, statuses in ANSWERS.items()})
+
+
+def classified_windows(windows: DataFrame, prices: DataFrame, attempts: DataFrame, provider: str, as_of_date) -> DataFrame:
+    """Distinct windows with ``session_classifications``: each session and its category.
 
-    Bars of any provider count; attempts only of the configured one.  The latest
-    attempt decides, and it is found once per distinct missing day.
+    Bars of any provider count; attempts only of the configured one.  The latest attempt
+    decides, and it is found once per distinct missing day, not once per window.
     """
-    days = window_days(windows, prices)
-    missing = days.where("not present").select("security_id", "ix").distinct()
-    latest = latest_attempts(attempts.where(F.col("provider") == provider), missing)
-    category = (F.when(F.col("present"), "present").when(F.col("session") > F.lit(as_of_date), "future")
-                .when(F.col("latest_status") == "no_data", "known_no_data")
-                .when(F.col("latest_status") == "error", "provider_error")
-                .when(F.col("latest_status").isin("success", "partial"), "attempted").otherwise("unattempted"))
-    return days.join(latest, ["security_id", "ix"], "left").withColumn("category", category)
+    rows = window_sessions(windows, prices)
+    missing = rows.select("security_id", F.explode("missing").alias("_day")).distinct()
+    answered = _answered_words(missing, attempts.where(F.col("provider") == provider)).withColumnRenamed("security_id", "_security")
+    rows = rows.join(answered, F.col("security_id") == F.col("_security"), "left")
+
+    def category(day):
+        told = F.when(~F.array_contains("missing", day), "present").when(day > day_number(F.lit(as_of_date)), "future")
+        for name in ANSWERS:
+            told = told.when(has(F.col(f"_{name}"), day), name)
+        return told.otherwise("unattempted")
+
+    # 21 sessions a window.
+    entries = F.transform("sessions", lambda d: F.struct(day_at(d).alias("session"), category(d).alias("classification")))
+    return rows.select("security_id", "obs_ix", entries.alias("session_classifications"))
+
+
+def classified_days(windows: DataFrame, prices: DataFrame, attempts: DataFrame, provider: str, as_of_date) -> DataFrame:
+    """``classified_windows`` with one row a session."""
+    rows = classified_windows(windows, prices, attempts, provider, as_of_date)
+    return rows.select("security_id", "obs_ix", F.explode("session_classifications").alias("_e")).select(
+        "security_id", "obs_ix", F.col("_e.session").alias("session"), F.col("_e.classification").alias("category"))
 
 
 def diagnose_windows(windows: DataFrame, prices: DataFrame, attempts: DataFrame, provider: str, as_of_date) -> DataFrame:
     """Counts, session lists and status of each distinct ``(security_id, obs_ix)`` window."""
-    days = classified_days(windows, prices, attempts, provider, as_of_date)
-    entry = F.struct("session", F.col("category").alias("classification"))
-    rows = days.groupBy("security_id", "obs_ix").agg(
-        F.count(F.lit(1)).alias("required_count"), F.count_if(~F.col("present")).alias("missing_count"),
-        *[F.count_if(F.col("category") == c).alias(f"{c}_count") for c in CATEGORIES],
-        # Exactly 21 sessions per window.
-        F.sort_array(F.collect_list(entry)).alias("session_classifications"))
+    rows = classified_windows(windows, prices, attempts, provider, as_of_date)
+    count = lambda name: F.size(F.filter("session_classifications", lambda e: e["classification"] == name)).cast("long")
+    counts = {f"{c}_count": count(c) for c in CATEGORIES}
+    rows = rows.withColumns(counts | {"required_count": F.size("session_classifications").cast("long")})
+    rows = rows.withColumn("missing_count", F.col("required_count") - F.col("present_count"))
     kinds = sum((F.col(f"{c}_count") > 0).cast("int") for c in CATEGORIES if c != "present")
     status = (F.when(F.col("missing_count") == 0, "complete")
               .when(F.col("future_count") == F.col("missing_count"), "not_reached")

@@ -178,11 +178,11 @@ class Warehouse:
 
     # -- signals, runs, options and prospectus text --------------------------
     def signals(self, hypothesis) -> DataFrame:
-        """Signals stored by earlier runs, one in five agreements, in all four modes."""
+        """Signals stored by earlier runs, one for every dated agreement, in all four modes."""
         from lockstep.operators.prospective import signal_columns
         k = F.col("lockup_id")
         base = self.lockups().withColumn("event_date", F.coalesce(
-            "stated_expiration_date", "calculated_expiration_date")).where((k % 5 == 0) & F.col("event_date").isNotNull())
+            "stated_expiration_date", "calculated_expiration_date")).where("event_date is not null")
         mode = pick(("strict_prospective", "prospective", "shadow_prospective", "lifecycle_tracking"), F.floor(k / 5) % 4)
         mature = (k % 10 == 0) & (F.floor(k / 5) % 4 != 3)
         group = pick(("low_low", "low_high", "high_low", "high_high"), F.floor(k / 20) % 4)
@@ -246,6 +246,11 @@ class Warehouse:
             F.when(F.col("l_linestatus") == "O", F.col("l_tax")).alias("ask_price"),
             F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("bid_size"))
 
+    def spread_orders(self) -> DataFrame:
+        """The narrow order columns of a text, dealt evenly: what follows reads each text many times."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.table("orders").select("o_orderkey", "o_orderdate", "o_orderpriority").repartition(parts)
+
     def lockup_documents(self) -> DataFrame:
         """Prospectus texts whose answers are order columns."""
         k = F.col("o_orderkey")
@@ -261,7 +266,7 @@ class Warehouse:
             F.lit("\n\nThe company has agreed not to issue or sell common stock for 90 days.\n\nSHARES ELIGIBLE FOR FUTURE SALE\n\n"
                   "Certain selling stockholders may not sell their shares until the restrictions terminate on "),
             F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(".\n\nDESCRIPTION OF CAPITAL STOCK\n\n"), F.col("o_orderpriority"))
-        return self.table("orders").select(
+        return self.spread_orders().select(
             k.alias("filing_id"), (k % 700).alias("ipo_id"), F.to_date("o_orderdate").alias("filed_at"), text.alias("text"))
 
     def offering_documents(self) -> DataFrame:

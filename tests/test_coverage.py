@@ -49,10 +49,9 @@ def test_lockup_plan_golden(spark):
 
 def test_islands_bridge_closures(spark):
     # 9 January 2025 was closed, so the 8th and 10th are adjacent sessions.
-    days = cv.coverage_days(span(spark, D(2025, 1, 2), D(2025, 1, 14)), prices(spark, [D(2025, 1, 7), D(2025, 1, 13)]),
-                            D(2025, 2, 1))
-    got = sorted((r["range_start"], r["range_end"], r["sessions"]) for r in
-                 cv.islands(days.where("missing"), cv.RANGE).collect())
+    plan = cv.planned(span(spark, D(2025, 1, 2), D(2025, 1, 14)), prices(spark, [D(2025, 1, 7), D(2025, 1, 13)]),
+                      spark.createDataFrame([], ATTEMPT), "p", D(2025, 2, 1))
+    got = sorted((r["range_start"], r["range_end"], r["sessions"]) for r in cv.request_ranges(plan).collect())
     assert got == [(D(2025, 1, 2), D(2025, 1, 6), 3), (D(2025, 1, 8), D(2025, 1, 10), 2), (D(2025, 1, 14), D(2025, 1, 14), 1)]
 
 
@@ -113,7 +112,7 @@ def test_delivery_completes_a_gap(spark):
     ranges = span(spark, D(2025, 1, 6), D(2025, 1, 10))
     stored = prices(spark, [D(2025, 1, 7)])
     attempts = spark.createDataFrame([], ATTEMPT)
-    days = cv.planned_days(ranges, stored, attempts, "p", D(2025, 2, 1))
+    days = cv.planned(ranges, stored, attempts, "p", D(2025, 2, 1))
     delivered = spark.createDataFrame(
         [(1, D(2025, 1, 6), D(2025, 1, 6), D(2025, 1, 6)), (1, D(2025, 1, 8), D(2025, 1, 10), D(2025, 1, 8)),
          (1, D(2025, 1, 8), D(2025, 1, 10), D(2025, 1, 11))],
