@@ -66,7 +66,7 @@ def ordered(w):
  SELECT count(*) AS snapshots_seen, count(*) FILTER (mismatch_type = 'exact_match') AS exact_matches, count(*) FILTER (mismatch_type = 'event_session_mismatch') AS event_session_mismatches,
   count(*) FILTER (mismatch_type LIKE 'observation_session%') AS observation_session_mismatches, count(*) FILTER (mismatch_type = 'observation_session_mismatch_sparse_history') AS observation_sparse_history_cases,
   count(*) FILTER (mismatch_type = 'observation_session_mismatch_unexplained') AS unexplained_mismatches, count(*) FILTER (mismatch_type = 'event_and_observation_mismatch') AS event_and_observation_mismatches,
-  0::BIGINT AS missing_required_fields, count(*) FILTER (mismatch_type <> 'exact_match') AS total_session_mismatches, count(*) FILTER ({_SPARSE}) AS sparse_data_related_mismatches,
+  count(*) FILTER (mismatch_type = 'missing_required_fields') AS missing_required_fields, count(*) FILTER (mismatch_type <> 'exact_match') AS total_session_mismatches, count(*) FILTER ({_SPARSE}) AS sparse_data_related_mismatches,
   'XNYS' AS calendar_id, 'rules' AS calendar_provider, '1' AS calendar_version FROM sessp""")
 def parity_summary(w):
     return pa.session_parity_summary(session_audit(w))
@@ -198,10 +198,16 @@ def first_row(w):
     return assembled(w).select("lockup_id", "observation_offset", "security_id")
 
 
-@register("o3_column_families", "SELECT count(*) AS rows, 77 AS columns FROM ds WHERE is_primary_event")
+@register("o3_column_families", """
+ SELECT observation_offset, count(*) AS rows, 77 AS columns, count(close) AS with_close, count(realized_vol_20d) AS with_volatility, count(ipo_price) AS with_price,
+  count(post_20d_return) AS with_outcome, count(baseline_avg_volume) AS with_baseline FROM ds WHERE is_primary_event GROUP BY 1""")
 def families(w):
+    """Per offset the values that a column of each family has."""
     rows = primary_events(w)
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(rows.columns)).alias("columns"))
+    held = {"with_close": "close", "with_volatility": "realized_vol_20d", "with_price": "ipo_price", "with_outcome": "post_20d_return",
+            "with_baseline": "baseline_avg_volume"}
+    return rows.groupBy("observation_offset").agg(F.count(F.lit(1)).alias("rows"), F.lit(len(rows.columns)).alias("columns"),
+                                                  *[F.count(column).alias(name) for name, column in held.items()])
 
 
 @register("o4_event_identity", "SELECT lockup_id, observation_offset, event_date, event_trade_date, event_date_source, data_cutoff_date FROM ds")
@@ -216,9 +222,11 @@ def availability(w):
     return assembled(w).select("lockup_id", "observation_offset", *ds.AVAILABILITY)
 
 
-@register("a9_backtest_csv_rows", "SELECT count(*) AS rows, count(DISTINCT lockup_id) AS events FROM ds WHERE is_primary_event")
+@register("a9_backtest_csv_rows", """
+ SELECT lockup_id, observation_offset, observation_date, round(close, 6) AS close, round(post_20d_return, 6) AS post_20d_return FROM ds WHERE is_primary_event""")
 def csv_rows(w):
-    return primary_events(w).select(*ds.CSV_COLUMNS).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("lockup_id").alias("events"))
+    rows = primary_events(w).select(*ds.CSV_COLUMNS)
+    return rounded(rows.select("lockup_id", "observation_offset", "observation_date", "close", "post_20d_return"))
 
 
 @register("a10_parity_csv_rows", """

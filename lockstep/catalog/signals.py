@@ -375,8 +375,8 @@ def candidate_list(w):
     return rows.select("ipo_id", "name", "filing_count")
 
 
-def _detail(w, section):
-    return pj.candidate_detail(50, w.candidates(), w.issuers(), w.filings(), _facts(w), w.lockups())[section]
+def _detail(w, section, ipo=50):
+    return pj.candidate_detail(ipo, w.candidates(), w.issuers(), w.filings(), _facts(w), w.lockups())[section]
 
 
 @register("r10_candidate_detail", "SELECT accession_number, form_type, filed_at FROM filing WHERE company_id = 40")
@@ -395,9 +395,9 @@ def detail_facts(w):
     return _detail(w, "facts").where("field_name = 'shares_outstanding_post_ipo'").select("filing_id", F.col("value").cast("double").alias("value"))
 
 
-@register("r10_candidate_lockups", "SELECT lockup_id, holder_group FROM lock WHERE ipo_id = 50")
+@register("r10_candidate_lockups", "SELECT lockup_id, holder_group FROM lock WHERE ipo_id = 110")
 def detail_lockups(w):
-    return _detail(w, "lockups").select("lockup_id", "holder_group")
+    return _detail(w, "lockups", 110).select("lockup_id", "holder_group")
 
 
 @register("r11_snapshot_trajectory", """

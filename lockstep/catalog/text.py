@@ -22,15 +22,23 @@ def found(w):
     return lt.agreements(w.lockup_documents())
 
 
-@register("j1_sections", "SELECT o_orderkey AS filing_id, 2 AS sections FROM orders")
+@register("j1_sections", """
+ SELECT o_orderkey AS filing_id, 'UNDERWRITING' AS heading, 4 AS start_line, [90, 120, 180][o_orderkey % 3 + 1]::VARCHAR AS told FROM orders
+ UNION ALL SELECT o_orderkey, 'SHARES ELIGIBLE FOR FUTURE SALE', 11, strftime(CAST(o_orderdate AS DATE), '%B %-d, %Y') FROM orders""")
 def sections(w):
-    return lt.sections(w.lockup_documents()).groupBy("filing_id").agg(F.count(F.lit(1)).cast("int").alias("sections"))
+    """Every section with its place, and the term or date its text ends up with."""
+    rows = lt.sections(w.lockup_documents())
+    told = F.when(F.col("heading") == "UNDERWRITING", F.regexp_extract("text", r"for (\d+) days after", 1)).otherwise(
+        F.regexp_extract("text", r"terminate on (\w+ \d+, \d+)", 1))
+    return rows.select("filing_id", "heading", F.col("start_line").cast("int").alias("start_line"), told.alias("told"))
 
 
-@register("j2_sentence_windows", "SELECT o_orderkey AS filing_id, 7 AS sentences FROM orders WHERE o_orderkey >= 0 UNION ALL SELECT NULL, NULL WHERE FALSE")
+@register("j2_sentence_windows", "SELECT o_orderkey AS filing_id, 1000 + o_orderkey AS shares, o_orderkey % 2 = 0 AS may_be_waived FROM orders")
 def sentences(w):
-    return lt.sentence_windows(lt.sections(w.lockup_documents())).groupBy("filing_id").agg(
-        F.count(F.lit(1)).cast("int").alias("sentences"))
+    """The sentence that names the shares, and what the two sentences after it say."""
+    rows = lt.sentence_windows(lt.sections(w.lockup_documents())).where("sentence like 'An aggregate of %'")
+    return rows.select("filing_id", F.regexp_extract("sentence", r"of (\d+) shares", 1).cast("long").alias("shares"),
+                       F.col("window").contains("may waive these restrictions").alias("may_be_waived"))
 
 
 @register("j3_duration", "SELECT filing_id, duration_days, count(*) AS n FROM agree GROUP BY ALL")
@@ -284,3 +292,28 @@ def planted_prices(w):
     told = F.concat("text", F.lit("\nThe initial public offering price per share is $"), (10 + F.col("k") % 40).cast("string"), F.lit(".50.\n"))
     facts = ot.offering_facts(texts.select("filing_id", told.alias("text")))
     return facts.where("field_name = 'ipo_price'").select("filing_id", F.col("value").cast("double").alias("value"), "source_locator")
+
+
+@register("j24_rejected_facts", """
+ SELECT doc_id AS filing_id, 'shares_outstanding_post_ipo' AS field_name, 'shares' AS unit FROM documents WHERE doc_id % 3 = 0""")
+def rejected_facts(w):
+    """Every given text with a share count after it; a third of the counts are longer than the stored type."""
+    count = F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("9"), 30)).otherwise(F.format_number(F.col("doc_id") + 1000, 0))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nCommon stock to be outstanding after this offering: "), count, F.lit(" shares\n"))
+    rows = ot.rejected_facts(w.table("documents").select(F.col("doc_id").alias("filing_id"), text.alias("text")))
+    return rows.select("filing_id", "field_name", "unit")
+
+
+@register("j15_planted_job_report", """
+ SELECT count(*) AS ipos_seen, count(*) FILTER (doc_id % 7 <> 0) AS documents_available, count(*) FILTER (doc_id % 7 = 0) AS documents_skipped,
+  (count(*) FILTER (doc_id % 7 <> 0) + count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 5 = 0))::BIGINT AS lockups_created, count(*) FILTER (doc_id % 7 <> 0) AS ipos_with_lockups,
+  count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 5 <> 0) AS primary_lockups_selected, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 5 = 0) AS ambiguities FROM documents""")
+def planted_job_report(w):
+    """One batch over all given texts: a seventh has no document, a fifth of the rest names two terms for one kind of holder."""
+    documents = _planted(w).where(F.col("filing_id") % 7 != 0)
+    cohort = w.table("documents").select(F.col("doc_id").alias("ipo_id"), F.col("doc_id").alias("final_prospectus_filing_id"),
+                                         F.lit(None).cast("long").alias("primary_lockup_id"), F.lit(None).cast("date").alias("primary_lockup_expiration_date"))
+    none = w.lockups().where("false").select("ipo_id", "filing_id", F.lit("").alias("parser_name"), F.lit("").alias("parser_version"))
+    created = lt.agreements(lt.unparsed(cohort, documents.drop("ipo_id"), none))
+    numbered = created.withColumn("lockup_id", F.col("filing_id") * 1000 + F.col("duration_days"))
+    return lt.lockup_job_report(cohort, documents, none, created, lt.select_primary(cohort, numbered))

@@ -54,6 +54,14 @@ def presence(prices: DataFrame) -> DataFrame:
     return day_words(prices, ["security_id"], {"stored": F.col("trade_date")})
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Distinct rows of a security dealt by it to all tasks: few bytes, but much work in each.
+
+    A security has at most one row a day of the horizon and kind of range, so none is hot.
+    """
+    return rows.distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "security_id")
+
+
 def range_days(ranges: DataFrame, prices: DataFrame, as_of_date) -> DataFrame:
     """One row per distinct range with arrays of day numbers: sessions, missing, fetchable and extra.
 
@@ -65,7 +73,7 @@ def range_days(ranges: DataFrame, prices: DataFrame, as_of_date) -> DataFrame:
     first, last = F.greatest(day_number(F.col("start_date")), F.lit(0)), F.least(day_number(F.col("end_date")), F.lit(SPAN - 1))
     # Named days before the join: sides that share a column only by name stay apart.
     stored = presence(prices).select(F.col("security_id").alias("_security"), "stored")
-    rows = (ranges.select(*RANGE).distinct().join(stored, F.col("security_id") == F.col("_security"), "left").drop("_security")
+    rows = (spread(ranges.select(*RANGE)).join(stored, F.col("security_id") == F.col("_security"), "left").drop("_security")
             .withColumn("days", F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
     rows = rows.withColumns({
         "sessions": F.filter("days", lambda d: has(opened, d)),
@@ -74,9 +82,18 @@ def range_days(ranges: DataFrame, prices: DataFrame, as_of_date) -> DataFrame:
     return rows.withColumn("fetchable", F.filter("missing", lambda d: d <= day_number(F.lit(as_of_date))))
 
 
+def told_days(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One row per day number of an array column.
+
+    The outer form: an inferred "array is not empty" filter would be pushed below the
+    expressions the array comes from, and compute them anew for every element.
+    """
+    return rows.select(*keys, F.explode_outer(name).alias("_day")).where("_day is not null")
+
+
 def coverage_days(ranges: DataFrame, prices: DataFrame, as_of_date) -> DataFrame:
     """The missing sessions of each distinct range as rows, with ``ix`` and whether they are fetchable."""
-    rows = range_days(ranges, prices, as_of_date).select(*RANGE, F.explode("missing").alias("_day"))
+    rows = told_days(range_days(ranges, prices, as_of_date), RANGE, "missing")
     rows = rows.select(*RANGE, day_at(F.col("_day")).alias("day"))
     days = with_session_index(rows, "day", "").drop("next_ix", "prev_ix")
     return days.withColumn("fetchable", F.col("day") <= F.lit(as_of_date))
@@ -133,7 +150,7 @@ def feature_window_coverage(windows: DataFrame, prices: DataFrame) -> DataFrame:
 
 def window_sessions(windows: DataFrame, prices: DataFrame) -> DataFrame:
     """``with_window_sessions`` of each distinct window."""
-    return with_window_sessions(windows.select("security_id", "obs_ix").distinct(), prices)
+    return with_window_sessions(spread(windows.select("security_id", "obs_ix")), prices)
 
 
 def with_window_sessions(rows: DataFrame, prices: DataFrame) -> DataFrame:
@@ -252,7 +269,7 @@ def planned(ranges: DataFrame, prices: DataFrame, attempts: DataFrame, provider:
 
 def run_rows(rows: DataFrame, name: str) -> DataFrame:
     """The runs of a ``planned`` column as request ranges; closures between sessions do not split."""
-    return rows.select(*RANGE, F.explode(name).alias("_run")).select(
+    return rows.select(*RANGE, F.explode_outer(name).alias("_run")).where("_run is not null").select(
         *RANGE, day_at(F.col("_run.first")).alias("range_start"), day_at(F.col("_run.last")).alias("range_end"),
         F.col("_run.size").alias("sessions"))
 
@@ -291,7 +308,7 @@ def apply_delivery(plan: DataFrame, delivered: DataFrame, prices: DataFrame, pro
     """
     requests = request_ranges(plan)
     # Days to be delivered, once a security: what is asked for has to be told day by day.
-    asked = plan.select("security_id", F.explode("fetchable").alias("_day"), "silent").select(
+    asked = told_days(plan, ["security_id", "silent"], "fetchable").select(
         "security_id", day_at(F.col("_day")).alias("trade_date"), (~has(F.col("silent"), F.col("_day"))).alias("_wanted"))
     asked = asked.groupBy("security_id", "trade_date").agg(F.max("_wanted").alias("_wanted"))
     known = prices.where(F.col("provider") == provider).select(

@@ -10,7 +10,7 @@ from lockstep.functions.day_bits import day_at, day_number, has, session_words
 from lockstep.functions.numeric import side, within_tolerance
 from lockstep.functions.total_order import with_position
 from lockstep.operators.calendar_ops import provenance, with_session_at, with_session_index
-from lockstep.operators.coverage import presence, with_window_sessions
+from lockstep.operators.coverage import presence, spread, with_window_sessions
 from lockstep.operators.events import numbered_bars, with_event_date
 
 # Features stored by both lineages, and pair classes in report order.
@@ -47,8 +47,8 @@ def session_parity(snapshots: DataFrame, lockups: DataFrame, companies: DataFram
     # Sessions between observation and event: bit tests in the row of each distinct window.
     opened = session_words(bars.sparkSession)
     stored_days = presence(bars).select(F.col("security_id").alias("_security"), "stored")
-    walk = df.where("canonical_observation_date is not null and canonical_event_trade_date is not null").select(
-        "security_id", "event_ix", "obs_ix", "canonical_observation_date", "canonical_event_trade_date").distinct()
+    walk = spread(df.where("canonical_observation_date is not null and canonical_event_trade_date is not null").select(
+        "security_id", "event_ix", "obs_ix", "canonical_observation_date", "canonical_event_trade_date"))
     walk = walk.join(stored_days, F.col("security_id") == F.col("_security"), "left")
     ends = [day_number(F.col("canonical_observation_date")), day_number(F.col("canonical_event_trade_date"))]
     days = F.sequence(F.least(*ends), F.greatest(*ends))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lockstep.functions.day_bits import day_at, day_number, day_words, has
 from lockstep.operators.calendar_ops import provenance, with_session_at, with_session_index
-from lockstep.operators.coverage import latest_attempts, selected_rows, window_sessions
+from lockstep.operators.coverage import latest_attempts, selected_rows, told_days, window_sessions
 from lockstep.operators.events import CLEAN, cohort_predicate, selected_primary
 
 CATEGORIES = ("present", "future", "known_no_data", "provider_error", "attempted", "unattempted")
@@ -31,7 +31,7 @@ def classified_windows(windows: DataFrame, prices: DataFrame, attempts: DataFram
     decides, and it is found once per distinct missing day, not once per window.
     """
     rows = window_sessions(windows, prices)
-    missing = rows.select("security_id", F.explode("missing").alias("_day")).distinct()
+    missing = told_days(rows, ["security_id"], "missing").distinct()
     answered = _answered_words(missing, attempts.where(F.col("provider") == provider)).withColumnRenamed("security_id", "_security")
     rows = rows.join(answered, F.col("security_id") == F.col("_security"), "left")
 
@@ -49,7 +49,7 @@ def classified_windows(windows: DataFrame, prices: DataFrame, attempts: DataFram
 def classified_days(windows: DataFrame, prices: DataFrame, attempts: DataFrame, provider: str, as_of_date) -> DataFrame:
     """``classified_windows`` with one row a session."""
     rows = classified_windows(windows, prices, attempts, provider, as_of_date)
-    return rows.select("security_id", "obs_ix", F.explode("session_classifications").alias("_e")).select(
+    return rows.select("security_id", "obs_ix", F.explode_outer("session_classifications").alias("_e")).where("_e is not null").select(
         "security_id", "obs_ix", F.col("_e.session").alias("session"), F.col("_e.classification").alias("category"))
 
 

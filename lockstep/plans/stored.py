@@ -4,11 +4,16 @@ Snapshots, outcomes, the backtest dataset and signals are stored rows in this da
 model, so downstream jobs start from a written table.  It lies in the shared folder the
 session names in ``spark.checkpoint.dir``, under a digest of the source's file listing:
 a later job over the same files reads it, a source that was rewritten gets a new one.
-Tables of old listings can be deleted whenever no job runs.
+Every build has a folder of its own and is published by a one-row manifest written after
+it, so a build that stopped half-way is never read and two jobs never overwrite each
+other; of several published builds the one with the least name counts.  Tables of old
+listings can be deleted whenever no job runs.
 """
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 from lockstep.session import checkpoint_root
 
 #: Part of every table's place: raise it when stored columns change their meaning.
-LAYOUT = 2
+LAYOUT = 3
 _own_folder: dict[str, str] = {}
 
 
@@ -27,7 +32,7 @@ def shared_root(spark: SparkSession) -> str:
     root = checkpoint_root(spark)
     if root is not None:
         return root
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
@@ -36,23 +41,29 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def listing_digest(spark: SparkSession, source: str) -> str:
-    """Digest of names, sizes and times of the source's files; no file is opened."""
+    """Digest of names, sizes and times of the source's files, whatever their order; no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select(
         "path", "length", "modificationTime")
-    row = files.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(
-        " ", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string"))))), 256)).first()
-    return row[0]
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    two = F.xxhash64(F.lit("listing"), "path", "length", "modificationTime").cast("decimal(38,0)")
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(one).alias("a"), F.sum(two).alias("b"))
+    return row.select(F.sha2(F.concat_ws(" ", "n", "a", "b"), 256)).first()[0]
 
 
-def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table ``name`` derived from the files below ``source``, writing it first if it is missing.
-
-    Files appear in the table's folder only when the job that writes them commits, so
-    a folder without readable files is one that was never finished.
-    """
-    path = f"{shared_root(spark)}/lockstep-tables/v{LAYOUT}/{listing_digest(spark, source)}/{name}"
+def _published(spark: SparkSession, manifest: str) -> str | None:
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema("folder string").parquet(manifest).agg(F.min("folder")).first()[0]
     except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return None
+
+
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Read the table ``name`` derived from the files below ``source``, building and publishing it first if there is none."""
+    base = f"{shared_root(spark)}/lockstep-tables/v{LAYOUT}/{listing_digest(spark, source)}/{name}"
+    folder = _published(spark, f"{base}/manifest")
+    if folder is None:
+        own = f"{base}/{uuid.uuid4().hex}"
+        build().write.parquet(own)
+        spark.createDataFrame([(own,)], "folder string").coalesce(1).write.mode("append").parquet(f"{base}/manifest")
+        folder = _published(spark, f"{base}/manifest")
+    return spark.read.parquet(folder)
