@@ -133,14 +133,16 @@ _OR = "|".join
 _ATS, _DOTS = _OR(AT_WORDS), _OR(DOT_WORDS)
 _DIGITS = _OR(sorted(DIGIT_WORDS, key=len, reverse=True))
 _BRACKETED = re.compile(rf"(?<!\s)\s*+[\[({{<]\s*+(?:({_ATS}|@)|({_DOTS}|\.))\s*+[\])}}>]\s*+", re.I)
-_SPOKEN_ADDRESS = re.compile(
-    rf"(?:(?<=[a-z0-9])\s++(?:{_DOTS})\s++[a-z0-9-]++)*(?<=[a-z0-9])(?:\s++(?:{_ATS})\s++|@)[a-z0-9-]++(?:(?:\s++(?:{_DOTS})\s++|\.)[a-z0-9-]++)+", re.I)
+#: A spoken address from its "at" on, and one piece of what stands before that.
+_SPOKEN_TAIL = re.compile(rf"(?<=[a-z0-9])(?:\s++(?:{_ATS})\s++|@)[a-z0-9-]++(?:(?:\s++(?:{_DOTS})\s++|\.)[a-z0-9-]++)+", re.I)
+_SPOKEN_PIECE = re.compile(rf"(?<=[a-z0-9])\s++(?:{_DOTS})\s++[a-z0-9-]++", re.I)
+_SPOKEN_PLACE = re.compile(r"(?<=[a-z0-9])[\s@]", re.I)
 _SPOKEN_MARK = re.compile(rf"\s++(?:({_ATS})|({_DOTS}))\s++", re.I)
 _DIGIT_DOT = re.compile(rf"(?<=[0-9])\s++(?:{_DOTS})\s++(?=[0-9])", re.I)
 _SPELLED_RUN = re.compile(
     rf"(?<!\w)(?:plus\s++)?(?:{_DIGITS}|[0-9]++)(?:(?:\s++(?:{_DOTS})\s++|[ .()-]{{1,3}})(?:{_DIGITS}|[0-9]++)(?!\w))+", re.I)
 _SPELLED_PART = re.compile(rf"(plus\s++)|({_DIGITS})(?!\w)|\s++({_DOTS})\s++|([ .()-]{{1,3}})|([0-9]++)", re.I)
-#: The part of _SPOKEN_ADDRESS from a spoken "at" on; what stands before it is optional.
+#: The part of a spoken address from a spoken "at" on; what stands before it is optional.
 _SPOKEN_AT = re.compile(rf"\s(?:{_ATS})\s++[a-z0-9-]++(?:\s++(?:{_DOTS})\s|\.[a-z0-9-])", re.I)
 _BRACKET_HINT = re.compile(rf"[\[({{<]\s*+(?:{_ATS}|@|{_DOTS}|\.)\s*+[\])}}>]", re.I)
 _AT_SET, _DIGIT_SET, _DOT_SET = frozenset(AT_WORDS), frozenset(DIGIT_WORDS), frozenset(DOT_WORDS)
@@ -189,10 +191,33 @@ class Tape:
         return self.starts[start], self.ends[end - 1]
 
 
+def _spoken_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spoken addresses: pieces " dot word", as many as lead to an "at", then the rest from there on.
+
+    From right to left every place learns where an address that starts there ends, so each is looked at once.
+    """
+    if _SPOKEN_TAIL.search(text) is None:
+        return
+    places = [m.start() for m in _SPOKEN_PLACE.finditer(text)]
+    ends: dict[int, int] = {}
+    for at in reversed(places):
+        piece = _SPOKEN_PIECE.match(text, at)
+        end = ends.get(piece.end()) if piece else None
+        if end is None and (tail := _SPOKEN_TAIL.match(text, at)):
+            end = tail.end()
+        if end is not None:
+            ends[at] = end
+    free = 0
+    for at in places:
+        if at >= free and at in ends:
+            free = ends[at]
+            yield at, free
+
+
 def _spoken_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for address in _SPOKEN_ADDRESS.finditer(text):
-        for mark in _SPOKEN_MARK.finditer(text, address.start(), address.end()):
+    for start, end in _spoken_addresses(text):
+        for mark in _SPOKEN_MARK.finditer(text, start, end):
             edits.append((*mark.span(), "@" if mark.group(1) else "."))
     return edits
 
@@ -248,7 +273,7 @@ def disguised(text: str) -> bool:
     low = _low(text)
     if _spoken_at(low) and _SPOKEN_AT.search(text):
         return True
-    if any(word in low for word in DOT_WORDS) and ("@" in text and _SPOKEN_ADDRESS.search(text) or _DIGIT_DOT.search(text)):
+    if any(word in low for word in DOT_WORDS) and ("@" in text and _SPOKEN_TAIL.search(text) or _DIGIT_DOT.search(text)):
         return True
     if any(bracket in text for bracket in "[({<") and _BRACKET_HINT.search(text):
         return True

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -116,3 +117,33 @@ def test_the_look_misses_no_spelled_digits():
     for _ in range(60_000):
         text = "".join(rng.choice(bits[:9] if rng.random() < 0.7 else bits) + rng.choice(marks) for _ in range(rng.randint(4, 12)))
         assert pii.all_spans(text) == ungated(text), text
+
+
+#: Spoken addresses as one pattern, which tries every start anew.
+WHOLE = re.compile(
+    rf"(?:(?<=[a-z0-9])\s++(?:{pii._DOTS})\s++[a-z0-9-]++)*(?<=[a-z0-9])(?:\s++(?:{pii._ATS})\s++|@)[a-z0-9-]++(?:(?:\s++(?:{pii._DOTS})\s++|\.)[a-z0-9-]++)+", re.I)
+
+
+def test_spoken_addresses_are_those_of_the_whole_pattern():
+    rng = random.Random(12)
+    bits = ["dot", "punkt", "at", "AT", "a", "b1", "x-y", "@", ".", "com", "ſ", "-", "é", "(", "Dot"]
+    found = 0
+    for _ in range(40_000):
+        text = "".join(rng.choice(bits) + rng.choice([" ", " ", " ", "", "  ", "\n"]) for _ in range(rng.randint(1, 14)))
+        want = [m.span() for m in WHOLE.finditer(text)]
+        assert list(pii._spoken_addresses(text)) == want, text
+        found += len(want)
+    assert found > 500
+
+
+def test_spoken_addresses_take_linear_time():
+    def seconds(n):
+        text = "a dot " * n + "at nothing here о"
+        best = []
+        for _ in range(3):
+            start = time.process_time()
+            assert pii.all_spans(text) == []
+            best.append(time.process_time() - start)
+        return min(best)
+
+    assert seconds(40_000) < 6 * max(seconds(10_000), 0.005)
