@@ -155,6 +155,8 @@ class Encoder:
                 if not fits:
                     continue
             last[end], size[end] = token, length
+        if last[n] < 0:
+            raise ValueError(f"the vocabulary has no token for a byte of {word!r}")
         ids = []
         while n:
             ids.append(last[n])
