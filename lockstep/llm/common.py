@@ -1,6 +1,7 @@
 """Helpers the operators share: word splitting, hashing, tables in the shared folder, components."""
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -25,9 +26,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) is one made and set.
+    Only a local session without that setting (tests, a laptop) gets one of its own; a cluster is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if root is None:
         root = spark.conf.get("lockstep.checkpoint.dir", None)
         if root is None:
@@ -55,6 +58,14 @@ def named_id(df: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
     return df.select(F.col("id").cast(kind).alias(id_column), *(F.col(c) for c in df.columns if c != "id"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold_ascii(column):
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER)

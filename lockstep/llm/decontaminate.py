@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import split_words, stored, window_hashes
+from lockstep.llm.common import split_words, stored, unused, window_hashes
 
 WINDOW = 13
 #: Bits of the bitmap: 2 MB.
@@ -256,5 +256,6 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents without a benchmark window, with all their columns; rows without an id stay."""
-    dirty = contaminated(docs, items, window, id_column, text_column).select(F.col(id_column).alias("__id")).distinct()
-    return docs.join(dirty, F.col(id_column) == F.col("__id"), "left_anti")
+    own = unused(docs, "__id")
+    dirty = contaminated(docs, items, window, id_column, text_column).select(F.col(id_column).alias(own)).distinct()
+    return docs.join(dirty, F.col(id_column) == F.col(own), "left_anti")

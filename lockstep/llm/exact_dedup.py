@@ -19,7 +19,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import fold_ascii, shared_folder, stored
+from lockstep.llm.common import fold_ascii, shared_folder, stored, unused
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -113,8 +113,8 @@ def _regrouped(grouped: DataFrame, texts: DataFrame, differ: DataFrame) -> DataF
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    stay = exact_dedup(docs, id_column, text_column).where("kept").select(
-        F.col(id_column).alias("__id"), F.col("digest").alias("__kept"))
-    marked = docs.withColumn("__digest", sha256(fold_ascii(F.col(text_column))))
-    found = marked.join(stay, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
-    return found.dropDuplicates([id_column, "__digest"]).drop("__digest")
+    own, kept, mark = (unused(docs, name) for name in ("__id", "__kept", "__digest"))
+    stay = exact_dedup(docs, id_column, text_column).where("kept").select(F.col(id_column).alias(own), F.col("digest").alias(kept))
+    marked = docs.withColumn(mark, sha256(fold_ascii(F.col(text_column))))
+    found = marked.join(stay, F.col(id_column).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(kept)), "left_semi")
+    return found.dropDuplicates([id_column, mark]).drop(mark)

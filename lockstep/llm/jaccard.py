@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import (WordHashes, components, hash_words, keyed_text, mixed, named_id, split_words, stored,
+from lockstep.llm.common import (WordHashes, components, hash_words, keyed_text, mixed, named_id, split_words, stored, unused,
                                  window_hashes)
 
 #: Upper ends of the size bands grow by this factor.
@@ -364,7 +364,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The document with the smallest id of each component, with all its columns; rows without an id stay."""
+    own = unused(docs, "__id")
     stay = jaccard_components(docs, size, percent, id_column, text_column).where(
-        F.col(id_column).eqNullSafe(F.col("component_id")) | F.col(id_column).isNull()).select(F.col(id_column).alias("__id"))
-    kept = docs.join(stay, F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_column, text_column])
+        F.col(id_column).eqNullSafe(F.col("component_id")) | F.col(id_column).isNull()).select(F.col(id_column).alias(own))
+    kept = docs.join(stay, F.col(id_column).eqNullSafe(F.col(own)), "left_semi")
+    # Rows that repeat an id and a text are one document; rows without an id are none of each other.
+    named, bare = kept.where(F.col(id_column).isNotNull()), kept.where(F.col(id_column).isNull())
+    return named.dropDuplicates([id_column, text_column]).unionByName(bare)
