@@ -200,12 +200,12 @@ def first_row(w):
 
 @register("o3_column_families", """
  SELECT observation_offset, count(*) AS rows, 77 AS columns, count(close) AS with_close, count(realized_vol_20d) AS with_volatility, count(ipo_price) AS with_price,
-  count(post_20d_return) AS with_outcome, count(baseline_avg_volume) AS with_baseline FROM ds WHERE is_primary_event GROUP BY 1""")
+  count(post_20d_return) AS with_outcome, count(bearish_mfe_20d) AS with_excursion FROM ds WHERE is_primary_event GROUP BY 1""")
 def families(w):
     """Per offset the values that a column of each family has."""
     rows = primary_events(w)
     held = {"with_close": "close", "with_volatility": "realized_vol_20d", "with_price": "ipo_price", "with_outcome": "post_20d_return",
-            "with_baseline": "baseline_avg_volume"}
+            "with_excursion": "bearish_mfe_20d"}
     return rows.groupBy("observation_offset").agg(F.count(F.lit(1)).alias("rows"), F.lit(len(rows.columns)).alias("columns"),
                                                   *[F.count(column).alias(name) for name, column in held.items()])
 
