@@ -16,10 +16,14 @@ from lockstep.operators import projections as pj
 from lockstep.operators import prospective as pr
 from lockstep.operators import statistics as st
 from lockstep.plans import daily
+from lockstep.plans import signal_log as lg
+from lockstep.plans.stored import table_folder
 from lockstep.verification import CTES, MATERIALIZED
 
 AS_OF = dt.date(2001, 6, 29)
 NOW = dt.datetime(2000, 6, 30, 22, 0, tzinfo=dt.timezone.utc)
+# When the stored signals were taken over.
+EARLIER = dt.datetime(2000, 1, 1, tzinfo=dt.timezone.utc)
 # Shadow signals are locked shortly after the cutoff.
 SHADOW_AS_OF = dt.date(2000, 6, 30)
 _CUT = "DATE '2000-06-30'"
@@ -62,9 +66,9 @@ CTES["dnext"] = """
 MATERIALIZED.update({"sig", "dstrict", "dshadow", "dnext"})
 
 
-def decisions(w, mode=STRICT):
+def decisions(w, mode=STRICT, signals=None):
     cohort = pr.candidate_events(w.lockups(), w.ipos(), w.companies(), primary_lockup_only=False)
-    return pr.decide(cohort, w.signals(HYPOTHESIS), daily.snapshots_v2(w), daily.outcomes(w), daily.bars(w),
+    return pr.decide(cohort, w.signals(HYPOTHESIS) if signals is None else signals, daily.snapshots_v2(w), daily.outcomes(w), daily.bars(w),
                      ev.primary_security(w.securities()), mode=mode, hypothesis=HYPOTHESIS,
                      as_of=AS_OF if mode == STRICT else SHADOW_AS_OF, now_utc=NOW)
 
@@ -134,16 +138,34 @@ def status_advance(w):
     return decisions(w).select("lockup_id", "next_status")
 
 
-@register("q13_outcome_attach", """
- SELECT s.lockup_id, s.evaluation_mode, coalesce(d.nxt, s.signal_status) AS signal_status, round(coalesce(s.y, CASE WHEN d.nxt = 'matured' THEN d.oy END), 6) AS realized_outcome_value
+_CHANGE = "nxt = 'matured' OR (nxt IN ('awaiting_event','awaiting_outcome') AND nxt IS DISTINCT FROM s.signal_status)"
+_ADVANCED = f"""
+ SELECT s.lockup_id, s.evaluation_mode, coalesce(d.nxt, s.signal_status) AS signal_status, round(coalesce(s.y, CASE WHEN d.nxt = 'matured' THEN d.oy END), 6) AS realized_outcome_value, coalesce(({_CHANGE})::INT, 0)::BIGINT AS n_changes
  FROM sig s LEFT JOIN (SELECT * FROM dnext WHERE nxt IN ('awaiting_event','awaiting_outcome','matured')) d ON d.sid = s.signal_id
- UNION ALL SELECT lockup_id, 'strict_prospective', nxt, round(CASE WHEN nxt = 'matured' THEN oy END, 6) FROM dnext WHERE action = 'create'
- UNION ALL SELECT lockup_id, 'lifecycle_tracking', 'unavailable', NULL FROM dstrict WHERE action = 'lifecycle_unavailable' AND NOT life""")
+ UNION ALL SELECT lockup_id, 'strict_prospective', nxt, round(CASE WHEN nxt = 'matured' THEN oy END, 6), 1 FROM dnext WHERE action = 'create'
+ UNION ALL SELECT lockup_id, 'lifecycle_tracking', 'unavailable', NULL, 0 FROM dstrict WHERE action = 'lifecycle_unavailable' AND NOT life"""
+
+
+@register("q13_outcome_attach", f"SELECT lockup_id, evaluation_mode, signal_status, realized_outcome_value FROM ({_ADVANCED})")
 def attach(w):
     rows = pr.advance_signals(w.signals(HYPOTHESIS), decisions(w), HYPOTHESIS, NOW)
     return rounded(rows.select("lockup_id", "evaluation_mode", "signal_status", "realized_outcome_value"))
 
 
+@register("q13_signal_log", _ADVANCED)
+def signal_log(w):
+    """The same advance on disk: stored signals are the first run, this one appends what it changes."""
+    root = table_folder(w.spark, w.path, "signal_log")
+    lg.publish(w.spark, root, lg.run_name(EARLIER), w.signals(HYPOTHESIS))
+    run = lg.run_name(NOW)
+    before = lg.read_signals(w.spark, root, before=run)
+    lg.append_decisions(w.spark, root, decisions(w, signals=before), HYPOTHESIS, NOW)
+    changes = lg.read_changes(w.spark, root, run).groupBy("signal_id").agg(F.count(F.lit(1)).alias("n_changes"))
+    rows = lg.read_signals(w.spark, root).join(changes, "signal_id", "left")
+    return rounded(rows.select("lockup_id", "evaluation_mode", "signal_status", "realized_outcome_value",
+                               F.coalesce("n_changes", F.lit(0)).alias("n_changes")))
+
+
 @register("q14_outcome_date", "SELECT lockup_id, coalesce(outcome_20_date, as_of_date) AS outcome_date FROM dnext WHERE nxt = 'matured'")
 def outcome_date(w):
     return decisions(w).where("next_status = 'matured'").select("lockup_id", "outcome_date")

@@ -29,11 +29,13 @@ def rows(first: int, last: int):
     return by_bar().rowsBetween(first, last)
 
 
-def flagged_bars(bars: DataFrame, probes: DataFrame) -> DataFrame:
-    """Number the bars and mark those some event date aligns to, without a join.
+def dated_bars(bars: DataFrame, probes: DataFrame) -> DataFrame:
+    """Number the bars and hang on each the event dates that align to it, in one exchange.
 
-    Distinct event dates travel through the same exchange as the bars; a bar is an
-    event bar when a probe lies after the previous bar and not after this one.
+    Distinct event dates travel through the same exchange as the bars.  A date aligns to
+    the first bar on or after it, so it shares the number of the next bar: ``event_dates``
+    of a bar are the dates with its number (at most the days since the bar before).
+    Dates after the last bar stay as rows of their own, ``is_bar`` false, behind all bars.
     """
     dates = probes.where(F.col("event_date").isNotNull()).select("security_id", "event_date").distinct()
     both = (bars.select("security_id", "trade_date", "open", "high", "low", "close", "volume",
@@ -41,11 +43,14 @@ def flagged_bars(bars: DataFrame, probes: DataFrame) -> DataFrame:
             .unionByName(dates.select("security_id", F.col("event_date").alias("trade_date"),
                                       F.lit(0).alias("_bar")), allowMissingColumns=True))
     running = Window.partitionBy("security_id").orderBy("trade_date", "_bar")
-    seen = both.withColumns({"bn": F.sum("_bar").over(running).cast("int"),
-                             "_probes": F.sum(1 - F.col("_bar")).over(running)})
-    return (seen.where("_bar = 1")
-            .withColumn("is_event_bar", F.col("_probes") > F.lag("_probes", 1, 0).over(by_bar()))
-            .drop("_bar", "_probes"))
+    same = Window.partitionBy("security_id", "_next")
+    seen = both.withColumn("bn", F.sum("_bar").over(running).cast("int")) \
+        .withColumn("_next", F.col("bn") + 1 - F.col("_bar"))
+    seen = seen.withColumns({
+        "event_dates": F.collect_list(F.when(F.col("_bar") == 0, F.col("trade_date"))).over(same),
+        "_met": F.max("_bar").over(same)})
+    return (seen.where("_bar = 1 or _met = 0").withColumn("is_bar", F.col("_bar") == 1)
+            .drop("_bar", "_next", "_met"))
 
 
 def feature_columns() -> dict[str, Column]:
@@ -89,19 +94,22 @@ def with_bar_features(numbered: DataFrame) -> DataFrame:
 def observation_rows(bars: DataFrame, probes: DataFrame, offsets=SNAPSHOT_OFFSETS) -> DataFrame:
     """Feature rows at the requested stored-bar offsets before every event bar.
 
-    Whether a bar is needed is a look-ahead on a flag inside the same window, so
-    only needed rows leave the stage.  Key: ``security_id, event_bn, observation_offset``.
+    A bar looks ahead to the event dates of the bars it serves inside the same window, so
+    only needed rows leave the stage, already under the dates they are wanted for.
+    Key: ``security_id, event_date, observation_offset``.
     """
-    feats = with_bar_features(flagged_bars(bars, probes))
-    needed = F.filter(F.array(*[
-        F.when(F.lead("is_event_bar", -k, False).over(by_bar()), F.lit(k)) for k in offsets]),
-        lambda k: k.isNotNull())
-    return (feats.withColumn("_needed", needed).where(F.size("_needed") > 0)
-            .withColumn("observation_offset", F.explode("_needed"))
-            .withColumn("event_bn", F.col("bn") - F.col("observation_offset"))
+    feats = with_bar_features(dated_bars(bars, probes).where("is_bar"))
+
+    def wanted(k):
+        trade_date = F.lead("trade_date", -k).over(by_bar())
+        return F.transform(F.lead("event_dates", -k).over(by_bar()), lambda d: F.struct(
+            d.alias("event_date"), trade_date.alias("event_trade_date"), F.lit(k).alias("observation_offset")))
+
+    served = F.flatten(F.filter(F.array(*[wanted(k) for k in offsets]), lambda a: F.size(a) > 0))
+    return (feats.withColumn("_served", served).where(F.size("_served") > 0)
+            .select("*", F.explode("_served").alias("_e"))
             .withColumnRenamed("trade_date", "observation_date")
-            .select("security_id", "event_bn", "observation_offset", "observation_date", "bn",
-                    *PRICE_FEATURES, *VOLUME_FEATURES))
+            .select("security_id", "_e.*", "observation_date", "bn", *PRICE_FEATURES, *VOLUME_FEATURES))
 
 
 def outcome_columns() -> dict[str, Column]:
@@ -131,18 +139,26 @@ def outcome_columns() -> dict[str, Column]:
 
 
 def event_bar_rows(bars: DataFrame, probes: DataFrame) -> DataFrame:
-    """Outcome row of every event bar.  Key: ``security_id, event_bn``."""
-    numbered = flagged_bars(bars, probes)
-    base = numbered.withColumns({
-        "previous_close": F.lag("close").over(by_bar()),
-        "max_post_event_session_available":
-            (F.count(F.lit(1)).over(Window.partitionBy("security_id")) - F.col("bn")).cast("int"),
-        "baseline_avg_volume": F.when(F.col("bn") >= 21, F.avg("volume").over(rows(-20, -6))),
+    """Outcome row of every event date of a security with bars.  Key: ``security_id, event_date``.
+
+    Dates after the last bar keep null measurements; they lie behind all bars, so no
+    frame of a bar reads a value from them.
+    """
+    is_bar = F.col("is_bar")
+    whole = Window.partitionBy("security_id")
+    base = dated_bars(bars, probes).withColumn("bar_date", F.when(is_bar, F.col("trade_date")))
+    base = base.withColumns({
+        "previous_close": F.when(is_bar, F.lag("close").over(by_bar())),
+        "as_of_date": F.max("bar_date").over(whole),
+        "max_post_event_session_available": F.when(is_bar, (F.count("bar_date").over(whole) - F.col("bn")).cast("int")),
+        "baseline_avg_volume": F.when(is_bar & (F.col("bn") >= 21), F.avg("volume").over(rows(-20, -6))),
         # The frozen +20 observation: the 21st stored bar counting the event bar.
-        "outcome_20_date": F.lead("trade_date", 20).over(by_bar()),
+        "outcome_20_date": F.lead("bar_date", 20).over(by_bar()),
     })
-    return (base.withColumns(outcome_columns()).where("is_event_bar")
-            .withColumnsRenamed({"bn": "event_bn", "trade_date": "bar_date", "open": "event_open",
-                                 "high": "event_high", "low": "event_low", "close": "event_close",
-                                 "volume": "event_volume"})
-            .drop("is_event_bar"))
+    return (base.withColumns(outcome_columns()).where((F.size("event_dates") > 0) & F.col("as_of_date").isNotNull())
+            .select("*", F.explode("event_dates").alias("event_date"))
+            # Several dates after the last bar share one number: each row answers for its own.
+            .where(is_bar | (F.col("event_date") == F.col("trade_date")))
+            .withColumnsRenamed({"bar_date": "event_trade_date", "open": "event_open", "high": "event_high",
+                                 "low": "event_low", "close": "event_close", "volume": "event_volume"})
+            .drop("is_bar", "trade_date", "event_dates", "bn"))

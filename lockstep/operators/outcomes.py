@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lockstep.constants import OUTCOME_VERSION
 from lockstep.functions.numeric import persisted
 from lockstep.operators.bar_features import event_bar_rows
-from lockstep.operators.events import align_to_bars
 
 RATIOS = (
     "event_gap_return", "event_intraday_return", "event_close_return",
@@ -21,18 +20,14 @@ OUTCOME_KEY = ("lockup_id", "security_id", "outcome_version")
 
 def event_outcomes(events: DataFrame, bars: DataFrame) -> DataFrame:
     """One row per event with stored history; ``upcoming`` until its event bar exists."""
-    probes = events.select("security_id", "event_date")
-    aligned = align_to_bars(probes, bars).where("bars_stored > 0") \
-        .withColumnRenamed("latest_bar", "as_of_date").drop("bars_stored")
-    core = event_bar_rows(bars, probes).drop("bar_date")
+    core = event_bar_rows(bars, events.select("security_id", "event_date"))
     after = F.col("max_post_event_session_available")
     rows = (events.select("ipo_id", "lockup_id", "security_id", "event_date", "event_date_source")
-            .join(aligned, ["security_id", "event_date"])
-            .join(core, ["security_id", "event_bn"], "left"))
+            .join(core, ["security_id", "event_date"]))
     out = rows.withColumns({
-        "event_status": F.when(F.col("event_bn").isNull(), "upcoming").when(after == 0, "event_today")
+        "event_status": F.when(F.col("event_trade_date").isNull(), "upcoming").when(after == 0, "event_today")
             .when(after >= 40, "complete").otherwise("post_event_incomplete"),
-        "outcome_version": F.lit(OUTCOME_VERSION)}).drop("event_bn")
+        "outcome_version": F.lit(OUTCOME_VERSION)})
     return persisted(out, {**{name: 10 for name in RATIOS}, "baseline_avg_volume": 4})
 
 

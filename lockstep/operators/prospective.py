@@ -36,7 +36,7 @@ def candidate_events(lockups: DataFrame, ipos: DataFrame, companies: DataFrame,
 
 def first_signal(signals: DataFrame, hypothesis: Hypothesis, modes) -> DataFrame:
     """Lowest-id stored row per lock-up among the given modes."""
-    fields = ("signal_id", "security_id", "observation_date", "realized_outcome_value", "evaluation_mode")
+    fields = ("signal_id", "security_id", "observation_date", "realized_outcome_value", "signal_status", "evaluation_mode")
     return (signals.where((F.col("hypothesis_id") == hypothesis.hypothesis_id)
                           & (F.col("hypothesis_version") == hypothesis.version)
                           & F.col("evaluation_mode").isin(*modes))
@@ -163,30 +163,64 @@ def lifecycle_rows(decisions: DataFrame, hypothesis: Hypothesis, now_utc: dt.dat
         .withColumns(signal_columns(F.lit(LIFECYCLE), hypothesis))
 
 
+OUTCOME = ("realized_outcome_name", "realized_outcome_value", "bearish_mfe_20d", "bearish_mae_20d",
+           "outcome_observation_date", "outcome_attached_at")
+
+
+def _state_changes() -> Column:
+    """Decisions that move a signal: to another status, or to its outcome."""
+    step = F.col("next_status")
+    return step.isin("awaiting_event", "awaiting_outcome", "matured") & (
+        (step == "matured") | ~step.eqNullSafe(F.col("existing_signal_status")))
+
+
+def takes_effect() -> Column:
+    """Decisions after which the stored signals differ: locks, audit rows and state changes."""
+    audit = (F.col("action") == "lifecycle_unavailable") & F.col("has_lifecycle").isNull()
+    return (F.col("action") == "create") | audit | F.coalesce(_state_changes(), F.lit(False))
+
+
+def state_changes(decisions: DataFrame, hypothesis: Hypothesis, now_utc: dt.datetime) -> DataFrame:
+    """Rows for the state log, one for each signal whose status or outcome changes in this run."""
+    key = F.coalesce("existing_signal_id", F.xxhash64(
+        F.lit(hypothesis.hypothesis_id), F.lit(hypothesis.version), F.col("evaluation_mode"), F.col("lockup_id")))
+    attach = F.col("next_status") == "matured"
+    values = dict(zip(OUTCOME, (F.lit(hypothesis.outcome), F.col("outcome_value"), F.col("outcome_mfe"),
+                                F.col("outcome_mae"), F.col("outcome_date"), F.lit(now_utc).cast("timestamp"))))
+    return decisions.where(_state_changes()).select(
+        key.alias("signal_id"), F.col("next_status").alias("signal_status"),
+        *[F.when(attach, value).alias(name) for name, value in values.items()])
+
+
+def latest_states(states: DataFrame) -> DataFrame:
+    """Per signal the status of the latest run and, as ``_o``, the outcome attached first."""
+    attached = F.when(F.col("realized_outcome_value").isNotNull(), F.col("outcome_attached_at"))
+    return states.groupBy("signal_id").agg(
+        F.max("run").alias("run"), F.max_by("signal_status", "run").alias("signal_status"),
+        F.min_by(F.struct(*OUTCOME), attached).alias("_o"))
+
+
+def current_signals(locks: DataFrame, states: DataFrame) -> DataFrame:
+    """Locks with their latest state; an outcome that is there already stays."""
+    latest = latest_states(states).select("signal_id", F.col("signal_status").alias("_status"), "_o")
+    attach = F.col("realized_outcome_value").isNull() & F.col("_o").isNotNull()
+    value = "realized_outcome_value"
+    out = locks.join(latest, "signal_id", "left").withColumn("signal_status", F.coalesce("_status", "signal_status"))
+    # The value decides for the others, so it comes last.
+    for name in [c for c in OUTCOME if c != value] + [value]:
+        out = out.withColumn(name, F.when(attach, F.col(f"_o.{name}")).otherwise(F.col(name)))
+    return out.drop("_status", "_o")
+
+
 def advance_signals(signals: DataFrame, decisions: DataFrame, hypothesis: Hypothesis, now_utc: dt.datetime) -> DataFrame:
-    """Stored and new signals with their next status; an outcome attaches once and then stays."""
+    """Stored and new signals with their next status; an outcome attaches once and then stays.
+
+    The whole table as one frame; ``plans.signal_log`` keeps it by appending what changes.
+    """
     fresh = new_signals(decisions, hypothesis, now_utc)
     added = lifecycle_rows(decisions, hypothesis, now_utc)
     rows = signals.unionByName(fresh, allowMissingColumns=True).unionByName(added, allowMissingColumns=True)
-    key = F.coalesce("existing_signal_id", F.xxhash64(
-        F.lit(hypothesis.hypothesis_id), F.lit(hypothesis.version), F.col("evaluation_mode"), F.col("lockup_id")))
-    steps = decisions.where(F.col("next_status").isin("awaiting_event", "awaiting_outcome", "matured")).select(
-        key.alias("signal_id"), "next_status", "outcome_value", "outcome_mfe", "outcome_mae", "outcome_date")
-    out = rows.join(steps, "signal_id", "left")
-    attach = (F.col("next_status") == "matured") & F.col("realized_outcome_value").isNull()
-
-    def once(column, value):
-        return F.when(attach, value).otherwise(F.col(column))
-
-    return out.withColumns({
-        "realized_outcome_name": once("realized_outcome_name", F.lit(hypothesis.outcome)),
-        "bearish_mfe_20d": once("bearish_mfe_20d", F.col("outcome_mfe")),
-        "bearish_mae_20d": once("bearish_mae_20d", F.col("outcome_mae")),
-        "outcome_observation_date": once("outcome_observation_date", F.col("outcome_date")),
-        "outcome_attached_at": once("outcome_attached_at", F.lit(now_utc)),
-        "realized_outcome_value": once("realized_outcome_value", F.col("outcome_value")),
-        "signal_status": F.coalesce("next_status", "signal_status"),
-    }).drop("next_status", "outcome_value", "outcome_mfe", "outcome_mae", "outcome_date")
+    return current_signals(rows, state_changes(decisions, hypothesis, now_utc).withColumn("run", F.lit("")))
 
 
 def prospective_report(decisions: DataFrame, dry_run: bool = False, rejected: DataFrame | None = None) -> DataFrame:

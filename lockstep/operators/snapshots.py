@@ -54,13 +54,9 @@ def _price_relative(close: Column, high: Column, low: Column) -> dict[str, Colum
 
 def stored_bar_snapshots(events: DataFrame, bars: DataFrame, offsets=SNAPSHOT_OFFSETS) -> DataFrame:
     """v1: windows count stored bars; only offsets whose bar exists give a row."""
-    probes = events.select("security_id", "event_date")
-    aligned = align_to_bars(probes, bars).where("event_bn is not null") \
-        .select("security_id", "event_date", "event_bn", "event_trade_date")
-    core = observation_rows(bars, probes, offsets)
+    core = observation_rows(bars, events.select("security_id", "event_date"), offsets)
     close, high, low = F.col("close"), F.col("post_ipo_high_to_date"), F.col("post_ipo_low_to_date")
-    rows = (events.join(aligned, ["security_id", "event_date"])
-            .join(core, ["security_id", "event_bn"]))
+    rows = events.join(core, ["security_id", "event_date"])
     out = rows.withColumns({
         **_price_relative(close, high, low),
         "data_cutoff_date": F.col("observation_date"),
@@ -69,7 +65,7 @@ def stored_bar_snapshots(events: DataFrame, bars: DataFrame, offsets=SNAPSHOT_OF
         "trading_sessions_since_first_trade": F.col("bn") - 1,
         "available_history_sessions": F.col("bn"),
         "snapshot_version": F.lit(STORED_BAR_VERSION),
-    }).drop("bn", "event_bn")
+    }).drop("bn")
     return persisted(out, STORED_SCALE)
 
 

@@ -57,9 +57,14 @@ def _published(spark: SparkSession, manifest: str) -> str | None:
         return None
 
 
+def table_folder(spark: SparkSession, source: str, name: str) -> str:
+    """Place of what is derived from the files below ``source`` under this name."""
+    return f"{shared_root(spark)}/lockstep-tables/v{LAYOUT}/{listing_digest(spark, source)}/{name}"
+
+
 def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the table ``name`` derived from the files below ``source``, building and publishing it first if there is none."""
-    base = f"{shared_root(spark)}/lockstep-tables/v{LAYOUT}/{listing_digest(spark, source)}/{name}"
+    base = table_folder(spark, source, name)
     folder = _published(spark, f"{base}/manifest")
     if folder is None:
         own = f"{base}/{uuid.uuid4().hex}"
