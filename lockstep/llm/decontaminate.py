@@ -31,6 +31,10 @@ from lockstep.llm.common import split_words, stored, unused, window_hashes
 WINDOW = 13
 #: Bits of the bitmap: 2 MB.
 BITS = 1 << 24
+#: Words of short texts that go through the arrays together.
+TOGETHER = 1 << 15
+#: Windows a worker gathers before it hands them on.
+HANDED_ON = 10_000
 
 # --- Fixed values -----------------------------------------------------------------------------------
 UNITS = frozenset("""
@@ -61,6 +65,13 @@ _SIGN_HASHES = np.array([0, *(xxhash.xxh3_64_intdigest(s.encode()) for s in SIGN
 _TEMPLATE = np.uint64(xxhash.xxh3_64_intdigest(b"a window's template"))
 
 
+#: First bytes of a number, an ordinal, or a number with a unit glued to it.
+_STARTS = b"+-$0123456789"
+_UNITS, _FUNCTION_WORDS = (frozenset(w.encode() for w in words) for words in (UNITS, FUNCTION_WORDS))
+#: Stands behind each text of several in a row; no text has an empty word.
+APART = b""
+
+
 class Lexicon(dict):
     """Word (bytes) -> row of the arrays: hash of the bare word, and what a template needs to know of it."""
 
@@ -70,8 +81,11 @@ class Lexicon(dict):
     def clear(self):
         super().clear()
         self.hash = np.zeros(1 << 12, dtype=np.uint64)
-        # 1 number, 2 unit word, 4 capitalised, 8 ends a sentence, 16 function word, 32 ordinal
+        # 1 number, 2 unit word, 4 capitalised, 8 ends a sentence, 16 function word, 32 ordinal, 64 number and unit in one
         self.flags = np.zeros(1 << 12, dtype=np.uint8)
+        # Row 0: a text begins behind it like a sentence.
+        self[APART] = 0
+        self.flags[0] = 8
 
     def __missing__(self, word: bytes) -> int:
         row = len(self)
@@ -79,31 +93,21 @@ class Lexicon(dict):
             self.hash = np.concatenate((self.hash, np.zeros_like(self.hash)))
             self.flags = np.concatenate((self.flags, np.zeros_like(self.flags)))
         bare = word.strip(PUNCTUATION)
-        text = bare.decode("utf-8", "replace")
-        low = text.lower()
-        self.hash[row] = xxhash.xxh3_64_intdigest(low.encode())
-        self.flags[row] = (bool(_NUMBER.match(bare)) + 2 * (low in UNITS) + 4 * text[:1].isupper()
-                           + 8 * (word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?", b":")) + 16 * (low in FUNCTION_WORDS)
-                           + 32 * bool(_ORDINAL.match(bare)))
+        if bare.isascii():
+            low, flags = bare.lower(), 4 * bare[:1].isupper()
+        else:
+            text = bare.decode("utf-8", "replace")
+            low, flags = text.lower().encode(), 4 * text[:1].isupper()
+        if bare is not word:
+            flags += 8 * (word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?", b":"))
+        if bare[:1] in _STARTS:
+            flags += bool(_NUMBER.match(bare)) + 32 * bool(_ORDINAL.match(bare)) + 64 * (_glued(word) is not None)
+        self.hash[row] = xxhash.xxh3_64_intdigest(low)
+        self.flags[row] = flags + 2 * (low in _UNITS) + 16 * (low in _FUNCTION_WORDS)
         self[word] = row
         return row
 
 
-def split_glued(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """Words of a text, a number and a unit glued to it as two, and which words come from such a split."""
-    words, out, glued = split_words(text), [], []
-    for word in words:
-        if word.isalpha() or not (found := _glued(word)):
-            out.append(word)
-        else:
-            glued.append(len(out))
-            out += found
-    marks = np.zeros(len(out), dtype=bool)
-    marks[glued] = True
-    marks[1:] |= marks[:-1].copy()
-    return out, marks
-
-
 def _glued(word: bytes) -> tuple[bytes, bytes] | None:
     """The number with what stands before it and the unit with what stands behind it."""
     bare = word.strip(PUNCTUATION)
@@ -114,19 +118,39 @@ def _glued(word: bytes) -> tuple[bytes, bytes] | None:
     return word[:at], word[at:]
 
 
-def templates(words: list[bytes], glued: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its kind read strictly, its kind read openly, the hash of the bare word."""
+def looked_up(words: list[bytes], lexicon: Lexicon) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words, a number and a unit glued to it as two, their rows in the lexicon, and which words come from such a split."""
     if len(lexicon) > 400_000:
         lexicon.clear()
     rows = np.fromiter(map(lexicon.__getitem__, words), dtype=np.int64, count=len(words))
+    both = np.nonzero(lexicon.flags[rows] & 64)[0]
+    if not len(both):
+        return words, rows, np.zeros(len(words), dtype=bool)
+    out, done = [], 0
+    for k in both.tolist():
+        out += words[done:k]
+        out += _glued(words[k])
+        done = k + 1
+    out += words[done:]
+    first = both + np.arange(len(both))
+    rows = np.insert(rows, both, 0)
+    marks = np.zeros(len(out), dtype=bool)
+    for k in first.tolist():
+        rows[k], rows[k + 1] = lexicon[out[k]], lexicon[out[k + 1]]
+        marks[k] = marks[k + 1] = True
+    return out, rows, marks
+
+
+def templates(rows: np.ndarray, glued: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: its kind read strictly, its kind read openly, the hash of the bare word."""
     bare, flags = lexicon.hash[rows], lexicon.flags[rows]
     number = (flags & 1) > 0
-    kind = np.where(number & ~glued, NUMBER, LITERAL)
+    kind = (number & ~glued).astype(np.int8)  # NUMBER or LITERAL
     kind[1:][((flags[1:] & 2) > 0) & number[:-1] & ~glued[1:]] = UNIT
-    open_kind = np.where(number | ((flags & 32) > 0), NUMBER, LITERAL)
+    open_kind = ((flags & 33) > 0).astype(np.int8)
     open_kind[1:][((flags[1:] & 2) > 0) & number[:-1]] = UNIT
     kind[1:][((flags[1:] & 4) > 0) & ((flags[:-1] & 8) == 0) & (kind[1:] == LITERAL) & ~glued[1:]] = NAME
-    open_kind[((flags & 4) > 0) & ((flags & 16) == 0) & (open_kind == LITERAL)] = NAME
+    open_kind[((flags & 20) == 4) & (open_kind == LITERAL)] = NAME
     return kind, open_kind, bare
 
 
@@ -134,31 +158,36 @@ def templates(words: list[bytes], glued: np.ndarray, lexicon: Lexicon) -> tuple[
 STRICT, OPEN = 1, 2
 
 
-def windows(words: list[bytes], glued: np.ndarray, lexicon: Lexicon, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(start, hash, readings) of windows and the kinds of the words by reading; fewer words than a window make none.
+def windows(rows: np.ndarray, read: tuple[np.ndarray, np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, readings) of windows, given the words' rows and templates; fewer words than a window make none.
 
     Every window counts with its words, and with its templates, one or two, if they have placeholders and at
-    least half their words are literal.
+    least half their words are literal.  None goes over the end of a text.
     """
-    kind, open_kind, bare = templates(words, glued, lexicon)
-    kinds = [kind, kind, open_kind, kind]
-    if len(words) < size:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), kinds
-    own = [window_hashes(bare, size)]
-    starts = [np.arange(len(own[0]))]
+    kind, open_kind, bare = read
+    if len(rows) < size:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    sums = lambda marks: (total := np.concatenate(([0], np.cumsum(marks, dtype=np.int32))))[size:] - total[:-size]
+    within = sums(rows == 0) == 0
+    starts = [np.nonzero(within)[0]]
+    own = [window_hashes(bare, size)[starts[0]]]
     readings = [np.full(len(own[0]), STRICT | OPEN)]
-    sums = lambda marks: (total := np.concatenate(([0], np.cumsum(marks))))[size:] - total[:-size]
     differ = sums(kind != open_kind) > 0
     for reading, its in ((STRICT, kind), (OPEN, open_kind)):
         literal = sums(its == LITERAL)
-        told = (literal < size) & (2 * literal >= size)
+        told = within & (literal < size) & (2 * literal >= size)
         told = np.nonzero(told & differ if reading == OPEN else told)[0]
         if len(told):
             canonical = np.where(its == LITERAL, bare, _SIGN_HASHES[its])
             own.append(window_hashes(canonical, size)[told] ^ _TEMPLATE)
             starts.append(told)
             readings.append(np.where(differ[told], reading, STRICT | OPEN))
-    return np.concatenate(starts), np.concatenate(own).view(np.int64), np.concatenate(readings), kinds
+    return np.concatenate(starts), np.concatenate(own).view(np.int64), np.concatenate(readings)
+
+
+def _kind_of(reading: int, read: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The kinds by which a window of these readings is compared."""
+    return read[1 if reading == OPEN else 0]
 
 
 _ROWS = "hash long, size int, at int, reading int, kinds array<int>, words array<string>"
@@ -177,12 +206,11 @@ def _benchmark_windows(items: DataFrame, id_column: str, text_column: str, size:
         for batch in batches:
             out = []
             for item, text in zip(batch["id"], batch["text"], strict=True):
-                words, glued = split_glued(text)
+                words, rows, glued = looked_up(split_words(text), lexicon)
                 if not words:
                     continue
-                own = min(size, len(words))
-                starts, hashes, readings, kinds = windows(words, glued, lexicon, own)
-                out += [(item, int(h), own, int(at), int(r), *_row(words, kinds[r], at, own)) for at, h, r in zip(starts, hashes, readings, strict=True)]
+                own, read = min(size, len(words)), templates(rows, glued, lexicon)
+                out += [(item, int(h), own, int(at), int(r), *_row(words, _kind_of(r, read), at, own)) for at, h, r in zip(*windows(rows, read, own), strict=True)]
             if out:
                 yield pd.DataFrame(out, columns=["item", "hash", "size", "at", "reading", "kinds", "words"])
 
@@ -202,6 +230,41 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def _hits(ids: list, words: list[bytes], sizes: list[int], bits: np.ndarray, lexicon: Lexicon) -> Iterator[tuple]:
+    """Rows of the windows that are in the bitmap, for texts in a row, each with APART behind it."""
+    words, rows, glued = looked_up(words, lexicon)
+    read, ends = templates(rows, glued, lexicon), np.nonzero(rows == 0)[0]
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    for size in sizes:
+        starts, hashes, readings = windows(rows, read, size)
+        slot = hashes & (BITS - 1)
+        hit = np.nonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)[0]
+        starts, hashes, readings = starts[hit], hashes[hit], readings[hit]
+        text = np.searchsorted(ends, starts)
+        for k, h, at, r, own in zip(text.tolist(), hashes.tolist(), starts.tolist(), readings.tolist(), (starts - begins[text]).tolist(), strict=True):
+            yield (ids[k], h, size, own, r, *_row(words, _kind_of(r, read), at, size))
+
+
+def _probe(batches: Iterator[pd.DataFrame], sizes: list[int], bits: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The windows of whole texts that are in the bitmap; short texts go through the arrays together."""
+    lexicon, columns = Lexicon(), ["doc", "hash", "size", "at", "reading", "kinds", "words"]
+    for batch in batches:
+        out, ids, words, last = [], [], [], len(batch) - 1
+        for k, (doc, text) in enumerate(zip(batch["id"], batch["text"], strict=True)):
+            ids.append(doc)
+            words += split_words(text)
+            words.append(APART)
+            if len(words) >= TOGETHER or k == last:
+                for row in _hits(ids, words, sizes, bits, lexicon):
+                    out.append(row)
+                    if len(out) >= HANDED_ON:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+                ids, words = [], []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text",
                  item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (id, item, n_windows, kind): documents with a window of a benchmark item, kind "copy" or "reparameterised".
@@ -217,19 +280,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
     kind_of = docs.schema[id_column].dataType.simpleString()
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, bits = Lexicon(), bitmap.value
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                words, glued = split_glued(text)
-                for size in sizes:
-                    starts, hashes, readings, kinds = windows(words, glued, lexicon, size)
-                    slot = hashes % BITS
-                    for k in np.nonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)[0].tolist():
-                        at, reading = int(starts[k]), int(readings[k])
-                        out.append((doc, int(hashes[k]), size, at, reading, *_row(words, kinds[reading], at, size)))
-            if out:
-                yield pd.DataFrame(out, columns=["doc", "hash", "size", "at", "reading", "kinds", "words"])
+        return _probe(batches, sizes, bitmap.value)
 
     given = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = given.mapInPandas(probe, f"doc {kind_of}, {_ROWS}")

@@ -1,3 +1,7 @@
+import numpy as np
+import pandas as pd
+import pytest
+
 from lockstep.llm import decontaminate
 from tests.llm.brute import ODD_ROWS
 
@@ -69,3 +73,28 @@ def test_glued_units_and_ordinals(docs_of, spark):
                     (4, " ".join(f"{k}kg" for k in range(40)))])
     assert pairs(docs, items_of(spark, [(1, item), (2, " ".join(f"{k}kg" for k in range(100, 140)))])) == {
         (1, 1): "reparameterised", (2, 1): "reparameterised", (3, 1): "copy"}
+
+
+def test_short_texts_go_through_the_arrays_together(monkeypatch):
+    texts = [None, "", ITEM, "Tom paid 12kg, 3rd time.", "und 5 minutes ago", *(f"{ITEM} In 5km Éa ran {k}kg." for k in range(200)), FILL]
+    batch = pd.DataFrame({"id": range(len(texts)), "text": texts})
+    every = np.full(decontaminate.BITS // 8, 255, dtype=np.uint8)
+    templates, calls = decontaminate.templates, []
+    monkeypatch.setattr(decontaminate, "templates", lambda *given: calls.append(1) or templates(*given))
+
+    def rows():
+        calls.clear()
+        frames = decontaminate._probe(iter([batch, batch.head(0)]), [4, 13], every)
+        return sorted(tuple(map(str, row)) for frame in frames for row in frame.itertuples(index=False))
+
+    together, n_together = rows(), len(calls)
+    monkeypatch.setattr(decontaminate, "TOGETHER", 1)
+    monkeypatch.setattr(decontaminate, "HANDED_ON", 7)
+    assert rows() == together and len(calls) == len(texts) and n_together == 1
+
+
+@pytest.mark.parametrize(("word", "parts"), [(b"12kg", [b"12", b"kg"]), (b"(5km).", [b"(5", b"km)."]), (b"5x", [b"5x"]), (b"kg", [b"kg"])])
+def test_a_glued_unit_is_a_word_of_its_own(word, parts):
+    words, rows, glued = decontaminate.looked_up([b"a", word, b"b", word], decontaminate.Lexicon())
+    assert words == [b"a", *parts, b"b", *parts]
+    assert len(rows) == len(words) and glued.sum() == (4 if len(parts) == 2 else 0)
