@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+import weakref
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame
 from lockstep.llm.common import keyed_text, named_id
 
 #: Words and pairs whose result a worker remembers before it forgets all of them; longer words are not remembered.
-REMEMBERED_WORDS = 800_000
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_WORDS = 300_000
+REMEMBERED_PAIRS = 300_000
 REMEMBERED_LENGTH = 48
+#: Ids a worker gathers before it hands their rows on.
+HANDED_ON = 1_000_000
 
 
 def load_vocabulary(path: str) -> dict:
@@ -60,13 +63,16 @@ def byte_characters() -> list[str]:
 
 
 class Remembered(dict):
-    """Ids by word, computed on first use."""
+    """Ids by word, computed on first use by the encoder that owns this.
 
-    def __init__(self, compute):
-        self.compute = compute
+    The way back to the owner is weak: in a cycle both would outlive their task in a worker that is used again.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = weakref.proxy(encoder)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.compute(word)
+        ids = self.encoder.encode_word(word)
         if len(word) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED_WORDS:
                 self.clear()
@@ -105,7 +111,7 @@ class Encoder:
             self.automaton.add_word(symbols, (i, len(symbols)))
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.words = Remembered(self.encode_word)
+        self.words = Remembered(self)
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether left, right can stand side by side: undo merges at the seam, latest first, and see
@@ -200,20 +206,22 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
     schema = "id string, n_tokens long" + ", ids array<int>" * emit_ids + ", ids_sha256 string, decoded_sha256 string"
+    columns = ["id", "n_tokens", *(["ids"] if emit_ids else []), "ids_sha256", "decoded_sha256"]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(spec.value)
         for batch in batches:
-            ids_of, n, of_ids, of_text = [], [], [], []
-            for text in batch["text"]:
+            out, held = [], 0
+            for row, text in zip(batch["id"], batch["text"], strict=True):
                 ids = encoder.encode(text)
                 packed = np.array(ids, dtype="<u4")
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(packed.tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
-                if emit_ids:
-                    ids_of.append(packed.astype(np.int32))
-            out = {"id": batch["id"], "n_tokens": n} | ({"ids": ids_of} if emit_ids else {})
-            yield pd.DataFrame(out | {"ids_sha256": of_ids, "decoded_sha256": of_text})
+                out.append((row, len(ids), *([packed.astype(np.int32)] if emit_ids else []), hashlib.sha256(packed.tobytes()).hexdigest(),
+                            hashlib.sha256(encoder.decode(ids).encode()).hexdigest()))
+                held += len(ids)
+                if held >= HANDED_ON:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     return named_id(keyed_text(docs, id_column, text_column).mapInPandas(encode, schema), docs, id_column)

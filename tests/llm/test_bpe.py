@@ -1,5 +1,7 @@
+import gc
 import hashlib
 import random
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -44,3 +46,24 @@ def test_rows(docs_of, spark):
             assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
             assert r["decoded_sha256"] == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode_documents(docs_of([]), PATH).collect() == []
+
+
+def test_an_encoder_ends_with_its_task():
+    gc.disable()  # a worker that is used again may not come to collect cycles
+    try:
+        encoder = bpe.Encoder(bpe.load_vocabulary(PATH))
+        assert encoder.encode("some words") and encoder.words
+        left = weakref.ref(encoder)
+        del encoder
+        assert left() is None
+    finally:
+        gc.enable()
+
+
+def test_rows_are_handed_on_in_parts(docs_of, monkeypatch):
+    docs = docs_of(ODD_ROWS)
+    whole = sorted(map(str, bpe.encode_documents(docs, PATH).collect()))
+    bare = sorted(map(str, bpe.encode_documents(docs, PATH, emit_ids=False).collect()))
+    monkeypatch.setattr(bpe, "HANDED_ON", 3)
+    assert sorted(map(str, bpe.encode_documents(docs, PATH).collect())) == whole
+    assert sorted(map(str, bpe.encode_documents(docs, PATH, emit_ids=False).collect())) == bare
