@@ -31,19 +31,38 @@ PROVENANCE = ("snapshot_version", "outcome_version", "event_date_source", "data_
 AVAILABILITY = ("has_ipo_price", "has_20d_history", "has_40d_history",
                 "has_post_5d", "has_post_10d", "has_post_20d", "has_post_40d")
 CSV_COLUMNS = IDENTITY + FEATURES + OUTCOMES + PROVENANCE + AVAILABILITY
+# Columns of the offering, and of the stored value behind each availability flag.
+OFFERED = ("company_name", "ticker", "ipo_date", "shares_outstanding_post_ipo", "lockup_expiration_date")
+FLAG_SOURCES = {"has_ipo_price": "ipo_price", "has_20d_history": "available_history_sessions",
+                "has_40d_history": "available_history_sessions",
+                **{f"has_post_{h}d": f"post_{h}d_return" for h in (5, 10, 20, 40)}}
+
+
+def input_columns(columns) -> tuple[list[str], list[str]]:
+    """Columns of the snapshots and of the outcomes that the given columns of the dataset take."""
+    wanted = set(columns) | {FLAG_SOURCES[c] for c in columns if c in FLAG_SOURCES}
+    own = (*FEATURES, "event_trade_date", "event_date_source", "data_cutoff_date")
+    keys = ("ipo_id", "lockup_id", "security_id", "event_date", "observation_offset", "snapshot_version")
+    before = [*keys, *[c for c in own if c in wanted and c not in (*keys, *OFFERED)]]
+    after = ["lockup_id", "security_id", *[c for c in (*OUTCOMES, "outcome_version") if c in wanted]]
+    return before, after
 
 
 def backtest_dataset(snapshots: DataFrame, outcomes: DataFrame, ipos: DataFrame, companies: DataFrame, *,
                      primary_lockup_only: bool = True, ticker=None, ipo_id=None, limit=None,
-                     version: str = STORED_BAR_VERSION, **status) -> DataFrame:
-    """Repeated-measure rows keyed by (lock-up, offset); filters run before the event limit."""
+                     version: str = STORED_BAR_VERSION, columns=CSV_COLUMNS, **status) -> DataFrame:
+    """Repeated-measure rows keyed by (lock-up, offset); filters run before the event limit.
+
+    For some of the ``columns``, the inputs need those that ``input_columns`` names.
+    """
     status = status or CLEAN
     offering = ipos.select("ipo_id", "company_id", "classification_status", "candidate_type", "offering_status",
                            "primary_lockup_id", "primary_lockup_expiration_date", "shares_outstanding_post_ipo",
                            F.col("ipo_date").alias("_ipo_date"))
     named = companies.select("company_id", F.col("name").alias("company_name"), "ticker")
+    # Offerings and issuers first: the snapshots, which are many more, are dealt once.
     rows = (snapshots.where(F.col("snapshot_version") == version).drop("ipo_date")
-            .join(offering, "ipo_id").join(named, "company_id")
+            .join(offering.join(named, "company_id"), "ipo_id")
             .where(cohort_predicate(ticker=ticker, ipo_id=ipo_id, **status,
                                     primary=promoted_primary() if primary_lockup_only else None)))
     if limit is not None:
@@ -55,11 +74,11 @@ def backtest_dataset(snapshots: DataFrame, outcomes: DataFrame, ipos: DataFrame,
         {"event_date": "_event_date", "event_trade_date": "_event_trade_date"})
     rows = rows.join(after, ["lockup_id", "security_id"], "left")
     history = F.col("available_history_sessions")
-    return rows.withColumns({
-        "ipo_date": F.col("_ipo_date"), "lockup_expiration_date": F.col("primary_lockup_expiration_date"),
-        "event_date": F.coalesce("_event_date", "event_date"),
-        "event_trade_date": F.coalesce("_event_trade_date", "event_trade_date"),
-        "has_ipo_price": F.col("ipo_price").isNotNull(),
-        "has_20d_history": history >= 21, "has_40d_history": history >= 41,
-        **{f"has_post_{h}d": F.col(f"post_{h}d_return").isNotNull() for h in (5, 10, 20, 40)},
-    }).select(*CSV_COLUMNS)
+    made = {
+        "ipo_date": lambda: F.col("_ipo_date"), "lockup_expiration_date": lambda: F.col("primary_lockup_expiration_date"),
+        "event_date": lambda: F.coalesce("_event_date", "event_date"),
+        "event_trade_date": lambda: F.coalesce("_event_trade_date", "event_trade_date"),
+        "has_ipo_price": lambda: F.col("ipo_price").isNotNull(),
+        "has_20d_history": lambda: history >= 21, "has_40d_history": lambda: history >= 41,
+        **{f"has_post_{h}d": lambda h=h: F.col(f"post_{h}d_return").isNotNull() for h in (5, 10, 20, 40)}}
+    return rows.select(*[made[c]().alias(c) if c in made else F.col(c) for c in columns])
