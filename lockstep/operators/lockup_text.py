@@ -14,37 +14,38 @@ from lockstep.functions.numeric import all_of
 PARSER_NAME = "deterministic_lockup_parser"
 PARSER_VERSION = "1.1"
 VERY_HIGH, HIGH, PLAUSIBLE = 0.97, 0.92, 0.82
+# Where a pattern can begin with few letters, a lookahead for them spares its branches and \b at all other places.
 #: Line ends, form feeds and separators included.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+"
-HEADING = (r"(?iU)^(?:underwriting|shares eligible for (?:future )?sale|lock[ -]?up (?:agreements?|arrangements?)|"
+HEADING = (r"(?iU)^\s*(?:underwriting|shares eligible for (?:future )?sale|lock[ -]?up (?:agreements?|arrangements?)|"
            r"restrictions? on sale)\s*$")
-CONCEPT = (r"(?iU)lock[ -]?up|agree(?:d)?(?:.{0,100})?(?:not to|will not)|(?:may|will) not (?:offer|sell)|"
-           r"restricted from")
-EARLY = r"(?iU)waiv(?:e|er)|early release|release .*shares|blackout|staggered release|partial release"
-ANCHOR = r"(?iU)(?:after|following) (?:the )?date of (?:this|the) prospectus"
+CONCEPT = (r"(?iU)(?=[larmw])(?:lock[ -]?up|agree(?:d)?(?:.{0,100})?(?:not to|will not)|(?:may|will) not (?:offer|sell)|"
+           r"restricted from)")
+EARLY = r"(?iU)(?=[werbsp])(?:waiv(?:e|er)|early release|release .*shares|blackout|staggered release|partial release)"
+ANCHOR = r"(?iU)(?=[af])(?:after|following) (?:the )?date of (?:this|the) prospectus"
 FIRM = (r"(?=[^.]{0,180}\b(?:Securities|Capital Markets|Company)\b)"
         r"[^.]{0,180}\b(?:Inc\.?|LLC|L\.?P\.?|Ltd\.?)")
-NAMED_CONSENT = (r"(?iU)(?:without (?:first obtaining|the prior) (?:the )?written consent of|"
+NAMED_CONSENT = (r"(?iU)(?=[wm])(?:without (?:first obtaining|the prior) (?:the )?written consent of|"
                  r"may be waived by|written consent of)" + FIRM)
-LINKED_WAIVER = (r"(?iU)(?:this|these|the|such) (?:sale |transfer )?(?:restriction|lock[ -]?up)s? "
+LINKED_WAIVER = (r"(?iU)(?=[ts])(?:this|these|the|such) (?:sale |transfer )?(?:restriction|lock[ -]?up)s? "
                  r"may be waived by" + FIRM)
-DAYS = r"(?iU)\b(90|120|180)\s*(?:calendar\s+)?days\b"
-WRITTEN_DAYS = r"(?iU)\b(one hundred (?:and )?eighty) days\b"
-SIX_MONTHS, APPROXIMATE = r"(?iU)\bsix months\b", r"(?iU)approximately|about"
-STATED = (r"(?iU)(?:terminate|expire|expiration)(?:s|d)?(?:\s+on|\s+is)?\s+"
+DAYS = r"(?iU)(?=[19])\b(90|120|180)\s*(?:calendar\s+)?days\b"
+WRITTEN_DAYS = r"(?iU)(?=o)\b(one hundred (?:and )?eighty) days\b"
+SIX_MONTHS, APPROXIMATE = r"(?iU)(?=s)\bsix months\b", r"(?iU)approximately|about"
+STATED = (r"(?iU)(?=[te])(?:terminate|expire|expiration)(?:s|d)?(?:\s+on|\s+is)?\s+"
           r"(January|February|March|April|May|June|July|August|September|October|November|December)"
           r"\s+(\d{1,2}),\s+(20\d{2})")
-COMPANY = r"(?iU)(?:we|the company) (?:have |has )?agree(?:d)? not to (?:issue|sell)"
+COMPANY = r"(?iU)(?=[wt])(?:we|the company) (?:have |has )?agree(?:d)? not to (?:issue|sell)"
 COMPANY_NAME = r"(?iU)(?:we|the company)"
 HOLDERS = (
-    ("selling_stockholders", r"(?iU)\b(?:our )?selling stockholders?\b"),
+    ("selling_stockholders", r"(?iU)(?=[os])\b(?:our )?selling stockholders?\b"),
     ("existing_stockholders",
-     r"(?iU)\b(?:substantially all |certain |our )?(?:holders|stockholders) of (?:our )?(?:common )?stock\b"),
-    ("pre_ipo_investors", r"(?iU)\b(?:pre-IPO investors?|principal stockholders?)\b"),
-    ("directors_officers", r"(?iU)\b(?:our )?directors?(?:,? (?:and )?(?:executive )?officers?)?\b"),
-    ("employees", r"(?iU)\b(?:our )?employees?\b"),
-    ("sponsor", r"(?iU)\b(?:our |the )?sponsor\b"))
+     r"(?iU)(?=[scoh])\b(?:substantially all |certain |our )?(?:holders|stockholders) of (?:our )?(?:common )?stock\b"),
+    ("pre_ipo_investors", r"(?iU)(?=p)\b(?:pre-IPO investors?|principal stockholders?)\b"),
+    ("directors_officers", r"(?iU)(?=[od])\b(?:our )?directors?(?:,? (?:and )?(?:executive )?officers?)?\b"),
+    ("employees", r"(?iU)(?=[oe])\b(?:our )?employees?\b"),
+    ("sponsor", r"(?iU)(?=[ots])\b(?:our |the )?sponsor\b"))
 SHARES = (r"(?iU)(?:an aggregate of )?([\d,]+) shares (?:are |is |will be )?(?:subject to|covered by) "
           r"(?:the )?lock[ -]?up")
 TIERS = ("existing_stockholders", "pre_ipo_investors", "selling_stockholders", "directors_officers")
@@ -70,7 +71,7 @@ def sections(documents: DataFrame) -> DataFrame:
     A section runs to the next heading or the end of the document.
     """
     lines = F.split("text", LINE_END)
-    heads = F.filter(F.transform("_lines", lambda x, i: F.when(_bare(x).rlike(HEADING), i)),
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(HEADING), i)),
                      lambda i: i.isNotNull())
 
     def region(start: Column, n: Column) -> Column:
@@ -167,12 +168,15 @@ def agreements(documents: DataFrame) -> DataFrame:
     }).drop("heading", "start_line", "position", "sentence", "window")
 
 
-def evidence_key() -> Column:
-    """Identity of an agreement row: a digest of its thirteen attributes."""
+def evidence_key(excerpt: Column | None = None) -> Column:
+    """Identity of an agreement row: a digest of its thirteen attributes; ``excerpt`` stands in for its excerpt."""
     names = ("ipo_id", "filing_id", "lockup_type", "holder_group", "holder_group_text", "duration_days",
              "stated_expiration_date", "calculated_expiration_date", "shares_locked", "source_excerpt",
              "source_locator")
-    fields = [F.col(c).cast("string").alias(c) for c in names]
+    values = {c: F.col(c) for c in names}
+    if excerpt is not None:
+        values["source_excerpt"] = excerpt
+    fields = [v.cast("string").alias(c) for c, v in values.items()]
     return F.sha2(F.to_json(F.struct(*fields, F.lit(PARSER_NAME).alias("parser_name"),
                                      F.lit(PARSER_VERSION).alias("parser_version")),
                             {"ignoreNullFields": "false"}), 256)

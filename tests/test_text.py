@@ -198,3 +198,34 @@ def test_character_references(spark):
             "<script>x</style>y</script>a\x0cb")
     text = normalise_documents(spark.createDataFrame([(html,)], "html string")).first()["text"]
     assert text == "“A” — — &lt; ®€ & ©2024 &unknown; � � � �\na\nb\n"
+
+
+def test_evidence_identity_parses_each_text_twice(spark, tmp_path):
+    import datetime as dt
+
+    import __spark_entry__ as entry
+    day = dt.datetime(1999, 3, 1)
+    spark.createDataFrame([(1, day, "1-URGENT"), (2, day, "2-HIGH"), (2, day, "2-HIGH"), (None, day, "2-HIGH")],
+                          "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    out = entry.queries()["j12_evidence_identity"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2
+    got = {r["filing_id"]: (r["agreements"], r["identities"], r["repeat_is_same"], r["other_excerpt_is_same"]) for r in out.collect()}
+    # A filing that comes twice: each of its rows meets both of the repetition; one without a number meets none.
+    assert got[1] == (2, 2, True, False) and got[2] == (8, 2, True, False)
+    assert None not in got or got[None][2:] == (False, False)
+
+
+def test_lookaheads_part_nothing(spark):
+    import re
+
+    from lockstep.operators import lockup_text as lt
+    texts = ["AGREED NOT TO sell", "Lock up", "locKup ends", "ſix months", "the ſponsor", "xsix months", "a 180 days", "91 90 days",
+             "We have agreed not to issue", "the Company agreed not to sell", "Our Directors, and Executive Officers", "following the date of this prospectus",
+             "terminate on March 3, 2001", "may be waived by X Securities Inc.", "such restriction may be waived by Y Company, LLC", "dırector", "one hundred eighty days"]
+    patterns = [lt.CONCEPT, lt.EARLY, lt.ANCHOR, lt.NAMED_CONSENT, lt.LINKED_WAIVER, lt.DAYS, lt.WRITTEN_DAYS, lt.SIX_MONTHS, lt.STATED, lt.COMPANY, *[p for _, p in lt.HOLDERS]]
+    assert all("(?iU)(?=[" in p or re.match(r"\(\?iU\)\(\?=\w\)", p) for p in patterns)
+    plain = [re.sub(r"^\(\?iU\)\(\?=\[[^\]]*\]\)|^\(\?iU\)\(\?=\w\)", "(?iU)", p) for p in patterns]
+    from pyspark.sql import functions as F
+    for row in spark.createDataFrame([(t,) for t in texts], "t string").select(
+            "t", *[(F.regexp_extract("t", a, 0) == F.regexp_extract("t", b, 0)) & (F.col("t").rlike(a) == F.col("t").rlike(b)) for a, b in zip(patterns, plain)]).collect():
+        assert all(row[1:]), row
