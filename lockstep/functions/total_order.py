@@ -8,6 +8,8 @@ position.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,17 @@ def _bounds(keyed: DataFrame, parts: int) -> list[tuple]:
     return sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
 
 
+def _part(bounds: list[Column]) -> Column:
+    """How many of the ascending bounds are not above the key: first among every so-many-th, then among those up to the next."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    groups = [F.array(*bounds[k:k + step]) for k in range(0, len(bounds), step)]
+    through = lambda some: F.size(F.filter(some, lambda b: b <= F.col("_key")))
+    coarse = through(F.array(*bounds[::step]))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + through(F.get(F.array(*groups), coarse - 1)))
+
+
 def with_position(df: DataFrame, order: list[Column], output: str = "position", parts: int | None = None) -> DataFrame:
     """Append the 1-based position of each row; ``order`` are ascending columns without nulls, unique together."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -30,8 +43,7 @@ def with_position(df: DataFrame, order: list[Column], output: str = "position",
     kind = keyed.schema["_key"].dataType
     bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(bound, kind.fields, strict=True)])
               for bound in _bounds(keyed, parts)]
-    part = F.size(F.filter(F.array(*bounds), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
-    rows = keyed.withColumn("_part", part)
+    rows = keyed.withColumn("_part", _part(bounds))
     through = F.sum("count").over(Window.orderBy("_part"))  # one row a part
     starts = rows.groupBy("_part").count().select("_part", (through - F.col("count")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))

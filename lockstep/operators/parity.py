@@ -22,6 +22,10 @@ AUDITED = (
     "post_ipo_high_to_date", "post_ipo_low_to_date", "drawdown_from_post_ipo_high",
     "position_in_post_ipo_range", "ipo_gain_retention")
 RANGE_FEATURES = AUDITED[-5:]
+# What the audit takes of a snapshot, and what its order reads.
+STORED = ("ipo_id", "lockup_id", "security_id", "snapshot_version", "observation_offset", "event_trade_date",
+          "observation_date", "return_20d", "realized_vol_20d")
+ORDER = ("ticker", "lockup_id", "observation_offset", "snapshot_version", "security_id")
 SESSION_MISMATCHES = ("event_session_mismatch", "observation_session_mismatch_sparse_history",
                       "observation_session_mismatch_unexplained", "event_and_observation_mismatch")
 
@@ -54,10 +58,14 @@ def session_parity(snapshots: DataFrame, lockups: DataFrame, companies: DataFram
     days = F.sequence(F.least(*ends), F.greatest(*ends))
     walk = walk.withColumn("_days", F.filter(days, lambda d: has(opened, d)))
     dates = lambda keep: F.transform(F.filter("_days", keep), day_at)
+    walk = walk.withColumn("_lacking", F.filter("_days", lambda d: ~has(F.col("stored"), d)))
+    # Counts beside the lists: a reader that takes no list moves none.
     windows = walk.select(
         "security_id", "event_ix", "obs_ix", dates(lambda d: F.lit(True)).alias("expected_sessions"),
         dates(lambda d: has(F.col("stored"), d)).alias("stored_sessions_in_expected_window"),
-        dates(lambda d: ~has(F.col("stored"), d)).alias("missing_expected_sessions"))
+        F.transform("_lacking", day_at).alias("missing_expected_sessions"),
+        F.size("_days").alias("_expected"), F.size("_lacking").alias("_missing"),
+        F.array_contains("_lacking", ends[1]).alias("_event_missing"))
     df = df.join(windows, ["security_id", "event_ix", "obs_ix"], "left")
 
     ordinals = numbered_bars(bars).select("security_id", "trade_date", "bn")
@@ -71,7 +79,7 @@ def session_parity(snapshots: DataFrame, lockups: DataFrame, companies: DataFram
                | F.col("stored_observation_date").isNull() | F.col("observation_offset").isNull())
     df = df.withColumns({"event_session_match": event_match, "observation_session_match": obs_match,
                          "old_bar_offset_reproduced": reproduced}).drop("_event_bn", "_obs_bn")
-    gaps = F.coalesce(F.size("missing_expected_sessions"), F.lit(0)) > 0
+    gaps = F.coalesce("_missing", F.lit(0)) > 0
     mismatch = (F.when(lacking, "missing_required_fields")
                 .when(F.col("event_session_match") & F.col("observation_session_match"), "exact_match")
                 .when(~F.col("event_session_match") & ~F.col("observation_session_match"),
@@ -80,16 +88,15 @@ def session_parity(snapshots: DataFrame, lockups: DataFrame, companies: DataFram
                 .when(gaps & F.col("old_bar_offset_reproduced"), "observation_session_mismatch_sparse_history")
                 .otherwise("observation_session_mismatch_unexplained"))
     df = df.withColumn("mismatch_type", mismatch)
-    event_missing = F.coalesce(F.array_contains("missing_expected_sessions", F.col("canonical_event_trade_date")),
-                               F.lit(False))
+    event_missing = F.coalesce("_event_missing", F.lit(False))
     sparse = (~F.col("mismatch_type").isin("exact_match", "missing_required_fields")
               & F.col("old_bar_offset_reproduced") & gaps
               & F.when(~F.col("event_session_match"), event_missing)
               .otherwise(F.col("mismatch_type") == "observation_session_mismatch_sparse_history"))
     return df.withColumns({
         "sparse_data_related": sparse,
-        "expected_session_count": F.coalesce(F.size("expected_sessions"), F.lit(0)),
-        "missing_expected_session_count": F.coalesce(F.size("missing_expected_sessions"), F.lit(0))})
+        "expected_session_count": F.coalesce("_expected", F.lit(0)),
+        "missing_expected_session_count": F.coalesce("_missing", F.lit(0))}).drop("_expected", "_missing", "_event_missing")
 
 
 def mismatches(audit: DataFrame) -> DataFrame:
@@ -158,6 +165,12 @@ _V2_ONLY = ("snapshot_status", "unavailable_reason", "expected_history_sessions"
 PAIR_KEY = ["lockup_id", "security_id", "observation_offset"]
 
 
+def pair_columns(features=AUDITED) -> tuple[list[str], list[str]]:
+    """Columns of the first and of the second lineage that pairs with these features take."""
+    before = [*PAIR_KEY, "snapshot_version", *_IDENTITY, *features]
+    return before, [*before, *_V2_ONLY]
+
+
 def _feature_state(name: str, identity: Column, atol: float, rtol: float) -> Column:
     a, b = F.col(f"v1_{name}"), F.col(f"v2_{name}")
     full = (F.col("v2_snapshot_status") == "complete") if name in RANGE_FEATURES else b.isNotNull()
@@ -167,13 +180,17 @@ def _feature_state(name: str, identity: Column, atol: float, rtol: float) -> Col
             .when(identity & full, "numeric_mismatch_complete_history").otherwise("numeric_mismatch_other"))
 
 
-def lineage_pairs(v1: DataFrame, v2: DataFrame, *, atol: float = PARITY_ATOL, rtol: float = PARITY_RTOL) -> DataFrame:
-    """Full outer pairing with one ``features`` entry per audited feature and a class per pair."""
+def lineage_pairs(v1: DataFrame, v2: DataFrame, *, atol: float = PARITY_ATOL, rtol: float = PARITY_RTOL,
+                  features=AUDITED) -> DataFrame:
+    """Full outer pairing with one ``features`` entry per audited feature and a class per pair.
+
+    With fewer ``features`` the class is that by those alone.
+    """
     left = v1.where(F.col("snapshot_version") == STORED_BAR_VERSION).select(
-        *PAIR_KEY, F.lit(True).alias("in_v1"), *[F.col(c).alias(f"v1_{c}") for c in (*_IDENTITY, *AUDITED)])
+        *PAIR_KEY, F.lit(True).alias("in_v1"), *[F.col(c).alias(f"v1_{c}") for c in (*_IDENTITY, *features)])
     right = v2.where(F.col("snapshot_version") == SESSION_VERSION).select(
         *PAIR_KEY, F.lit(True).alias("in_v2"),
-        *[F.col(c).alias(f"v2_{c}") for c in (*_IDENTITY, *AUDITED, *_V2_ONLY)])
+        *[F.col(c).alias(f"v2_{c}") for c in (*_IDENTITY, *features, *_V2_ONLY)])
     df = left.join(right, PAIR_KEY, "full_outer")
     both = F.col("in_v1").isNotNull() & F.col("in_v2").isNotNull()
     df = df.withColumns({
@@ -181,9 +198,11 @@ def lineage_pairs(v1: DataFrame, v2: DataFrame, *, atol: float = PARITY_ATOL, rt
         "event_trade_date_match": F.when(both, F.col("v1_event_trade_date").eqNullSafe(F.col("v2_event_trade_date")))})
     identity = F.col("observation_date_match") & F.col("event_trade_date_match")
     df = df.withColumn("exact_identity_match", identity)
-    df = df.withColumn("features", F.when(both, F.array(*[F.struct(
+    entries = F.array(*[F.struct(
         F.lit(n).alias("feature"), F.col(f"v1_{n}").alias("v1"), F.col(f"v2_{n}").alias("v2"),
-        _feature_state(n, F.col("exact_identity_match"), atol, rtol).alias("state")) for n in AUDITED])))
+        _feature_state(n, F.col("exact_identity_match"), atol, rtol).alias("state")) for n in features])
+    df = df.withColumn("features", F.when(both, entries.cast(
+        "array<struct<feature:string,v1:double,v2:double,state:string>>")))
     broken = F.exists("features", lambda f: f["state"] == "numeric_mismatch_complete_history")
     differs = F.exists("features", lambda f: ~f["state"].isin("match", "both_null"))
     reason, status = F.col("v2_unavailable_reason"), F.col("v2_snapshot_status")

@@ -133,3 +133,12 @@ def test_close_values_do_not_share_one_bucket(spark):
     sizes = _bucketed(df, ["k"], "v").groupBy("_bucket").count().collect()
     assert len(sizes) > BUCKETS * 0.9 and max(r["count"] for r in sizes) < 4 * n / BUCKETS
     assert middle_values(df, ["k"], "v").first()["middle"] == 1.0 + (n // 2) / (n * 1000.0)
+
+
+def test_positions_of_many_parts(spark):
+    from lockstep.functions.total_order import with_position
+    values = [(k * 7919 % 1009, f"t{k % 3}") for k in range(1009)]
+    for parts in (1, 2, 5, 50, 101):
+        got = with_position(spark.createDataFrame(values, "k long, t string"), [F.col("t"), F.col("k")], parts=parts).collect()
+        assert [(r["t"], r["k"]) for r in sorted(got, key=lambda r: r["position"])] == sorted((t, k) for k, t in values)
+        assert sorted(r["position"] for r in got) == list(range(1, 1010))
